@@ -21,15 +21,15 @@ _BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]  # first b
 
 
 def term_hashes(text: Column) -> Column:
-    """64-bit hashes of the terms of a text; an empty text has one term."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """64-bit hashes of the terms of a text: of each word and the two after it, as far as there are any.
+    Punctuation at an end makes an empty word there, so every text has a term."""
+    words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
 
     def terms(w):
-        n = F.greatest(F.lit(1), F.size(w) - (TERM_WORDS - 1))
-        return F.transform(F.slice(w, 1, n), lambda x, i: F.xxhash64(x, *(F.get(w, i + k) for k in range(1, TERM_WORDS))))
+        starts = F.slice(w, 1, F.greatest(F.lit(1), F.size(w) - (TERM_WORDS - 1)))
+        return F.transform(starts, lambda x, i: F.xxhash64(x, *(F.get(w, i + k) for k in range(1, TERM_WORDS))))
 
-    made = F.transform(F.array(words), terms)[0]
-    return F.when(F.size(made) == 0, F.array(F.xxhash64(F.lit("")))).otherwise(made)
+    return F.transform(F.array(words), terms)[0]  # binds the words, so they are split once
 
 
 def fingerprint_longs(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
