@@ -16,7 +16,9 @@ DEFAULT_PORTS = {"http": "80", "https": "443", "ws": "80", "wss": "443", "ftp":
 # Sites whose paths end in a title after the id: host, part the path must hold, the path's stable part.
 SITE_RULES = [("hk01.com", None, r"^(/[^/]+/\d+)/.+$"), ("mingpao.com", "/article/", r"^(/article/[^/]+/[^/]+)/.+$")]
 
-_URL = r"^\s*([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#[\s\S]*)?$"
+_SCHEME = r"^\s*([A-Za-z][A-Za-z0-9+.\-]*)"
+_HEAD = _SCHEME[:4] + r"[A-Za-z][A-Za-z0-9+.\-]*://"
+_PARSEABLE = _HEAD + r"(?:[^@/?#]*@)?[^\s<>\\^|%#\[\]/?:@]+(?::\d*)?(?:[/?#][\s\S]*)?$"
 
 
 def _c(x: Column | str) -> Column:
@@ -25,29 +27,17 @@ def _c(x: Column | str) -> Column:
 
 def scheme_of(url: Column | str) -> Column:
     """Lower-case scheme, '' where there is none."""
-    return F.lower(F.regexp_extract(_c(url), r"^\s*([A-Za-z][A-Za-z0-9+.\-]*):", 1))
-
-
-def authority_of(url: Column | str) -> Column:
-    return F.regexp_extract(_c(url), _URL, 2)
+    return F.lower(F.regexp_extract(_c(url), _SCHEME + ":", 1))
 
 
 def host_of(url: Column | str) -> Column:
     """Lower-case host without user and port."""
-    return F.lower(F.regexp_extract(authority_of(url), r"^(?:[^@]*@)?(.*?)(?::\d*)?$", 1))
-
-
-def port_of(url: Column | str) -> Column:
-    """The port where it isn't the scheme's own, else ''."""
-    port, scheme = F.regexp_extract(authority_of(url), r":(\d*)$", 1), scheme_of(url)
-    usual = F.lit(False)
-    for s, p in DEFAULT_PORTS.items():
-        usual = usual | ((scheme == s) & (port == p))
-    return F.when(usual, "").otherwise(port)
+    return F.lower(F.regexp_extract(_c(url), _HEAD + r"(?:[^@/?#]*@)?([^/?#:]*)", 1))
 
 
 def path_of(url: Column | str) -> Column:
-    path = F.regexp_extract(_c(url), _URL, 3)
+    """The path, / where it is empty."""
+    path = F.regexp_extract(_c(url), _HEAD + r"[^/?#]*([^?#]*)", 1)
     return F.when(path == "", "/").otherwise(path)
 
 
@@ -58,14 +48,16 @@ def query_of(url: Column | str) -> Column:
 
 def is_parseable(url: Column | str) -> Column:
     """Whether the URL has a scheme, and a host free of blanks and brackets. Null is not."""
-    url = _c(url)
-    return F.coalesce(url.rlike(_URL) & (host_of(url) != "") & ~host_of(url).rlike(r"[\s<>\\^|%#\[\]]"), F.lit(False))
+    return F.coalesce(_c(url).rlike(_PARSEABLE), F.lit(False))
+
+
+def _without_usual_port(authority: Column) -> Column:
+    usual = "|".join(f"^({scheme}://[^/]*):{port}$" for scheme, port in DEFAULT_PORTS.items())
+    return F.regexp_replace(authority, usual, "".join(f"${k + 1}" for k in range(len(DEFAULT_PORTS))))
 
 
 def origin_of(url: Column | str) -> Column:
-    url = _c(url)
-    port = port_of(url)
-    return F.concat(scheme_of(url), F.lit("://"), host_of(url), F.when(port != "", F.concat(F.lit(":"), port)).otherwise(""))
+    return _without_usual_port(F.lower(F.regexp_replace(F.regexp_extract(_c(url), "(" + _HEAD[1:] + r"[^/?#]*)", 1), r"//[^@]*@", "//")))
 
 
 def _query_kept(url: Column) -> Column:
@@ -78,10 +70,10 @@ def normalize_url(url: Column | str) -> Column:
 
     Null and '' give ''; what has no :// or can't be parsed stays as it is. Scheme and host variants stay apart."""
     url = _c(url)
-    user = F.regexp_extract(authority_of(url), r"^([^@]*@)", 1)
-    port, query = port_of(url), _query_kept(url)
+    user = F.regexp_extract(url, _HEAD + r"([^@/?#]*@)", 1)
+    origin = F.when(F.contains(url, F.lit("@")), F.concat(F.regexp_extract(origin_of(url), r"^([^/]*//)", 1), user, F.regexp_extract(origin_of(url), r"^[^/]*//(.*)$", 1))).otherwise(origin_of(url))
     path = F.regexp_replace(path_of(url), r"(?<=.)/+$", "")
-    made = F.concat(scheme_of(url), F.lit("://"), user, host_of(url), F.when(port != "", F.concat(F.lit(":"), port)).otherwise(""), F.when(path == "", "/").otherwise(path), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    made = F.concat(origin, path, F.regexp_replace(F.concat(F.lit("?"), _query_kept(url)), r"^\?$", ""))
     return F.when(url.isNull() | (url == ""), "").when(is_parseable(url), made).otherwise(url)
 
 
@@ -145,11 +137,11 @@ def is_http_url(url: Column | str) -> Column:
 
 
 def is_safe_stable_url(url: Column | str, require_normalized: bool = False) -> Column:
-    """Not blank, http or https, not root; with require_normalized also equal to its normal form."""
+    """Not blank, http or https, not root once normal; with require_normalized also equal to its normal form."""
     url = _c(url)
-    normal = normalize_url(url)
-    ok = url.isNotNull() & (F.trim(url) != "") & is_http_url(url if require_normalized else normal) & ~is_root_url(normal)
-    return F.coalesce(ok & (normal == url) if require_normalized else ok, F.lit(False))
+    root = path_of(url).rlike("^/*$") & (_query_kept(url) == "")
+    ok = url.isNotNull() & (F.trim(url) != "") & is_http_url(url) & ~root
+    return F.coalesce(ok & (normalize_url(url) == url) if require_normalized else ok, F.lit(False))
 
 
 def is_valid_alias(value: Column | str) -> Column:

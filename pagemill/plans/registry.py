@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagemill.plans import web
+from pagemill.plans import pages, state, web
 
-QUERIES = {**web.QUERIES}
-ORACLES = {**web.ORACLES}
+QUERIES = {**web.QUERIES, **state.QUERIES, **pages.QUERIES}
+ORACLES = {**web.ORACLES, **state.ORACLES, **pages.ORACLES}

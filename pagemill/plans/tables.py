@@ -12,7 +12,8 @@ _NORM = "trim(TRAILING '/' FROM split_part(split_part(url, '#', 1), '?', 1))"
 STORE_SQL = f"""
 SELECT profile_id, ordinal, key, value FROM (
   WITH p AS (SELECT min(page_id) AS page_id, url FROM pages GROUP BY url),
-  q AS (SELECT page_id, url, 'p' || CAST(page_id % 3 AS STRING) AS profile_id, CAST(page_id AS STRING) AS pid, {_LIST} AS list FROM p)
+  n AS (SELECT p.page_id, p.url, x.url AS next_url FROM p LEFT JOIN p x ON x.page_id = p.page_id + 1),
+  q AS (SELECT page_id, url, next_url, 'p' || CAST(CAST(floor(page_id / 10) AS BIGINT) % 3 AS STRING) AS profile_id, CAST(page_id AS STRING) AS pid, {_LIST} AS list FROM n)
   SELECT profile_id, page_id * 10 + 1 AS ordinal, 'page_' || url AS key,
     CASE WHEN page_id % 16 = 9 THEN CASE WHEN page_id % 3 = 0 THEN '"x"' WHEN page_id % 3 = 1 THEN '[]' ELSE '{{"highlights":1}}' END
     ELSE '{{' || CASE WHEN page_id % 3 = 0 THEN '"remote":{{"pageId":"r' || pid || '","url":"https://remote.example/' || pid || '","title":"Title ' || pid || '","savedAt":' || pid || '}},' ELSE '' END
@@ -23,7 +24,7 @@ SELECT profile_id, ordinal, key, value FROM (
   UNION ALL
   SELECT profile_id, page_id * 10 + 3, 'highlights_' || url, CASE WHEN page_id % 8 = 5 THEN '[]' WHEN page_id % 2 = 0 THEN list ELSE '{{"highlights":' || list || '}}' END FROM q WHERE page_id % 4 IN (1, 2)
   UNION ALL
-  SELECT profile_id, page_id * 10 + 4, 'url_alias:' || url, CASE WHEN page_id % 7 = 0 THEN '"https://missing.example/' || pid || '"' ELSE '"' || {_NORM} || '"' END FROM q WHERE url <> {_NORM}
+  SELECT profile_id, page_id * 10 + 4, 'url_alias:' || url, CASE WHEN page_id % 7 = 0 THEN '"https://missing.example/' || pid || '"' WHEN page_id % 5 = 3 AND next_url IS NOT NULL THEN '"' || next_url || '"' ELSE '"' || {_NORM} || '"' END FROM q WHERE url <> {_NORM}
   UNION ALL
   SELECT profile_id, page_id * 10 + 5, 'migration_' || pid, '{{"phase":"' || CASE WHEN page_id % 20 = 0 THEN 'completed' ELSE 'failed' END || '"}}' FROM q WHERE page_id % 10 = 0
   UNION ALL
