@@ -30,6 +30,7 @@ PLACES = 1 << 22
 SHARDS = 256  # the tables travel in so many pieces
 DISCOUNT = 0.75
 CALIBRATION_FOLD = 4  # of 1..4: held back from the counts while the logistic fit is made
+BROADCAST_LABELS = 2_000_000  # rows of labels; beyond, documents and labels are joined by a shuffle
 STEPS = 400  # histogram bins of the evidence, in [-10, 30)
 
 
@@ -52,7 +53,7 @@ def evidence(places: np.ndarray, ratio: np.ndarray) -> float:
     return float((s[w:] - s[:-w]).max() / PASSAGE)
 
 
-_COUNTS = "shard int, part int, ordinary binary, toxic binary, held_ordinary binary, held_toxic binary, before binary"
+_COUNTS = "shard int, part int, item int, ordinary binary, toxic binary, held_ordinary binary, held_toxic binary, before binary"
 
 
 def _count(batches: Iterator[pa.RecordBatch]):
@@ -68,22 +69,22 @@ def _count(batches: Iterator[pa.RecordBatch]):
             np.bitwise_or.at(before, places, np.uint32(1) << prior)
             rows += 1
     if rows:
-        yield _pack(TaskContext.get().partitionId(), counts.astype(np.uint64), before)
+        yield _pack(TaskContext.get().partitionId(), counts, before)
 
 
 def _pack(part: int, counts: np.ndarray, before: np.ndarray, shards=range(SHARDS)) -> pa.RecordBatch:
     z = lambda x: zlib.compress(x.tobytes(), 1)
     cut = [counts[k].reshape(len(shards), -1) for k in range(4)]
-    cols = [pa.array(list(shards), pa.int32()), pa.array([part] * len(shards), pa.int32()), *(pa.array([z(row) for row in c], pa.binary()) for c in cut), pa.array([z(row) for row in before.reshape(len(shards), -1)], pa.binary())]
+    cols = [pa.array(list(shards), pa.int32()), pa.array([part] * len(shards), pa.int32()), pa.array([counts.itemsize] * len(shards), pa.int32()), *(pa.array([z(row) for row in c], pa.binary()) for c in cut), pa.array([z(row) for row in before.reshape(len(shards), -1)], pa.binary())]
     return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _COUNTS.split(", ")])
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    """The sum of one shard's pieces; at most 64 parts come in, each of a fixed size."""
+    """The sum of one shard's pieces, each of a fixed size."""
     counts, before = np.zeros((4, PLACES // SHARDS), np.uint64), np.zeros(PLACES // SHARDS, np.uint32)
     for row in table.to_pylist():
         for k, name in enumerate(("ordinary", "toxic", "held_ordinary", "held_toxic")):
-            counts[k] += np.frombuffer(zlib.decompress(row[name]), np.uint64)
+            counts[k] += np.frombuffer(zlib.decompress(row[name]), f"<u{row['item']}")
         before |= np.frombuffer(zlib.decompress(row["before"]), np.uint32)
     shard, part = table["shard"][0].as_py(), table["part"][0].as_py()
     return pa.Table.from_batches([_pack(part, counts, before, [shard])])
@@ -129,9 +130,11 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float]
     spark = docs.sparkSession
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_pm_id")).agg(F.max("toxic").cast("int").alias("_pm_toxic"))
     learn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0)
-    learn = staged(learn.join(known, learn["doc_id"] == known["_pm_id"]).select("doc_id", "text", F.col("_pm_toxic").alias("toxic")), "labelled")
+    small = labels.count() <= BROADCAST_LABELS
+    learn = learn.join(F.broadcast(known) if small else known, learn["doc_id"] == known["_pm_id"]).select("doc_id", "text", F.col("_pm_toxic").alias("toxic"))
+    learn = learn if small else staged(learn, "labelled")  # the shuffled join is done once for both passes
     pieces = learn.mapInArrow(_count, _COUNTS)
-    halfway = pieces.groupBy("shard", F.pmod("part", F.lit(64)).alias("group")).applyInArrow(_merge, _COUNTS)
+    halfway = pieces.groupBy("shard", F.floor(F.col("part") / 64).alias("group")).applyInArrow(_merge, _COUNTS)
     rows = halfway.groupBy("shard").applyInArrow(_merge, _COUNTS).collect()  # SHARDS rows of a fixed size
     counts, before = np.zeros((4, SHARDS, PLACES // SHARDS), np.uint64), np.zeros((SHARDS, PLACES // SHARDS), np.uint32)
     for r in rows:
