@@ -46,9 +46,9 @@ class WordIds:
     """Ids of texts by a word BPE, as bytes of little-endian unsigned 32-bit integers.
 
     The tokenizer's pre-tokens never hold white space, so what stands between white space is encoded once
-    and remembered. New words are normalised and split by the tokenizer file's rules and merged all at once by
-    its merges, written as ranks; what those can't carry (four control characters that are white space to
-    str.split only, and zero bytes) goes through the tokenizer itself."""
+    and remembered. New words of Latin-1 letters are split by the tokenizer file's pattern and merged all at once by
+    its merges, written as ranks; all else (other scripts, zero bytes, four control characters that are white
+    space to str.split only) goes through the tokenizer itself."""
 
     def __init__(self, path: str):
         import regex
@@ -74,17 +74,25 @@ class WordIds:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _learn(self, new: list[str]) -> None:
-        words, until = [], []
+        latin, other, words, until = [], [], [], []
         for c in new:
-            words += self.words(c.lower() if c.isascii() else self.tok.normalizer.normalize_str(c))
+            try:
+                c.encode("latin-1")
+            except UnicodeEncodeError:
+                other.append(c)
+                continue
+            latin.append(c)
+            words += self.words(c.lower())
             until.append(len(words))
+        if other:
+            self.known.update((c, array("I", e.ids).tobytes()) for c, e in zip(other, self.tok.encode_batch_fast(other, add_special_tokens=False)))
         if not words:
-            self.known.update(dict.fromkeys(new, b""))
+            self.known.update(dict.fromkeys(latin, b""))
             return
         ids = np.array(self.bpe.encode_ordinary(END.join(words) + END))
         ends = np.r_[0, 1 + np.flatnonzero(self.ends[ids])]
         ids, at = self.id_of[ids].tobytes(), (4 * ends[np.r_[0, until]]).tolist()
-        self.known.update((c, ids[a:z]) for c, a, z in zip(new, at, at[1:]))
+        self.known.update((c, ids[a:z]) for c, a, z in zip(latin, at, at[1:]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         odd = [any(c in t for c in "\0\x1c\x1d\x1e\x1f") for t in texts]
