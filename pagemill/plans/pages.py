@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagemill.functions import text as tx
 from pagemill.operators import pages as p
 from pagemill.operators import payload as pl
 from pagemill.plans.tables import BLOCKS_SQL, derived
@@ -88,7 +89,12 @@ def j13_match_highlights(spark, d):
     return p.match_highlights(blocks, hl)
 
 
-QUERIES = {f.__name__: f for f in (b0_explode_nodes, a8_page_metrics, p16_select_extractor, p14_classify_documentation, b1_extract_metadata, b5_html_to_blocks, b11_extract_pages, w7_batch_blocks, w8_highlight_section, w9_merge_runs, w10_truncate_runs, f12_split_text, f13_chunk_fixed, f14_text_to_paragraphs, j13_match_highlights)}
+def a7_technical_terms(spark, d):
+    t = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", tx.technical_terms(F.col("text")).alias("t"))
+    return t.select("doc_id", F.col("t.term_count").cast("long").alias("term_count"), F.col("t.word_count").cast("long").alias("word_count"), "t.is_technical")
+
+
+QUERIES = {f.__name__: f for f in (b0_explode_nodes, a8_page_metrics, p16_select_extractor, p14_classify_documentation, b1_extract_metadata, b5_html_to_blocks, b11_extract_pages, w7_batch_blocks, w8_highlight_section, w9_merge_runs, w10_truncate_runs, f12_split_text, a7_technical_terms, f13_chunk_fixed, f14_text_to_paragraphs, j13_match_highlights)}
 
 _B = f"b AS ({BLOCKS_SQL})"
 _N = lambda pattern: f"len(regexp_extract_all(b, '{pattern}'))"
