@@ -324,7 +324,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
-    """One row a row of docs: doc_id, class_id (the least doc_id of its class) and ``copy`` (the text's md5).
+    """One row a row of docs: doc_id, class_id (the least doc_id of its class), ``copy`` (the text's md5) and
+    ``class_key``, the class's own key: two classes may have one class_id where an id has several texts or is null.
 
     Equal texts are in one class; classes are joined by links of weighted Jaccard similarity 0.8 or more. Null reads
     as empty, and all empty texts are one class. Null doc_ids take part; a class of those alone has a null
@@ -384,14 +385,15 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         if not (buckets.limit(1).count() or singles.limit(1).count()):
             break
     by_text = texts.select("key", "least").join(label, "key", "left").select("key", "least", F.coalesce("label", "key").alias("label"))
-    class_of = by_text.join(by_text.groupBy("label").agg(F.min("least").alias("class_id")), "label").select("key", "class_id")
-    return signed.select("doc_id", "key").join(class_of, "key").select("doc_id", "class_id", F.lower(F.hex("key")).alias("copy"))
+    class_of = by_text.join(by_text.groupBy("label").agg(F.min("least").alias("class_id")), "label").select("key", "class_id", "label")
+    return signed.select("doc_id", "key").join(class_of, "key").select("doc_id", "class_id", F.lower(F.hex("key")).alias("copy"), F.lower(F.hex("label")).alias("class_key"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one row of each class: that of the least doc_id; of repeated rows one stays."""
     classes = near_duplicate_classes(docs)
-    kept = staged(classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", "class_id").agg(F.min("copy").alias("copy"), F.count("*").alias("n")), "kept")
+    first = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_key", "doc_id", "copy").agg(F.count("*").alias("n"))
+    kept = staged(first.groupBy("class_key").agg(F.min(F.struct("copy", "doc_id", "n")).alias("r")).select("r.*"), "kept")
     own = docs.withColumn("_pm_copy", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     kept_keys = kept.select(F.col("doc_id").alias("_pm_id"), F.col("copy").alias("_pm_key"))
     out = own.join(kept_keys, own["doc_id"].cast("long").eqNullSafe(kept_keys["_pm_id"]) & (own["_pm_copy"] == kept_keys["_pm_key"]), "left_semi")

@@ -35,7 +35,7 @@ def op4_line_dedup(spark, sf_dir):
 
 
 def op5_near_dedup(spark, sf_dir):
-    return neardup.near_duplicate_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+    return neardup.near_duplicate_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_key")
 
 
 def op6_media(spark, sf_dir):

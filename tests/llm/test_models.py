@@ -84,6 +84,16 @@ def test_repeated_rows_null_ids_and_empty_tables(spark, docs, no_docs):
     assert kept.where("doc_id = 3").count() == 1 and kept.where("doc_id in (0, 1, 2, 6)").count() == 1
 
 
+def test_unlike_texts_of_null_ids_or_of_one_id_are_kept(spark):
+    _, _, base = texts(7, 8)
+    alike = base[4] + " tail" if len(base[4].split()) > 45 else base[4]
+    df = spark.createDataFrame(rows([base[0], base[1], base[1], base[2], base[3], base[4], alike], [None, None, None, None, 5, 5, 9]), DOCS)
+    classes = n.near_duplicate_classes(df).collect()
+    assert len({r["class_key"] for r in classes}) == 5 and len({r["class_key"] for r in classes if r["class_id"] == 5}) == 2
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in n.drop_near_duplicates(df).collect())
+    assert kept == sorted([(0, base[0]), (0, base[1]), (0, base[2]), (5, base[3]), (5, base[4])])
+
+
 def test_sampling_agrees_as_often_as_the_weighted_similarity():
     rng = np.random.default_rng(0)
     hits, want = 0, []
