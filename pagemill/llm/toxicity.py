@@ -6,8 +6,9 @@ the share of distinct bytes that come before g. A rare expression is thus judged
 for either class. A text's evidence is the largest length-normalised log-likelihood difference over any 8
 expressions in a row, so one insult in a long text shows; a logistic fit makes it a probability.
 
-Counts cover every labelled row that may be learned from. They live in tables of 2**22 hashed places, whatever the
-data: what a task sends, what the driver holds and what is broadcast have a fixed bound.
+Counts cover every labelled row that may be learned from. Expressions and the bytes before them are exact; their table
+is written in shards whose number grows with the text, and is never held whole. Texts are dealt into chunks of a bounded
+size; a chunk's distinct expressions meet the shards, and their ratios come back to the chunk.
 """
 
 from __future__ import annotations
@@ -16,18 +17,17 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import id_remainder, staged
+from pagemill.llm.common import id_remainder, parts, staged
 
 ORDER, PASSAGE = 6, 8
-PLACES = 1 << 22
-SHARDS = 256  # the tables travel in so many pieces
+CHUNK_CHARS, LEAST_CHUNKS = 16_000_000, 64
+SHARD_CHARS, LEAST_SHARDS = 64_000_000, 48  # text for which the table gets another shard
+HELD_ROWS, BUFFER = 2_000_000, 4_000_000  # a task's own counts before it sends them; expressions before they are summed
 DISCOUNT = 0.75
 CALIBRATION_FOLD = 4  # of 1..4: held back from the counts while the logistic fit is made
 BROADCAST_LABELS = 2_000_000  # rows of labels; beyond, documents and labels are joined by a shuffle
@@ -35,75 +35,160 @@ STEPS = 400  # histogram bins of the evidence, in [-10, 30)
 
 
 def expressions(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the expressions of a text, in order, and the byte before each. Short texts are filled up."""
+    """The expressions of a text, in order, and the byte before each (256: none). Short texts are filled up."""
     raw = (" " + text.lower() + " ").encode("utf-8", "replace")
-    b = np.frombuffer(raw.ljust(ORDER, b" "), np.uint8).astype(np.uint64)
-    n = len(b) - ORDER + 1
-    g = np.zeros(n, np.uint64)
-    for k in range(ORDER):
-        g = (g << np.uint64(8)) | b[k : k + n]
-    places = (g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 22)
-    return places.astype(np.int64), np.r_[np.uint64(32), b[: n - 1]].astype(np.uint32) & np.uint32(31)
+    b = np.frombuffer(raw.ljust(ORDER, b" "), np.uint8).astype(np.int64)
+    two = (b[:-1] << 8) | b[1:]
+    return (two[:-4] << 32) | (two[2:-2] << 16) | two[4:], np.r_[256, b[: len(b) - ORDER]]
 
 
-def evidence(places: np.ndarray, ratio: np.ndarray) -> float:
+def evidence(ratio: np.ndarray) -> float:
     """The largest mean log-likelihood difference over PASSAGE expressions in a row."""
-    s = np.r_[0.0, np.cumsum(ratio[places], dtype=np.float64)]
-    w = min(PASSAGE, len(places))
+    s = np.r_[0.0, np.cumsum(ratio, dtype=np.float64)]
+    w = min(PASSAGE, len(ratio))
     return float((s[w:] - s[:-w]).max() / PASSAGE)
 
 
-_COUNTS = "shard int, part int, item int, ordinary binary, toxic binary, held_ordinary binary, held_toxic binary, before binary"
+def pack(x: np.ndarray, rising: bool = False) -> bytes:
+    """Numbers (int64 or float32) as compressed planes of bytes; rising ones by their steps."""
+    x = np.ascontiguousarray(np.diff(x, prepend=0) if rising else x)
+    return zlib.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), 1)
 
 
-def _count(batches: Iterator[pa.RecordBatch]):
-    """A task's tables, compressed, in SHARDS pieces."""
-    counts = np.zeros((4, PLACES), np.uint32)
-    before = np.zeros(PLACES, np.uint32)
-    rows = 0
-    for b in batches:
-        for doc, text, toxic in zip(*(c.to_pylist() for c in b.columns)):
-            places, prior = expressions(text)
-            at, n = np.unique(places, return_counts=True)
-            counts[2 * (id_remainder(doc) == CALIBRATION_FOLD) + (toxic == 1), at] += n.astype(np.uint32)
-            np.bitwise_or.at(before, places, np.uint32(1) << prior)
-            rows += 1
-    if rows:
-        yield _pack(TaskContext.get().partitionId(), counts, before)
+def unpack(z: bytes, rising: bool = False, kind=np.int64) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    x = np.ascontiguousarray(np.frombuffer(zlib.decompress(z), np.uint8).reshape(size, -1).T).view(kind).ravel()
+    return np.cumsum(x) if rising else x
 
 
-def _pack(part: int, counts: np.ndarray, before: np.ndarray, shards=range(SHARDS)) -> pa.RecordBatch:
-    z = lambda x: zlib.compress(x.tobytes(), 1)
-    cut = [counts[k].reshape(len(shards), -1) for k in range(4)]
-    cols = [pa.array(list(shards), pa.int32()), pa.array([part] * len(shards), pa.int32()), pa.array([counts.itemsize] * len(shards), pa.int32()), *(pa.array([z(row) for row in c], pa.binary()) for c in cut), pa.array([z(row) for row in before.reshape(len(shards), -1)], pa.binary())]
-    return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _COUNTS.split(", ")])
+def by_shard(g: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
+    """(shard, places in g) of each shard that has expressions; the order of g is kept."""
+    of = ((g.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)) % np.uint64(shards)
+    order = np.argsort(of, kind="stable")
+    edges = np.searchsorted(of[order], np.arange(shards + 1, dtype=np.uint64))
+    return [(k, order[x:y]) for k, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
+
+
+def summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes, rising, and their sums."""
+    order = np.argsort(codes)
+    codes = codes[order]
+    at = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, np.int64)
+    return codes[at], np.add.reduceat(n[order], at) if len(at) else n
+
+
+_COUNTS = "shard int, codes binary, n binary"
+_TABLE = "shard int, g binary, counts binary, types binary, v long, all_types long, " + ", ".join(f"{m}_{k} long" for k in ("kinds", "total") for m in ("part0", "part1", "all0", "all1"))
+
+
+def _count(shards: int):
+    """A task's partial counts of (expression, byte before, class)."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        codes, n, held, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+        def send():
+            for k, at in by_shard(codes >> 11, shards):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack(codes[at], True)], pa.binary()), pa.array([pack(n[at])], pa.binary())], names=["shard", "codes", "n"])
+
+        def add():
+            u, c = np.unique(np.concatenate(held), return_counts=True)
+            return summed(np.concatenate([codes, u]), np.concatenate([n, c]))
+
+        for b in batches:
+            for doc, text, toxic in zip(*(c.to_pylist() for c in b.columns)):
+                g, prior = expressions(text)
+                held.append((g << 11) | (prior << 2) | (2 * (id_remainder(doc) == CALIBRATION_FOLD) + (toxic == 1)))
+                size += len(g)
+                if size >= BUFFER:
+                    codes, n = add()
+                    held, size = [], 0
+                    if len(codes) >= HELD_ROWS:
+                        yield from send()
+                        codes, n = codes[:0], n[:0]
+        if held:
+            codes, n = add()
+        yield from send()
+
+    return run
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    """The sum of one shard's pieces, each of a fixed size."""
-    counts, before = np.zeros((4, PLACES // SHARDS), np.uint64), np.zeros(PLACES // SHARDS, np.uint32)
-    for row in table.to_pylist():
-        for k, name in enumerate(("ordinary", "toxic", "held_ordinary", "held_toxic")):
-            counts[k] += np.frombuffer(zlib.decompress(row[name]), f"<u{row['item']}")
-        before |= np.frombuffer(zlib.decompress(row["before"]), np.uint32)
-    shard, part = table["shard"][0].as_py(), table["part"][0].as_py()
-    return pa.Table.from_batches([_pack(part, counts, before, [shard])])
-
-
-def log_ratio(ordinary: np.ndarray, toxic: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """log P(g | toxic) - log P(g | ordinary) of every place."""
-    types = np.zeros(PLACES)
-    for k in range(32):
-        types += (before >> np.uint32(k)) & np.uint32(1)
-    shared = (types + 0.5) / (types + 0.5).sum()
+    """One shard of the table: expressions, counts of the four kinds, distinct bytes before; and its sums."""
+    codes, n = summed(np.concatenate([unpack(z, True) for z in table["codes"].to_pylist()]), np.concatenate([unpack(z) for z in table["n"].to_pylist()]))
+    g, at = np.unique(codes >> 11, return_inverse=True)
+    counts = np.zeros((4, len(g)), np.int64)
+    np.add.at(counts, (codes & 3, at), n)
+    types = np.bincount(np.searchsorted(g, np.unique(codes >> 2) >> 9), minlength=len(g))
+    models = [counts[0], counts[1], counts[0] + counts[2], counts[1] + counts[3]]
+    row = [table["shard"][0].as_py(), pack(g, True), pack(counts.ravel()), pack(types), len(g), int(types.sum()), *(int(np.count_nonzero(c)) for c in models), *(int(c.sum()) for c in models)]
+    return pa.table([pa.array([x]) for x in row], names=[x.split()[0] for x in _TABLE.split(", ")]).cast(pa.schema([("shard", pa.int32()), *((x, pa.binary()) for x in ("g", "counts", "types")), *((x.split()[0], pa.int64()) for x in _TABLE.split(", ")[4:])]))
+
+
+def log_ratio(counts: np.ndarray, types: np.ndarray, sums: dict, model: str) -> np.ndarray:
+    """log P(g | toxic) - log P(g | ordinary). What was never seen, counts and types 0, has a share of the backoff."""
+    shared = (types + 0.5) / (sums["all_types"] + 0.5 * sums["v"] + 0.5)
     logs = []
-    for c in (ordinary, toxic):
-        c = c.astype(np.float64)
-        kinds, total = np.count_nonzero(c), c.sum()
-        logs.append(np.log((np.maximum(c - DISCOUNT, 0) + DISCOUNT * max(kinds, 1) * shared) / max(total, 1)))
+    for k in range(2):
+        c = counts[k] + (counts[k + 2] if model == "all" else 0)
+        logs.append(np.log((np.maximum(c - DISCOUNT, 0) + DISCOUNT * max(sums[f"{model}{k}_kinds"], 1) * shared) / max(sums[f"{model}{k}_total"], 1)))
     return (logs[1] - logs[0]).astype(np.float32)
 
 
+def _distinct(texts: list[str]) -> np.ndarray:
+    u, held, size = np.zeros(0, np.int64), [], 0
+    for t in texts:
+        held.append(expressions(t)[0])
+        size += len(held[-1])
+        if size >= BUFFER:
+            u, held, size = np.unique(np.concatenate([u, *held])), [], 0
+    return np.unique(np.concatenate([u, *held]))
+
+
+def with_evidence(docs: DataFrame, table: DataFrame, sums: dict, model: str, n_chunks: int, n_shards: int, column: str, made=lambda e: e) -> DataFrame:
+    """docs with made(evidence of text) as column."""
+    own = [c for c in docs.columns if c != column]
+    plain = isinstance(docs.schema["text"].dataType, T.StringType) and column != "text"  # then the text isn't sent twice
+    text_col, text = "text" if plain else "_pm_text", F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = F.xxhash64(text, F.col("doc_id").cast("string"))
+    dealt = docs.select(*own, *([] if plain else [text.alias(text_col)]), F.pmod(key, F.lit(n_chunks)).cast("int").alias("_pm_chunk")).repartition(parts(docs.sparkSession), "_pm_chunk")
+    unseen = float(log_ratio(np.zeros((4, 1)), np.zeros(1), sums, model)[0])
+
+    def distinct(chunk: pa.Table) -> pa.Table:
+        u = _distinct([t or "" for t in chunk[text_col].to_pylist()])
+        cut = by_shard(u, n_shards)
+        return pa.table({"chunk": pa.array([chunk["_pm_chunk"][0].as_py()] * len(cut), pa.int32()), "shard": pa.array([k for k, _ in cut], pa.int32()), "g": pa.array([pack(u[at], True) for _, at in cut], pa.binary())})
+
+    def look(asked: pa.Table, shard: pa.Table) -> pa.Table:
+        g = r = None
+        if shard.num_rows:
+            g = unpack(shard["g"][0].as_py(), True)
+            r = log_ratio(unpack(shard["counts"][0].as_py()).reshape(4, -1), unpack(shard["types"][0].as_py()), sums, model)
+        back = []
+        for z in asked["g"].to_pylist():
+            u = unpack(z, True)
+            out = np.full(len(u), unseen, np.float32)
+            if g is not None:
+                at = np.minimum(np.searchsorted(g, u), len(g) - 1)
+                out = np.where(g[at] == u, r[at], out)
+            back.append(pack(out))
+        return pa.table({"chunk": asked["chunk"].cast(pa.int32()), "shard": asked["shard"].cast(pa.int32()), "r": pa.array(back, pa.binary())})
+
+    def score(chunk: pa.Table, back: pa.Table) -> pa.Table:
+        texts = [t or "" for t in chunk[text_col].to_pylist()]
+        u, came = _distinct(texts), dict(zip(back["shard"].to_pylist(), back["r"].to_pylist()))
+        ratio = np.zeros(len(u), np.float32)
+        for k, at in by_shard(u, n_shards):
+            ratio[at] = unpack(came[k], kind=np.float32)
+        e = np.array([evidence(ratio[np.searchsorted(u, expressions(t)[0])]) for t in texts], np.float64)
+        return chunk.select(own).append_column(column, pa.array(made(e), pa.float64()))
+
+    asked = dealt.groupBy("_pm_chunk").applyInArrow(distinct, "chunk int, shard int, g binary")
+    back = asked.groupBy("shard").cogroup(table.select("shard", "g", "counts", "types").groupBy("shard")).applyInArrow(lambda a, b: look(a, b) if a.num_rows else pa.table({"chunk": pa.array([], pa.int32()), "shard": pa.array([], pa.int32()), "r": pa.array([], pa.binary())}), "chunk int, shard int, r binary")
+    schema = T.StructType([*docs.select(*own).schema.fields, T.StructField(column, T.DoubleType())])
+    return dealt.groupBy("_pm_chunk").cogroup(back.groupBy("chunk")).applyInArrow(score, schema)
+
+
 def fit_logistic(bins: np.ndarray) -> tuple[float, float]:
     """(slope, middle) from a histogram (bin, class) of the evidence, by Newton steps with a small ridge."""
     x = -10 + (np.arange(STEPS) + 0.5) * 40 / STEPS
@@ -123,54 +208,29 @@ def fit_logistic(bins: np.ndarray) -> tuple[float, float]:
     return (float(w[0]), float(-w[1] / w[0])) if w[0] > 0.05 else (1.0, 3.0)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float]:
-    """(ratio, slope, middle). Learns from rows of labels with toxic 0 or 1 whose id has remainder 1 to 4,
-    and whose text is in docs. Counts come from all of them; the logistic fit from scores that a model
-    without the calibration rows gives to those rows. Without both classes, scores come from fixed values."""
-    spark = docs.sparkSession
+def score_toxicity(docs: DataFrame, labels: DataFrame, score_col: str = "score") -> DataFrame:
+    """docs with a score from 0 to 1; higher means label 1 is likelier. The text alone is scored; null reads as empty.
+    Every row gets a score, repeated rows the same. A column of docs named score_col is replaced.
+
+    Learns from rows of labels with toxic 0 or 1 whose id has remainder 1 to 4, and whose text is in docs. Counts come
+    from all of them; the logistic fit from scores that a model without the calibration rows gives to those rows.
+    Without both classes, scores come from fixed values."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    n_shards, n_chunks = max(LEAST_SHARDS, -(-chars // SHARD_CHARS)), max(LEAST_CHUNKS, -(-chars // CHUNK_CHARS))
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_pm_id")).agg(F.max("toxic").cast("int").alias("_pm_toxic"))
-    learn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0)
+    learn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where(remainder != 0)
     small = labels.count() <= BROADCAST_LABELS
     learn = learn.join(F.broadcast(known) if small else known, learn["doc_id"] == known["_pm_id"]).select("doc_id", "text", F.col("_pm_toxic").alias("toxic"))
     learn = learn if small else staged(learn, "labelled")  # the shuffled join is done once for both passes
-    pieces = learn.mapInArrow(_count, _COUNTS)
-    halfway = pieces.groupBy("shard", F.floor(F.col("part") / 64).alias("group")).applyInArrow(_merge, _COUNTS)
-    rows = halfway.groupBy("shard").applyInArrow(_merge, _COUNTS).collect()  # SHARDS rows of a fixed size
-    counts, before = np.zeros((4, SHARDS, PLACES // SHARDS), np.uint64), np.zeros((SHARDS, PLACES // SHARDS), np.uint32)
-    for r in rows:
-        for k, name in enumerate(("ordinary", "toxic", "held_ordinary", "held_toxic")):
-            counts[k, r["shard"]] = np.frombuffer(zlib.decompress(r[name]), np.uint64)
-        before[r["shard"]] = np.frombuffer(zlib.decompress(r["before"]), np.uint32)
-    counts, before = counts.reshape(4, PLACES), before.reshape(PLACES)
-    part = spark.sparkContext.broadcast(log_ratio(counts[0], counts[1], before))
-
-    def bins(batches: Iterator[pa.RecordBatch]):
-        out = np.zeros((STEPS, 2), np.int64)
-        for b in batches:
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                e = evidence(expressions(text)[0], part.value)
-                out[int(np.clip((e + 10) * STEPS / 40, 0, STEPS - 1)), toxic] += 1
-        at = np.argwhere(out)
-        yield pa.RecordBatch.from_arrays([pa.array(at[:, 0], pa.int32()), pa.array(at[:, 1], pa.int32()), pa.array(out[at[:, 0], at[:, 1]], pa.int64())], names=["bin", "toxic", "n"])
-
-    held = learn.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == CALIBRATION_FOLD).select("text", "toxic")
+    table = staged(learn.mapInArrow(_count(n_shards), _COUNTS).groupBy("shard").applyInArrow(_merge, _TABLE), "expressions")
+    sums = {k: v or 0 for k, v in table.agg(*(F.sum(c).alias(c) for c in table.columns[4:])).first().asDict().items()}
+    held = with_evidence(learn.where(remainder == CALIBRATION_FOLD), table, sums, "part", n_chunks // 4, n_shards, "e").select(F.greatest(F.lit(0), F.least(F.lit(STEPS - 1), ((F.col("e") + 10) * STEPS / 40).cast("int"))).alias("bin"), "toxic")
     seen = np.zeros((STEPS, 2))
-    for r in held.mapInArrow(bins, "bin int, toxic int, n long").groupBy("bin", "toxic").agg(F.sum("n").alias("n")).collect():
+    for r in held.groupBy("bin", "toxic").agg(F.count("*").alias("n")).collect():
         seen[r["bin"], r["toxic"]] = r["n"]
     slope, middle = fit_logistic(seen)
-    part.unpersist()
-    return log_ratio(counts[0] + counts[2], counts[1] + counts[3], before), slope, middle
-
-
-def score_toxicity(docs: DataFrame, labels: DataFrame, score_col: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1; higher means label 1 is likelier. The text alone is scored; null reads as empty.
-    Every row gets a score, repeated rows the same. A column of docs named score_col is replaced."""
-    ratio, slope, middle = train(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)
-
-    @F.pandas_udf(T.DoubleType())
-    def score(texts: pd.Series) -> pd.Series:
-        e = np.array([evidence(expressions(t)[0], shared.value) for t in texts])
-        return pd.Series(1 / (1 + np.exp(-np.clip(slope * (e - middle), -40, 40))))
-
-    return docs.withColumn(score_col, score(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    logistic = lambda e: 1 / (1 + np.exp(-np.clip(slope * (e - middle), -40, 40)))
+    out = with_evidence(docs, table, sums, "all", n_chunks, n_shards, score_col, logistic)
+    return out.select(*docs.columns, *([] if score_col in docs.columns else [score_col]))

@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.compute
 import pytest
 
 from pagemill.llm import neardup as n
@@ -143,6 +144,23 @@ def test_the_shuffled_join_gives_the_same_scores(spark, monkeypatch):
     assert a == sorted((r["doc_id"], r["score"]) for r in t.score_toxicity(docs, labels).collect())
 
 
+def test_expressions_and_the_bytes_before_them_are_exact(spark):
+    rng = np.random.default_rng(8)
+    data = ["".join(chr(c) for c in rng.integers(33, 0x250, 400)) for _ in range(40)] + [chr(c) + "common" for c in range(33, 127)]
+    seen = {}
+    for x in data:
+        raw = (" " + x.lower() + " ").encode()
+        for k in range(len(raw) - 5):
+            seen.setdefault(int.from_bytes(raw[k : k + 6], "big"), []).append(raw[k - 1] if k else 256)
+    batch = n.pa.RecordBatch.from_arrays([n.pa.array(range(len(data))), n.pa.array(data), n.pa.array([0] * len(data))], names=["doc_id", "text", "toxic"])
+    got = {}
+    pieces = n.pa.Table.from_batches(list(t._count(3)([batch])))
+    for k in range(3):
+        r = t._merge(pieces.filter(n.pa.compute.equal(pieces["shard"], k))).to_pylist()[0]
+        got |= dict(zip(t.unpack(r["g"], True).tolist(), zip(t.unpack(r["counts"]).reshape(4, -1).sum(axis=0).tolist(), t.unpack(r["types"]).tolist())))
+    assert got == {g: (len(b), len(set(b))) for g, b in seen.items()} and max(v for _, v in got.values()) > 32
+
+
 def test_labels_of_held_out_rows_do_not_matter(spark):
     _, _, base = texts(5, 80)
     docs = spark.createDataFrame(rows(base), DOCS)
