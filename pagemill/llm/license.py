@@ -1,15 +1,18 @@
 """License scans by conditional compression.
 
-A block that may be a license notice is compressed alone and with each template as a zstandard raw dictionary; the
-templates are ranked by how much they save. A winner is confirmed by the exact differences of wording between
-the block and the template's notice. Blocks come from whole texts; rows are independent, so nothing is shuffled
-and memory is bounded by one text.
+Runs of words that a text shares with a template, on one diagonal, place the stretches that may be its notice, across
+line breaks and wherever in the text. A stretch is compressed alone and with the template as a zstandard raw
+dictionary; what saves nothing is left out. It is confirmed by the exact differences of wording between the stretch
+and the template. Of hits that overlap the one with most words of its template stays, and all others are kept, so a
+text may hold any number of notices. Rows are independent, so nothing is shuffled and memory is bounded by one text.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -34,8 +37,8 @@ TEMPLATES = {
 }
 TRIGGER = r"(?i)licen[cs]e|copyright|spdx|creative commons|permission is hereby|redistribut|free software|public domain|\bCC0|\bCC[ -]BY"
 MOST_CHANGED = 0.15  # share of a notice's words that may differ
+GRAM = 3
 _WORD = re.compile(r"\w+(?:[.\-/]\w+)*")
-_TRIGGER = re.compile(TRIGGER)
 _NAMES = re.compile(r"\d|mit|apache|gnu|general|lesser|public|bsd|mozilla|by|sa|nc|nd|cc|cc0|affero|clause|attribution\w*|sharealike|noncommercial", re.I)
 
 
@@ -46,6 +49,44 @@ def _compressors():
     return alone, with_dict
 
 
+@functools.cache
+def _grams() -> tuple[list[int], dict[tuple, list[tuple[int, int]]]]:
+    """Words of each template; the places (template, position) of each run of three words, or of two or one in shorter ones."""
+    sizes, at = [], defaultdict(list)
+    for k, (_, notice, _) in enumerate(_compressors()[1]):
+        w = [x.lower() for x in _WORD.findall(notice)]
+        sizes.append(len(w))
+        g = min(GRAM, len(w))
+        for i in range(len(w) - g + 1):
+            at[tuple(w[i : i + g])].append((k, i))
+    return sizes, dict(at)
+
+
+def stretches(words: list[str]) -> Iterator[tuple[int, int, int]]:
+    """(template, first, last) of all stretches of words that may be a template with no more than MOST_CHANGED of its
+    words changed: so many of its runs of words must be there, at nearly one distance."""
+    sizes, grams = _grams()
+    votes = defaultdict(list)
+    for g in range(1, GRAM + 1):
+        for i in range(len(words) - g + 1):
+            for k, at in grams.get(tuple(words[i : i + g]), ()):
+                votes[k].append(i - at)
+    for k, offsets in votes.items():
+        n, slack = sizes[k], int(MOST_CHANGED * sizes[k])
+        g = min(GRAM, n)
+        least = max(1, n - g + 1 - g * slack)
+        offsets.sort()
+        while len(offsets) >= least:
+            ends = [bisect_right(offsets, x + slack) for x in offsets]
+            most, i = max((e - i, -i) for i, e in enumerate(ends))
+            if most < least:
+                break
+            lo, hi = offsets[-i], offsets[ends[-i] - 1]
+            yield k, max(0, lo - slack), min(len(words), hi + n + slack)
+            # what begins within this notice isn't another one
+            offsets = [x for x in offsets if not lo - n // 2 <= x <= hi + n // 2]
+
+
 def wording(notice: str, block: str) -> tuple[int, int, int, list[str]]:
     """(first, last, changed words, what was said) of the stretch of block nearest to the notice."""
     a, spans = [w.lower() for w in _WORD.findall(notice)], list(_WORD.finditer(block))
@@ -60,39 +101,31 @@ def wording(notice: str, block: str) -> tuple[int, int, int, list[str]]:
     return spans[lo].start(), spans[hi - 1].end(), changed, words
 
 
-def scan_block(block: str) -> tuple[str, str, int, int, int, int] | None:
-    """(license, notice, bytes saved, first, last, changed words) of the best confirmed template, or None."""
+def scan_text(text: str) -> list[tuple[str, str, int, int, int, int]]:
+    """(license, notice, bytes saved, first, last, changed words) of all notices in a text, in order."""
     alone, templates = _compressors()
-    data = block.lower().encode()
-    size = len(alone.compress(data))
-    ranked = sorted(((size - len(c.compress(data)), k) for k, (_, _, c) in enumerate(templates)), key=lambda x: (-x[0], x[1]))
-    best = None
-    for saved, k in ranked:
-        if saved <= 0:
-            break
-        name, notice, _ = templates[k]
+    spans = list(_WORD.finditer(text))
+    hits = []
+    for k, lo, hi in stretches([m[0].lower() for m in spans]):
+        name, notice, with_dict = templates[k]
+        at = spans[lo].start()
+        block = text[at : spans[hi - 1].end()]
+        data = block.lower().encode("utf-8", "replace")
+        saved = len(alone.compress(data)) - len(with_dict.compress(data))
         first, last, changed, words = wording(notice, block)
-        if changed <= MOST_CHANGED * len(_WORD.findall(notice)) and not any(_NAMES.search(w) for w in words):
-            if best is None or (changed, -saved) < (best[5], -best[2]):
-                best = (name, notice, saved, first, last, changed)
-            if not changed:
-                break
-    return best
+        n = len(_WORD.findall(notice))
+        if saved > 0 and changed <= MOST_CHANGED * n and not any(_NAMES.search(w) for w in words):
+            hits.append((2 * changed - n, changed, -saved, k, at + first, at + last))
+    found = []
+    for _, changed, saved, k, first, last in sorted(hits):
+        if all(last <= x[3] or first >= x[4] for x in found):
+            found.append((*templates[k][:2], -saved, first, last, changed))
+    return sorted(found, key=lambda x: x[3:])
 
 
-def candidate_blocks(text: str) -> Iterator[tuple[int, str]]:
-    """(start, block): runs of lines with a trigger word, each run at most one paragraph."""
-    at, start, run = 0, 0, []
-    for line in text.split("\n"):
-        if _TRIGGER.search(line):
-            start = start if run else at
-            run.append(line)
-        elif run:
-            yield start, "\n".join(run)
-            run = []
-        at += len(line) + 1
-    if run:
-        yield start, "\n".join(run)
+def scan_block(block: str) -> tuple[str, str, int, int, int, int] | None:
+    """The notice in a block that saves most bytes, or None."""
+    return max(scan_text(block), key=lambda x: x[2], default=None)
 
 
 _HITS = "doc_id long, start long, length long, license string, notice string, bytes_saved long, changed_words int, exact boolean"
@@ -100,23 +133,15 @@ _HITS = "doc_id long, start long, length long, license string, notice string, by
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row a license notice found: doc_id, start and length (code points) of its wording in the text,
-    license, notice, bytes_saved, changed_words, exact. A run of lines that holds several notices is scanned line by
-    line. Null and empty texts and texts without notices give no rows; repeated rows give theirs each."""
+    license, notice, bytes_saved, changed_words, exact. Null and empty texts and texts without notices give no rows;
+    repeated rows give theirs each."""
 
     def scan(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for start, block in candidate_blocks(text):
-                    lines, at = block.split("\n"), start
-                    whole = scan_block(block) if len(lines) > 1 else None
-                    single = []
-                    for line in lines:
-                        if found := scan_block(line):
-                            single.append((at, found))
-                        at += len(line) + 1
-                    for place, (name, notice, saved, first, last, changed) in single or ([(start, whole)] if whole else []):
-                        rows.append((doc, place + first, last - first, name, notice, saved, changed, changed == 0))
+                for name, notice, saved, first, last, changed in scan_text(text):
+                    rows.append((doc, first, last - first, name, notice, saved, changed, changed == 0))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 8, types)], names=[x.split()[0] for x in _HITS.split(", ")])
 

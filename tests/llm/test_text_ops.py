@@ -171,3 +171,13 @@ def test_license_places(spark, docs):
     got = license.scan_licenses(t).collect()
     assert len(got) == 4 and {text[r["start"] : r["start"] + r["length"]] for r in got} == {"Released under the MIT License", "Licensed under CC BY 4.0"}
     assert license.scan_licenses(docs).count() == 0
+
+
+def test_wrapped_notices_and_several_in_a_line(spark):
+    mit = license.TEMPLATES["MIT"][2].split()
+    wrapped = "/*\n" + "\n".join(" * " + " ".join(mit[k : k + 11]) for k in range(0, len(mit), 11)) + "\n */"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following\nconditions are met:"
+    dual = "Released under the MIT License. Some words stand here. Licensed under the Apache License, Version 2.0. " + "more words " * 3000 + "Released under the MIT License."
+    t = spark.createDataFrame([(1, wrapped), (2, "This\n" + bsd), (3, dual), (4, "x\nThis Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["start"], r["license"], r["exact"]) for r in license.scan_licenses(t).collect())
+    assert [(d, name, exact) for d, _, name, exact in got] == [(1, "MIT", True), (2, "BSD-3-Clause", True), (3, "MIT", True), (3, "Apache-2.0", True), (3, "MIT", True), (4, "MPL-2.0", True)]
