@@ -10,6 +10,7 @@ text may hold any number of notices. Rows are independent, so nothing is shuffle
 from __future__ import annotations
 
 import functools
+import pkgutil
 import re
 from bisect import bisect_right
 from collections import defaultdict
@@ -21,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Usual license notices and the heads of license texts.
+# Usual license notices; whole texts are in the folder licenses, SPDX tags in SPDX.
 TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:", "SPDX-License-Identifier: MIT"],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0"],
@@ -35,11 +36,28 @@ TEMPLATES = {
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "Released under CC0 1.0."],
 }
+TEMPLATES |= {
+    "BSD-2-Clause": ["Released under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "LGPL-2.1": ["This work is licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "ISC": ["Released under the ISC License."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain."],
+}
+_GNU = ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")
+SPDX = {f"{x}{end}": x for x in _GNU for end in ("", "-only", "-or-later")} | {x: x for x in ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "ISC", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")}
+for _tag, _name in SPDX.items():
+    if (_notice := f"SPDX-License-Identifier: {_tag}") not in TEMPLATES[_name]:
+        TEMPLATES[_name].append(_notice)
+for _name in ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "ISC", "Unlicense", "CC0-1.0"):
+    _whole = pkgutil.get_data("pagemill.llm", f"licenses/{_name}.txt").decode()
+    TEMPLATES[_name].append(_whole)
+    if _name.startswith("BSD"):  # clauses are also listed by dots or without marks
+        TEMPLATES[_name].append(re.sub(r"(?m)^\d\. ", "", _whole))
 TRIGGER = r"(?i)licen[cs]e|copyright|spdx|creative commons|permission is hereby|redistribut|free software|public domain|\bCC0|\bCC[ -]BY"
 MOST_CHANGED = 0.15  # share of a notice's words that may differ
 GRAM = 3
 _WORD = re.compile(r"\w+(?:[.\-/]\w+)*")
-_NAMES = re.compile(r"\d|mit|apache|gnu|general|lesser|public|bsd|mozilla|by|sa|nc|nd|cc|cc0|affero|clause|attribution\w*|sharealike|noncommercial", re.I)
+_NAMES = re.compile(r".*\d.*|mit|apache|gnu|general|lesser|library|public|a?l?gpl|bsd|mozilla|mpl|isc|unlicense|by|sa|nc|nd|cc|affero|clause|attribution\w*|sharealike|noncommercial|noderivatives", re.I)
 
 
 @functools.cache
@@ -114,7 +132,7 @@ def scan_text(text: str) -> list[tuple[str, str, int, int, int, int]]:
         saved = len(alone.compress(data)) - len(with_dict.compress(data))
         first, last, changed, words = wording(notice, block)
         n = len(_WORD.findall(notice))
-        if saved > 0 and changed <= MOST_CHANGED * n and not any(_NAMES.search(w) for w in words):
+        if saved > 0 and changed <= MOST_CHANGED * n and not any(_NAMES.fullmatch(x) for w in words for x in re.split(r"[-/]", w)):
             hits.append((2 * changed - n, changed, -saved, k, at + first, at + last))
     found = []
     for _, changed, saved, k, first, last in sorted(hits):

@@ -181,3 +181,15 @@ def test_wrapped_notices_and_several_in_a_line(spark):
     t = spark.createDataFrame([(1, wrapped), (2, "This\n" + bsd), (3, dual), (4, "x\nThis Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.")], "doc_id long, text string")
     got = sorted((r["doc_id"], r["start"], r["license"], r["exact"]) for r in license.scan_licenses(t).collect())
     assert [(d, name, exact) for d, _, name, exact in got] == [(1, "MIT", True), (2, "BSD-3-Clause", True), (3, "MIT", True), (3, "Apache-2.0", True), (3, "MIT", True), (4, "MPL-2.0", True)]
+
+
+@pytest.mark.parametrize("name", ["MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-3.0", "MPL-2.0", "ISC", "Unlicense"])
+def test_whole_license_texts(name):
+    text = max(license.TEMPLATES[name], key=len)
+    found = license.scan_text("Copyright (c) 2020 A. Person\n\n" + text + "\n\nother words")
+    assert [(x[0], x[5]) for x in found] == [(name, 0)]
+
+
+@pytest.mark.parametrize("text,name", [("// SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"), ("SPDX-License-Identifier: AGPL-3.0-only", "AGPL-3.0"), ("This Source Code Form is subject to the conditions of the Mozilla Public License, v. 2.0.", "MPL-2.0"), ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.", None)])
+def test_names_are_whole_words(text, name):
+    assert [x[0] for x in license.scan_text(text)] == [name] * bool(name)
