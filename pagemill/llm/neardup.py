@@ -1,18 +1,19 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles.
 
-A text's shingles are runs of five words; the weight of one is its count in the text times an idf that is 1 up to a
-document share of COMMON and falls with the logarithm of the share above it. Only shingles over that share have a
-weight of their own, and no more than shingles-per-document / COMMON of them can exist, so their table has a bound
-that doesn't grow with the corpus; it is found by a pigeonhole pass (what is that frequent overall is that
-frequent in some chunk) and an exact count.
-
-36 weighted samples make 12 bands. Equal texts are one node. The most central member of a band bucket (the one that
-meets most others over all bands) is its head and is compared with the other members; verified pairs (weighted
-Jaccard of 0.8 or more) merge their components. A member that stays apart from its head can only be similar to
-members that share one of its first shingles beyond the head (a prefix filter), which become the next, smaller
-buckets, or to members of a weight that lets all they share lie within the head (a size filter). This goes on until
-no bucket is left. So no bucket is expanded into all its pairs, none is capped, and no link that a band has
-brought together is lost.
+A text's shingles are runs of five words. The weight of one is its count in the text times its idf, which comes from
+the document frequencies of all shingles in all distinct texts: 1 for a shingle of one text, and less by up to
+DAMPED with the logarithm of the frequency, in 255 steps. (An idf that falls to 0 would tear apart the near copies of
+a group that holds a large share of the corpus.) Texts are dealt into chunks of a bounded size; a chunk sends its
+distinct shingles to shards, whose number grows with the text, and their frequencies come back.
+
+A shingle of one text can't be shared, so a text with less than THRESHOLD of its weight in others is in no pair and
+goes no further. The others get 36 weighted samples, which make 12 bands. The most central member of a band bucket
+(the one that meets most others over all bands) is its head and is compared with the other members by whole vectors;
+verified pairs (weighted Jaccard of 0.8 or more) join their classes. By the prefix filter, two members that are similar
+share one of their rarest shingles beyond the head, and so meet again in the next, smaller buckets; or all that they
+share is within the head, where members are compared as bitmaps over the head's shingles, in blocks of rows. This
+goes on until no bucket has members of different classes that may be similar. So no bucket is expanded into its
+pairs, none is capped, and no link that a band has brought together is lost.
 """
 
 from __future__ import annotations
@@ -23,25 +24,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import staged
+from pagemill.llm.common import parts, staged
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 3
-COMMON, LEAST_IDF = 0.1, 0.25
-CHUNK_DOCS = 2000
-BROADCAST_CANDIDATES = 1_000_000  # beyond, shingles are counted by a shuffle
-BATCH_CHARS = 4_000_000
-SLOT_BITS, SHARDS = 22, 64
+DAMPED = 0.25
+CHUNK_CHARS, LEAST_CHUNKS = 8_000_000, 64
+SHARD_CHARS, LEAST_SHARDS = 8_000_000, 64  # text for which the frequencies get another shard
+BATCH_CHARS, BATCH_TEXTS = 1_000_000, 50_000
+HASH_BITS = 56  # of a shingle; the upper byte holds its level
+X_ROWS, Y_ROWS = 4096, 32768  # rows of a block within one head
+CELLS = 2_000_000  # of a bitmap matrix that is held at a time
 
 _M1, _M2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _TABLE_BITS = 16
+_HASH = np.uint64((1 << HASH_BITS) - 1)
+IDF = np.r_[1.0, 1 - DAMPED * (np.arange(255) + 0.5) / 255]  # by level
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -76,20 +80,14 @@ def _ordered(x: np.ndarray) -> np.ndarray:
     return np.where(b >> 31, ~b, b | np.uint32(1 << 31)).astype(np.uint64) << np.uint64(32)
 
 
-@functools.cache
-def _plain_keys() -> np.ndarray:
-    r, log_c, beta, _ = _constants()
-    return _ordered(log_c + r * beta - r)
-
-
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, hash, count) of the distinct shingles of each text, in order of document and hash.
+    """(document, hash of HASH_BITS, count) of the distinct shingles of each text, in order of document and hash.
 
     Words are runs of letters and digits in lower case. A text of fewer than five words, or none, has one
     shingle of all its words."""
     raw = [t.lower().encode("utf-8", "replace") for t in texts]
     b = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    power, inverse = _powers(max(22, int(len(b)).bit_length()))
+    power, inverse = _powers(max(20, int(len(b)).bit_length()))
     inside = _IN_WORD[b]
     edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
     start, end = edge[0::2], edge[1::2]
@@ -114,198 +112,227 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         parts_h.append(np.array([h], np.uint64))
         parts_d.append(np.array([k]))
     h, d = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((parts_h, np.uint64), (parts_d, np.int64)))
-    order = np.lexsort((h, d))
+    h = h >> np.uint64(64 - HASH_BITS)
+    order = np.argsort(h)
+    order = order[np.argsort(d[order].astype(np.uint16), kind="stable")]  # BATCH_TEXTS fit 16 bits
     h, d = h[order], d[order]
     new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])]) if len(h) else np.zeros(0, np.int64)
     return d[new], h[new], np.diff(np.r_[new, len(h)])
 
 
-def weights_of(h: np.ndarray, count: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """TF-IDF weights; common: sorted hashes of the common shingles and their idf."""
-    w = count.astype(np.float64)
-    if len(common[0]):
-        at = np.minimum(np.searchsorted(common[0], h), len(common[0]) - 1)
-        w *= np.where(common[0][at] == h, common[1][at], 1.0)
-    return w
+def levels_of(df: np.ndarray, n_texts: int) -> np.ndarray:
+    """The level of document frequencies, 0 for 1: its logarithm in 255 steps up to that of n_texts."""
+    share = np.log(np.maximum(df, 1)) / np.log(max(n_texts, 2))
+    return np.where(df > 1, 1 + np.minimum(254, (255 * share).astype(np.int64)), 0).astype(np.uint8)
 
 
 def band_hashes(d: np.ndarray, h: np.ndarray, w: np.ndarray, n_docs: int) -> np.ndarray:
     """(documents, BANDS) hashes of consistent weighted samples; each document has a shingle."""
     r, log_c, beta, multipliers = _constants()
-    plain = _plain_keys()
     starts = np.searchsorted(d, np.arange(n_docs))
     low = h & np.uint64(0xFFFFFFFF)
-    other = np.flatnonzero(w != 1.0)
-    log_w = np.log(w[other])
+    log_w = np.log(w)
     out = np.zeros((n_docs, BANDS), np.uint64)
     for j, m in enumerate(multipliers):
-        place = ((h * m) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
-        key = plain[place] | low
-        if len(other):
-            at = place[other]
-            t = np.floor(log_w / r[at] + beta[at])
-            turn = (t.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF)
-            key[other] = _ordered(log_c[at] - r[at] * (t - beta[at]) - r[at]) | (low[other] ^ turn)
+        at = ((h * m) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+        t = np.floor(log_w / r[at] + beta[at])
+        turn = (t.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF)
+        key = _ordered(log_c[at] - r[at] * (t - beta[at]) - r[at]) | (low ^ turn)
         best = np.minimum.reduceat(key, starts)
         out[:, j // ROWS] = _mix(out[:, j // ROWS] * np.uint64(_BASE) + best + np.uint64(j + 1))
     return out
 
 
+def pack(u: np.ndarray) -> bytes:
+    """Rising numbers as their first one and steps of as few bytes as the largest step takes."""
+    steps = np.diff(u, prepend=u[:1])
+    width = max(1, -(-int(steps.max()).bit_length() // 8))
+    return bytes([width]) + u[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack(z: bytes) -> np.ndarray:
+    steps = np.zeros(((len(z) - 9) // z[0], 8), np.uint8)
+    steps[:, : z[0]] = np.frombuffer(z, np.uint8, offset=9).reshape(-1, z[0])
+    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64) + np.frombuffer(z, np.uint64, 1, 1)
+
+
 def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about BATCH_CHARS characters."""
     a = size = 0
     for k, t in enumerate(texts):
         size += len(t)
-        if size > BATCH_CHARS and k > a:
+        if (size > BATCH_CHARS or k - a == BATCH_TEXTS) and k > a:
             yield a, k
             a, size = k, len(t)
     if a < len(texts):
         yield a, len(texts)
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]):
-    """Shingles over the share COMMON in a chunk of at least CHUNK_DOCS documents (or in all the task has)."""
-    held: list[np.ndarray] = []
-    docs = 0
-
-    def over():
-        h, n = np.unique(np.concatenate(held), return_counts=True)
-        return h[n > COMMON * docs].view(np.int64)
-
-    found = []
-    for b in batches:
-        texts = b.column(0).to_pylist()
-        for a, z in _slices(texts):
-            held.append(shingles(texts[a:z])[1])
-            docs += z - a
-            if docs >= CHUNK_DOCS:
-                found.append(over())
-                held, docs = [], 0
-    if docs:
-        found.append(over())
-    if found:
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)), pa.int64())], names=["h"])
-
-
-def common_shingles(texts: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, idf) of the shingles in more than COMMON of all documents."""
-    spark = texts.sparkSession
-    candidates = staged(texts.mapInArrow(_frequent, "h long").distinct(), "frequent")
-    n = candidates.count()
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(0)
-    chosen = None
-    if n <= BROADCAST_CANDIDATES:
-        chosen = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in candidates.toLocalIterator()], np.int64).view(np.uint64)))
-
-    def count(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            rows = b.column(0).to_pylist()
-            for a, z in _slices(rows):
-                h = shingles(rows[a:z])[1]
-                if chosen is not None:
-                    at = np.minimum(np.searchsorted(chosen.value, h), len(chosen.value) - 1)
-                    h = h[chosen.value[at] == h]
-                u, c = np.unique(h, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c, pa.int64())], names=["h", "n"])
-
-    counted = texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > COMMON * n_docs)
-    rows = counted.collect()  # at most (shingles of a document) / COMMON rows
-    h = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
-    idf = np.array([max(LEAST_IDF, np.log(n_docs / r["n"]) / np.log(1 / COMMON)) for r in rows])
-    order = np.argsort(h)
-    return h[order], idf[order]
-
-
-def _signatures(common):
-    def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            texts = b.column(2).to_pylist()
-            for a, z in _slices(texts):
-                d, h, c = shingles(texts[a:z])
-                bands = band_hashes(d, h, weights_of(h, c, common.value), z - a).view(np.int64)
-                cell = pa.ListArray.from_arrays(pa.array(np.arange(0, (z - a + 1) * BANDS, BANDS), pa.int32()), pa.array(bands.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), b.column(1).slice(a, z - a), cell], names=["doc_id", "key", "bands"])
-
-    return run
-
-
-def _vectors(common):
-    def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for a, z in _slices(texts):
-                d, h, c = shingles(texts[a:z])
-                w = weights_of(h, c, common.value)
-                edges = np.searchsorted(d, np.arange(z - a + 1))
-                hs, ws = [], []
-                for x, y in zip(edges.tolist(), edges[1:].tolist()):
-                    u, back = np.unique((h[x:y] >> np.uint64(32)).astype(np.uint32), return_inverse=True)
-                    v = np.bincount(back, weights=w[x:y])
-                    hs.append(u.tobytes())
-                    ws.append(b"" if (v == 1).all() else v.astype(np.float32).tobytes())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array(hs, pa.binary()), pa.array(ws, pa.binary())], names=["key", "h", "w"])
-
-    return run
-
-
-def compare(ha: bytes, wa: bytes, hb: bytes, wb: bytes, often: np.ndarray) -> tuple[float, list[int], float, float]:
-    """Weighted Jaccard of a head a and a member b; and of b: the first of its shingles that a lacks, rarest first
-    by the table ``often``, as far as a fifth of its weight reaches; its weight; and the weight of what a has too.
-
-    Two members of one head that are similar share one of those first shingles, or nothing that the head lacks."""
-    a, b = np.frombuffer(ha, np.uint32), np.frombuffer(hb, np.uint32)
-    x = np.frombuffer(wa, np.float32).astype(np.float64) if wa else np.ones(len(a))
-    y = np.frombuffer(wb, np.float32).astype(np.float64) if wb else np.ones(len(b))
-    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
-    same = a[at] == b
-    low, total = np.minimum(x[at[same]], y[same]).sum(), y.sum()
-    own = np.flatnonzero(~same)
-    own = own[np.argsort(often[b[own] >> np.uint32(32 - SLOT_BITS)], kind="stable")]
-    n = int(np.searchsorted(np.cumsum(y[own]), (1 - THRESHOLD) * total + 1e-9, side="right")) + 1
-    return float(low / (x.sum() + total - low)), b[own[:n]].view(np.int32).tolist(), float(total), float(y[same].sum())
-
-
-def _slot_counts(batches: Iterator[pa.RecordBatch]):
-    """How many vectors of a task hold a shingle of each slot, in SHARDS compressed pieces."""
-    n = np.zeros(1 << SLOT_BITS, np.uint32)
+def _own(chunk: pa.Table, other: pa.Table) -> tuple[list[bytes], list[str]]:
+    """Keys and texts of a chunk, each text once and without those that are kept in another chunk's row."""
+    away = other.filter(pc.is_valid(other["key"]))
+    away = set(zip(away["key"].to_pylist(), away["doc_id"].to_pylist()))
+    own = {k: t for k, doc, t in zip(chunk["key"].to_pylist(), chunk["doc_id"].to_pylist(), chunk["text"].to_pylist()) if (k, doc) not in away}
+    return list(own), list(own.values())
+
+
+def _ask(n_shards: int):
+    """A chunk's distinct shingles, each with how many of the chunk's texts hold it, by shard: ranges of hashes."""
+    edges = np.array([(k << HASH_BITS) // n_shards for k in range(n_shards + 1)], np.uint64)
+
+    def ask(chunk: pa.Table, copies: pa.Table) -> pa.Table:
+        _, texts = _own(chunk, copies)
+        held = [shingles(texts[a:z])[1] for a, z in _slices(texts)]
+        u, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        at = np.searchsorted(u, edges).tolist()
+        rows = []
+        for k, (x, y) in enumerate(zip(at, at[1:])):
+            if y > x:
+                more = np.flatnonzero(n[x:y] > 1)
+                rows.append((k, pack(u[x:y]), np.r_[more, n[x:y][more]].astype("<u4").tobytes()))
+        c = list(zip(*rows)) or [[]] * 3
+        number = chunk["chunk"][0].as_py() if chunk.num_rows else 0
+        return pa.table({"chunk": pa.array([number] * len(rows), pa.int32()), "shard": pa.array(c[0], pa.int32()), "g": pa.array(c[1], pa.binary()), "more": pa.array(c[2], pa.binary())})
+
+    return ask
+
+
+def _frequencies(n_texts: int):
+    """The levels of one shard's shingles, for each chunk that has asked."""
+
+    def answer(asked: pa.Table) -> pa.Table:
+        own = [unpack(z) for z in asked["g"].to_pylist()]
+        n = []
+        for h, z in zip(own, asked["more"].to_pylist()):
+            one, more = np.ones(len(h), np.int64), np.frombuffer(z, "<u4")
+            one[more[: len(more) // 2]] = more[len(more) // 2 :]
+            n.append(one)
+        h = np.concatenate(own)
+        order = np.argsort(h)
+        h = h[order]
+        new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        level = levels_of(np.add.reduceat(np.concatenate(n)[order], new), n_texts)
+        back = np.empty(len(h), np.uint8)
+        back[order] = np.repeat(level, np.diff(np.r_[new, len(h)]))
+        cut = np.split(back, np.cumsum([len(x) for x in own])[:-1])
+        return pa.table({"chunk": asked["chunk"].cast(pa.int32()), "shard": asked["shard"].cast(pa.int32()), "g": pa.array([zlib.compress(x.tobytes(), 1) for x in cut], pa.binary())})
+
+    return answer
+
+
+_NODES = "key binary, bands array<long>, w double, h binary"
+
+
+def _sign(chunk: pa.Table, back: pa.Table) -> pa.Table:
+    """(key, bands, weight, tokens) of the texts that may be similar to others. Tokens are what others have too:
+    level and hash of a shingle, once for each time that it occurs, rarest first."""
+    keys, texts = _own(chunk, back)
+    found = [shingles(texts[a:z]) for a, z in _slices(texts)]
+    levels = back.filter(pc.is_valid(back["shard"])).sort_by("shard")["g"].to_pylist()
+    level = np.frombuffer(b"".join(zlib.decompress(z) for z in levels), np.uint8)
+    u = np.unique(np.concatenate([h for _, h, _ in found])) if found else np.zeros(0, np.uint64)
+    out_key, out_bands, out_w, out_h = [], [], [], []
+    for (a, z), (d, h, c) in zip(_slices(texts), found):
+        lv = level[np.searchsorted(u, h)]
+        w = c * IDF[lv]
+        whole, shared = np.bincount(d, w, z - a), np.bincount(d, w * (lv > 0), z - a)
+        may = np.flatnonzero(shared >= THRESHOLD * whole * (1 - 1e-9))
+        if not len(may):
+            continue
+        number = np.full(z - a, -1)
+        number[may] = np.arange(len(may))
+        own = number[d] >= 0
+        d, h, c, lv, w = number[d[own]], h[own], c[own], lv[own], w[own]
+        out_bands.append(band_hashes(d, h, w, len(may)).view(np.int64))
+        d, h, c, lv = (x[lv > 0] for x in (d, h, c, lv))
+        turn = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
+        d, h, lv = (np.repeat(x, c) for x in (d, h, lv))
+        again = turn > 0
+        h[again] = _mix(h[again] + turn[again].astype(np.uint64) * np.uint64(_BASE)) & _HASH
+        token = (lv.astype(np.uint64) << np.uint64(HASH_BITS)) | h
+        token = token[np.lexsort((token, d))]
+        edges = np.searchsorted(d, np.arange(len(may) + 1)).tolist()
+        out_h += [token[x:y].tobytes() for x, y in zip(edges, edges[1:])]
+        out_key += [keys[a + k] for k in may.tolist()]
+        out_w += whole[may].tolist()
+    bands = np.concatenate(out_bands).ravel() if out_bands else np.zeros(0, np.int64)
+    cells = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bands) + 1, BANDS), pa.int32()), pa.array(bands))
+    return pa.table({"key": pa.array(out_key, pa.binary()), "bands": cells, "w": pa.array(out_w, pa.float64()), "h": pa.array(out_h, pa.binary())})
+
+
+def compare(ha: bytes, wa: float, hb: bytes, wb: float) -> tuple[float, list[int], bool, bytes]:
+    """Weighted Jaccard of a head a and a member b; and of b: its tokens beyond a, rarest first, as far as a fifth of
+    its weight reaches; whether that is all that it has beyond a; and the bitmap of a's tokens that it has.
+
+    Two members of one head that are similar share one of those first tokens, or nothing that the head lacks."""
+    a, b = np.frombuffer(ha, np.uint64), np.frombuffer(hb, np.uint64)
+    at = np.minimum(np.searchsorted(a, b), max(len(a) - 1, 0))
+    same = a[at] == b if len(a) else np.zeros(len(b), bool)
+    worth = IDF[(b >> np.uint64(HASH_BITS)).astype(np.int64)]
+    both, own = worth[same].sum(), b[~same]
+    beyond = wb - worth.sum() + np.cumsum(worth[~same])
+    n = int(np.searchsorted(beyond, (1 - THRESHOLD) * wb * (1 + 1e-9), side="right"))
+    held = np.zeros(len(a), np.uint8)
+    held[at[same]] = 1
+    return float(both / (wa + wb - both)), own[: n + 1].view(np.int64).tolist(), n == len(own), np.packbits(held).tobytes()
+
+
+_COMPARED = "a binary, b binary, similarity double, firsts array<long>, deep boolean, held binary, w double, levels binary"
+
+
+def _compare_all(batches: Iterator[pa.RecordBatch]):
+    """Of (a, b, ha, wa, hb, wb); levels are those of the head's tokens, in their order."""
     for r in batches:
-        for h in r.column(0).to_pylist():
-            np.add.at(n, np.frombuffer(h, np.uint32) >> np.uint32(32 - SLOT_BITS), 1)
-    if n.any():
-        cut = [zlib.compress(x.tobytes(), 1) for x in n.reshape(SHARDS, -1)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(SHARDS), pa.int32()), pa.array([TaskContext.get().partitionId()] * SHARDS, pa.int32()), pa.array(cut, pa.binary())], names=["shard", "part", "n"])
-
-
-def _sum_slots(table: pa.Table) -> pa.Table:
-    n = np.zeros((1 << SLOT_BITS) // SHARDS, np.uint32)
-    for x in table["n"].to_pylist():
-        n += np.frombuffer(zlib.decompress(x), np.uint32)
-    return pa.table({"shard": pa.array([table["shard"][0].as_py()], pa.int32()), "part": pa.array([table["part"][0].as_py()], pa.int32()), "n": pa.array([zlib.compress(n.tobytes(), 1)], pa.binary())})
-
-
-def slot_counts(vectors: DataFrame) -> np.ndarray:
-    """A table of 2**SLOT_BITS counts, whatever the data: any order of shingles keeps the filter exact, and this one
-    puts those of few texts first."""
-    schema = "shard int, part int, n binary"
-    halfway = vectors.select("h").mapInArrow(_slot_counts, schema).groupBy("shard", F.floor(F.col("part") / 64).alias("g")).applyInArrow(_sum_slots, schema)
-    out = np.zeros((SHARDS, (1 << SLOT_BITS) // SHARDS), np.uint32)
-    for r in halfway.groupBy("shard").applyInArrow(_sum_slots, schema).collect():  # SHARDS rows of a fixed size
-        out[r["shard"]] = np.frombuffer(zlib.decompress(r["n"]), np.uint32)
-    return out.ravel()
-
-
-_COMPARED = "a binary, b binary, similarity double, firsts array<int>, weight double, held double"
-
+        c = [r.column(k) for k in range(6)]
+        got = [compare(*(x[k].as_py() for x in c[2:])) for k in range(r.num_rows)]
+        levels = [zlib.compress(np.frombuffer(x.as_py(), np.uint8)[7::8].tobytes(), 1) for x in c[2]]
+        s, firsts, deep, held = list(zip(*got)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([c[0], c[1], pa.array(s, pa.float64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(deep, pa.bool_()), pa.array(held, pa.binary()), c[5], pa.array(levels, pa.binary())], names=[x.split()[0] for x in _COMPARED.split(", ")])
 
-def _compare_all(often):
-    def run(batches: Iterator[pa.RecordBatch]):
-        for r in batches:
-            got = [compare(*x, often.value) for x in zip(*(r.column(k).to_pylist() for k in range(2, 6)))]
-            c = list(zip(*got)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([r.column(0), r.column(1), pa.array(c[0], pa.float64()), pa.array(c[1], pa.list_(pa.int32())), pa.array(c[2], pa.float64()), pa.array(c[3], pa.float64())], names=["a", "b", "similarity", "firsts", "weight", "held"])
 
-    return run
+def _within(x: pa.Table, y: pa.Table) -> pa.Table:
+    """Links (a, b) between rows of x and y with nothing in common beyond their head: for each row of x one of each other
+    class in y, if any. Rows hold bitmaps of the head's tokens, so what they share is a product of matrices."""
+    out = []
+    if x.num_rows and y.num_rows:
+        levels = np.frombuffer(zlib.decompress(x["levels"][0].as_py()), np.uint8)
+        worth, n = IDF[levels], len(levels)
+        names = pa.concat_arrays([*x["label"].chunks, *y["label"].chunks]).dictionary_encode().indices.to_numpy()
+        lx, ly = names[: x.num_rows], names[x.num_rows :]
+        wx, wy = x["w"].to_numpy(), y["w"].to_numpy()
+        kx, ky = x["b"].to_pylist(), y["b"].to_pylist()
+        bits = lambda t, a, z: np.unpackbits(np.frombuffer(b"".join(t["held"][a:z].to_pylist()), np.uint8).reshape(min(z, t.num_rows) - a, -1), axis=1)[:, :n].astype(np.float64)
+        step, need = max(8, CELLS // max(n, 1) // 8), THRESHOLD / (1 + THRESHOLD)
+        told = set()
+        for i in range(0, x.num_rows, step):
+            left = bits(x, i, i + step) * worth
+            for j in range(0, y.num_rows, step):
+                both = left @ bits(y, j, j + step).T
+                hit = (both >= need * (wx[i : i + step, None] + wy[None, j : j + step]) * (1 - 1e-12)) & (lx[i : i + step, None] != ly[None, j : j + step])
+                for p in np.flatnonzero(hit.any(axis=1)).tolist():
+                    q = np.flatnonzero(hit[p])
+                    name, first = np.unique(ly[j + q], return_index=True)
+                    for m, k in zip(name.tolist(), (j + q[first]).tolist()):
+                        if (i + p, m) not in told:
+                            told.add((i + p, m))
+                            out.append((kx[i + p], ky[k]))
+    c = list(zip(*out)) or [[]] * 2
+    return pa.table({"a": pa.array(c[0], pa.binary()), "b": pa.array(c[1], pa.binary())})
+
+
+def links_within_heads(told: DataFrame) -> DataFrame:
+    """Links (a, b) between members of one head that are apart from it and members of other classes, where both have
+    little beyond the head. told: a (the head), b, label, apart, deep, held, w, levels. A head's members are dealt into
+    blocks of a bounded size, so a hot head is shared by many tasks; a block gives one link a row and class."""
+    deep = told.where("deep").select("a", "b", "label", "apart", "held", "w", "levels")
+    size = deep.groupBy("a").agg(F.count_if("apart").alias("nx"), F.count("*").alias("ny")).where("nx > 0 and ny > 1")
+    size = size.select("a", F.ceil(F.col("nx") / X_ROWS).cast("int").alias("xs"), F.ceil(F.col("ny") / Y_ROWS).cast("int").alias("ys"))
+    place = lambda n: F.pmod(F.xxhash64("b"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = deep.join(size, "a")
+    x = rows.where("apart").select("a", "b", "label", "held", "w", "levels", place("xs").alias("x"), every("ys").alias("y"))
+    y = rows.select("a", "b", "label", "held", "w", place("ys").alias("y"), every("xs").alias("x")).toDF("a", "b", "label", "held", "w", "y", "x")
+    return x.groupBy("a", "x", "y").cogroup(y.groupBy("a", "x", "y")).applyInArrow(_within, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -323,70 +350,82 @@ def components(edges: DataFrame) -> DataFrame:
         label = after.select("node", F.col("new").alias("label"))
 
 
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label(key, label) with the classes of linked (a, b) made one."""
+    of = lambda side: label.select(F.col("key").alias(side), F.col("label").alias(f"l{side}"))
+    edges = staged(links.join(of("a"), "a").join(of("b"), "b").where("la != lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "links")
+    if not edges.limit(1).count():
+        return label
+    new = components(edges).withColumnRenamed("label", "to")
+    return staged(label.join(new, label["label"] == new["node"], "left").select("key", F.coalesce("to", "label").alias("label")), "label")
+
+
+def candidates(rows: DataFrame, ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, bands, w, h) of the distinct texts that have THRESHOLD of their weight in common with others.
+
+    rows: doc_id, key, text. ids: doc_id and key of the same rows, and chars. texts: key, least (its least doc_id), copies."""
+    size = texts.agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).first()
+    n_chunks, n_shards = max(LEAST_CHUNKS, -(-(size["chars"] or 0) // CHUNK_CHARS)), max(LEAST_SHARDS, -(-(size["chars"] or 0) // SHARD_CHARS))
+    chunk = F.pmod(F.xxhash64("doc_id", "key"), F.lit(n_chunks)).cast("int").alias("chunk")
+    dealt = rows.select("doc_id", "key", "text", chunk).repartition(parts(rows.sparkSession), "chunk")
+    repeated = ids.join(texts.where("copies > 1").select("key", "least"), "key").where("not (doc_id <=> least)")
+    copies = staged(repeated.select("doc_id", "key", chunk).distinct(), "copies")
+    asked = dealt.groupBy("chunk").cogroup(copies.groupBy("chunk")).applyInArrow(_ask(n_shards), "chunk int, shard int, g binary, more binary")
+    back = asked.groupBy("shard").applyInArrow(_frequencies(size["n"]), "chunk int, shard int, g binary")
+    back = back.unionByName(copies, allowMissingColumns=True)
+    return staged(dealt.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_sign, _NODES), "nodes")
+
+
+def classes_of(nodes: DataFrame) -> DataFrame:
+    """(key, label) of the nodes that share a band bucket with another; equal labels are one class."""
+    banded = nodes.select("key", F.posexplode("bands").alias("band", "hash"))
+    full = banded.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1")
+    met = staged(banded.join(full, ["band", "hash"]).select(F.xxhash64("band", "hash").alias("bucket"), "key", "n"), "buckets")
+    # how central a text is: how many it meets over all bands
+    central = staged(met.groupBy("key").agg(F.sum("n").alias("central")), "central")
+    label = central.select("key", F.col("key").alias("label"))
+    side = lambda s: nodes.select(F.col("key").alias(s), F.col("h").alias(f"h{s}"), F.col("w").alias(f"w{s}"))
+    buckets, links, turn = met.select("bucket", "key"), None, 0
+    while buckets.limit(1).count():
+        heads = buckets.join(central, "key").groupBy("bucket").agg(F.max(F.struct("central", "key"))["key"].alias("a"))
+        stars = buckets.join(heads, "bucket").where("a <> key").select("bucket", "a", F.col("key").alias("b"))
+        # buckets with one head become one; later ones are kept apart, so that each is smaller than the one it is from
+        stars = staged(stars if turn else stars.select(F.xxhash64("a").alias("bucket"), "a", "b").distinct(), "stars")
+        pairs = stars.select("a", "b").distinct().join(side("b"), "b").join(side("a"), "a")
+        done = staged(pairs.select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(_compare_all, _COMPARED), "compared")
+        verified = done.where(F.col("similarity") >= THRESHOLD).select("a", "b")
+        label = _joined(label, verified if links is None else verified.unionByName(links))
+        of_head, of_member = label.toDF("a", "la"), label.toDF("b", "label")
+        told = staged(done.drop("similarity").join(of_head, "a").join(of_member, "b").withColumn("apart", F.col("la") != F.col("label")).drop("la"), "told")
+        links = staged(links_within_heads(told), "within")
+        shared = stars.join(told.select("a", "b", "label", "apart", F.explode("firsts").alias("token")), ["a", "b"]).select("bucket", "token", "b", "label", "apart")
+        left = shared.groupBy("bucket", "token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("apart").alias("some"), F.count("*").alias("n"), F.sum(F.xxhash64("b").cast("decimal(38,0)")).alias("members")).where("some and lo != hi")
+        # of buckets with the same members one is enough
+        left = left.groupBy("n", "members").agg(F.min(F.struct("bucket", "token")).alias("x")).select("x.bucket", "x.token")
+        buckets = staged(shared.join(left, ["bucket", "token"]).select(F.xxhash64("bucket", "token").alias("bucket"), F.col("b").alias("key")).distinct(), "buckets")
+        turn += 1
+    return label if links is None else _joined(label, links)
+
+
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """One row a row of docs: doc_id, class_id (the least doc_id of its class), ``copy`` (the text's md5) and
     ``class_key``, the class's own key: two classes may have one class_id where an id has several texts or is null.
 
     Equal texts are in one class; classes are joined by links of weighted Jaccard similarity 0.8 or more. Null reads
-    as empty, and all empty texts are one class. Null doc_ids take part; a class of those alone has a null
-    class_id. Empty tables give no rows; repeated rows each give a row."""
-    spark: SparkSession = docs.sparkSession
+    as empty, and all texts without a word are one class. Null doc_ids take part; a class of those alone has a null
+    class_id. Empty tables give no rows; repeated rows each give a row. Texts of any length are taken whole; columns of
+    docs other than doc_id and text, whatever their names, play no part."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
-    n_docs = rows.count()
-    common = spark.sparkContext.broadcast(common_shingles(rows.select("text"), n_docs))
-    signed = staged(rows.mapInArrow(_signatures(common), "doc_id long, key binary, bands array<long>"), "signatures")
-    texts = signed.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
-    banded = texts.select("key", F.posexplode("bands").alias("band", "hash"))
-    full = banded.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = staged(banded.join(full, ["band", "hash"]).select(F.xxhash64("band", "hash").alias("bucket"), "key", "n"), "buckets")
-    # how central a text is: how many it meets over all bands
-    central = staged(buckets.groupBy("key").agg(F.sum("n").alias("central")), "central")
-    vectors = staged(rows.select("key", "text").join(central.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")).mapInArrow(_vectors(common), "key binary, h binary, w binary"), "vectors")
-    often = spark.sparkContext.broadcast(slot_counts(vectors))
-    label = central.select("key", F.col("key").alias("label"))
-    buckets, singles, n_heads = buckets.select("bucket", "key"), None, 1
-    while True:
-        placed = buckets.join(central, "key")
-        if n_heads == 1:
-            heads = placed.groupBy("bucket").agg(F.max(F.struct("central", "key"))["key"].alias("a"), F.count("*").alias("size"))
-        else:  # what is left is groups of unlike texts that share rare shingles: more heads, fewer rounds
-            w = W.partitionBy("bucket")
-            heads = placed.select("bucket", F.col("key").alias("a"), F.row_number().over(w.orderBy(F.desc("central"), F.desc("key"))).alias("rank"), F.count("*").over(w).alias("size")).where(F.col("rank") <= n_heads)
-        # where all members are heads, all pairs are compared and nothing is left to find
-        pairs = buckets.join(heads, "bucket").where("a <> key").select("a", F.col("key").alias("b"), (F.col("size") > n_heads).alias("star"))
-        n_heads *= 4
-        pairs = (pairs if singles is None else pairs.unionByName(singles.withColumn("star", F.lit(False)))).groupBy("a", "b").agg(F.max("star").alias("star"))
-        va, vb = vectors.select(F.col("key").alias("a"), F.col("h").alias("ha"), F.col("w").alias("wa")), vectors.select(F.col("key").alias("b"), F.col("h").alias("hb"), F.col("w").alias("wb"))
-        pairs = staged(pairs, "pairs")
-        done = staged(pairs.select("a", "b").join(va, "a").join(vb, "b").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(_compare_all(often), _COMPARED), "compared")
-        of = lambda side: label.select(F.col("key").alias(side), F.col("label").alias(f"l{side}"))
-        edges = staged(done.where(F.col("similarity") >= THRESHOLD).select("a", "b").join(of("a"), "a").join(of("b"), "b").where("la != lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "links")
-        if edges.limit(1).count():
-            new = components(edges).withColumnRenamed("label", "to")
-            label = staged(label.join(new, label["label"] == new["node"], "left").select("key", F.coalesce("to", "label").alias("label")), "label")
-        # members that are still apart from their head; what they may be similar to shares a first shingle with
-        # them, or else has nothing in common with them that the head lacks
-        stars = done.join(pairs.where("star"), ["a", "b"], "left_semi").join(of("a"), "a").join(of("b"), "b")
-        told = stars.groupBy("a").agg(F.count("*").alias("n"), F.count_if(F.col("la") != F.col("lb")).alias("apart")).where("n > 1 and apart > 0")
-        stars = staged(stars.join(told.select("a"), "a", "left_semi").select(F.col("a").alias("head"), F.col("b").alias("key"), (F.col("la") != F.col("lb")).alias("apart"), F.col("lb").alias("label"), "firsts", "weight", "held"), "stars")
-        shared = stars.select("head", "key", "apart", "label", F.explode("firsts").alias("shingle"))
-        groups = shared.groupBy("head", "shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("apart").alias("apart")).where("apart and lo != hi")
-        buckets = staged(shared.join(groups.select("head", "shingle"), ["head", "shingle"]).select(F.xxhash64("head", "shingle").alias("bucket"), "key").distinct(), "buckets")
-        # required common weight: share of the two weights together
-        need = THRESHOLD / (1 + THRESHOLD)
-        size = lambda c: F.floor(F.log(c) / float(np.log(1.01))).cast("int")
-        most = F.least(F.col("held") / need - F.col("weight"), F.col("weight") / THRESHOLD) * (1 + 1e-9)
-        x = stars.where("apart").select("head", F.col("key").alias("a"), F.col("label").alias("la"), F.col("weight").alias("wx"), F.col("held").alias("hx"), size(F.col("weight") * THRESHOLD * (1 - 1e-9)).alias("from"), size(F.greatest(most, F.lit(1e-9))).alias("to"))
-        x = x.where(F.col("from") <= F.col("to")).select("head", "a", "la", "wx", "hx", F.explode(F.sequence("from", "to")).alias("size"))
-        y = stars.select("head", F.col("key").alias("b"), F.col("label").alias("lb"), F.col("weight").alias("wy"), F.col("held").alias("hy"), size(F.col("weight")).alias("size"))
-        fits = (F.col("la") != F.col("lb")) & (F.least("hx", "hy") >= need * (F.col("wx") + F.col("wy")) * (1 - 1e-9))
-        singles = staged(x.join(y, ["head", "size"]).where(fits).select("a", "b").distinct().join(done.select("a", "b"), ["a", "b"], "left_anti").join(done.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "singles")
-        if not (buckets.limit(1).count() or singles.limit(1).count()):
-            break
+    ids = staged(rows.select("doc_id", "key", F.char_length("text").cast("long").alias("chars")), "ids")
+    texts = staged(ids.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max("chars").alias("chars")), "texts")
+    nodes = candidates(rows, ids.select("doc_id", "key"), texts)
+    label = classes_of(nodes)
     by_text = texts.select("key", "least").join(label, "key", "left").select("key", "least", F.coalesce("label", "key").alias("label"))
-    class_of = by_text.join(by_text.groupBy("label").agg(F.min("least").alias("class_id")), "label").select("key", "class_id", "label")
-    return signed.select("doc_id", "key").join(class_of, "key").select("doc_id", "class_id", F.lower(F.hex("key")).alias("copy"), F.lower(F.hex("label")).alias("class_key"))
+    by_text = staged(by_text, "labelled")
+    least = by_text.groupBy("label").agg(F.min("least").alias("class_id"))
+    class_of = by_text.join(least, "label").select("key", "class_id", "label")
+    return ids.select("doc_id", "key").join(class_of, "key").select("doc_id", "class_id", F.lower(F.hex("key")).alias("copy"), F.lower(F.hex("label")).alias("class_key"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
