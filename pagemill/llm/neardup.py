@@ -9,11 +9,11 @@ distinct shingles to shards, whose number grows with the text, and their frequen
 A shingle of one text can't be shared, so a text with less than THRESHOLD of its weight in others is in no pair and
 goes no further. The others get 36 weighted samples, which make 12 bands. The most central member of a band bucket
 (the one that meets most others over all bands) is its head and is compared with the other members by whole vectors;
-verified pairs (weighted Jaccard of 0.8 or more) join their classes. By the prefix filter, two members that are similar
-share one of their rarest shingles beyond the head, and so meet again in the next, smaller buckets; or all that they
-share is within the head, where members are compared as bitmaps over the head's shingles, in blocks of rows. This
-goes on until no bucket has members of different classes that may be similar. So no bucket is expanded into its
-pairs, none is capped, and no link that a band has brought together is lost.
+verified pairs (weighted Jaccard of 0.8 or more) join their classes. Members that are still apart from their head
+may be similar to other members of it. What a head's members have in common, within it or beyond it, is found by an
+aggregate; a member with too little of it is in no such pair; the others are compared as bitmaps, in blocks of rows,
+and a block sends one link a row and class. So no bucket is expanded into its pairs, none is capped, and no link that
+a band has brought together is lost.
 """
 
 from __future__ import annotations
@@ -260,24 +260,19 @@ def _sign(chunk: pa.Table, back: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array(out_key, pa.binary()), "bands": cells, "w": pa.array(out_w, pa.float64()), "h": pa.array(out_h, pa.binary())})
 
 
-def compare(ha: bytes, wa: float, hb: bytes, wb: float) -> tuple[float, list[int], bool, bytes]:
-    """Weighted Jaccard of a head a and a member b; and of b: its tokens beyond a, rarest first, as far as a fifth of
-    its weight reaches; whether that is all that it has beyond a; and the bitmap of a's tokens that it has.
-
-    Two members of one head that are similar share one of those first tokens, or nothing that the head lacks."""
+def compare(ha: bytes, wa: float, hb: bytes, wb: float) -> tuple[float, float, bytes, bytes]:
+    """Weighted Jaccard of a head a and a member b; and of b: the weight of what a has too, the bitmap of a's tokens
+    that it has, and its tokens beyond a."""
     a, b = np.frombuffer(ha, np.uint64), np.frombuffer(hb, np.uint64)
     at = np.minimum(np.searchsorted(a, b), max(len(a) - 1, 0))
     same = a[at] == b if len(a) else np.zeros(len(b), bool)
-    worth = IDF[(b >> np.uint64(HASH_BITS)).astype(np.int64)]
-    both, own = worth[same].sum(), b[~same]
-    beyond = wb - worth.sum() + np.cumsum(worth[~same])
-    n = int(np.searchsorted(beyond, (1 - THRESHOLD) * wb * (1 + 1e-9), side="right"))
+    both = float(IDF[(b[same] >> np.uint64(HASH_BITS)).astype(np.int64)].sum())
     held = np.zeros(len(a), np.uint8)
     held[at[same]] = 1
-    return float(both / (wa + wb - both)), own[: n + 1].view(np.int64).tolist(), n == len(own), np.packbits(held).tobytes()
+    return both / (wa + wb - both), both, np.packbits(held).tobytes(), b[~same].tobytes()
 
 
-_COMPARED = "a binary, b binary, similarity double, firsts array<long>, deep boolean, held binary, w double, levels binary"
+_COMPARED = "a binary, b binary, similarity double, inside double, held binary, beyond array<long>, w double, levels binary"
 
 
 def _compare_all(batches: Iterator[pa.RecordBatch]):
@@ -286,28 +281,44 @@ def _compare_all(batches: Iterator[pa.RecordBatch]):
         c = [r.column(k) for k in range(6)]
         got = [compare(*(x[k].as_py() for x in c[2:])) for k in range(r.num_rows)]
         levels = [zlib.compress(np.frombuffer(x.as_py(), np.uint8)[7::8].tobytes(), 1) for x in c[2]]
-        s, firsts, deep, held = list(zip(*got)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([c[0], c[1], pa.array(s, pa.float64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(deep, pa.bool_()), pa.array(held, pa.binary()), c[5], pa.array(levels, pa.binary())], names=[x.split()[0] for x in _COMPARED.split(", ")])
+        s, inside, held, beyond = list(zip(*got)) or [[]] * 4
+        ends = pa.array(np.cumsum([0, *(len(x) // 8 for x in beyond)]), pa.int32())
+        beyond = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(beyond), np.int64)))
+        yield pa.RecordBatch.from_arrays([c[0], c[1], pa.array(s, pa.float64()), pa.array(inside, pa.float64()), pa.array(held, pa.binary()), beyond, c[5], pa.array(levels, pa.binary())], names=[x.split()[0] for x in _COMPARED.split(", ")])
+
+
+def _matrix(t: pa.Table, a: int, z: int, n_head: int, extra: np.ndarray) -> np.ndarray:
+    """Rows a to z as 0 and 1 over the head's tokens and the extra ones."""
+    part = t.slice(a, z - a).combine_chunks()
+    out = np.zeros((part.num_rows, n_head + len(extra)))
+    out[:, :n_head] = np.unpackbits(np.frombuffer(b"".join(part["held"].to_pylist()), np.uint8).reshape(part.num_rows, -1), axis=1)[:, :n_head]
+    beyond = [x or () for x in part["beyond"].to_pylist()]
+    token = np.array([v for x in beyond for v in x], np.int64)
+    if len(token):
+        row, at = np.repeat(np.arange(part.num_rows), [len(x) for x in beyond]), np.minimum(np.searchsorted(extra, token), max(len(extra) - 1, 0))
+        known = extra[at] == token if len(extra) else np.zeros(len(token), bool)
+        out[row[known], n_head + at[known]] = 1
+    return out
 
 
 def _within(x: pa.Table, y: pa.Table) -> pa.Table:
-    """Links (a, b) between rows of x and y with nothing in common beyond their head: for each row of x one of each other
-    class in y, if any. Rows hold bitmaps of the head's tokens, so what they share is a product of matrices."""
+    """Links (a, b) between rows of x and y, members of one head: for each row of x one of each other class in y, if
+    any. What two rows share is a product of matrices over the head's tokens and those that x's rows have beyond it."""
     out = []
     if x.num_rows and y.num_rows:
         levels = np.frombuffer(zlib.decompress(x["levels"][0].as_py()), np.uint8)
-        worth, n = IDF[levels], len(levels)
         names = pa.concat_arrays([*x["label"].chunks, *y["label"].chunks]).dictionary_encode().indices.to_numpy()
         lx, ly = names[: x.num_rows], names[x.num_rows :]
         wx, wy = x["w"].to_numpy(), y["w"].to_numpy()
         kx, ky = x["b"].to_pylist(), y["b"].to_pylist()
-        bits = lambda t, a, z: np.unpackbits(np.frombuffer(b"".join(t["held"][a:z].to_pylist()), np.uint8).reshape(min(z, t.num_rows) - a, -1), axis=1)[:, :n].astype(np.float64)
-        step, need = max(8, CELLS // max(n, 1) // 8), THRESHOLD / (1 + THRESHOLD)
+        extra = np.unique(np.array([v for t in x["beyond"].to_pylist() for v in t or ()], np.int64))
+        worth = IDF[np.r_[levels, extra.view(np.uint64) >> np.uint64(HASH_BITS)].astype(np.int64)]
+        step, need = max(8, CELLS // 8 // max(len(worth), 1)), THRESHOLD / (1 + THRESHOLD)
         told = set()
         for i in range(0, x.num_rows, step):
-            left = bits(x, i, i + step) * worth
+            left = _matrix(x, i, i + step, len(levels), extra) * worth
             for j in range(0, y.num_rows, step):
-                both = left @ bits(y, j, j + step).T
+                both = left @ _matrix(y, j, j + step, len(levels), extra).T
                 hit = (both >= need * (wx[i : i + step, None] + wy[None, j : j + step]) * (1 - 1e-12)) & (lx[i : i + step, None] != ly[None, j : j + step])
                 for p in np.flatnonzero(hit.any(axis=1)).tolist():
                     q = np.flatnonzero(hit[p])
@@ -321,17 +332,27 @@ def _within(x: pa.Table, y: pa.Table) -> pa.Table:
 
 
 def links_within_heads(told: DataFrame) -> DataFrame:
-    """Links (a, b) between members of one head that are apart from it and members of other classes, where both have
-    little beyond the head. told: a (the head), b, label, apart, deep, held, w, levels. A head's members are dealt into
-    blocks of a bounded size, so a hot head is shared by many tasks; a block gives one link a row and class."""
-    deep = told.where("deep").select("a", "b", "label", "apart", "held", "w", "levels")
-    size = deep.groupBy("a").agg(F.count_if("apart").alias("nx"), F.count("*").alias("ny")).where("nx > 0 and ny > 1")
+    """Links (a, b) between members of one head that are apart from it and members of other classes.
+
+    told: a (the head), b, label, apart, inside, held, beyond, w, levels. Tokens beyond the head are kept where another
+    member has them too. A member without THRESHOLD of its weight in those and in the head can't be similar to another.
+    The rest are dealt into blocks of a bounded size, so a hot head is shared by many tasks; a block gives one link a
+    row and class."""
+    heads = told.groupBy("a").agg(F.max("apart").alias("some")).where("some").select("a")
+    open_ = staged(told.join(heads, "a"), "open")
+    tokens = open_.select("a", "b", "apart", F.explode("beyond").alias("token"))
+    common = tokens.groupBy("a", "token").agg(F.count("*").alias("n"), F.max("apart").alias("some")).where("n > 1 and some").select("a", "token")
+    idf = F.lit(1.0) - F.lit(DAMPED / 255) * (F.shiftrightunsigned("token", HASH_BITS) - 0.5)
+    extra = tokens.join(common, ["a", "token"]).groupBy("a", "b").agg(F.collect_list("token").alias("beyond"), F.sum(idf).alias("more"))
+    rows = open_.drop("beyond").join(extra, ["a", "b"], "left").where(F.col("inside") + F.coalesce("more", F.lit(0.0)) >= F.col("w") * (THRESHOLD * (1 - 1e-9)))
+    rows = staged(rows.select("a", "b", "label", "apart", "held", "beyond", "w", "levels"), "members")
+    size = rows.groupBy("a").agg(F.count_if("apart").alias("nx"), F.count("*").alias("ny")).where("nx > 0 and ny > 1")
     size = size.select("a", F.ceil(F.col("nx") / X_ROWS).cast("int").alias("xs"), F.ceil(F.col("ny") / Y_ROWS).cast("int").alias("ys"))
     place = lambda n: F.pmod(F.xxhash64("b"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rows = deep.join(size, "a")
-    x = rows.where("apart").select("a", "b", "label", "held", "w", "levels", place("xs").alias("x"), every("ys").alias("y"))
-    y = rows.select("a", "b", "label", "held", "w", place("ys").alias("y"), every("xs").alias("x")).toDF("a", "b", "label", "held", "w", "y", "x")
+    dealt = rows.join(size, "a")
+    x = dealt.where("apart").select("a", "b", "label", "held", "beyond", "w", "levels", place("xs").alias("x"), every("ys").alias("y"))
+    y = dealt.select("a", "b", "label", "held", "beyond", "w", place("ys").alias("y"), every("xs").alias("x")).toDF("a", "b", "label", "held", "beyond", "w", "y", "x")
     return x.groupBy("a", "x", "y").cogroup(y.groupBy("a", "x", "y")).applyInArrow(_within, "a binary, b binary")
 
 
@@ -383,28 +404,15 @@ def classes_of(nodes: DataFrame) -> DataFrame:
     met = staged(banded.join(full, ["band", "hash"]).select(F.xxhash64("band", "hash").alias("bucket"), "key", "n"), "buckets")
     # how central a text is: how many it meets over all bands
     central = staged(met.groupBy("key").agg(F.sum("n").alias("central")), "central")
-    label = central.select("key", F.col("key").alias("label"))
+    heads = met.join(central, "key").groupBy("bucket").agg(F.max(F.struct("central", "key"))["key"].alias("a"))
     side = lambda s: nodes.select(F.col("key").alias(s), F.col("h").alias(f"h{s}"), F.col("w").alias(f"w{s}"))
-    buckets, links, turn = met.select("bucket", "key"), None, 0
-    while buckets.limit(1).count():
-        heads = buckets.join(central, "key").groupBy("bucket").agg(F.max(F.struct("central", "key"))["key"].alias("a"))
-        stars = buckets.join(heads, "bucket").where("a <> key").select("bucket", "a", F.col("key").alias("b"))
-        # buckets with one head become one; later ones are kept apart, so that each is smaller than the one it is from
-        stars = staged(stars if turn else stars.select(F.xxhash64("a").alias("bucket"), "a", "b").distinct(), "stars")
-        pairs = stars.select("a", "b").distinct().join(side("b"), "b").join(side("a"), "a")
-        done = staged(pairs.select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(_compare_all, _COMPARED), "compared")
-        verified = done.where(F.col("similarity") >= THRESHOLD).select("a", "b")
-        label = _joined(label, verified if links is None else verified.unionByName(links))
-        of_head, of_member = label.toDF("a", "la"), label.toDF("b", "label")
-        told = staged(done.drop("similarity").join(of_head, "a").join(of_member, "b").withColumn("apart", F.col("la") != F.col("label")).drop("la"), "told")
-        links = staged(links_within_heads(told), "within")
-        shared = stars.join(told.select("a", "b", "label", "apart", F.explode("firsts").alias("token")), ["a", "b"]).select("bucket", "token", "b", "label", "apart")
-        left = shared.groupBy("bucket", "token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("apart").alias("some"), F.count("*").alias("n"), F.sum(F.xxhash64("b").cast("decimal(38,0)")).alias("members")).where("some and lo != hi")
-        # of buckets with the same members one is enough
-        left = left.groupBy("n", "members").agg(F.min(F.struct("bucket", "token")).alias("x")).select("x.bucket", "x.token")
-        buckets = staged(shared.join(left, ["bucket", "token"]).select(F.xxhash64("bucket", "token").alias("bucket"), F.col("b").alias("key")).distinct(), "buckets")
-        turn += 1
-    return label if links is None else _joined(label, links)
+    pairs = staged(met.join(heads, "bucket").where("a <> key").select("a", F.col("key").alias("b")).distinct(), "pairs")
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ha", "wa", "hb", "wb")
+    done = staged(both.mapInArrow(_compare_all, _COMPARED), "compared")
+    label = _joined(central.select("key", F.col("key").alias("label")), done.where(F.col("similarity") >= THRESHOLD).select("a", "b"))
+    of_head, of_member = label.toDF("a", "la"), label.toDF("b", "label")
+    told = done.drop("similarity").join(of_head, "a").join(of_member, "b").withColumn("apart", F.col("la") != F.col("label")).drop("la")
+    return _joined(label, staged(links_within_heads(staged(told, "told")), "within"))
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
