@@ -1,22 +1,27 @@
-"""Toxicity by class-conditional Kneser-Ney models of short byte expressions.
-
-Expressions are the overlapping 6-byte runs of a text in lower case. For each class, P(g) = (max(c(g) - D, 0) +
-D * types * C(g)) / total, where c counts the class's own expressions and C is the backoff shared by both classes:
-the share of distinct bytes that come before g. A rare expression is thus judged by the shared counts and says little
-for either class. A text's evidence is the largest length-normalised log-likelihood difference over any 8
-expressions in a row, so one insult in a long text shows; a logistic fit makes it a probability.
-
-Counts cover every labelled row that may be learned from. Expressions and the bytes before them are exact; their table
-is written in shards whose number grows with the text, and is never held whole. Texts are dealt into chunks of a bounded
-size; a chunk's distinct expressions meet the shards, and their ratios come back to the chunk.
+"""Toxicity by class-conditional Kneser-Ney models over bytes.
+
+A class's model gives each byte of a text (in lower case) a probability after the five bytes before it: the interpolated
+Kneser-Ney estimate from the class's own counts of 6-byte expressions, which backs off to the class's continuation counts
+after four and three bytes, and from there to a continuation model after one byte that both classes share. A rare
+expression is thus judged by the shared counts and says little for either class. A text's evidence is the largest
+difference of the two classes' log-likelihoods a byte over a passage of PASSAGE bytes, so one insult in a long text shows; a
+logistic fit makes it a probability.
+
+Counts cover every labelled row that may be learned from. Expressions are exact; their table is written in shards whose
+number grows with the text. A shard holds all expressions with the same third to fifth byte, so that all counts of one
+history and of its shorter forms are in it. A table of up to BROADCAST_EXPRESSIONS is sent to all tasks; a larger one is
+never held whole: texts are dealt into chunks of a bounded size, a chunk's distinct expressions meet the shards,
+and their ratios come back to the chunk. Both ways give the same scores.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,29 +29,31 @@ from pyspark.sql import types as T
 
 from pagemill.llm.common import id_remainder, parts, staged
 
-ORDER, PASSAGE = 6, 8
+ORDER, PASSAGE = 6, 10
 CHUNK_CHARS, LEAST_CHUNKS = 16_000_000, 64
 SHARD_CHARS, LEAST_SHARDS = 64_000_000, 48  # text for which the table gets another shard
-HELD_ROWS, BUFFER = 2_000_000, 4_000_000  # a task's own counts before it sends them; expressions before they are summed
+HELD_ROWS, BUFFER = 2_000_000, 1_000_000  # a task's own counts before it sends them; expressions before they are summed
 DISCOUNT = 0.75
 CALIBRATION_FOLD = 4  # of 1..4: held back from the counts while the logistic fit is made
-BROADCAST_LABELS = 2_000_000  # rows of labels; beyond, documents and labels are joined by a shuffle
-STEPS = 400  # histogram bins of the evidence, in [-10, 30)
+BROADCAST_LABELS = 2_000_000  # rows of two numbers; beyond, documents and labels are joined by a shuffle
+BROADCAST_EXPRESSIONS = 4_000_000
+LOW, SPAN, STEPS = -5, 20, 400  # histogram of the evidence
+MASK = {5: (1 << 40) - 1, 4: (1 << 32) - 1}  # of the last bytes of an expression
 
 
-def expressions(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The expressions of a text, in order, and the byte before each (256: none). Short texts are filled up."""
+def expressions(text: str) -> np.ndarray:
+    """Codes of the 6-byte expressions of a text, in order: each byte after the five before it."""
     raw = (" " + text.lower() + " ").encode("utf-8", "replace")
     b = np.frombuffer(raw.ljust(ORDER, b" "), np.uint8).astype(np.int64)
     two = (b[:-1] << 8) | b[1:]
-    return (two[:-4] << 32) | (two[2:-2] << 16) | two[4:], np.r_[256, b[: len(b) - ORDER]]
+    return (two[:-4] << 32) | (two[2:-2] << 16) | two[4:]
 
 
 def evidence(ratio: np.ndarray) -> float:
-    """The largest mean log-likelihood difference over PASSAGE expressions in a row."""
+    """The largest mean log-likelihood difference over PASSAGE bytes in a row, or over a shorter text's own."""
     s = np.r_[0.0, np.cumsum(ratio, dtype=np.float64)]
     w = min(PASSAGE, len(ratio))
-    return float((s[w:] - s[:-w]).max() / PASSAGE)
+    return float((s[w:] - s[:-w]).max() / w)
 
 
 def pack(x: np.ndarray, rising: bool = False) -> bytes:
@@ -63,7 +70,8 @@ def unpack(z: bytes, rising: bool = False, kind=np.int64) -> np.ndarray:
 
 def by_shard(g: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
     """(shard, places in g) of each shard that has expressions; the order of g is kept."""
-    of = ((g.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)) % np.uint64(shards)
+    middle = (g >> 8) & 0xFFFFFF
+    of = ((middle.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)) % np.uint64(shards)
     order = np.argsort(of, kind="stable")
     edges = np.searchsorted(of[order], np.arange(shards + 1, dtype=np.uint64))
     return [(k, order[x:y]) for k, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
@@ -78,17 +86,17 @@ def summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 _COUNTS = "shard int, codes binary, n binary"
-_TABLE = "shard int, g binary, counts binary, types binary, v long, all_types long, " + ", ".join(f"{m}_{k} long" for k in ("kinds", "total") for m in ("part0", "part1", "all0", "all1"))
+_TABLE = "shard int, g binary, counts binary, size long, pairs array<struct<pair:int,part:int,all:int>>"
 
 
 def _count(shards: int):
-    """A task's partial counts of (expression, byte before, class)."""
+    """A task's partial counts of (expression, whether it is of the calibration rows, class)."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         codes, n, held, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
         def send():
-            for k, at in by_shard(codes >> 11, shards):
+            for k, at in by_shard(codes >> 2, shards):
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack(codes[at], True)], pa.binary()), pa.array([pack(n[at])], pa.binary())], names=["shard", "codes", "n"])
 
         def add():
@@ -97,8 +105,8 @@ def _count(shards: int):
 
         for b in batches:
             for doc, text, toxic in zip(*(c.to_pylist() for c in b.columns)):
-                g, prior = expressions(text)
-                held.append((g << 11) | (prior << 2) | (2 * (id_remainder(doc) == CALIBRATION_FOLD) + (toxic == 1)))
+                g = expressions(text)
+                held.append((g << 2) | (2 * (id_remainder(doc) == CALIBRATION_FOLD) + (toxic == 1)))
                 size += len(g)
                 if size >= BUFFER:
                     codes, n = add()
@@ -113,46 +121,138 @@ def _count(shards: int):
     return run
 
 
+def _endings(g: np.ndarray) -> np.ndarray:
+    """How many distinct 4-byte expressions end in each pair of bytes."""
+    return np.bincount(np.unique(g & MASK[4]) & 0xFFFF, minlength=1 << 16)
+
+
 def _merge(table: pa.Table) -> pa.Table:
-    """One shard of the table: expressions, counts of the four kinds, distinct bytes before; and its sums."""
+    """One shard of the table: expressions; their counts (class, and class among the calibration rows); endings."""
     codes, n = summed(np.concatenate([unpack(z, True) for z in table["codes"].to_pylist()]), np.concatenate([unpack(z) for z in table["n"].to_pylist()]))
-    g, at = np.unique(codes >> 11, return_inverse=True)
+    g, at = np.unique(codes >> 2, return_inverse=True)
     counts = np.zeros((4, len(g)), np.int64)
     np.add.at(counts, (codes & 3, at), n)
-    types = np.bincount(np.searchsorted(g, np.unique(codes >> 2) >> 9), minlength=len(g))
-    models = [counts[0], counts[1], counts[0] + counts[2], counts[1] + counts[3]]
-    row = [table["shard"][0].as_py(), pack(g, True), pack(counts.ravel()), pack(types), len(g), int(types.sum()), *(int(np.count_nonzero(c)) for c in models), *(int(c.sum()) for c in models)]
-    return pa.table([pa.array([x]) for x in row], names=[x.split()[0] for x in _TABLE.split(", ")]).cast(pa.schema([("shard", pa.int32()), *((x, pa.binary()) for x in ("g", "counts", "types")), *((x.split()[0], pa.int64()) for x in _TABLE.split(", ")[4:])]))
-
-
-def log_ratio(counts: np.ndarray, types: np.ndarray, sums: dict, model: str) -> np.ndarray:
-    """log P(g | toxic) - log P(g | ordinary). What was never seen, counts and types 0, has a share of the backoff."""
-    shared = (types + 0.5) / (sums["all_types"] + 0.5 * sums["v"] + 0.5)
-    logs = []
-    for k in range(2):
-        c = counts[k] + (counts[k + 2] if model == "all" else 0)
-        logs.append(np.log((np.maximum(c - DISCOUNT, 0) + DISCOUNT * max(sums[f"{model}{k}_kinds"], 1) * shared) / max(sums[f"{model}{k}_total"], 1)))
-    return (logs[1] - logs[0]).astype(np.float32)
+    part, every = _endings(g[counts[:2].sum(axis=0) > 0]), _endings(g)
+    pairs = [{"pair": k, "part": int(part[k]), "all": int(every[k])} for k in np.flatnonzero(every).tolist()]
+    kind = pa.list_(pa.struct([("pair", pa.int32()), ("part", pa.int32()), ("all", pa.int32())]))
+    return pa.table({"shard": pa.array([table["shard"][0].as_py()], pa.int32()), "g": pa.array([pack(g, True)], pa.binary()), "counts": pa.array([pack(counts.ravel())], pa.binary()), "size": pa.array([len(g)], pa.int64()), "pairs": pa.array([pairs], kind)})
+
+
+def _find(keys: np.ndarray, values: np.ndarray, ask: np.ndarray) -> np.ndarray:
+    """The values of rising keys, 0 for those that aren't there."""
+    if not len(keys):
+        return np.zeros(len(ask))
+    at = np.minimum(np.searchsorted(keys, ask), len(keys) - 1)
+    return np.where(keys[at] == ask, values[at], 0).astype(np.float64)
+
+
+class Level:
+    """Interpolated estimates from counts n of distinct rising expressions: of the last byte after the others."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        self.keys, self.n = keys, n
+        after = keys >> 8
+        at = np.flatnonzero(np.r_[True, after[1:] != after[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        self.history, self.total, self.kinds = after[at], np.add.reduceat(n, at) if len(at) else n, np.diff(np.r_[at, len(keys)])
+
+    def given(self, ask: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """Probabilities of ask; lower: those of the next shorter history, which stand where this one was never seen."""
+        c, total, kinds = _find(self.keys, self.n, ask), _find(self.history, self.total, ask >> 8), _find(self.history, self.kinds, ask >> 8)
+        return np.where(total > 0, (np.maximum(c - DISCOUNT, 0) + DISCOUNT * kinds * lower) / np.maximum(total, 1), lower)
+
+
+def shared_model(endings: np.ndarray) -> np.ndarray:
+    """P(byte | byte before), by pair, of the continuation counts of both classes."""
+    n = endings.reshape(256, 256).astype(np.float64)
+    one = (n > 0).sum(axis=0)
+    lowest = (np.maximum(one - DISCOUNT, 0) + DISCOUNT * (one > 0).sum() / 256) / one.sum() if one.any() else np.full(256, 1 / 256)
+    total, kinds = n.sum(axis=1, keepdims=True), (n > 0).sum(axis=1, keepdims=True)
+    return np.where(total > 0, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds * lowest) / np.maximum(total, 1), lowest).ravel()
+
+
+class Models:
+    """Both classes' models of a shard, or of several shards whose expressions are in rising order."""
+
+    def __init__(self, g: np.ndarray, counts: list[np.ndarray], shared: np.ndarray):
+        self.shared, self.levels = shared, []
+        for c in counts:
+            own = g[c > 0]
+            five, n5 = np.unique(own & MASK[5], return_counts=True)
+            four, n4 = np.unique(five & MASK[4], return_counts=True)
+            self.levels.append((Level(four, n4.astype(np.int32)), Level(five, n5.astype(np.int32)), Level(own, c[c > 0])))
+
+    def probabilities(self, ask: np.ndarray, toxic: bool) -> np.ndarray:
+        """P(last byte | the five before it) of each expression."""
+        four, five, six = self.levels[toxic]
+        p = four.given(ask & MASK[4], self.shared[ask & 0xFFFF])
+        return six.given(ask, five.given(ask & MASK[5], p))
+
+    def ratio(self, ask: np.ndarray) -> np.ndarray:
+        return (np.log(self.probabilities(ask, True)) - np.log(self.probabilities(ask, False))).astype(np.float32)
+
+
+def _models(shards: list[tuple[bytes, bytes]], model: str, shared: np.ndarray) -> Models:
+    """The models of packed shards (g, counts); ``part`` leaves the calibration rows out."""
+    g, c = [], [[], []]
+    for z, n in shards:
+        g.append(unpack(z, True))
+        n = unpack(n).reshape(4, -1)
+        for k in range(2):
+            c[k].append((n[k] if model == "part" else n[k] + n[k + 2]).astype(np.int32))
+    g = np.concatenate(g) if g else np.zeros(0, np.int64)
+    order = np.argsort(g)
+    return Models(g[order], [np.concatenate(x)[order] if x else np.zeros(0, np.int32) for x in c], shared)
 
 
 def _distinct(texts: list[str]) -> np.ndarray:
     u, held, size = np.zeros(0, np.int64), [], 0
     for t in texts:
-        held.append(expressions(t)[0])
+        held.append(expressions(t))
         size += len(held[-1])
         if size >= BUFFER:
             u, held, size = np.unique(np.concatenate([u, *held])), [], 0
     return np.unique(np.concatenate([u, *held]))
 
 
-def with_evidence(docs: DataFrame, table: DataFrame, sums: dict, model: str, n_chunks: int, n_shards: int, column: str, made=lambda e: e) -> DataFrame:
-    """docs with made(evidence of text) as column."""
+_of_worker: dict[str, Models] = {}  # the models of the last broadcast table that this worker has used
+
+
+def with_evidence_by_broadcast(docs: DataFrame, table: DataFrame, model: str, shared: np.ndarray, column: str, made) -> DataFrame:
+    """docs with made(evidence of text) as column. The table has at most BROADCAST_EXPRESSIONS."""
+    sent = docs.sparkSession.sparkContext.broadcast((model, shared, [(r["g"], r["counts"]) for r in table.select("g", "counts").collect()]))
+    name = uuid.uuid4().hex
+
+    def models() -> Models:
+        if name not in _of_worker:
+            _of_worker.clear()
+            _of_worker[name] = _models(sent.value[2], sent.value[0], sent.value[1])
+        return _of_worker[name]
+
+    @F.pandas_udf(T.DoubleType())
+    def score(texts: pd.Series) -> pd.Series:
+        out, texts, a = [], texts.tolist(), 0
+        while a < len(texts):
+            z, size = a, 0
+            while z < len(texts) and (z == a or size < BUFFER):
+                size += len(texts[z])
+                z += 1
+            own = [expressions(t) for t in texts[a:z]]
+            u = np.unique(np.concatenate(own))
+            ratio = models().ratio(u)
+            out += [evidence(ratio[np.searchsorted(u, g)]) for g in own]
+            a = z
+        return pd.Series(made(np.array(out, np.float64)))
+
+    return docs.select(*(c for c in docs.columns if c != column), score(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias(column))
+
+
+def with_evidence_by_shuffle(docs: DataFrame, table: DataFrame, model: str, shared: np.ndarray, column: str, made, n_chunks: int, n_shards: int) -> DataFrame:
+    """docs with made(evidence of text) as column; texts meet the table in chunks."""
     own = [c for c in docs.columns if c != column]
     plain = isinstance(docs.schema["text"].dataType, T.StringType) and column != "text"  # then the text isn't sent twice
     text_col, text = "text" if plain else "_pm_text", F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.xxhash64(text, F.col("doc_id").cast("string"))
     dealt = docs.select(*own, *([] if plain else [text.alias(text_col)]), F.pmod(key, F.lit(n_chunks)).cast("int").alias("_pm_chunk")).repartition(parts(docs.sparkSession), "_pm_chunk")
-    unseen = float(log_ratio(np.zeros((4, 1)), np.zeros(1), sums, model)[0])
 
     def distinct(chunk: pa.Table) -> pa.Table:
         u = _distinct([t or "" for t in chunk[text_col].to_pylist()])
@@ -160,18 +260,8 @@ def with_evidence(docs: DataFrame, table: DataFrame, sums: dict, model: str, n_c
         return pa.table({"chunk": pa.array([chunk["_pm_chunk"][0].as_py()] * len(cut), pa.int32()), "shard": pa.array([k for k, _ in cut], pa.int32()), "g": pa.array([pack(u[at], True) for _, at in cut], pa.binary())})
 
     def look(asked: pa.Table, shard: pa.Table) -> pa.Table:
-        g = r = None
-        if shard.num_rows:
-            g = unpack(shard["g"][0].as_py(), True)
-            r = log_ratio(unpack(shard["counts"][0].as_py()).reshape(4, -1), unpack(shard["types"][0].as_py()), sums, model)
-        back = []
-        for z in asked["g"].to_pylist():
-            u = unpack(z, True)
-            out = np.full(len(u), unseen, np.float32)
-            if g is not None:
-                at = np.minimum(np.searchsorted(g, u), len(g) - 1)
-                out = np.where(g[at] == u, r[at], out)
-            back.append(pack(out))
+        models = _models(list(zip(shard["g"].to_pylist(), shard["counts"].to_pylist())), model, shared)
+        back = [pack(models.ratio(unpack(z, True))) for z in asked["g"].to_pylist()]
         return pa.table({"chunk": asked["chunk"].cast(pa.int32()), "shard": asked["shard"].cast(pa.int32()), "r": pa.array(back, pa.binary())})
 
     def score(chunk: pa.Table, back: pa.Table) -> pa.Table:
@@ -180,18 +270,19 @@ def with_evidence(docs: DataFrame, table: DataFrame, sums: dict, model: str, n_c
         ratio = np.zeros(len(u), np.float32)
         for k, at in by_shard(u, n_shards):
             ratio[at] = unpack(came[k], kind=np.float32)
-        e = np.array([evidence(ratio[np.searchsorted(u, expressions(t)[0])]) for t in texts], np.float64)
+        e = np.array([evidence(ratio[np.searchsorted(u, expressions(t))]) for t in texts], np.float64)
         return chunk.select(own).append_column(column, pa.array(made(e), pa.float64()))
 
     asked = dealt.groupBy("_pm_chunk").applyInArrow(distinct, "chunk int, shard int, g binary")
-    back = asked.groupBy("shard").cogroup(table.select("shard", "g", "counts", "types").groupBy("shard")).applyInArrow(lambda a, b: look(a, b) if a.num_rows else pa.table({"chunk": pa.array([], pa.int32()), "shard": pa.array([], pa.int32()), "r": pa.array([], pa.binary())}), "chunk int, shard int, r binary")
+    none = pa.table({"chunk": pa.array([], pa.int32()), "shard": pa.array([], pa.int32()), "r": pa.array([], pa.binary())})
+    back = asked.groupBy("shard").cogroup(table.select("shard", "g", "counts").groupBy("shard")).applyInArrow(lambda a, b: look(a, b) if a.num_rows else none, "chunk int, shard int, r binary")
     schema = T.StructType([*docs.select(*own).schema.fields, T.StructField(column, T.DoubleType())])
     return dealt.groupBy("_pm_chunk").cogroup(back.groupBy("chunk")).applyInArrow(score, schema)
 
 
 def fit_logistic(bins: np.ndarray) -> tuple[float, float]:
     """(slope, middle) from a histogram (bin, class) of the evidence, by Newton steps with a small ridge."""
-    x = -10 + (np.arange(STEPS) + 0.5) * 40 / STEPS
+    x = LOW + (np.arange(STEPS) + 0.5) * SPAN / STEPS
     n, y = bins.sum(axis=1), bins[:, 1]
     if not y.sum() or y.sum() == n.sum():
         return 1.0, 3.0
@@ -208,9 +299,20 @@ def fit_logistic(bins: np.ndarray) -> tuple[float, float]:
     return (float(w[0]), float(-w[1] / w[0])) if w[0] > 0.05 else (1.0, 3.0)
 
 
+def learn_table(learn: DataFrame, n_shards: int) -> tuple[DataFrame, dict[str, np.ndarray], int]:
+    """The written table of expressions in learn(doc_id, text, toxic), the shared models by model, and its size."""
+    table = staged(learn.mapInArrow(_count(n_shards), _COUNTS).groupBy("shard").applyInArrow(_merge, _TABLE), "expressions")
+    endings = {m: np.zeros(1 << 16) for m in ("part", "all")}
+    for r in table.select(F.inline("pairs")).groupBy("pair").agg(F.sum("part").alias("part"), F.sum("all").alias("all")).collect():  # 65,536 rows at most
+        for m, n in endings.items():
+            n[r["pair"]] = r[m]
+    return table, {m: shared_model(n) for m, n in endings.items()}, table.agg(F.sum("size")).first()[0] or 0
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, score_col: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1; higher means label 1 is likelier. The text alone is scored; null reads as empty.
-    Every row gets a score, repeated rows the same. A column of docs named score_col is replaced.
+    """docs with a score from 0 to 1; higher means label 1 is likelier. The text alone is scored, whole and of any
+    length; null reads as empty. Every row gets a score, repeated rows the same; an empty table gives no rows. A column of
+    docs named score_col is replaced, and all others are passed on, whatever their names.
 
     Learns from rows of labels with toxic 0 or 1 whose id has remainder 1 to 4, and whose text is in docs. Counts come
     from all of them; the logistic fit from scores that a model without the calibration rows gives to those rows.
@@ -224,13 +326,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, score_col: str = "score")
     small = labels.count() <= BROADCAST_LABELS
     learn = learn.join(F.broadcast(known) if small else known, learn["doc_id"] == known["_pm_id"]).select("doc_id", "text", F.col("_pm_toxic").alias("toxic"))
     learn = learn if small else staged(learn, "labelled")  # the shuffled join is done once for both passes
-    table = staged(learn.mapInArrow(_count(n_shards), _COUNTS).groupBy("shard").applyInArrow(_merge, _TABLE), "expressions")
-    sums = {k: v or 0 for k, v in table.agg(*(F.sum(c).alias(c) for c in table.columns[4:])).first().asDict().items()}
-    held = with_evidence(learn.where(remainder == CALIBRATION_FOLD), table, sums, "part", n_chunks // 4, n_shards, "e").select(F.greatest(F.lit(0), F.least(F.lit(STEPS - 1), ((F.col("e") + 10) * STEPS / 40).cast("int"))).alias("bin"), "toxic")
+    table, shared, size = learn_table(learn, n_shards)
+
+    def with_evidence(rows, model, column, made=lambda e: e, chunks=n_chunks):
+        if size <= BROADCAST_EXPRESSIONS:
+            return with_evidence_by_broadcast(rows, table, model, shared[model], column, made)
+        return with_evidence_by_shuffle(rows, table, model, shared[model], column, made, chunks, n_shards)
+
+    held = with_evidence(learn.where(remainder == CALIBRATION_FOLD), "part", "e", chunks=n_chunks // 4)
+    held = held.select(F.greatest(F.lit(0), F.least(F.lit(STEPS - 1), ((F.col("e") - LOW) * STEPS / SPAN).cast("int"))).alias("bin"), "toxic")
     seen = np.zeros((STEPS, 2))
     for r in held.groupBy("bin", "toxic").agg(F.count("*").alias("n")).collect():
         seen[r["bin"], r["toxic"]] = r["n"]
     slope, middle = fit_logistic(seen)
     logistic = lambda e: 1 / (1 + np.exp(-np.clip(slope * (e - middle), -40, 40)))
-    out = with_evidence(docs, table, sums, "all", n_chunks, n_shards, score_col, logistic)
+    out = with_evidence(docs, "all", score_col, logistic)
     return out.select(*docs.columns, *([] if score_col in docs.columns else [score_col]))

@@ -3,7 +3,6 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
-import pyarrow.compute
 import pytest
 
 from pagemill.llm import neardup as n
@@ -199,21 +198,67 @@ def test_the_shuffled_join_gives_the_same_scores(spark, monkeypatch):
     assert a == sorted((r["doc_id"], r["score"]) for r in t.score_toxicity(docs, labels).collect())
 
 
-def test_expressions_and_the_bytes_before_them_are_exact(spark):
+def brute_kneser_ney(texts, ask, shared):
+    """log P(last byte | five before) by dictionaries, for one class's texts; shared: P(byte | byte before) by pair."""
+    raw = [(" " + x.lower() + " ").encode() for x in texts]
+    six = Counter(x[k : k + 6] for x in raw for k in range(len(x) - 5))
+    five = Counter(g[1:] for g in six)
+    four = Counter(g[1:] for g in five)
+
+    def p(g):
+        level = {6: six, 5: five, 4: four}.get(len(g))
+        if level is None:
+            return shared[g[-2] * 256 + g[-1]]
+        lower = p(g[1:] if len(g) > 4 else g[-2:])
+        after = {s[-1]: n for s, n in level.items() if s[:-1] == g[:-1]}
+        if not after:
+            return lower
+        return (max(level[g] - t.DISCOUNT, 0) + t.DISCOUNT * len(after) * lower) / sum(after.values())
+
+    return [np.log(p(g)) for g in ask]
+
+
+def test_probabilities_against_dictionaries(spark):
     rng = np.random.default_rng(8)
-    data = ["".join(chr(c) for c in rng.integers(33, 0x250, 400)) for _ in range(40)] + [chr(c) + "common" for c in range(33, 127)]
-    seen = {}
-    for x in data:
-        raw = (" " + x.lower() + " ").encode()
-        for k in range(len(raw) - 5):
-            seen.setdefault(int.from_bytes(raw[k : k + 6], "big"), []).append(raw[k - 1] if k else 256)
-    batch = n.pa.RecordBatch.from_arrays([n.pa.array(range(len(data))), n.pa.array(data), n.pa.array([0] * len(data))], names=["doc_id", "text", "toxic"])
-    got = {}
-    pieces = n.pa.Table.from_batches(list(t._count(3)([batch])))
-    for k in range(3):
-        r = t._merge(pieces.filter(n.pa.compute.equal(pieces["shard"], k))).to_pylist()[0]
-        got |= dict(zip(t.unpack(r["g"], True).tolist(), zip(t.unpack(r["counts"]).reshape(4, -1).sum(axis=0).tolist(), t.unpack(r["types"]).tolist())))
-    assert got == {g: (len(b), len(set(b))) for g, b in seen.items()} and max(v for _, v in got.values()) > 32
+    data = [("".join(rng.choice(list("abcé "), 60)), k % 2) for k in range(24)]
+    learn = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(data)], "doc_id long, text string, toxic int").repartition(3)
+    table, shared, size = t.learn_table(learn, 5)
+    packed = [(r["g"], r["counts"]) for r in table.collect()]
+    raw = [(" " + x.lower() + " ").encode() for x, _ in data] + [b"abcabcabd", b"zzzzzzz", b"caab xq"]
+    ask = sorted({x[k : k + 6] for x in raw for k in range(len(x) - 5)})
+    codes = np.array([int.from_bytes(g, "big") for g in ask], np.int64)
+    assert size == len({x[k : k + 6] for x in raw[:-3] for k in range(len(x) - 5)})
+    models = {"all": t._models(packed, "all", shared["all"]), "part": t._models(packed, "part", shared["part"])}
+    for name, m in models.items():
+        use = [(x, y) for k, (x, y) in enumerate(data) if name == "all" or t.id_remainder(k) != t.CALIBRATION_FOLD]
+        pairs = Counter(g[2:] for g in {r[k : k + 4] for x, _ in use for r in [(" " + x.lower() + " ").encode()] for k in range(2, len(r) - 3)})
+        want = t.shared_model(np.array([pairs[bytes([a, b])] for a in range(256) for b in range(256)]))
+        assert np.allclose(want, shared[name])
+        for y in (0, 1):
+            assert np.allclose(np.log(m.probabilities(codes, y)), brute_kneser_ney([x for x, k in use if k == y], ask, want))
+    # what a shard says alone is what all say together
+    for k, at in t.by_shard(codes, 5):
+        alone = t._models([(r["g"], r["counts"]) for r in table.where(f"shard = {k}").collect()], "all", shared["all"])
+        assert np.allclose(alone.ratio(codes[at]), models["all"].ratio(codes[at]))
+
+
+def test_probabilities_of_a_history_sum_to_one():
+    m = t.shared_model(np.random.default_rng(1).integers(0, 3, 65536))
+    assert np.allclose(m.reshape(256, 256).sum(axis=1), 1)
+    models = t.Models(np.sort(t.expressions("some text to learn from, some more of it")), [np.ones(len(t.expressions("some text to learn from, some more of it")), np.int32)] * 2, m)
+    ask = (t.expressions("some text")[2] >> 8 << 8) + np.arange(256)
+    assert np.isclose(models.probabilities(ask, True).sum(), 1)
+
+
+@pytest.mark.parametrize("what", ["BROADCAST_EXPRESSIONS"])
+def test_the_shuffled_table_gives_the_same_scores(spark, docs, monkeypatch, what):
+    _, _, base = texts(6, 80)
+    more = spark.createDataFrame(rows([*base, "x" * 300_000, None]), DOCS).unionByName(docs.limit(9))
+    labels = spark.createDataFrame([(k, k % 3 // 2) for k in range(80)], "doc_id long, toxic int")
+    scores = lambda: sorted((r["doc_id"], r["text"] or "", r["pos"]) for r in t.score_toxicity(more, labels, "pos").withColumn("pos", t.F.round("pos", 9)).collect())
+    a = scores()
+    monkeypatch.setattr(t, what, 0)
+    assert a == scores() and len(a) == 91
 
 
 def test_labels_of_held_out_rows_do_not_matter(spark):
