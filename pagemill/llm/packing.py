@@ -47,8 +47,8 @@ class WordIds:
 
     The tokenizer's pre-tokens never hold white space, so what stands between white space is encoded once
     and remembered. New words of Latin-1 letters are split by the tokenizer file's pattern and merged all at once by
-    its merges, written as ranks; all else (other scripts, zero bytes, four control characters that are white
-    space to str.split only) goes through the tokenizer itself."""
+    its merges, written as ranks; all else (other scripts, texts with zero bytes, with four control characters that are
+    white space to str.split only, or with what may be a special token's name) goes through the tokenizer itself."""
 
     def __init__(self, path: str):
         import regex
@@ -56,7 +56,6 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, letters = spec["model"], _byte_letters()
@@ -67,45 +66,39 @@ class WordIds:
         self.id_of = np.array([model["vocab"][t] for t in order], dtype="<u4")
         self.ends = np.array([t.endswith(suffix) for t in order])
         self.bpe = tiktoken.Encoding("own", pat_str="[^\0]+\0", mergeable_ranks={as_bytes(t): k for k, t in enumerate(order)}, special_tokens={})
-        self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + "|\\n").findall
+        # white space to str.split only, the end mark, and how the tokens begin that may be in a text by name
+        self.odd = ["\0", "\x1c", "\x1d", "\x1e", "\x1f", *{t["content"][:2] for t in spec["added_tokens"]}]
         self.known: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _learn(self, new: list[str]) -> None:
-        latin, other, words, until = [], [], [], []
-        for c in new:
-            try:
-                c.encode("latin-1")
-            except UnicodeEncodeError:
-                other.append(c)
-                continue
-            latin.append(c)
-            words += self.words(c.lower())
-            until.append(len(words))
+        other = [c for c in new if not c.isascii() and max(c) > "\xff"]
         if other:
             self.known.update((c, array("I", e.ids).tobytes()) for c, e in zip(other, self.tok.encode_batch_fast(other, add_special_tokens=False)))
-        if not words:
-            self.known.update(dict.fromkeys(latin, b""))
+            away = set(other)
+            new = [c for c in new if c not in away]
+        if not new:
             return
-        ids = np.array(self.bpe.encode_ordinary(END.join(words) + END))
+        said = self.words("\n".join(new).lower() + "\n")  # pieces of words, and a line end after each word
+        breaks = np.flatnonzero(np.array(said, object) == "\n")
+        ids = np.array(self.bpe.encode_ordinary((END.join(said) + END).replace("\n" + END, "")), np.int64)
         ends = np.r_[0, 1 + np.flatnonzero(self.ends[ids])]
-        ids, at = self.id_of[ids].tobytes(), (4 * ends[np.r_[0, until]]).tolist()
-        self.known.update((c, ids[a:z]) for c, a, z in zip(latin, at, at[1:]))
+        at = (4 * ends[np.r_[0, breaks - np.arange(len(breaks))]]).tolist()
+        ids = self.id_of[ids].tobytes()
+        self.known.update((c, ids[x:y]) for c, x, y in zip(new, at, at[1:]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        odd = [any(c in t for c in "\0\x1c\x1d\x1e\x1f") for t in texts]
+        odd = [any(c in t for c in self.odd) for t in texts]
         split = [[] if o else t.split() for t, o in zip(texts, odd)]
         flat = list(chain.from_iterable(split))
-        found = list(map(self.known.get, flat))
-        if None in found:
-            new = {w for w, x in zip(flat, found) if x is None}
-            if len(self.known) + len(new) > CACHED_WORDS:
-                self.known.clear()
-                new = set(flat)
-            self._learn(list(new))
-            found = [self.known[w] if x is None else x for w, x in zip(flat, found)]
+        words = set(flat)
+        if len(self.known) + len(words) > CACHED_WORDS:
+            self.known.clear()
+        self._learn(list(words.difference(self.known)))
+        found = list(map(self.known.__getitem__, flat))
         ends = list(accumulate(map(len, split)))
         return [self._plain(t) if o else b"".join(found[z - len(s) : z]) for t, s, o, z in zip(texts, split, odd, ends)]
 

@@ -13,16 +13,13 @@ from pagemill.llm import packing as p
 
 @pytest.fixture(scope="module")
 def tok():
-    t = Tokenizer.from_file(public_tokenizers.path(p.TOKENIZER))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(p.TOKENIZER))
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from("aeéthn ß's.,!1\n")), max_size=40))
 def test_ids_equal_the_tokenizers(text):
     t = Tokenizer.from_file(public_tokenizers.path(p.TOKENIZER)) if "t" not in _CACHE else _CACHE["t"]
-    t.encode_special_tokens = True
     _CACHE["t"] = t
     words = p._word_ids(public_tokenizers.path(p.TOKENIZER))
     assert np.frombuffer(words.encode([text])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
@@ -31,6 +28,14 @@ def test_ids_equal_the_tokenizers(text):
 _CACHE: dict = {}
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|startoftext|>", "x<|endoftext|>y <|EndOfText|> <| endoftext|>", "<|", "a\x1cb \0 c", "n\u0303 ñ Ünïcode ŻÓŁW word's WORD'S", "\n \n"])
+def test_ids_of_odd_texts(tok, text):
+    words = p._word_ids(public_tokenizers.path(p.TOKENIZER))
+    got = words.encode([text, "plain words", text])
+    want = np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert got == [want, np.array(tok.encode("plain words", add_special_tokens=False).ids, "<u4").tobytes(), want]
+
+
 def test_whole_words_of_the_vocabulary(tok):
     letters = p._byte_letters()
     words = p._word_ids(public_tokenizers.path(p.TOKENIZER))
