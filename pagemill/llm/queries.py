@@ -58,10 +58,20 @@ def op10_simhash(spark, sf_dir):
     return simhash.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def simhash_neighbours(spark, sf_dir):
+    """The permuted block tables of op10 over whole documents; queries are the ids divisible by 50."""
+    return simhash.neighbours_of_queries(_table(spark, sf_dir, "documents"))
+
+
+def media_clips(spark, sf_dir):
+    """Timed clip rows of op6's stored files."""
+    return media.clip_rows(media.store_media(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
     from corpus_pipeline import run
 
-    own = (op1_packing, op2_sharding, op3_toxicity, op4_line_dedup, op5_near_dedup, op6_media, op7_bpe, op8_html_text, op9_license_scan, op10_simhash)
+    own = (op1_packing, op2_sharding, op3_toxicity, op4_line_dedup, op5_near_dedup, op6_media, op7_bpe, op8_html_text, op9_license_scan, op10_simhash, simhash_neighbours, media_clips)
     return {f.__name__: f for f in own} | {"pipeline": run}
 
 

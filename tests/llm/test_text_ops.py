@@ -146,6 +146,34 @@ def test_edited_text(spark, docs, no_docs):
     assert simhash.edited_fingerprints(no_docs).count() == 0
 
 
+def test_buckets_of_uneven_ids_are_bounded(spark):
+    """A far-off id, a dense run, many null ids and one id on many texts."""
+    ids = [*range(400), 2**62, -(2**62), *[None] * 300, *[77] * 200]
+    t = spark.createDataFrame([(i, f"text {k} of {k % 7}") for k, i in enumerate(ids)], "doc_id long, text string")
+    rows = simhash.with_next(t, 40).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r["bucket"]] = sizes.get(r["bucket"], 0) + 1
+    assert len(rows) == len(ids) and max(sizes.values()) <= 4 * len(ids) / 40
+    order = sorted(rows, key=lambda r: (r["bucket"], r["place"]))
+    assert all((a["next_bucket"], a["next_place"], a["next_text"]) == (b["bucket"], b["place"], b["text"]) for a, b in zip(order, [*order[1:], order[0]]))
+    got = [r["doc_id"] for r in order]
+    assert got == sorted(got, key=lambda i: (i is not None, i))
+
+
+def test_fingerprint_of_a_very_long_text(spark):
+    """More votes for a bit than 21 bits count: of 5,000,000 words nearly all terms are one."""
+    t = spark.range(1).selectExpr("id as doc_id", "concat(repeat('a ', 5000000), 'b') as text").unionByName(spark.createDataFrame([(1, "a a a a a")], "doc_id long, text string"))
+    got = {r["doc_id"]: r["bits"] for r in simhash.document_fingerprints(t).collect()}
+    assert got[0] == got[1]
+
+
+def test_registered_neighbours(spark):
+    t = spark.createDataFrame([(0, "some words of a text"), (1, "some words of a text"), (50, "other words of it"), (3, None), (None, "")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["distance"]) for r in simhash.neighbours_of_queries(t).collect())
+    assert got == [(0, 0), (50, 0)]
+
+
 def test_all_neighbours_within_the_radius(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(-(2**63), 2**63, 20).tolist()
