@@ -16,7 +16,6 @@ and their ratios come back to the chunk. Both ways give the same scores.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -174,12 +173,13 @@ class Models:
     """Both classes' models of a shard, or of several shards whose expressions are in rising order."""
 
     def __init__(self, g: np.ndarray, counts: list[np.ndarray], shared: np.ndarray):
-        self.shared, self.levels = shared, []
+        self.shared, self.levels, self.known = shared, [], g
         for c in counts:
             own = g[c > 0]
             five, n5 = np.unique(own & MASK[5], return_counts=True)
             four, n4 = np.unique(five & MASK[4], return_counts=True)
             self.levels.append((Level(four, n4.astype(np.int32)), Level(five, n5.astype(np.int32)), Level(own, c[c > 0])))
+        self.known_ratio = np.concatenate([self._worked_out(g[a : a + BUFFER]) for a in range(0, len(g), BUFFER)]) if len(g) else np.zeros(0, np.float32)
 
     def probabilities(self, ask: np.ndarray, toxic: bool) -> np.ndarray:
         """P(last byte | the five before it) of each expression."""
@@ -187,9 +187,18 @@ class Models:
         p = four.given(ask & MASK[4], self.shared[ask & 0xFFFF])
         return six.given(ask, five.given(ask & MASK[5], p))
 
-    def ratio(self, ask: np.ndarray) -> np.ndarray:
+    def _worked_out(self, ask: np.ndarray) -> np.ndarray:
         return (np.log(self.probabilities(ask, True)) - np.log(self.probabilities(ask, False))).astype(np.float32)
 
+    def ratio(self, ask: np.ndarray) -> np.ndarray:
+        """log P(toxic) - log P(ordinary) of each expression; those of the table are worked out once."""
+        if not len(self.known):
+            return self._worked_out(ask)
+        at = np.minimum(np.searchsorted(self.known, ask), len(self.known) - 1)
+        out, new = self.known_ratio[at], self.known[at] != ask
+        out[new] = self._worked_out(ask[new])
+        return out
+
 
 def _models(shards: list[tuple[bytes, bytes]], model: str, shared: np.ndarray) -> Models:
     """The models of packed shards (g, counts); ``part`` leaves the calibration rows out."""
@@ -214,34 +223,27 @@ def _distinct(texts: list[str]) -> np.ndarray:
     return np.unique(np.concatenate([u, *held]))
 
 
-_of_worker: dict[str, Models] = {}  # the models of the last broadcast table that this worker has used
-
-
 def with_evidence_by_broadcast(docs: DataFrame, table: DataFrame, model: str, shared: np.ndarray, column: str, made) -> DataFrame:
-    """docs with made(evidence of text) as column. The table has at most BROADCAST_EXPRESSIONS."""
-    sent = docs.sparkSession.sparkContext.broadcast((model, shared, [(r["g"], r["counts"]) for r in table.select("g", "counts").collect()]))
-    name = uuid.uuid4().hex
-
-    def models() -> Models:
-        if name not in _of_worker:
-            _of_worker.clear()
-            _of_worker[name] = _models(sent.value[2], sent.value[0], sent.value[1])
-        return _of_worker[name]
+    """docs with made(evidence of text) as column. The table has at most BROADCAST_EXPRESSIONS; a task unpacks it once and
+    lets it go at its end."""
+    sent = docs.sparkSession.sparkContext.broadcast([(r["g"], r["counts"]) for r in table.select("g", "counts").collect()])
 
     @F.pandas_udf(T.DoubleType())
-    def score(texts: pd.Series) -> pd.Series:
-        out, texts, a = [], texts.tolist(), 0
-        while a < len(texts):
-            z, size = a, 0
-            while z < len(texts) and (z == a or size < BUFFER):
-                size += len(texts[z])
-                z += 1
-            own = [expressions(t) for t in texts[a:z]]
-            u = np.unique(np.concatenate(own))
-            ratio = models().ratio(u)
-            out += [evidence(ratio[np.searchsorted(u, g)]) for g in own]
-            a = z
-        return pd.Series(made(np.array(out, np.float64)))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        models = _models(sent.value, model, shared)
+        for batch in batches:
+            out, texts, a = [], batch.tolist(), 0
+            while a < len(texts):
+                z, size = a, 0
+                while z < len(texts) and (z == a or size < BUFFER):
+                    size += len(texts[z])
+                    z += 1
+                own = [expressions(t) for t in texts[a:z]]
+                u = np.unique(np.concatenate(own))
+                ratio = models.ratio(u)
+                out += [evidence(ratio[np.searchsorted(u, g)]) for g in own]
+                a = z
+            yield pd.Series(made(np.array(out, np.float64)))
 
     return docs.select(*(c for c in docs.columns if c != column), score(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias(column))
 
