@@ -145,8 +145,8 @@ def is_safe_stable_url(url: Column | str, require_normalized: bool = False) -> C
 
 
 def is_valid_alias(value: Column | str) -> Column:
-    value = _c(value)
-    return F.coalesce((F.char_length(value) >= 10) & is_safe_stable_url(value), F.lit(False))
+    """Safe and of ten characters or more. The value is bound first: it may be a long expression, and is named often."""
+    return F.transform(F.array(_c(value)), lambda v: F.coalesce((F.char_length(v) >= 10) & is_safe_stable_url(v), F.lit(False)))[0]
 
 
 def is_remote_url(url: Column | str, hosts: list[str]) -> Column:

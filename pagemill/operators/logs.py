@@ -88,7 +88,7 @@ def suppress_repeats(logs: DataFrame) -> DataFrame:
     keys = ["source", "message", "_action"]
     t = logs.withColumn("_action", _action(F.col("context")))
     total = t.groupBy(*keys).agg(F.count("*").alias("_n"))
-    ranked = t.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy("ts", "event_id"))).where((F.col("_rn") <= SUPPRESS_AFTER) | (F.col("_rn") == ANOMALY_AT))
+    ranked = t.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy("ts", "event_id"))).where(F.col("_rn") <= ANOMALY_AT)
     j = ranked.join(total, keys)
     columns = ["source", "ts", "event_id"]
     kept = j.where(F.col("_rn") <= SUPPRESS_AFTER).select(*columns, "level", "message", F.when((F.col("_rn") == SUPPRESS_AFTER) & (F.col("_n") > SUPPRESS_AFTER), F.col("_n")).alias("repeat_count"))

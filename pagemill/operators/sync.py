@@ -32,15 +32,18 @@ def filter_reachable_aliases(alias_rows: DataFrame, pages: DataFrame) -> DataFra
 def build_snapshot(store: DataFrame, now: Column | None = None) -> dict[str, DataFrame]:
     """highlights, saved_states, url_aliases and metadata of every profile. Empty pages are left out.
 
-    The payload hash is the SHA-256 of the sorted hashes of the pages, so that no page list is gathered; the
-    order is by page key, which makes equal states equal hashes."""
+    The payload hash is a SHA-256 of the pages' hashes in order of their key, in two levels: of each of 256 buckets of keys,
+    and of the buckets, so that a large profile is shared by tasks. Equal states have equal hashes."""
     state = unify_page_state(store, now)
     highlights, saved = highlight_rows(state), saved_state_rows(state)
     pages = highlights.select("profile_id", "page_key").unionByName(saved.select("profile_id", "page_key"))
     kept = filter_reachable_aliases(aliases(store), pages)
     one = state.where((F.json_array_length("highlights") > 0) | F.col("remote").isNotNull())
-    hashed = one.select("profile_id", F.sha2(F.to_json(F.struct("url", "remote", "highlights")), 256).alias("h"), F.json_array_length("highlights").alias("n"), F.col("remote").isNotNull().alias("s"))
-    meta = hashed.groupBy("profile_id").agg(F.count("*").alias("pages"), F.sum("n").alias("n_highlights"), F.count_if("s").alias("n_saved_states"), F.sha2(F.concat_ws("", *(F.lpad(F.hex(F.bit_xor(F.conv(F.substr("h", F.lit(1 + 15 * k), F.lit(15)), 16, 10).cast("long"))), 16, "0") for k in range(4))), 256).alias("payload_hash"))
+    hashed = one.select("profile_id", "url", F.sha2(F.to_json(F.struct("url", "remote", "highlights")), 256).alias("h"), F.json_array_length("highlights").alias("n"), F.col("remote").isNotNull().alias("s"))
+    ordered = lambda by: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, "h"))), lambda x: x["h"]), ""), 256)
+    bucket = F.substr(F.sha2("url", 256), F.lit(1), F.lit(2)).alias("bucket")
+    level = hashed.groupBy("profile_id", bucket).agg(F.count("*").alias("pages"), F.sum("n").alias("n_highlights"), F.count_if("s").alias("n_saved_states"), ordered("url").alias("h"))
+    meta = level.groupBy("profile_id").agg(F.sum("pages").alias("pages"), F.sum("n_highlights").alias("n_highlights"), F.sum("n_saved_states").alias("n_saved_states"), ordered("bucket").alias("payload_hash"))
     return {"highlights": highlights, "saved_states": saved, "url_aliases": kept, "metadata": meta}
 
 

@@ -35,12 +35,11 @@ def a4_snapshot_summary(spark, d):
 
 
 def j6_apply_snapshot(spark, d):
-    """The snapshot of profile p0 restored over every profile."""
+    """Every profile's snapshot restored over the next profile's rows."""
     st = _store(spark, d)
     snap = y.build_snapshot(st)
-    onto = lambda t: t.where("profile_id = 'p0'").drop("profile_id").crossJoin(F.broadcast(spark.createDataFrame([("p0",), ("p1",)], "profile_id string")))  # noqa: E731  two rows
-    out = y.apply_snapshot(onto(snap["highlights"]), onto(snap["saved_states"]), onto(snap["url_aliases"]), st.where("profile_id in ('p0', 'p1')"), F.lit(1000).cast("long"))
-    return out.select("profile_id", "key", "action")
+    onto = lambda t: t.withColumn("profile_id", F.concat(F.lit("p"), ((F.substr("profile_id", F.lit(2)).cast("int") + 1) % 3).cast("string")))
+    return y.apply_snapshot(onto(snap["highlights"]), onto(snap["saved_states"]), onto(snap["url_aliases"]), st, F.lit(1000).cast("long")).select("profile_id", "key", "action")
 
 
 def p12_a5_migration_scan(spark, d):
@@ -182,13 +181,14 @@ ORACLES = {
     "a3_snapshot_metadata": f"WITH {_ROUTED}, {_STATE} SELECT profile_id, count(*) AS pages, CAST(sum(json_array_length(hl)) AS BIGINT) AS n_highlights, count(remote) AS n_saved_states FROM uni WHERE remote IS NOT NULL OR json_array_length(hl) > 0 GROUP BY 1",
     "j7_reachable_aliases": f"WITH {_ROUTED}, {_STATE} SELECT profile_id, url, target FROM reach",
     "a4_snapshot_summary": f"WITH {_ROUTED}, {_STATE} SELECT profile_id, count(*) AS page_count, CAST((SELECT count(*) FROM hrow WHERE hrow.profile_id = keyed.profile_id) AS BIGINT) AS highlight_count FROM keyed GROUP BY profile_id",
-    "j6_apply_snapshot": f"""WITH {_ROUTED}, {_STATE}, pr AS (SELECT 'p0' AS profile_id UNION ALL SELECT 'p1'),
-      pg AS (SELECT pr.profile_id, k.page_key, (SELECT count(*) FROM hrow h WHERE h.profile_id = 'p0' AND h.page_key = k.page_key) AS nh, EXISTS (SELECT 1 FROM uni WHERE uni.profile_id = 'p0' AND uni.url = k.page_key AND remote IS NOT NULL) AS s FROM (SELECT page_key FROM keyed WHERE profile_id = 'p0') k, pr),
+    "j6_apply_snapshot": f"""WITH {_ROUTED}, {_STATE}, nx AS (SELECT profile_id AS src, 'p' || ((CAST(substr(profile_id, 2) AS INTEGER) + 1) % 3) AS profile_id FROM (SELECT DISTINCT profile_id FROM r)),
+      nh AS (SELECT profile_id AS src, page_key, count(*) AS n FROM hrow GROUP BY 1, 2), rem AS (SELECT DISTINCT profile_id AS src, url AS page_key FROM uni WHERE remote IS NOT NULL),
+      pg AS (SELECT nx.profile_id, k.page_key, nh.n AS nh, rem.src IS NOT NULL AS s FROM (SELECT DISTINCT profile_id AS src, page_key FROM keyed) k JOIN nx USING (src) LEFT JOIN nh USING (src, page_key) LEFT JOIN rem USING (src, page_key)),
       full_pg AS (SELECT pg.*, l.value AS lv FROM pg LEFT JOIN r l ON l.kind = 'page' AND l.profile_id = pg.profile_id AND l.url = pg.page_key),
       wr AS (SELECT profile_id, 'page_' || page_key AS key FROM full_pg UNION ALL SELECT profile_id, 'saved_' || page_key FROM full_pg WHERE s OR json_type(lv, '$.remote') = 'OBJECT'
         UNION ALL SELECT profile_id, 'highlights_' || page_key FROM full_pg WHERE nh > 0 OR json_array_length(lv, '$.highlights') > 0
-        UNION ALL SELECT pr.profile_id, 'url_alias:' || url FROM reach, pr WHERE reach.profile_id = 'p0')
-      SELECT profile_id, key, 'write' AS action FROM wr UNION ALL SELECT profile_id, key, 'remove' FROM r WHERE kind = 'alias' AND profile_id IN ('p0', 'p1') AND NOT EXISTS (SELECT 1 FROM wr WHERE wr.profile_id = r.profile_id AND wr.key = r.key)""",
+        UNION ALL SELECT nx.profile_id, 'url_alias:' || url FROM reach JOIN nx ON nx.src = reach.profile_id)
+      SELECT profile_id, key, 'write' AS action FROM wr UNION ALL SELECT r.profile_id, r.key, 'remove' FROM r LEFT JOIN wr ON wr.profile_id = r.profile_id AND wr.key = r.key WHERE r.kind = 'alias' AND wr.key IS NULL""",
     "p12_a5_migration_scan": f"WITH {_ROUTED}, o AS (SELECT *, CASE WHEN json_type(value) = 'ARRAY' THEN value::JSON ELSE json_extract(value, '$.highlights') END AS hl FROM leg), c AS (SELECT profile_id, n, (SELECT count(*) FROM range(n::BIGINT) t(k) WHERE json_type(json_extract(hl, '$[' || k || ']'), '$.rangeInfo') IS NULL) > 0 AS old FROM o) SELECT profile_id, CAST(sum(n) AS BIGINT) AS total_highlights, count_if(old) AS legacy_count, count_if(old) > 0 AS needs_migration FROM c GROUP BY 1",
     "a5_migration_items": f"WITH {_ROUTED}, p AS (SELECT min(page_id) AS page_id, url FROM pages GROUP BY url) SELECT leg.profile_id, leg.url, CAST(n AS BIGINT) AS n_highlights FROM leg JOIN p ON p.url = leg.url WHERE n > 0 AND page_id % 5 = 0",
     "a6_migration_status": f"WITH {_ROUTED} SELECT profile_id, count_if(json_extract_string(value, '$.phase') = 'completed') AS completed, count_if(json_extract_string(value, '$.phase') = 'failed') AS failed, 0::BIGINT AS pending FROM r WHERE starts_with(key, 'migration_') GROUP BY 1",

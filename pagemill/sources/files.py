@@ -18,24 +18,32 @@ def read_pages(spark: SparkSession, path: str, partitions: int | None = None) ->
 
 
 def read_backup(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(store rows, rejects) of backup files, one file a profile: profile_id is the file's name.
-
-    A file is an object with text ``version`` and ``timestamp`` and an object ``data``; names that reach into prototypes
-    reject it at any depth, and so does malformed JSON."""
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("profile_id"), "value")
+    """(store rows, rejects) of backup files, one file a profile: profile_id is the file's name, or that of its folder
+    profile_id=... where write_backup has written it.
+
+    A file is an object with text ``version`` and ``timestamp`` and an object ``data``; names that reach into prototypes,
+    however they are spelt, reject it at any depth, and so does malformed JSON. Values stay JSON: texts keep their quotes."""
+    name = F.input_file_name()
+    profile = F.coalesce(F.nullif(F.regexp_extract(name, r"/profile_id=([^/]+)/[^/]*$", 1), F.lit("")), F.regexp_extract(name, r"([^/]+?)(?:\.[^./]*)?$", 1))
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(profile.alias("profile_id"), "value")
     v = F.try_parse_json("value")
     is_text = lambda p: F.schema_of_variant(F.try_variant_get(v, p, "variant")) == "STRING"
     is_map = F.schema_of_variant(F.try_variant_get(v, "$.data", "variant")).startswith("OBJECT")
-    marked = files.withColumn("_ok", F.coalesce(v.isNotNull() & ~F.col("value").rlike(FORBIDDEN) & is_text("$.version") & is_text("$.timestamp") & is_map, F.lit(False)))
-    data = F.from_json(F.get_json_object("value", "$.data"), "map<string,string>")
-    store = marked.where("_ok").select("profile_id", F.posexplode(data).alias("pos", "key", "value")).select("profile_id", F.col("pos").cast("long").alias("ordinal"), "key", "value")
+    plain = F.to_json(v)  # names without escapes
+    marked = files.withColumn("_ok", F.coalesce(v.isNotNull() & ~plain.rlike(FORBIDDEN) & is_text("$.version") & is_text("$.timestamp") & is_map, F.lit(False)))
+    data = F.from_json(F.get_json_object("value", "$.data"), "map<string,variant>")
+    store = marked.where("_ok").select("profile_id", F.posexplode(data).alias("pos", "key", "value")).select("profile_id", F.col("pos").cast("long").alias("ordinal"), "key", F.to_json("value").alias("value"))
     return store, marked.where("not _ok").select("profile_id", "value")
 
 
 def write_backup(store: DataFrame, path: str, timestamp: str, version: str) -> None:
-    """User rows with the backup's timestamp and version, a folder a profile."""
-    rows = filter_backup_keys(store).select("profile_id", "key", "value", F.lit(timestamp).alias("timestamp"), F.lit(version).alias("version"))
-    rows.write.partitionBy("profile_id").json(path)
+    """User rows as backups, a folder a profile: one object with timestamp, version and data. A profile's data is one JSON
+    text by the format, bounded by what a browser stores for it. Rows without a value are left out."""
+    text = lambda x: F.expr(f"substr(to_json(array({x})), 2, length(to_json(array({x}))) - 2)")
+    member = F.concat(text("key"), F.lit(":"), F.col("value"))
+    rows = filter_backup_keys(store).where("value is not null").groupBy("profile_id").agg(F.array_join(F.array_sort(F.collect_list(member)), ",").alias("data"))
+    head = F.to_json(F.struct(F.lit(timestamp).alias("timestamp"), F.lit(version).alias("version")))
+    rows.select("profile_id", F.concat(F.rtrim(head, F.lit("}")), F.lit(',"data":{'), "data", F.lit("}}")).alias("value")).write.partitionBy("profile_id").text(path)
 
 
 def write_snapshot(snapshot: dict[str, DataFrame], path: str) -> None:

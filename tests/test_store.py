@@ -141,8 +141,18 @@ def test_backup_files(spark, tmp_path):
     store, rejects = files.read_backup(spark, str(d))
     assert sorted((r["profile_id"], r["key"], r["value"]) for r in store.collect()) == [("good", "n", "2"), ("good", "page_a", '{"x":1}')]
     assert {r["profile_id"] for r in rejects.collect()} == {"proto", "cut", "list", "number"}
-    files.write_backup(store, f"{tmp_path}/out", "t", "1")
-    assert [r["key"] for r in spark.read.json(f"{tmp_path}/out").collect()] == ["page_a"]
+    (d / "spelt.json").write_text('{"version":"1","timestamp":"t","data":{"a":{"\\u005f_proto__":1}}}')
+    assert "spelt" in {r["profile_id"] for r in files.read_backup(spark, str(d))[1].collect()}
+
+
+def test_backups_survive_a_round_trip(spark, tmp_path):
+    rows = [("p", "page_http://e.org/a", '{"highlights":[{"id":"1","text":"a \\"b\\" é"}]}'), ("p", "url_alias:http://e.org/b", '"http://e.org/a"'), ("q", "page_x", "[1,2.5,null,true]"), ("q", "secret", "1"), ("q", "page_none", None)]
+    store = spark.createDataFrame([(p, k, key, v) for k, (p, key, v) in enumerate(rows)], "profile_id string, ordinal long, key string, value string")
+    files.write_backup(store, f"{tmp_path}/out", "2020", "1")
+    back, rejects = files.read_backup(spark, f"{tmp_path}/out")
+    assert rejects.count() == 0
+    assert sorted((r["profile_id"], r["key"], r["value"]) for r in back.collect()) == [x for x in sorted(rows, key=lambda x: x[:2]) if x[1] not in ("secret", "page_none")]
+    assert {r["status"] for r in b.diff_backup(back, store).collect()} == {"identical"}
 
 
 def test_empty_store(spark):
