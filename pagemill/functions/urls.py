@@ -21,6 +21,11 @@ _HEAD = _SCHEME[:4] + r"[A-Za-z][A-Za-z0-9+.\-]*://"
 _PARSEABLE = _HEAD + r"(?:[^@/?#]*@)?[^\s<>\\^|%#\[\]/?:@]+(?::\d*)?(?:[/?#][\s\S]*)?$"
 
 
+def bound(x: Column, f) -> Column:
+    """f(x) with x worked out once, however often f names it; long expressions would else outgrow what compiles."""
+    return F.transform(F.array(x), f)[0]
+
+
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -69,12 +74,14 @@ def normalize_url(url: Column | str) -> Column:
     """The storage key of a URL: no fragment, no tracking parameters, no trailing slashes but the root's.
 
     Null and '' give ''; what has no :// or can't be parsed stays as it is. Scheme and host variants stay apart."""
-    url = _c(url)
+    return bound(_c(url), lambda u: F.when(u.isNull() | (u == ""), "").when(is_parseable(u), _normal_form(u)).otherwise(u))
+
+
+def _normal_form(url: Column) -> Column:
     user = F.regexp_extract(url, _HEAD + r"([^@/?#]*@)", 1)
-    origin = F.when(F.contains(url, F.lit("@")), F.concat(F.regexp_extract(origin_of(url), r"^([^/]*//)", 1), user, F.regexp_extract(origin_of(url), r"^[^/]*//(.*)$", 1))).otherwise(origin_of(url))
+    with_user = lambda o: F.when(F.contains(url, F.lit("@")), F.concat(F.regexp_extract(o, r"^([^/]*//)", 1), user, F.regexp_extract(o, r"^[^/]*//(.*)$", 1))).otherwise(o)
     path = F.regexp_replace(path_of(url), r"(?<=.)/+$", "")
-    made = F.concat(origin, path, F.regexp_replace(F.concat(F.lit("?"), _query_kept(url)), r"^\?$", ""))
-    return F.when(url.isNull() | (url == ""), "").when(is_parseable(url), made).otherwise(url)
+    return F.concat(bound(origin_of(url), with_user), path, F.regexp_replace(F.concat(F.lit("?"), _query_kept(url)), r"^\?$", ""))
 
 
 def stable_url(url: Column | str) -> Column:
@@ -146,7 +153,7 @@ def is_safe_stable_url(url: Column | str, require_normalized: bool = False) -> C
 
 def is_valid_alias(value: Column | str) -> Column:
     """Safe and of ten characters or more. The value is bound first: it may be a long expression, and is named often."""
-    return F.transform(F.array(_c(value)), lambda v: F.coalesce((F.char_length(v) >= 10) & is_safe_stable_url(v), F.lit(False)))[0]
+    return bound(_c(value), lambda v: F.coalesce((F.char_length(v) >= 10) & is_safe_stable_url(v), F.lit(False)))
 
 
 def is_remote_url(url: Column | str, hosts: list[str]) -> Column:

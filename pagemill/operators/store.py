@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagemill.functions.urls import extract_domain, is_root_url, is_valid_alias, normalize_url
+from pagemill.functions.urls import bound, extract_domain, is_root_url, is_valid_alias, normalize_url
 
 # Key prefixes.
 PAGE, SAVED, HIGHLIGHTS, ALIAS = "page_", "saved_", "highlights_", "url_alias:"
@@ -133,9 +133,10 @@ def lookup_highlights(urls: DataFrame, store: DataFrame) -> DataFrame:
     by = lambda name, out: a.select("profile_id", F.col("url").alias(name), F.col("target").alias(out))
     u = u.join(by("norm", "_by_norm"), ["profile_id", "norm"], "left").join(by("url", "_by_raw"), ["profile_id", "url"], "left")
     u = u.withColumn("stable", F.coalesce("_by_norm", "_by_raw", "norm"))
+    held_list = lambda v: F.when(_starts(PAGE), F.when(is_object(v) & is_array(json_at(v, "$.highlights")), json_at(v, "$.highlights"))).otherwise(highlight_list(v))
     keys = F.array(*(F.concat(F.lit(p), c) for p in (PAGE, HIGHLIGHTS) for c in ("stable", "norm")))
     wanted = u.select("profile_id", "url", F.posexplode(keys).alias("rank", "key"))
-    held = store.select("profile_id", "key", F.when(_starts(PAGE), F.when(is_object(F.col("value")) & is_array(json_at("value", "$.highlights")), json_at("value", "$.highlights"))).otherwise(highlight_list(F.col("value"))).alias("list")).where("list is not null")
+    held = store.select("profile_id", "key", bound(F.col("value"), held_list).alias("list")).where("list is not null")
     best = wanted.join(held, ["profile_id", "key"]).groupBy("profile_id", "url").agg(F.min(F.struct("rank", "key", "list")).alias("b"))
     return u.select("profile_id", "url").join(best, ["profile_id", "url"], "left").select("profile_id", "url", F.col("b.key").alias("found_key"), F.col("b.list").alias("highlights"))
 
