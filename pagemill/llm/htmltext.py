@@ -209,7 +209,9 @@ def main_text(page: str | None) -> str:
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars): one row for each page, repeated rows and null ids included."""
+    """(page_id, url, text, n_chars): one row for each page, repeated rows and null ids included. Null and empty html and
+    pages without content give ''; pages of any length are read whole; an empty table gives no rows; columns other than
+    page_id, url and html play no part."""
 
     @F.pandas_udf(T.StringType())
     def text(pages: pd.Series) -> pd.Series:

@@ -185,6 +185,8 @@ def shot_starts(frames: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First frames of the shots, and the histograms. A cut is where the histogram difference to the frame
     before is over the mean of the last differences by SPREAD deviations, and LEAST_CUT at least."""
     n = len(frames)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros((0, BINS), np.int64)
     bins = (frames.reshape(n, -1) >> 4).astype(np.int64) + BINS * np.arange(n)[:, None]
     hist = np.bincount(bins.ravel(), minlength=BINS * n).reshape(n, BINS)
     d = np.abs(np.diff(hist, axis=0)).sum(axis=1) / (2 * max(1, frames[0].size))
@@ -240,7 +242,9 @@ DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """Stores each text, reads it back from the stored bytes, and returns digests and the shots found.
+    """Stores each text, reads it back from the stored bytes, and returns digests and the shots found: a row for each row,
+    repeated ones too. Null and empty texts are one frame of blanks; texts of any length are stored whole; an empty table
+    gives no rows; columns other than doc_id and text play no part.
     ``feature``: frames, shots, crc32 of the shots' first frames, and the mean histogram in sixteenths of 4096."""
 
     def digest(batches: Iterator[pa.RecordBatch]):

@@ -43,6 +43,16 @@ def test_shots_and_clips(spark):
     assert sorted(got) == [(0, 0, 800, 10.0), (1, 800, 1400, 200.0)]
 
 
+def test_files_without_frames_and_empty_tables(spark, no_docs):
+    starts, hist = media.shot_starts(np.zeros((0, 12, 16), np.uint8))
+    assert len(starts) == 0 and hist.shape == (0, media.BINS)
+    m = media.write_avi(b" " * 192)
+    start, size = media.frame_spans(m)
+    assert len(start) == 1
+    assert media.media_digests(no_docs).count() == bpe.token_digests(no_docs).count() == license.scan_licenses(no_docs).count() == 0
+    assert media.clip_rows(media.store_media(no_docs)).count() == simhash.neighbours_of_queries(no_docs).count() == 0
+
+
 @pytest.fixture(scope="module")
 def enc():
     with open(public_tokenizers.path(bpe.RANKS), "rb") as f:
