@@ -5,6 +5,7 @@ Spark deals out the pages; these helpers see one page at a time.
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
 
 # Element classes of HTML.
@@ -12,6 +13,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 INLINE_STYLE = {"b": "bold", "strong": "bold", "i": "italic", "em": "italic", "s": "strikethrough", "strike": "strikethrough", "del": "strikethrough", "u": "underline", "code": "code"}
 SILENT = frozenset(("script", "style", "noscript", "template", "head", "title"))
+NESTED = frozenset(("ul", "ol", "blockquote", "pre", "figure", "img"))  # blocks of their own inside a list item
 STYLES = ("bold", "italic", "strikethrough", "underline", "code")
 
 
@@ -27,6 +29,7 @@ class _Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", {}, None, 0)
         self.now, self.n = self.root, 0
+        self.open = Counter()  # open elements by tag, so that an end without a start costs nothing
 
     def handle_starttag(self, tag, attrs):
         if tag in CLOSES_P:
@@ -38,6 +41,16 @@ class _Reader(HTMLParser):
         self.now.kids.append(node)
         if tag not in VOID:
             self.now = node
+            self.open[tag] += 1
+
+    def _leave(self, node):
+        """Closes node and all that is open within it."""
+        x = self.now
+        while x is not node:
+            self.open[x.tag] -= 1
+            x = x.up
+        self.open[node.tag] -= 1
+        self.now = node.up
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -45,18 +58,21 @@ class _Reader(HTMLParser):
             self.handle_endtag(tag)
 
     def _close_within(self, tag, stop):
+        if not self.open[tag]:
+            return
         x = self.now
         while x is not self.root and x.tag != tag and x.tag not in stop:
             x = x.up
         if x.tag == tag:
-            self.now = x.up
+            self._leave(x)
 
     def handle_endtag(self, tag):
+        if not self.open[tag]:
+            return
         x = self.now
-        while x is not self.root and x.tag != tag:
+        while x.tag != tag:
             x = x.up
-        if x is not self.root:
-            self.now = x.up
+        self._leave(x)
 
     def handle_data(self, data):
         self.now.kids.append(data)
@@ -96,13 +112,30 @@ def hidden(node: Node) -> bool:
     return "display:none" in style or "visibility:hidden" in style
 
 
+def _lengths(elements: list[Node]) -> dict[int, int]:
+    """The length of each element's stripped text by id, children first, so that no text is read twice."""
+    parts = {}  # characters, and how many of them are white space at the start and at the end
+    for n in reversed(elements):
+        size = lead = trail = 0
+        for k in n.kids:
+            if isinstance(k, str):
+                c, left, right = len(k), len(k) - len(k.lstrip()), len(k) - len(k.rstrip())
+            elif k.tag in SILENT:
+                continue
+            else:
+                c, left, right = parts[k.id]
+            lead += left if lead == size else 0
+            trail = trail + c if right == c else right
+            size += c
+        parts[n.id] = (size, lead, trail)
+    return {i: 0 if lead == size else size - lead - trail for i, (size, lead, trail) in parts.items()}
+
+
 def element_rows(page: str | None) -> list[tuple]:
     """(node_id, parent_id, tag, attrs, text_len, text) of each element."""
-    rows = []
-    for n in walk(read(page)):
-        t = text_of(n)
-        rows.append((n.id, n.up.id, n.tag, n.attrs, len(t.strip()), t if len(n.kids) == 1 and isinstance(n.kids[0], str) else None))
-    return rows
+    elements = list(walk(read(page)))
+    length = _lengths(elements)
+    return [(n.id, n.up.id, n.tag, n.attrs, length[n.id], n.kids[0] if len(n.kids) == 1 and isinstance(n.kids[0], str) else None) for n in elements]
 
 
 def rich_text(node: Node, skip: frozenset = frozenset()) -> list[dict]:
@@ -115,17 +148,18 @@ def rich_text(node: Node, skip: frozenset = frozenset()) -> list[dict]:
         else:
             runs.append({"content": text, "style": style, "link": link})
 
-    def go(n, style, link):
-        for k in n.kids:
-            if isinstance(k, str):
-                add(k, style, link)
-            elif k.tag == "br":
-                add("\n", style, link)
-            elif k.tag not in SILENT and k.tag not in skip and not hidden(k):
-                to = k.attrs.get("href", link) if k.tag == "a" else link
-                go(k, style | {INLINE_STYLE[k.tag]} if k.tag in INLINE_STYLE else style, to if to and to.startswith(("http://", "https://")) else None)
-
-    go(node, frozenset(), None)
+    todo = [(k, frozenset(), None) for k in reversed(node.kids)]
+    while todo:
+        k, style, link = todo.pop()
+        if isinstance(k, str):
+            add(k, style, link)
+        elif k.tag == "br":
+            add("\n", style, link)
+        elif k.tag not in SILENT and k.tag not in skip and not hidden(k):
+            to = k.attrs.get("href", link) if k.tag == "a" else link
+            inner = style | {INLINE_STYLE[k.tag]} if k.tag in INLINE_STYLE else style
+            to = to if to and to.startswith(("http://", "https://")) else None
+            todo += [(x, inner, to) for x in reversed(k.kids)]
     out = []
     for r in runs:
         squeezed = []
@@ -143,6 +177,19 @@ def rich_text(node: Node, skip: frozenset = frozenset()) -> list[dict]:
     return [r for r in out if r["content"]]
 
 
+def _outermost(top: Node):
+    """The NESTED elements below a node that stand in no other of them, in page order."""
+    todo = list(reversed(top.kids))
+    while todo:
+        n = todo.pop()
+        if isinstance(n, str):
+            continue
+        if n.tag in NESTED:
+            yield n
+        else:
+            todo += reversed(n.kids)
+
+
 def blocks(page: str | None, default_language: str = "javascript") -> list[tuple]:
     """Flat content blocks of a page: (pos, parent_pos, depth, type, runs, language, image_url, caption).
 
@@ -159,21 +206,14 @@ def blocks(page: str | None, default_language: str = "javascript") -> list[tuple
             put("image", [], parent, depth, image=src, caption=caption or n.attrs.get("alt") or None)
 
     def item(n, kind, parent, depth):
-        runs = rich_text(n, frozenset(("ul", "ol", "blockquote", "pre", "figure", "img")))
-        inner = [k for k in walk(n) if k.tag in ("ul", "ol", "blockquote", "pre", "figure", "img") and _nearest(k, n)]
+        runs = rich_text(n, NESTED)
         at, below = (put(kind, runs, parent, depth), depth + 1) if runs else (parent, depth)
-        for k in inner:
-            visit(k, at, below)
-
-    def _nearest(k, top):
-        x = k.up
-        while x is not top:
-            if x.tag in ("ul", "ol", "blockquote", "pre", "figure"):
-                return False
-            x = x.up
-        return True
+        later((k, None, at, below) for k in _outermost(n))
 
-    def visit(n, parent=None, depth=0):
+    def later(nodes):
+        todo.extend(reversed(list(nodes)))
+
+    def visit(n, parent, depth):
         if n.tag in SILENT or hidden(n):
             return
         if n.tag in ("h1", "h2", "h3"):
@@ -191,9 +231,7 @@ def blocks(page: str | None, default_language: str = "javascript") -> list[tuple
                 put("paragraph", runs, parent, depth)
         elif n.tag in ("ul", "ol"):
             kind = "bulleted_list_item" if n.tag == "ul" else "numbered_list_item"
-            for k in n.kids:
-                if isinstance(k, Node):
-                    item(k, kind, parent, depth) if k.tag == "li" else visit(k, parent, depth)
+            later((k, kind if k.tag == "li" else None, parent, depth) for k in n.kids if isinstance(k, Node))
         elif n.tag == "li":
             item(n, "bulleted_list_item", parent, depth)
         elif n.tag == "blockquote":
@@ -214,9 +252,10 @@ def blocks(page: str | None, default_language: str = "javascript") -> list[tuple
         elif n.tag == "hr":
             put("divider", [], parent, depth)
         else:
-            for k in n.kids:
-                if isinstance(k, Node):
-                    visit(k, parent, depth)
+            later((k, None, parent, depth) for k in n.kids if isinstance(k, Node))
 
-    visit(read(page))
+    todo: list[tuple] = [(read(page), None, None, 0)]
+    while todo:
+        n, kind, parent, depth = todo.pop()
+        item(n, kind, parent, depth) if kind else visit(n, parent, depth)
     return out

@@ -119,6 +119,15 @@ def test_odd_pages():
         assert isinstance(h.blocks(page), list) and isinstance(h.element_rows(page), list)
 
 
+def test_deep_pages():
+    n = 100_000
+    assert [b[4][0]["content"] for b in h.blocks("<div>" * n + "<p> x ")] == ["x"]
+    rows = h.element_rows("<div>" * n + " x <script>no</script>\n")
+    assert len(rows) == n + 1 and rows[0][4] == 1 and rows[-1][4] == 2
+    assert h.blocks("<ul><li>a" * 3000)[-1][1:4] == (2998, 2999, "bulleted_list_item")
+    assert len(h.element_rows("<i>" + "</b>" * n)) == 1
+
+
 def test_match_highlights(spark):
     blocks = spark.createDataFrame([(1, 0, "x cat  sat. cat sat!"), (1, 1, "the cat sat"), (2, 0, "cat sat")], "page_id long, pos int, text string")
     hl = spark.createDataFrame([(1, "a", "cat sat", "sat. ", "!"), (1, "b", "dog", "", ""), (2, "c", "cat\nsat", "zz", ""), (1, "d", "the cat", "", "")], "page_id long, id string, text string, prefix string, suffix string")
