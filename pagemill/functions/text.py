@@ -81,3 +81,37 @@ def remote_url(page_id: Column, url: Column, base: str) -> Column:
 def truncate(s: Column, n: int, mark: str = "…") -> Column:
     """At most n characters, the mark after what was cut."""
     return F.when(F.char_length(s) > n, F.concat(F.substr(s, F.lit(1), F.lit(n)), F.lit(mark))).otherwise(s)
+
+
+# Words of error messages and the codes they mean, in the order they are tried.
+ERROR_WORDS = [
+    ("RATE_LIMITED", ["rate limit", "too many requests"]),
+    ("NO_TAB_WITH_ID", ["no tab with id"]),
+    ("CONTENT_SCRIPT_NOT_READY", ["receiving end does not exist"]),
+    ("TAB_COMMUNICATION_FAILED", ["could not establish connection"]),
+    ("MISSING_PAGE_ID", ["not found", "does not exist"]),
+    ("NO_ACTIVE_TAB", ["active tab"]),
+    ("TIMEOUT", ["timeout", "timed out"]),
+    ("NETWORK_ERROR", ["network", "fetch", "enotfound"]),
+    ("INTEGRATION_DISCONNECTED", ["integration disconnected", "invalid_token"]),
+    ("INVALID_API_KEY_FORMAT", ["invalid api key", "malformed_token"]),
+    ("INTEGRATION_FORBIDDEN", ["forbidden", "permission_denied", "permission denied"]),
+    ("API_KEY_NOT_CONFIGURED", ["unauthorized", "authentication", "api key", "api_key", "api_token", "api token", "bearer token"]),
+    ("VALIDATION_ERROR", ["validation", "image", "media", "conflict", "bad request", "invalid", "400"]),
+]
+
+
+def classify_error(code: Column, message: Column) -> Column:
+    """The class of an error: by its code (validation errors on images apart), else by the first words its message holds;
+    a message in Chinese characters stays as it is, all else is UNKNOWN_ERROR."""
+    text = F.coalesce(message, F.lit(""))
+    low = F.lower(text)
+    any_of = lambda words: low.rlike("|".join(words))
+    picture = F.when(any_of(["image", "media"]), "IMAGE_VALIDATION_ERROR").otherwise("VALIDATION_ERROR")
+    out = F.when(F.coalesce(code, F.lit("")) != "", F.when(code == "validation_error", picture).otherwise(F.upper(code)))
+    for name, words in ERROR_WORDS:
+        out = out.when(any_of(words), name)
+    out = out.when(any_of(["permission", "access denied"]), F.when(low.contains("database"), "DATABASE_ACCESS_DENIED").otherwise("TAB_RESTRICTED_PAGE"))
+    out = out.when(any_of(["database", "object_not_found"]), "MISSING_DATA_SOURCE")
+    out = out.when(low.contains("internal") & low.contains("error") | low.contains("service") & low.contains("unavailable"), "INTERNAL_SERVER_ERROR")
+    return out.when(F.substr(text, F.lit(1), F.lit(500)).rlike(r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{323af}]"), text).otherwise("UNKNOWN_ERROR")

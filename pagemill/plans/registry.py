@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagemill.plans import pages, state, web
+from pagemill.plans import labels, pages, state, web
 
-QUERIES = {**web.QUERIES, **state.QUERIES, **pages.QUERIES}
-ORACLES = {**web.ORACLES, **state.ORACLES, **pages.ORACLES}
+QUERIES = {**web.QUERIES, **state.QUERIES, **pages.QUERIES, **labels.QUERIES}
+ORACLES = {**web.ORACLES, **state.ORACLES, **pages.ORACLES, **labels.ORACLES}

@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("pages", "events", "conversations", "part", "supplier", "documents", "customer", "orders"):
+    for t in ("pages", "events", "conversations", "part", "supplier", "documents", "customer", "orders", "lineitem"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return c
 
