@@ -182,3 +182,31 @@ def normalize_highlights(value: Column, now: Column) -> Column:
     objects = F.filter(items_of(value), is_object)
     return F.transform(objects, lambda h: F.struct(text(h, "$.id", F.lit("")).alias("id"), text(h, "$.text", F.lit("")).alias("text"), text(h, "$.color", F.lit("yellow")).alias("color"), F.when(is_object(json_at(h, "$.rangeInfo")), json_at(h, "$.rangeInfo")).otherwise("{}").alias("range_info"), F.coalesce(json_at(h, "$.timestamp").try_cast("double"), now.cast("double")).alias("timestamp")))
 
+
+
+def needs_range(items: Column) -> Column:
+    """A JSON list's items, each with needsRangeInfo: whether it has no rangeInfo; a JSON list again."""
+
+    def mark(h):
+        value = F.when(json_at(h, "$.rangeInfo").isNull(), "true").otherwise("false")
+        known = F.regexp_replace(h, F.lit('"needsRangeInfo":(true|false)'), F.concat(F.lit('"needsRangeInfo":'), value))
+        new = F.concat(F.substr(h, F.lit(1), F.char_length(h) - 1), F.when(h == "{}", "").otherwise(","), F.lit('"needsRangeInfo":'), value, F.lit("}"))
+        return F.when(json_at(h, "$.needsRangeInfo").isNotNull(), known).otherwise(new)
+
+    return F.concat(F.lit("["), F.array_join(F.transform(items_of(items), mark), ","), F.lit("]"))
+
+
+def batch_migrate(store: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs(profile_id, legacy_url, stable_url or null) with what becomes of each url's legacy list: (profile_id,
+    legacy_url, status, reason, report_url, n_highlights, n_pending, highlights).
+
+    skipped, for no_data or no_highlights; else success: moved to the stable url where nothing stands there yet, of
+    several urls by the first with highlights; converted in place otherwise. n_pending counts items without rangeInfo."""
+    legacy = route_keys(store).where("kind = 'highlights'").select("profile_id", F.col("url").alias("legacy_url"), highlight_list(F.col("value")).alias("list"))
+    moves = migrate_to_stable(store, pairs.where("stable_url is not null"), needs_range).select("profile_id", "legacy_url", "stable_url", "outcome")
+    j = pairs.join(legacy, ["profile_id", "legacy_url"], "left").join(moves, ["profile_id", "legacy_url", "stable_url"], "left")
+    n = F.coalesce(F.json_array_length("list"), F.lit(0))
+    reason = F.when(F.col("list").isNull(), "no_data").when(n == 0, "no_highlights")
+    waits = F.size(F.filter(items_of(F.coalesce("list", F.lit("[]"))), lambda h: json_at(h, "$.rangeInfo").isNull()))
+    done = reason.isNull()
+    return j.select("profile_id", "legacy_url", F.when(done, "success").otherwise("skipped").alias("status"), reason.alias("reason"), F.when(done & (F.col("outcome") == "moved"), F.col("stable_url")).otherwise(F.col("legacy_url")).alias("report_url"), F.when(done, n).otherwise(0).alias("n_highlights"), F.when(done, waits).otherwise(0).alias("n_pending"), F.when(done, needs_range(F.col("list"))).alias("highlights"))

@@ -11,6 +11,7 @@ from pagemill.operators import migration as m
 from pagemill.operators import pages as p
 from pagemill.operators import store as s
 from pagemill.operators import sync as y
+from pagemill.operators import textsearch as ts
 from pagemill.plans.tables import STORE_SQL, derived
 
 # Every page gets images at its end: by place, their markup, the url they come to, and their status.
@@ -122,7 +123,32 @@ def j15_merge_unique_images(spark, d):
     return p.merge_unique_images(rows("l_partkey").where("pos < 4"), rows("l_suppkey"))
 
 
-QUERIES = {f.__name__: f for f in (b8_extract_images, a9_image_metrics, w6_select_images, f6_p10_image_urls, f24_classify_error, f22_f28_highlight_style, f23_code_language, f16_f17_f26_titles, f18_f19_icons_and_srcsets, p19_f31_f29_destinations, a13_pending_lists, p20_drop_failed_highlights, j15_merge_unique_images)}
+def j14_find_text(spark, d):
+    """The start of each document's text in the text written twice: the first time without context, the second with."""
+    t = spark.read.parquet(f"{d}/documents.parquet").where("doc_id is not null and text is not null").select(F.col("doc_id").alias("page_id"), "text")
+    own = F.substr("text", F.lit(1), F.lit(40))
+    q = t.select("page_id", F.explode(F.array(*(F.struct(F.lit(k).alias("query_id"), own.alias("text"), before.alias("prefix"), F.lit(None).cast("string").alias("suffix")) for k, before in (("first", F.lit(None).cast("string")), ("second", F.lit("|")))))).alias("q")).select("page_id", "q.*")
+    return ts.find_text_in_pages(t.select("page_id", F.concat("text", F.lit("|"), "text").alias("text")), q).select("page_id", "query_id", "start")
+
+
+def j20_w12_migrate_inline(spark, d):
+    t = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("page_id"), "text")
+    part = lambda a, n: F.substr("text", F.lit(a), F.lit(n))
+    bare = F.regexp_extract(F.to_json(F.array(part(1, 20))), r"^\[([\s\S]*)\]$", 1)
+    items = F.array(bare, F.lit('{"content":"|never in a text|","color":"#fff3cd"}'), F.to_json(F.struct(part(5, 12).alias("text"), F.lit("#cce7ff").alias("bgColor"))), F.lit("7"))
+    m_ = ts.migrate_inline(t.select("page_id", F.posexplode(items).alias("pos", "item")), t, F.lit(100))
+    return m_.select("page_id", "id", "color", F.col("start").isNotNull().alias("found"))
+
+
+def j10_batch_migrate(spark, d):
+    st = derived(spark, d, STORE_SQL)
+    pairs = s.route_keys(st).where("kind in ('page', 'highlights')").select("profile_id", F.col("url").alias("legacy_url")).distinct()
+    stable = F.when(F.char_length("legacy_url") % 4 > 0, F.concat(F.lit("https://stable.example/p/"), F.char_length("legacy_url")))
+    t = m.batch_migrate(st, pairs.withColumn("stable_url", stable))
+    return t.select("profile_id", "legacy_url", "status", "reason", "report_url", F.col("n_highlights").cast("long").alias("n_highlights"), F.col("n_pending").cast("long").alias("n_pending"), F.regexp_count("highlights", F.lit('"needsRangeInfo":true')).cast("long").alias("n_marked"))
+
+
+QUERIES = {f.__name__: f for f in (b8_extract_images, a9_image_metrics, w6_select_images, f6_p10_image_urls, f24_classify_error, f22_f28_highlight_style, f23_code_language, f16_f17_f26_titles, f18_f19_icons_and_srcsets, p19_f31_f29_destinations, a13_pending_lists, p20_drop_failed_highlights, j15_merge_unique_images, j14_find_text, j20_w12_migrate_inline, j10_batch_migrate)}
 
 _ROWS = " UNION ALL ".join(f"SELECT page_id, {x[1]} AS url, '{'duplicate' if x[2] == 'duplicate' else x[2]}' AS status, {_SHOWN[0]} AS has_first FROM pages WHERE {c}" for c, x in zip(_SHOWN, IMAGES))
 _ROWS += f" UNION ALL SELECT page_id, NULL, 'no_source', TRUE FROM pages WHERE {_SHOWN[5]}"  # the place of no source has two elements
@@ -132,7 +158,18 @@ lg AS (SELECT profile_id, substr(key, 12) AS url, CASE WHEN json_type(value) = '
 al AS (SELECT * FROM pg UNION ALL SELECT * FROM lg WHERE NOT EXISTS (SELECT 1 FROM pg WHERE pg.profile_id = lg.profile_id AND pg.url = lg.url)),
 n AS (SELECT profile_id, url, CAST(json_array_length(l) AS BIGINT) AS total, CAST(len(list_filter(json_extract(l, '$[*]'), lambda x: coalesce(json_extract_string(x, '$.migrationFailed'), '') = 'true')) AS BIGINT) AS failed,
   CAST(len(list_filter(json_extract(l, '$[*]'), lambda x: coalesce(json_extract_string(x, '$.migrationFailed'), '') <> 'true' AND coalesce(json_extract_string(x, '$.needsRangeInfo'), '') = 'true')) AS BIGINT) AS pending FROM al)"""
+_MOVES = f"""st AS ({STORE_SQL}), lg AS (SELECT profile_id, substr(key, 12) AS url, CASE WHEN json_type(value) = 'ARRAY' THEN value::JSON WHEN json_type(value, '$.highlights') = 'ARRAY' THEN json_extract(value, '$.highlights') END AS l FROM st WHERE starts_with(key, 'highlights_')),
+pg AS (SELECT profile_id, substr(key, 6) AS url, json_extract(value, '$.highlights') AS l FROM st WHERE starts_with(key, 'page_') AND json_type(value) = 'OBJECT' AND json_type(value, '$.highlights') = 'ARRAY'),
+us AS (SELECT profile_id, url FROM lg UNION SELECT profile_id, substr(key, 6) FROM st WHERE starts_with(key, 'page_')),
+k AS (SELECT us.*, lg.l, coalesce(json_array_length(lg.l), 0) AS n, coalesce(json_array_length(pg.l), 0) AS held, CASE WHEN length(us.url) % 4 > 0 THEN 'https://stable.example/p/' || length(us.url) END AS stable FROM us LEFT JOIN lg ON lg.profile_id = us.profile_id AND lg.url = us.url LEFT JOIN pg ON pg.profile_id = us.profile_id AND pg.url = us.url),
+f AS (SELECT profile_id, stable, min(url) AS first_url FROM k WHERE stable IS NOT NULL AND (n > 0 OR held > 0) GROUP BY 1, 2)"""
 ORACLES = {
+    "j14_find_text": """WITH t AS (SELECT doc_id AS page_id, text, length(text) - length(ltrim(text, ' ' || chr(9) || chr(10) || chr(13))) AS lead FROM documents WHERE doc_id IS NOT NULL AND trim(substr(text, 1, 40), ' ' || chr(9) || chr(10) || chr(13)) <> '')
+      SELECT page_id, 'first' AS query_id, lead AS start FROM t UNION ALL SELECT page_id, 'second', CASE WHEN lead > 0 THEN lead ELSE length(text) + 1 END FROM t""",
+    "j20_w12_migrate_inline": """WITH t AS (SELECT doc_id, trim(coalesce(substr(text, 1, 20), ''), ' ' || chr(9) || chr(10) || chr(13)) <> '' AS a, trim(coalesce(substr(text, 5, 12), ''), ' ' || chr(9) || chr(10) || chr(13)) <> '' AS b FROM documents)
+      SELECT doc_id AS page_id, 'h100' AS id, 'yellow' AS color, a AS found FROM t UNION ALL SELECT doc_id, 'h101', 'yellow', FALSE FROM t UNION ALL SELECT doc_id, 'h102', 'blue', b FROM t UNION ALL SELECT doc_id, 'h103', 'yellow', FALSE FROM t""",
+    "j10_batch_migrate": f"""WITH {_MOVES} SELECT k.profile_id, url AS legacy_url, CASE WHEN n > 0 THEN 'success' ELSE 'skipped' END AS status, CASE WHEN l IS NULL THEN 'no_data' WHEN n = 0 THEN 'no_highlights' END AS reason, CASE WHEN n > 0 AND k.stable IS NOT NULL AND f.first_url = url THEN k.stable ELSE url END AS report_url, CAST(n AS BIGINT) AS n_highlights,
+      CASE WHEN n > 0 THEN CAST(len(list_filter(json_extract(l, '$[*]'), lambda x: json_extract(x, '$.rangeInfo') IS NULL)) AS BIGINT) ELSE 0 END AS n_pending, CASE WHEN n > 0 THEN CAST(len(list_filter(json_extract(l, '$[*]'), lambda x: json_extract(x, '$.rangeInfo') IS NULL)) AS BIGINT) END AS n_marked FROM k LEFT JOIN f ON f.profile_id = k.profile_id AND f.stable = k.stable""",
     "b8_extract_images": f"SELECT * FROM {_IMG} q",
     "a9_image_metrics": f"SELECT page_id, count(*) AS candidates, count_if(status <> 'no_source') AS url_valid, count_if(status = 'small') AS filtered_by_size, count_if(status = 'temporary') AS temporary, count_if(status = 'accepted') AS final FROM {_IMG} q GROUP BY page_id",
     "w6_select_images": """WITH t AS (SELECT l_orderkey AS page_id, l_linenumber AS pos, CAST(l_partkey AS VARCHAR) AS url, l_returnflag FROM lineitem), c AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos, url) AS rn FROM t WHERE l_returnflag = 'N'),
