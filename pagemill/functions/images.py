@@ -50,7 +50,7 @@ def _clean(url: str | None) -> str | None:
             host = u.hostname or ""
         except ValueError:
             return None
-        if u.scheme and (u.scheme not in ("http", "https") or not host):
+        if u.scheme and (u.scheme not in ("http", "https") or not host or re.search(r"[%\s<>^|{}]", host)):
             return None
         pairs = parse_qsl(u.query, keep_blank_values=True)
         first: dict[str, str] = {}

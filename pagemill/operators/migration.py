@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.urls import is_root_url, is_valid_alias, normalize_url
+from pagemill.functions.urls import bound, is_root_url, is_valid_alias, normalize_url
 from pagemill.operators.store import HIGHLIGHTS, PAGE, aliases, all_highlights, highlight_list, is_array, is_object, json_at, route_keys, unify_page_state
 
 STATE_PREFIX = "migration_"
@@ -50,18 +50,19 @@ def completed_migration_keys(store: DataFrame) -> DataFrame:
 
 def pending_lists(store: DataFrame) -> DataFrame:
     """(profile_id, url, total, pending, failed) where a highlight waits for its range or has failed."""
-    items = items_of(F.col("highlights"))
     failed = lambda h: F.coalesce(json_at(h, "$.migrationFailed") == "true", F.lit(False))
     waits = lambda h: F.coalesce(json_at(h, "$.needsRangeInfo") == "true", F.lit(False)) & ~failed(h)
-    t = all_highlights(store).select("profile_id", "url", F.size(items).alias("total"), F.size(F.filter(items, waits)).alias("pending"), F.size(F.filter(items, failed)).alias("failed"))
-    return t.where("pending > 0 or failed > 0")
+    counts = lambda x: F.struct(F.size(x).alias("total"), F.size(F.filter(x, waits)).alias("pending"), F.size(F.filter(x, failed)).alias("failed"))
+    t = all_highlights(store).select("profile_id", "url", bound(items_of(F.col("highlights")), counts).alias("n"))
+    return t.select("profile_id", "url", "n.*").where("pending > 0 or failed > 0")
 
 
 def drop_failed_highlights(state: DataFrame) -> DataFrame:
     """state with the failed highlights gone from ``highlights``, and n_removed."""
-    items = items_of(F.col("highlights"))
-    kept = F.filter(items, lambda h: ~F.coalesce(json_at(h, "$.migrationFailed") == "true", F.lit(False)))
-    return state.withColumn("n_removed", F.size(items) - F.size(kept)).withColumn("highlights", F.concat(F.lit("["), F.array_join(kept, ","), F.lit("]")))
+    stays = lambda h: ~F.coalesce(json_at(h, "$.migrationFailed") == "true", F.lit(False))
+    shrink = lambda x: bound(F.filter(x, stays), lambda kept: F.struct((F.size(x) - F.size(kept)).alias("n_removed"), F.concat(F.lit("["), F.array_join(kept, ","), F.lit("]")).alias("highlights")))
+    t = state.withColumn("_kept", bound(items_of(F.col("highlights")), shrink))
+    return t.withColumns({"n_removed": F.col("_kept.n_removed"), "highlights": F.col("_kept.highlights")}).drop("_kept")
 
 
 def batch_summary(details: DataFrame, by: list[str]) -> DataFrame:
@@ -205,8 +206,9 @@ def batch_migrate(store: DataFrame, pairs: DataFrame) -> DataFrame:
     legacy = route_keys(store).where("kind = 'highlights'").select("profile_id", F.col("url").alias("legacy_url"), highlight_list(F.col("value")).alias("list"))
     moves = migrate_to_stable(store, pairs.where("stable_url is not null"), needs_range).select("profile_id", "legacy_url", "stable_url", "outcome")
     j = pairs.join(legacy, ["profile_id", "legacy_url"], "left").join(moves, ["profile_id", "legacy_url", "stable_url"], "left")
-    n = F.coalesce(F.json_array_length("list"), F.lit(0))
-    reason = F.when(F.col("list").isNull(), "no_data").when(n == 0, "no_highlights")
-    waits = F.size(F.filter(items_of(F.coalesce("list", F.lit("[]"))), lambda h: json_at(h, "$.rangeInfo").isNull()))
+    waits = lambda h: json_at(h, "$.rangeInfo").isNull()
+    counts = lambda x: F.struct(F.size(x).alias("n"), F.size(F.filter(x, waits)).alias("waits"))
+    j = j.withColumn("_n", bound(items_of(F.coalesce("list", F.lit("[]"))), counts))
+    reason = F.when(F.col("list").isNull(), "no_data").when(F.col("_n.n") == 0, "no_highlights")
     done = reason.isNull()
-    return j.select("profile_id", "legacy_url", F.when(done, "success").otherwise("skipped").alias("status"), reason.alias("reason"), F.when(done & (F.col("outcome") == "moved"), F.col("stable_url")).otherwise(F.col("legacy_url")).alias("report_url"), F.when(done, n).otherwise(0).alias("n_highlights"), F.when(done, waits).otherwise(0).alias("n_pending"), F.when(done, needs_range(F.col("list"))).alias("highlights"))
+    return j.select("profile_id", "legacy_url", F.when(done, "success").otherwise("skipped").alias("status"), reason.alias("reason"), F.when(done & (F.col("outcome") == "moved"), F.col("stable_url")).otherwise(F.col("legacy_url")).alias("report_url"), F.when(done, F.col("_n.n")).otherwise(0).alias("n_highlights"), F.when(done, F.col("_n.waits")).otherwise(0).alias("n_pending"), F.when(done, needs_range(F.col("list"))).alias("highlights"))
