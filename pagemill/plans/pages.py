@@ -107,4 +107,5 @@ ORACLES = {
     "w10_truncate_runs": f"WITH {_B}, k AS (SELECT page_id, pos, text, coalesce(sum(length(text)) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b), c AS (SELECT page_id, pos, substr(text, 1, CAST(greatest(0, 300 - before) AS BIGINT)) AS t FROM k) SELECT page_id, pos, length(t) AS n_chars, md5(t) AS text_md5 FROM c WHERE t <> ''",
     "f13_chunk_fixed": "WITH k AS (SELECT doc_id, text, unnest(range(least(100, CAST(ceil(length(text) / 2000.0) AS BIGINT)))) AS pos FROM documents) SELECT doc_id, pos, md5(substr(text, pos * 2000 + 1, 2000)) AS chunk_md5 FROM k",
     "f14_text_to_paragraphs": "SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: length(trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))) >= 10)) AS BIGINT) AS n_paragraphs FROM documents",
+    "a7_technical_terms": "WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents), n AS (SELECT doc_id, CAST(len(regexp_extract_all(lower(x), '\\b(?:" + "|".join(tx.TECHNICAL_WORDS) + ")\\b')) + len(regexp_extract_all(x, '\\bGo\\b')) + len(regexp_extract_all(lower(x), '(?:^|[^a-z0-9_])c\\+\\+(?:$|[^a-z0-9])')) AS BIGINT) AS term_count, CAST(len(regexp_extract_all(x, '[^\\x00-\\x20\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+')) AS BIGINT) AS word_count FROM t) SELECT doc_id, term_count, word_count, term_count > 10 OR term_count / greatest(word_count, 1)::DOUBLE > 0.02 AS is_technical FROM n",
 }
