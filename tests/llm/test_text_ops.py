@@ -1,12 +1,13 @@
 import base64
 import hashlib
+import time
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 
-from pagemill.llm import bpe, license, media, sharding, simhash
+from pagemill.llm import bpe, htmltext, license, media, sharding, simhash
 from pagemill.llm.htmltext import extract_text, main_text
 
 
@@ -231,3 +232,27 @@ def test_whole_license_texts(name):
 @pytest.mark.parametrize("text,name", [("// SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"), ("SPDX-License-Identifier: AGPL-3.0-only", "AGPL-3.0"), ("This Source Code Form is subject to the conditions of the Mozilla Public License, v. 2.0.", "MPL-2.0"), ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.", None)])
 def test_names_are_whole_words(text, name):
     assert [x[0] for x in license.scan_text(text)] == [name] * bool(name)
+
+
+SENTENCE = "<p>This is a long paragraph of the article, with commas, and enough words to count.</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "n_chars"),
+    [
+        (f"<body><form><div id=nav><a href=x>menu</a></div><div>{SENTENCE * 3}</div></form></body>", 242),  # the whole page is a form
+        (f"<body><article>{SENTENCE}<form><p>Subscribe to our newsletter for news, each week.</p></form></article></body>", 80),
+        (f"<body><article><div class='share-price report'>{SENTENCE}</div><div class='share-buttons'>Tell all your friends, please</div></article></body>", 80),
+        (f"<body><div class='with-sidebar'><div class='page-overlay'><main>{SENTENCE}</main></div><div class='sidebar'>{SENTENCE}</div></div><div id=comments><article>{SENTENCE}</article></div></body>", 80),
+        (f"<body><article>{SENTENCE}<div class='siteFooter'>All rights are reserved, of course, by us</div></article></body>", 80),
+    ],
+)
+def test_html_doubtful_elements(page, n_chars):
+    assert len(htmltext.main_text(page)) == n_chars
+
+
+def test_html_deep_pages_take_linear_time():
+    page = "<div>" * 100_000 + SENTENCE + "</div>" * 100_000
+    began = time.monotonic()
+    assert len(htmltext.main_text(page)) == 80
+    assert time.monotonic() - began < 30
