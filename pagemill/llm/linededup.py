@@ -3,8 +3,9 @@
 Lines become (hash, document, position) rows; texts stay where they are. The rows are range-partitioned
 by hash *and document*, so that a line found in a third of all documents is spread over many tasks, sorted
 by hash, document and position, and swept once. Only the runs at the ends of a task's range can go on in
-another task; their partial counts (two rows a task) are summed and settle the rows left open. What comes
-back is one zlib-compressed keep bitmap per document that loses lines.
+another task; their partial counts (two rows a task) are summed and settle the rows left open. Of a run that is
+still undecided after HELD rows (few documents with very many equal lines) the rows are left open too, so that a
+task holds no more than that and one batch. What comes back is one zlib-compressed keep bitmap per document that loses lines.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pagemill.llm.common import staged
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DROP, OPEN, PARTIAL = 0, 1, 2
+HELD = 10_000
 NO_ID = -(2**63)  # stands for a null doc_id
 _SWEPT = "kind int, doc long, copy long, pos int, n_lines int, h1 long, h2 long, n long, task int"
 
@@ -50,7 +52,8 @@ def _sweep(min_docs: int | None):
         return pd.DataFrame({"kind": np.int32(kind), "doc": rows["doc"], "copy": rows["copy"], "pos": rows["pos"], "n_lines": rows["n_lines"], "h1": rows["h1"], "h2": rows["h2"], "n": n, "task": TaskContext.get().partitionId()})
 
     def sweep(batches):
-        held = None  # rows of the running hash, as long as they are undecided
+        held = None  # rows of the running hash, as long as they are undecided and few
+        spilled = False  # undecided rows of the running hash are out already, to be settled by its count
         first = now = last_doc = tail = None
         seen, first_told = 0, False
         for batch in batches:
@@ -77,6 +80,9 @@ def _sweep(min_docs: int | None):
                 if now == first != head and not first_told:
                     first_told = True
                     yield frame(PARTIAL, tail, seen)
+                elif spilled and head != now:
+                    yield frame(PARTIAL, tail, seen)
+                spilled = spilled and head == now
                 drop = (counts >= min_docs)[run]
                 last_run = run == run[-1]
                 if head == first and not last_run[0]:
@@ -84,7 +90,13 @@ def _sweep(min_docs: int | None):
                     yield frame(PARTIAL, rows.iloc[[0]], counts[0])
                     if not drop[0]:
                         yield frame(OPEN, rows[run == 0])
+                elif spilled and not last_run[0]:
+                    yield frame(PARTIAL, rows.iloc[[0]], counts[0])
+                spilled = spilled and last_run[0]
                 held = None if drop[-1] else rows[last_run].reset_index(drop=True)
+                if held is not None and (spilled or len(held) > HELD):
+                    yield frame(OPEN, held)
+                    held, spilled = None, True
                 seen, last_doc = int(counts[-1]), docs[-1]
             if drop.any():
                 yield frame(DROP, rows[drop])
@@ -108,13 +120,13 @@ def dropped_lines(docs: DataFrame, min_docs: int | None = 10, min_chars: int = 1
     rows = rows.repartitionByRange("h1", "h2", "doc").sortWithinPartitions(*order)
     swept = staged(rows.mapInPandas(_sweep(min_docs), _SWEPT), "lines")
     left = swept.where(F.col("kind") == OPEN)
-    ends = swept.where(F.col("kind") == PARTIAL)  # at most two rows a task
+    ends = swept.where(F.col("kind") == PARTIAL)  # two rows a task, and one for each run of over HELD rows
     if min_docs is None:
         first = ends.groupBy("h1", "h2").agg(F.min("task").alias("first_task"))
         settled = left.join(F.broadcast(first), ["h1", "h2"]).where("first_task < task")
     else:
         over = ends.groupBy("h1", "h2").agg(F.sum("n").alias("docs")).where(F.col("docs") >= min_docs)
-        settled = left.join(F.broadcast(over.select("h1", "h2")), ["h1", "h2"], "left_semi")
+        settled = left.join(over.select("h1", "h2"), ["h1", "h2"], "left_semi")
     columns = ["doc", "copy", "n_lines", "pos"]
     return swept.where(F.col("kind") == DROP).select(*columns).unionByName(settled.select(*columns))
 
@@ -150,7 +162,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int | None = 10, min_chars: int = 1)
 
 def dedup_lines(docs: DataFrame, min_docs: int | None = 10, min_chars: int = 1) -> DataFrame:
     """docs with ``text`` cut to the lines that stay (null becomes empty), ``n_chars`` following it where that
-    column is present, and the extra columns n_lines and n_dropped."""
+    column is present, and the extra columns n_lines and n_dropped, which take the place of columns so named."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     maps = keep_bitmaps(docs, min_docs, min_chars).toDF("_pm_doc", "_pm_copy", "_pm_dropped", "_pm_bits")
     own = docs.withColumns({"text": text, "_pm_key": F.xxhash64(text)})

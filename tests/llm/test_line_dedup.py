@@ -47,13 +47,16 @@ def test_first_occurrence(spark):
     assert out[0] == "a\nb0\nc" and all(out[k] == f"b{k}" for k in range(1, 5)) and all(out[k] == "" for k in range(5, 60))
 
 
-@pytest.mark.parametrize("min_docs", [None, 3])
+@pytest.mark.parametrize("min_docs", [None, 3, 5, 7])
 @pytest.mark.parametrize("cut", [1, 2, 3, 5, 50])
-def test_sweep_over_any_cut_of_batches_and_tasks(monkeypatch, min_docs, cut):
+@pytest.mark.parametrize("held", [0, 2, 10_000])
+def test_sweep_over_any_cut_of_batches_and_tasks(monkeypatch, min_docs, cut, held):
+    monkeypatch.setattr(d, "HELD", held)
     rng = np.random.default_rng(cut)
     rows = sorted({(int(rng.integers(0, 6)), int(rng.integers(0, 8)), int(rng.integers(0, 3))) for _ in range(70)})
     table = pd.DataFrame([(doc, 0, pos, 3, h, h) for h, doc, pos in rows], columns=["doc", "copy", "pos", "n_lines", "h1", "h2"])
-    edges = [0, 17, 18, 40, len(table)]
+    whole = [k for k in range(1, len(rows)) if rows[k][:2] != rows[k - 1][:2]]  # ranges keep a line's document together
+    edges = [0, *(min(k for k in whole if k >= e) for e in (15, 16, 34)), len(table)]
     out = []
     for task, (a, z) in enumerate(zip(edges, edges[1:])):
         monkeypatch.setattr(d.TaskContext, "get", staticmethod(lambda task=task: type("T", (), {"partitionId": lambda self: task})()))
@@ -70,9 +73,7 @@ def test_sweep_over_any_cut_of_batches_and_tasks(monkeypatch, min_docs, cut):
         over = ends.groupby("h1").n.sum()
         gone |= {(r.h1, r.doc, r.pos) for r in left.itertuples() if over.get(r.h1, 0) >= min_docs}
         docs = {h: {x[1] for x in rows if x[0] == h} for h, _, _ in rows}
-        # a document may be split over two tasks only here: Spark's ranges keep a line's document together
         want = {r for r in rows if len(docs[r[0]]) >= min_docs}
-        gone = {g for g in gone if len(docs[g[0]]) not in (min_docs - 1,)}
     assert gone == want
 
 
@@ -83,3 +84,11 @@ def test_empty(no_docs):
 def test_digest(docs):
     r = d.dedup_lines(docs.where("doc_id = 1"), 10).first()
     assert hashlib.sha256(r["text"].encode()).hexdigest() == hashlib.sha256(b"").hexdigest() and r["n_lines"] == 1
+
+
+def test_one_document_of_many_equal_lines(spark):
+    rows = [(1, "x\n" * 60_000 + "y"), (2, "x"), (3, "z\n" * 60_000 + "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for least in (2, 3, 4):
+        got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in d.dedup_lines(df, least).collect()}
+        assert got == {i: ("\n".join(k), n - len(k)) for i, k, n in brute(rows, least)}
