@@ -132,7 +132,7 @@ def _lengths(elements: list[Node]) -> dict[int, int]:
 
 
 def element_rows(page: str | None) -> list[tuple]:
-    """(node_id, parent_id, last_id, tag, attrs, text_len, text) of each element; the elements it holds have the ids after
+    """(node_id, parent_id, tag, attrs, text_len, text, last_id) of each element; the elements it holds have the ids after
     its own up to last_id."""
     elements = list(walk(read(page)))
     length = _lengths(elements)
@@ -140,7 +140,7 @@ def element_rows(page: str | None) -> list[tuple]:
     for n in reversed(elements):
         last.setdefault(n.id, n.id)
         last[n.up.id] = max(last.get(n.up.id, 0), last[n.id])
-    return [(n.id, n.up.id, last[n.id], n.tag, n.attrs, length[n.id], n.kids[0] if len(n.kids) == 1 and isinstance(n.kids[0], str) else None) for n in elements]
+    return [(n.id, n.up.id, n.tag, n.attrs, length[n.id], n.kids[0] if len(n.kids) == 1 and isinstance(n.kids[0], str) else None, last[n.id]) for n in elements]
 
 
 def rich_text(node: Node, skip: frozenset = frozenset()) -> list[dict]:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pagemill.functions import html as h
 from pagemill.functions.urls import host_of, path_of
 
-NODES = "page_id long, node_id int, parent_id int, last_id int, tag string, attrs map<string,string>, text_len int, text string"
+NODES = "page_id long, node_id int, parent_id int, tag string, attrs map<string,string>, text_len int, text string, last_id int"
 RUN = "struct<content:string,link:string,bold:boolean,italic:boolean,strikethrough:boolean,underline:boolean,code:boolean>"
 BLOCKS = f"page_id long, pos int, parent_pos int, depth int, type string, rich_text array<{RUN}>, language string, image_url string, caption string"
 BATCH = 100
@@ -26,13 +26,14 @@ TECH_TITLE = "documentation|commands?|reference|guide|manual|cli|api"
 
 
 def explode_nodes(pages: DataFrame) -> DataFrame:
-    """One row an element: page_id, node_id, parent_id, last_id, tag, attrs, text_len, and text where the element holds text alone.
+    """One row an element: page_id, node_id, parent_id, tag, attrs, text_len, text where the element holds text alone,
+    and last_id: the elements below it have the ids after its own up to that.
     A null page has no rows."""
 
     def run(batches: Iterator[pd.DataFrame]):
         for b in batches:
             rows = [(p, *r) for p, x in zip(b["page_id"], b["html"]) for r in h.element_rows(x)]
-            yield pd.DataFrame(rows, columns=["page_id", "node_id", "parent_id", "last_id", "tag", "attrs", "text_len", "text"])
+            yield pd.DataFrame(rows, columns=["page_id", "node_id", "parent_id", "tag", "attrs", "text_len", "text", "last_id"])
 
     return pages.select("page_id", "html").mapInPandas(run, NODES)
 
