@@ -98,9 +98,21 @@ QUERIES = {f.__name__: f for f in (b0_explode_nodes, a8_page_metrics, p16_select
 
 _B = f"b AS ({BLOCKS_SQL})"
 _N = lambda pattern: f"len(regexp_extract_all(b, '{pattern}'))"
+_PLAIN = "replace(replace(replace(replace({x}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_DOC = f"h AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1) AS hst, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS pth FROM u), c AS (SELECT page_id, regexp_matches(hst, '{p.DOC_HOST}') AS host, regexp_matches(pth, '{p.DOC_PATH}') AS path, regexp_matches(url, '{p.TECH_URL}') AS tech FROM h)"
 ORACLES = {
     "a8_page_metrics": "SELECT page_id, " + _N('<div class="ad">') + " AS ad_elements, " + _N("<(nav|footer|header|aside)>") + " AS nav_elements, " + _N("<(article|main|section)>") + " AS content_elements, 0::BIGINT AS code_blocks, 0::BIGINT AS markdown_containers, 0::BIGINT AS images, 0::BIGINT AS videos FROM (SELECT page_id, html AS b FROM pages) t",
-    "p14_classify_documentation": "SELECT page_id, page_id % 3 = 0 AS host, page_id % 3 = 1 AS path, page_id % 3 < 2 AS is_doc, page_id % 3 = 1 AS is_technical FROM pages",
+    "b0_explode_nodes": "WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)[\\s>/]', 1)) AS tag FROM pages) SELECT tag, count(*) AS n, count(DISTINCT page_id) AS n_pages FROM t GROUP BY tag",
+    "b1_extract_metadata": f"SELECT page_id, trim({_PLAIN.format(x="regexp_extract(html, '<title>([\\s\\S]*?)</title>', 1)")}) AS title FROM pages",
+    "p14_classify_documentation": f"WITH u AS (SELECT page_id, lower(CASE WHEN page_id % 3 = 0 THEN replace(url, '://', '://docs.') WHEN page_id % 3 = 1 THEN regexp_replace(url, '/(en|fr|de|es)/', '/guide/', 'g') ELSE url END) AS url FROM pages), {_DOC} SELECT page_id, host, path, host OR path OR tech AS is_doc, tech AS is_technical FROM c",
+    "p16_select_extractor": f"""WITH u AS (SELECT page_id, lower(url) AS url FROM pages), {_DOC},
+m AS (SELECT page_id, {_N('<div class="ad">')} AS ads, {_N("<(nav|footer|header|aside)>")} AS nav, {_N("<(article|main|section)>")} AS content, length(trim({_PLAIN.format(x="regexp_replace(regexp_extract(b, '<body>([\\s\\S]*)', 1), '<[^>]*>', '', 'g')")})) AS n FROM (SELECT page_id, html AS b FROM pages) t),
+f AS (SELECT m.*, host OR path OR tech OR ads <= 2 AND nav <= 3 AND content >= 1 AS clean, tech, ads > 3 AS has_ads, nav > 5 OR content > 0 AND nav / greatest(content, 1) > 3 AS busy, n > 5000 AS long_form FROM m JOIN c USING (page_id)),
+g AS (SELECT *, has_ads OR busy OR long_form AS readable FROM f)
+SELECT page_id, CASE WHEN readable THEN 'readability' ELSE 'markdown' END AS extractor,
+CAST(greatest(0, least(100, CASE WHEN readable THEN 50 + CASE WHEN has_ads THEN 20 ELSE 0 END + CASE WHEN busy THEN 15 ELSE 0 END + CASE WHEN long_form THEN 10 ELSE 0 END - CASE WHEN clean AND NOT has_ads THEN 15 ELSE 0 END
+ELSE 50 + CASE WHEN clean THEN 20 ELSE 0 END + CASE WHEN tech THEN 15 ELSE 0 END END)) AS INT) AS confidence, n < 500 OR has_ads AND tech AS fallback_required,
+CASE WHEN readable THEN concat_ws(',', CASE WHEN has_ads THEN 'ads' END, CASE WHEN busy THEN 'complex layout' END, CASE WHEN long_form THEN 'long form' END) ELSE concat_ws(',', CASE WHEN clean THEN 'clean page' END, CASE WHEN tech THEN 'technical content' END) END AS reasons FROM g""",
     "w7_batch_blocks": f"WITH {_B}, k AS (SELECT page_id, pos, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS rn, count(*) OVER (PARTITION BY page_id) AS n FROM b) SELECT page_id, pos, rn // 3 AS batch, CAST(ceil(n / 3.0) AS BIGINT) AS n_batches, rn < 3 AS with_page FROM k",
     "w8_highlight_section": f"WITH {_B}, s AS (SELECT page_id, min(pos) AS a FROM b WHERE type = 'heading_3' GROUP BY 1), e AS (SELECT b.page_id, min(pos) AS z FROM b JOIN s ON s.page_id = b.page_id WHERE type = 'heading_3' AND pos > a GROUP BY 1) SELECT b.page_id, b.pos, b.type FROM b JOIN s ON s.page_id = b.page_id LEFT JOIN e ON e.page_id = b.page_id WHERE pos >= a AND (z IS NULL OR pos < z)",
     "w9_merge_runs": f"WITH {_B}, k AS (SELECT *, pos // 2 AS style FROM b) SELECT page_id, dense_rank() OVER (PARTITION BY page_id ORDER BY style) AS run, style, min(pos) AS first_pos, md5(string_agg(text, '' ORDER BY pos)) AS text_md5 FROM k GROUP BY page_id, style",
