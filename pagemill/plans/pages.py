@@ -84,7 +84,7 @@ def f14_text_to_paragraphs(spark, d):
 def j13_match_highlights(spark, d):
     pg = _pages(spark, d)
     blocks = p.html_to_blocks(pg).select("page_id", "pos", p.block_text().alias("text"))
-    own = blocks.where((F.char_length("text") >= 60) & (F.col("pos") % 2 == 0))
+    own = blocks.where(F.char_length("text") >= 60)
     hl = own.select("page_id", F.concat(F.lit("h"), "pos").alias("id"), F.substr("text", F.lit(11), F.lit(25)).alias("text"), F.substr("text", F.lit(1), F.lit(10)).alias("prefix"), F.substr("text", F.lit(36), F.lit(20)).alias("suffix"))
     return p.match_highlights(blocks, hl)
 
