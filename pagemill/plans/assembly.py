@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pagemill.operators import assembly as a
 from pagemill.operators import content as c
 from pagemill.operators import pages as p
+from pagemill.operators import structured as st
 from pagemill.plans.tables import BLOCKS_SQL, derived
 
 # Pages whose article stands in another container, by page_id.
@@ -33,6 +34,14 @@ SELECT page_id, CASE WHEN page_id % 7 > 0 THEN url END AS url, CASE WHEN page_id
   CASE CAST(page_id % 4 AS INT) WHEN 0 THEN url || '/cover.jpg' WHEN 1 THEN 'https://a.signed.example/c.png?token-hash=1' WHEN 2 THEN 'data:image/png;base64,x' END AS cover_image FROM pages
 """
 PAYLOAD_BLOCKS_SQL = f"SELECT CAST(floor(page_id / 40) AS BIGINT) AS page_id, (page_id % 40) * 1000 + pos AS pos, type, text FROM ({BLOCKS_SQL}) b"  # noqa: S608
+_N = "CAST(page_id AS STRING)"
+_LIST = f"""'[{{"type":"heading","text":"Title ' || {_N} || '"}},{{"type":"text","text":"Text <b>' || {_N} || '</b>"}},{{"type":"text"}},{{"type":"image","image":{{"url":"https://img.example/' || {_N} || '"}}}},{{"type":"odd","text":" x "}}]'"""
+DATA_SQL = f"""
+SELECT page_id, CASE CAST(page_id % 6 AS INT) WHEN 0 THEN '{{"props":{{"pageProps":{{"pageData":{{"blocks":3}},"post":{{"blocks":' || {_LIST} || '}}}}}}}}'
+  WHEN 1 THEN '{{"initialArticle":{{"body":"<p>Body ' || {_N} || '</p>"}},"props":{{"pageProps":{{"post":{{"body":"later"}}}}}}}}'
+  WHEN 2 THEN '{{"props":{{"pageProps":{{"article":{{"content":{{"model":{{"blocks":' || {_LIST} || '}}}}}}}}}}}}'
+  WHEN 3 THEN '{{"other":{{"blocks":[]}}}}' WHEN 4 THEN '{{"broken":' END AS data FROM pages
+"""  # noqa: S608
 RUNS = [(1, 20), (21, 30), (51, 2**30)]
 
 
@@ -87,7 +96,17 @@ def b10_build_page_payload(spark, d):
     return t.select("page_id", F.col("parent.type").alias("parent_type"), F.col("parent.id").alias("parent_id"), "properties.title", "properties.url", "icon", "cover", F.size("children").cast("long").alias("n_children"), F.md5(texts).alias("children_md5"))
 
 
-QUERIES = {f.__name__: f for f in (b2_main_container, w3_best_content_container, b4_markdown_container, w5_style_spans, b9_merge_highlights, b13_assemble_blocks, b10_build_page_payload)}
+def f27_json_first_path(spark, d):
+    t = derived(spark, d, DATA_SQL).select("page_id", st.json_first_path(F.col("data")).alias("f"))
+    return t.select("page_id", "f.path")
+
+
+def b7_structured_to_blocks(spark, d):
+    t = derived(spark, d, DATA_SQL).select("page_id", st.json_first_path(F.col("data")).alias("f"))
+    return st.structured_to_blocks(t.select("page_id", "f.article")).withColumn("pos", F.col("pos").cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (b2_main_container, w3_best_content_container, b4_markdown_container, w5_style_spans, b9_merge_highlights, b13_assemble_blocks, b10_build_page_payload, f27_json_first_path, b7_structured_to_blocks)}
 
 _LEN = lambda x: f"length(trim(regexp_replace(regexp_replace({x}, '<[^>]*>', '', 'g'), '&[a-z]+;', 'x', 'g')))"
 _TEXTS = f"""t AS (SELECT page_id, regexp_extract(html, '<article>([\\s\\S]*)</article>', 1) AS body, regexp_extract(html, '<div class="ad">([\\s\\S]*?)</div>', 1) AS ad, len(regexp_extract_all(html, '<li>')) AS n_li FROM pages),
@@ -121,4 +140,8 @@ SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY part, pos) - 1
     "b10_build_page_payload": f"""WITH b AS ({PAYLOAD_BLOCKS_SQL}), k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rn FROM b), g AS (SELECT page_id, count(*) AS n, string_agg(coalesce(text, ''), '|' ORDER BY pos) AS t FROM k WHERE rn <= 100 GROUP BY 1)
 SELECT p.page_id, CASE WHEN p.page_id % 2 = 0 THEN 'page_id' ELSE 'data_source_id' END AS parent_type, source_id AS parent_id, CASE WHEN title = '' THEN '{a.UNTITLED}' ELSE title END AS title, CASE WHEN p.page_id % 2 = 1 THEN coalesce(url, '') END AS url, site_icon AS icon,
 CASE WHEN p.page_id % 4 = 0 THEN cover_image END AS cover, coalesce(n, 0) AS n_children, md5(coalesce(t, '')) AS children_md5 FROM ({PAYLOAD_PAGES_SQL}) p LEFT JOIN g ON g.page_id = p.page_id""",
+    "f27_json_first_path": "SELECT page_id, CASE CAST(page_id % 6 AS INT) WHEN 0 THEN 'props.pageProps.post' WHEN 1 THEN 'initialArticle' WHEN 2 THEN 'props.pageProps.article' END AS path FROM pages",
+    "b7_structured_to_blocks": """WITH l AS (SELECT page_id, unnest([0, 1, 3, 4]) AS pos, CAST(page_id AS VARCHAR) AS n FROM pages WHERE page_id % 6 IN (0, 2))
+SELECT page_id, pos, CASE pos WHEN 0 THEN 'heading_2' WHEN 3 THEN 'image' ELSE 'paragraph' END AS type, CASE pos WHEN 0 THEN 'Title ' || n WHEN 1 THEN 'Text ' || n WHEN 3 THEN '' ELSE 'x' END AS text, CASE WHEN pos = 3 THEN 'https://img.example/' || n END AS image_url FROM l
+UNION ALL SELECT page_id, 0, 'paragraph', 'Body ' || CAST(page_id AS VARCHAR), NULL FROM pages WHERE page_id % 6 = 1""",
 }  # noqa: S608
