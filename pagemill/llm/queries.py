@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, htmltext, license, linededup, media, neardup, packing, sharding, simhash, toxicity
+from pagemill.llm import bpe, htmltext, lexsearch, license, linededup, media, neardup, packing, sharding, simhash, toxicity
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
@@ -58,6 +58,10 @@ def op10_simhash(spark, sf_dir):
     return simhash.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op12_lexical_search(spark, sf_dir):
+    return lexsearch.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
 def simhash_neighbours(spark, sf_dir):
     """The permuted block tables of op10 over whole documents; queries are the ids divisible by 50."""
     return simhash.neighbours_of_queries(_table(spark, sf_dir, "documents"))
@@ -71,7 +75,7 @@ def media_clips(spark, sf_dir):
 def queries() -> dict:
     from corpus_pipeline import run
 
-    own = (op1_packing, op2_sharding, op3_toxicity, op4_line_dedup, op5_near_dedup, op6_media, op7_bpe, op8_html_text, op9_license_scan, op10_simhash, simhash_neighbours, media_clips)
+    own = (op1_packing, op2_sharding, op3_toxicity, op4_line_dedup, op5_near_dedup, op6_media, op7_bpe, op8_html_text, op9_license_scan, op10_simhash, op12_lexical_search, simhash_neighbours, media_clips)
     return {f.__name__: f for f in own} | {"pipeline": run}
 
 
@@ -96,7 +100,29 @@ FROM marked GROUP BY doc_id
 """
 
 
+OP12_SQL = r"""
+WITH word AS (
+  SELECT doc, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS doc, doc_id, text FROM documents) d
+), posting AS (SELECT doc, doc_id, term, count(*) AS tf FROM word GROUP BY ALL),
+doc_len AS (SELECT doc, CAST(sum(tf) AS BIGINT) AS n FROM posting GROUP BY doc),
+total AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM doc_len),
+wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), weight AS (
+  SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w
+  FROM posting, total WHERE term IN (SELECT term FROM wanted) GROUP BY term, n_docs
+), scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM posting JOIN weight USING (term) JOIN wanted USING (term) JOIN doc_len USING (doc), total GROUP BY item_id, doc, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     from corpus_pipeline import ORACLE_SQL
 
-    return {"op4_line_dedup": OP4_SQL} | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
+    return {"op4_line_dedup": OP4_SQL, "op12_lexical_search": OP12_SQL} | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
