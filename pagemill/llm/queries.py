@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import align, bpe, htmltext, lexsearch, license, linededup, media, neardup, packing, sharding, simhash, toxicity
+from pagemill.llm import align, bpe, htmltext, lexsearch, license, linededup, media, neardup, packing, secretscan, sharding, simhash, toxicity
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
@@ -66,6 +66,10 @@ def op12_lexical_search(spark, sf_dir):
     return lexsearch.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
 
 
+def op13_secret_scan(spark, sf_dir):
+    return secretscan.scan_secrets(_table(spark, sf_dir, "documents"))
+
+
 def simhash_neighbours(spark, sf_dir):
     """The permuted block tables of op10 over whole documents; queries are the ids divisible by 50."""
     return simhash.neighbours_of_queries(_table(spark, sf_dir, "documents"))
@@ -79,7 +83,7 @@ def media_clips(spark, sf_dir):
 def queries() -> dict:
     from corpus_pipeline import run
 
-    own = (op1_packing, op2_sharding, op3_toxicity, op4_line_dedup, op5_near_dedup, op6_media, op7_bpe, op8_html_text, op9_license_scan, op10_simhash, op11_alignment, op12_lexical_search, simhash_neighbours, media_clips)
+    own = (op1_packing, op2_sharding, op3_toxicity, op4_line_dedup, op5_near_dedup, op6_media, op7_bpe, op8_html_text, op9_license_scan, op10_simhash, op11_alignment, op12_lexical_search, op13_secret_scan, simhash_neighbours, media_clips)
     return {f.__name__: f for f in own} | {"pipeline": run}
 
 
