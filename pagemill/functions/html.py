@@ -1,4 +1,4 @@
-"""One-pass HTML reading with the standard library: element rows, blocks and visible text of one page.
+"""One-pass HTML reading with the standard library: element and text rows, and the visible text of one page.
 
 Spark deals out the pages; these helpers see one page at a time.
 """
@@ -11,10 +11,7 @@ from html.parser import HTMLParser
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-INLINE_STYLE = {"b": "bold", "strong": "bold", "i": "italic", "em": "italic", "s": "strikethrough", "strike": "strikethrough", "del": "strikethrough", "u": "underline", "code": "code"}
 SILENT = frozenset(("script", "style", "noscript", "template", "head", "title"))
-NESTED = frozenset(("ul", "ol", "blockquote", "pre", "figure", "img"))  # blocks of their own inside a list item
-STYLES = ("bold", "italic", "strikethrough", "underline", "code")
 
 
 class Node:
@@ -107,11 +104,6 @@ def text_of(node: Node) -> str:
     return "".join(out)
 
 
-def hidden(node: Node) -> bool:
-    style = node.attrs.get("style", "").replace(" ", "").lower()
-    return "display:none" in style or "visibility:hidden" in style
-
-
 def _lengths(elements: list[Node]) -> dict[int, int]:
     """The length of each element's stripped text by id, children first, so that no text is read twice."""
     parts = {}  # characters, and how many of them are white space at the start and at the end
@@ -134,7 +126,11 @@ def _lengths(elements: list[Node]) -> dict[int, int]:
 def element_rows(page: str | None) -> list[tuple]:
     """(node_id, parent_id, tag, attrs, text_len, text, last_id) of each element; the elements it holds have the ids after
     its own up to last_id."""
-    elements = list(walk(read(page)))
+    return element_rows_of(read(page))
+
+
+def element_rows_of(root: Node) -> list[tuple]:
+    elements = list(walk(root))
     length = _lengths(elements)
     last = {}
     for n in reversed(elements):
@@ -143,124 +139,22 @@ def element_rows(page: str | None) -> list[tuple]:
     return [(n.id, n.up.id, n.tag, n.attrs, length[n.id], n.kids[0] if len(n.kids) == 1 and isinstance(n.kids[0], str) else None, last[n.id]) for n in elements]
 
 
-def rich_text(node: Node, skip: frozenset = frozenset()) -> list[dict]:
-    """Styled runs of a node's text, white space made single blanks, outer blanks trimmed, equal neighbours joined."""
-    runs: list[dict] = []
-
-    def add(text, style, link):
-        if runs and runs[-1]["style"] == style and runs[-1]["link"] == link:
-            runs[-1]["content"] += text
-        else:
-            runs.append({"content": text, "style": style, "link": link})
-
-    todo = [(k, frozenset(), None) for k in reversed(node.kids)]
+def page_rows(page: str | None) -> list[tuple]:
+    """element_rows with (seq, last_seq, parent_tag, item_id) after each row, and rows of the texts between elements, which have the
+    tag #text and no node_id. seq numbers elements and texts in page order; item_id is the nearest li around a row."""
+    root = read(page)
+    own = {r[0]: r for r in element_rows_of(root)}
+    out, last, todo = [], {}, [(k, root, None) for k in reversed(root.kids)]
     while todo:
-        k, style, link = todo.pop()
-        if isinstance(k, str):
-            add(k, style, link)
-        elif k.tag == "br":
-            add("\n", style, link)
-        elif k.tag not in SILENT and k.tag not in skip and not hidden(k):
-            to = k.attrs.get("href", link) if k.tag == "a" else link
-            inner = style | {INLINE_STYLE[k.tag]} if k.tag in INLINE_STYLE else style
-            to = to if to and to.startswith(("http://", "https://")) else None
-            todo += [(x, inner, to) for x in reversed(k.kids)]
-    out = []
-    for r in runs:
-        squeezed = []
-        for c in r["content"].replace("\t", " ").replace("\r", " "):
-            if c != " " or not squeezed or squeezed[-1] != " ":
-                squeezed.append(c)
-        out.append({**r, "content": "".join(squeezed)})
-    while out and not out[0]["content"].strip():
-        out.pop(0)
-    while out and not out[-1]["content"].strip():
-        out.pop()
-    if out:
-        out[0]["content"] = out[0]["content"].lstrip()
-        out[-1]["content"] = out[-1]["content"].rstrip()
-    return [r for r in out if r["content"]]
-
-
-def _outermost(top: Node):
-    """The NESTED elements below a node that stand in no other of them, in page order."""
-    todo = list(reversed(top.kids))
-    while todo:
-        n = todo.pop()
+        n, up, item = todo.pop()
+        seq = len(out) + 1
         if isinstance(n, str):
-            continue
-        if n.tag in NESTED:
-            yield n
+            out.append((None, up.id, "#text", None, None, n, None, seq, seq, up.tag, item))
         else:
-            todo += reversed(n.kids)
-
-
-def blocks(page: str | None, default_language: str = "javascript") -> list[tuple]:
-    """Flat content blocks of a page: (pos, parent_pos, depth, type, runs, language, image_url, caption).
-
-    Text right under a container gives no block. Children of list items and quotes follow their parent."""
-    out: list[tuple] = []
-
-    def put(kind, runs, parent, depth, language=None, image=None, caption=None):
-        out.append((len(out), parent, depth, kind, runs, language, image, caption))
-        return len(out) - 1
-
-    def image(n, parent, depth, caption=None):
-        src = n.attrs.get("src", "")
-        if src.startswith(("http://", "https://")):
-            put("image", [], parent, depth, image=src, caption=caption or n.attrs.get("alt") or None)
-
-    def item(n, kind, parent, depth):
-        runs = rich_text(n, NESTED)
-        at, below = (put(kind, runs, parent, depth), depth + 1) if runs else (parent, depth)
-        later((k, None, at, below) for k in _outermost(n))
-
-    def later(nodes):
-        todo.extend(reversed(list(nodes)))
-
-    def visit(n, parent, depth):
-        if n.tag in SILENT or hidden(n):
-            return
-        if n.tag in ("h1", "h2", "h3"):
-            if runs := rich_text(n):
-                put(f"heading_{n.tag[1]}", runs, parent, depth)
-        elif n.tag in ("h4", "h5", "h6"):
-            if runs := rich_text(n):
-                put("paragraph", [{**r, "style": r["style"] | {"bold"}} for r in runs], parent, depth)
-        elif n.tag == "p":
-            if not text_of(n).strip():
-                for k in walk(n):
-                    if k.tag == "img":
-                        image(k, parent, depth)
-            elif runs := rich_text(n):
-                put("paragraph", runs, parent, depth)
-        elif n.tag in ("ul", "ol"):
-            kind = "bulleted_list_item" if n.tag == "ul" else "numbered_list_item"
-            later((k, kind if k.tag == "li" else None, parent, depth) for k in n.kids if isinstance(k, Node))
-        elif n.tag == "li":
-            item(n, "bulleted_list_item", parent, depth)
-        elif n.tag == "blockquote":
-            if runs := rich_text(n):
-                put("quote", runs, parent, depth)
-        elif n.tag == "pre":
-            code = text_of(n)
-            if code.strip():
-                hint = next((c[9:] for k in walk(n) for c in k.attrs.get("class", "").split() if c.startswith("language-")), None)
-                put("code", [{"content": code, "style": frozenset(), "link": None}], parent, depth, language=hint or default_language)
-        elif n.tag == "img":
-            image(n, parent, depth)
-        elif n.tag == "figure":
-            caption = next((" ".join(text_of(k).split()) for k in walk(n) if k.tag == "figcaption"), None)
-            for k in walk(n):
-                if k.tag == "img":
-                    image(k, parent, depth, caption)
-        elif n.tag == "hr":
-            put("divider", [], parent, depth)
-        else:
-            later((k, None, parent, depth) for k in n.kids if isinstance(k, Node))
-
-    todo: list[tuple] = [(read(page), None, None, 0)]
-    while todo:
-        n, kind, parent, depth = todo.pop()
-        item(n, kind, parent, depth) if kind else visit(n, parent, depth)
-    return out
+            out.append((*own[n.id], seq, seq, up.tag, item))
+            inner = n.id if n.tag == "li" else item
+            todo += [(k, n, inner) for k in reversed(n.kids)]
+    for r in reversed(out):  # children come after their parents
+        here = last[r[0]] if r[0] in last else r[7]
+        last[r[1]] = max(last.get(r[1], 0), here)
+    return [(*r[:8], last.get(r[0], r[7]) if r[0] is not None else r[7], *r[9:]) for r in out]

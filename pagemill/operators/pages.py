@@ -14,8 +14,7 @@ from pagemill.functions import html as h
 from pagemill.functions.urls import host_of, path_of
 
 NODES = "page_id long, node_id int, parent_id int, tag string, attrs map<string,string>, text_len int, text string, last_id int"
-RUN = "struct<content:string,link:string,bold:boolean,italic:boolean,strikethrough:boolean,underline:boolean,code:boolean>"
-BLOCKS = f"page_id long, pos int, parent_pos int, depth int, type string, rich_text array<{RUN}>, language string, image_url string, caption string"
+TEXTS = ", seq int, last_seq int, parent_tag string, item_id int"
 BATCH = 100
 # Patterns of documentation sites.
 DOC_HOST = r"\.github\.io$|^docs?\.|\.readthedocs\.io$|\.gitbook\.io$|^wiki\.|^api\.|^developer\.|^guide\."
@@ -25,34 +24,22 @@ TECH_URL = _DOC_PATH + r"|/commands?/|github\.io.*docs|\.github\.io"
 TECH_TITLE = "documentation|commands?|reference|guide|manual|cli|api"
 
 
-def explode_nodes(pages: DataFrame) -> DataFrame:
+def explode_nodes(pages: DataFrame, texts: bool = False) -> DataFrame:
     """One row an element: page_id, node_id, parent_id, tag, attrs, text_len, text where the element holds text alone,
     and last_id: the elements below it have the ids after its own up to that.
-    A null page has no rows."""
 
-    def run(batches: Iterator[pd.DataFrame]):
-        for b in batches:
-            rows = [(p, *r) for p, x in zip(b["page_id"], b["html"]) for r in h.element_rows(x)]
-            yield pd.DataFrame(rows, columns=["page_id", "node_id", "parent_id", "tag", "attrs", "text_len", "text", "last_id"])
-
-    return pages.select("page_id", "html").mapInPandas(run, NODES)
-
-
-def html_to_blocks(pages: DataFrame) -> DataFrame:
-    """One row a content block, in page order: see functions.html.blocks."""
+    With texts, also a row for each text (tag #text, no node_id), and for all rows seq, last_seq, parent_tag and item_id: see
+    functions.html.page_rows. A null page has no rows."""
+    schema = NODES + (TEXTS if texts else "")
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]):
         for b in batches:
-            rows = []
-            for p, x in zip(b["page_id"], b["html"]):
-                for pos, parent, depth, kind, runs, language, image, caption in h.blocks(x):
-                    rich = [{"content": r["content"], "link": r["link"], **{s: s in r["style"] for s in h.STYLES}} for r in runs]
-                    rows.append((p, pos, parent, depth, kind, rich, language, image, caption))
-            out = pd.DataFrame(rows, columns=["page_id", "pos", "parent_pos", "depth", "type", "rich_text", "language", "image_url", "caption"])
-            out["parent_pos"] = out["parent_pos"].astype("Int32")
-            yield out
+            rows = [(p, *r) for p, x in zip(b["page_id"], b["html"]) for r in (h.page_rows(x) if texts else h.element_rows(x))]
+            out = pd.DataFrame(rows, columns=names)
+            yield out.astype({c: "Int32" for c in ("node_id", "text_len", "last_id", "item_id") if texts and c in names})
 
-    return pages.select("page_id", "html").mapInPandas(run, BLOCKS)
+    return pages.select("page_id", "html").mapInPandas(run, schema)
 
 
 def html_to_text(html: Column) -> Column:
@@ -188,14 +175,6 @@ def merge_runs(runs: DataFrame, style: list[str]) -> DataFrame:
     return t.groupBy("page_id", "run", *style).agg(F.min("pos").alias("first_pos"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "").alias("text"))
 
 
-def truncate_runs(runs: DataFrame, limit: int = 2000) -> DataFrame:
-    """runs(page_id, pos, text) cut so that a page's runs hold ``limit`` characters together; empty ones go."""
-    w = W.partitionBy("page_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    t = runs.withColumn("_before", F.coalesce(F.sum(F.char_length("text")).over(w), F.lit(0)))
-    t = t.withColumn("text", F.substr("text", F.lit(1), F.greatest(F.lit(0), limit - F.col("_before")).cast("int")))
-    return t.where("text <> ''").drop("_before")
-
-
 def text_to_paragraphs(text: Column, least: int = 10) -> Column:
     """Parts between blank lines, trimmed, without those shorter than ``least``."""
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n", -1), lambda p: F.trim(p, F.lit(" \t\n\r\x0b\x0c"))), lambda p: F.char_length(p) >= least)
@@ -277,11 +256,6 @@ def merge_unique_images(content: DataFrame, extra: DataFrame) -> DataFrame:
     return extra.where(~images).unionByName(first.select(*extra.columns))
 
 
-def cap_images(images: DataFrame, most: int = 6) -> DataFrame:
-    """At most ``most`` images of a page, by pos."""
-    return images.withColumn("_rn", F.row_number().over(W.partitionBy("page_id").orderBy("pos"))).where(F.col("_rn") <= most).drop("_rn")
-
-
 def best_srcset_url(srcset: Column) -> Column:
     """The candidate of the largest width (times 1000) or density, the first on ties; without any, the last that isn't data."""
     entries = F.filter(F.transform(F.split(srcset, r",\s+"), lambda e: F.trim(e)), lambda e: e != "")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.urls import filter_restricted, is_root_url, resolve_storage_url
-from pagemill.operators.pages import batch_blocks, explode_nodes, extract_metadata, html_to_blocks
+from pagemill.operators.blocks import html_to_blocks
+from pagemill.operators.pages import batch_blocks, explode_nodes, extract_metadata
 
 
 def latest_pages(pages: DataFrame) -> DataFrame:

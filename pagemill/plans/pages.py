@@ -5,11 +5,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as tx
+from pagemill.operators import blocks as bl
 from pagemill.operators import pages as p
 from pagemill.operators import payload as pl
 from pagemill.plans.tables import BLOCKS_SQL, derived
 
 
+# Pages with figures, styled runs, links and nested lists, by page_id.
+_ID = "CAST(page_id AS STRING)"
+RICH_PAGES_SQL = f"""
+SELECT page_id, url, CASE CAST(page_id % 4 AS INT) WHEN 0 THEN html WHEN 1 THEN replace(html, '</a></li><li>', '</a><ul><li>')
+  WHEN 2 THEN replace(replace(replace(html, '<article>', '<article><figure><img src="https://img.example/' || {_ID} || '.jpg" alt="x"><figcaption> Fig ' || {_ID} || ' </figcaption></figure><hr>'), '<h1>', '<h4>'), '</h1>', '</h4>')
+  ELSE replace(replace(replace(html, '.</p>', '.<em> Em</em><a href="https://l.example/' || {_ID} || '">Link</a></p>'), '<ul>', '<ol>'), '</ul>', '</ol>') END AS html FROM pages
+"""  # noqa: S608
+BLANK_RUNS_SQL = "SELECT conv_id AS page_id, turn AS pos, CASE CAST(turn % 4 AS INT) WHEN 0 THEN ' ' WHEN 1 THEN '  ' || text || ' ' ELSE text || ' ' END AS text FROM conversations WHERE turn % 4 = 0 OR conv_id % 3 > 0"
+
+
 def _pages(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet")
 
@@ -40,7 +51,9 @@ def b1_extract_metadata(spark, d):
 
 
 def b5_html_to_blocks(spark, d):
-    return p.html_to_blocks(_pages(spark, d)).select("page_id", "pos", "type", p.block_text().alias("text"))
+    b = bl.html_to_blocks(derived(spark, d, RICH_PAGES_SQL))
+    styles = lambda r: F.concat(*(F.when(r[x], x[0]).otherwise("") for x in bl.STYLES), F.coalesce(r["link"], F.lit("")))
+    return b.select("page_id", "pos", "parent_pos", "depth", "type", F.md5(p.block_text()).alias("text_md5"), F.array_join(F.transform("rich_text", styles), "|").alias("styles"), "image_url", "caption")
 
 
 def b11_extract_pages(spark, d):
@@ -62,7 +75,7 @@ def w9_merge_runs(spark, d):
 
 
 def w10_truncate_runs(spark, d):
-    t = p.truncate_runs(derived(spark, d, BLOCKS_SQL), 300)
+    t = bl.truncate_runs(derived(spark, d, BLANK_RUNS_SQL), 300)
     return t.select("page_id", "pos", F.char_length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
@@ -83,7 +96,7 @@ def f14_text_to_paragraphs(spark, d):
 
 def j13_match_highlights(spark, d):
     pg = _pages(spark, d)
-    blocks = p.html_to_blocks(pg).select("page_id", "pos", p.block_text().alias("text"))
+    blocks = bl.html_to_blocks(pg).select("page_id", "pos", p.block_text().alias("text"))
     own = blocks.where(F.char_length("text") >= 60)
     hl = own.select("page_id", F.concat(F.lit("h"), "pos").alias("id"), F.substr("text", F.lit(11), F.lit(25)).alias("text"), F.substr("text", F.lit(1), F.lit(10)).alias("prefix"), F.substr("text", F.lit(36), F.lit(20)).alias("suffix"))
     return p.match_highlights(blocks, hl)
@@ -99,6 +112,7 @@ QUERIES = {f.__name__: f for f in (b0_explode_nodes, a8_page_metrics, p16_select
 _B = f"b AS ({BLOCKS_SQL})"
 _N = lambda pattern: f"len(regexp_extract_all(b, '{pattern}'))"
 _PLAIN = "replace(replace(replace(replace({x}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_ELEMENT = "<li><a [^>]*>[^<]*|<h[14]>[^<]*|<p>(?:<b>)?[^<]+(?:<em> Em</em>)?|<figure>|<hr>"
 _DOC = f"h AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1) AS hst, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS pth FROM u), c AS (SELECT page_id, regexp_matches(hst, '{p.DOC_HOST}') AS host, regexp_matches(pth, '{p.DOC_PATH}') AS path, regexp_matches(url, '{p.TECH_URL}') AS tech FROM h)"
 ORACLES = {
     "a8_page_metrics": "SELECT page_id, " + _N('<div class="ad">') + " AS ad_elements, " + _N("<(nav|footer|header|aside)>") + " AS nav_elements, " + _N("<(article|main|section)>") + " AS content_elements, 0::BIGINT AS code_blocks, 0::BIGINT AS markdown_containers, 0::BIGINT AS images, 0::BIGINT AS videos FROM (SELECT page_id, html AS b FROM pages) t",
@@ -116,7 +130,16 @@ CASE WHEN readable THEN concat_ws(',', CASE WHEN has_ads THEN 'ads' END, CASE WH
     "w7_batch_blocks": f"WITH {_B}, k AS (SELECT page_id, pos, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS rn, count(*) OVER (PARTITION BY page_id) AS n FROM b) SELECT page_id, pos, rn // 3 AS batch, CAST(ceil(n / 3.0) AS BIGINT) AS n_batches, rn < 3 AS with_page FROM k",
     "w8_highlight_section": f"WITH {_B}, s AS (SELECT page_id, min(pos) AS a FROM b WHERE type = 'heading_3' GROUP BY 1), e AS (SELECT b.page_id, min(pos) AS z FROM b JOIN s ON s.page_id = b.page_id WHERE type = 'heading_3' AND pos > a GROUP BY 1) SELECT b.page_id, b.pos, b.type FROM b JOIN s ON s.page_id = b.page_id LEFT JOIN e ON e.page_id = b.page_id WHERE pos >= a AND (z IS NULL OR pos < z)",
     "w9_merge_runs": f"WITH {_B}, k AS (SELECT *, pos // 2 AS style FROM b) SELECT page_id, dense_rank() OVER (PARTITION BY page_id ORDER BY style) AS run, style, min(pos) AS first_pos, md5(string_agg(text, '' ORDER BY pos)) AS text_md5 FROM k GROUP BY page_id, style",
-    "w10_truncate_runs": f"WITH {_B}, k AS (SELECT page_id, pos, text, coalesce(sum(length(text)) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b), c AS (SELECT page_id, pos, substr(text, 1, CAST(greatest(0, 300 - before) AS BIGINT)) AS t FROM k) SELECT page_id, pos, length(t) AS n_chars, md5(t) AS text_md5 FROM c WHERE t <> ''",
+    "w10_truncate_runs": f"""WITH r AS ({BLANK_RUNS_SQL}), m AS (SELECT *, min(CASE WHEN trim(text) <> '' THEN pos END) OVER p AS a, max(CASE WHEN trim(text) <> '' THEN pos END) OVER p AS z FROM r WINDOW p AS (PARTITION BY page_id)),
+k AS (SELECT page_id, pos, CASE WHEN a IS NULL OR pos < a OR pos > z THEN '' WHEN a = z THEN trim(text) WHEN pos = a THEN ltrim(text) WHEN pos = z THEN rtrim(text) ELSE text END AS text FROM m),
+c AS (SELECT page_id, pos, substr(text, 1, CAST(greatest(0, 300 - coalesce(sum(length(text)) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS BIGINT)) AS t FROM k),
+e AS (SELECT page_id, pos, CASE WHEN sum(length(t)) OVER (PARTITION BY page_id) = 0 AND pos = min(pos) OVER (PARTITION BY page_id) THEN ' ' ELSE t END AS t FROM c) SELECT page_id, pos, length(t) AS n_chars, md5(t) AS text_md5 FROM e WHERE t <> ''""",
+    "b5_html_to_blocks": f"""WITH r AS ({RICH_PAGES_SQL}), e AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '[\\s\\S]*</head>', ''), '{_ELEMENT}')) AS x, generate_subscripts(regexp_extract_all(regexp_replace(html, '[\\s\\S]*</head>', ''), '{_ELEMENT}'), 1) - 1 AS pos FROM r),
+k AS (SELECT page_id, CAST(pos AS INT) AS pos, page_id % 4 = 1 AND starts_with(x, '<li') AS nest, CASE WHEN starts_with(x, '<li') THEN CASE WHEN page_id % 4 = 3 THEN 'numbered' ELSE 'bulleted' END || '_list_item' WHEN starts_with(x, '<h1') THEN 'heading_1' WHEN starts_with(x, '<fig') THEN 'image' WHEN x = '<hr>' THEN 'divider' ELSE 'paragraph' END AS type,
+  x LIKE '%<b>%' OR x LIKE '<h4%' AS bold, contains(x, '<em> Em</em>') AS em, trim({_PLAIN.format(x="regexp_extract(x, '>([^<>]+)', 1)")}) AS t FROM e)
+SELECT page_id, pos, CASE WHEN nest AND pos > 0 THEN least(pos, 2) - 1 END AS parent_pos, CASE WHEN nest THEN least(pos, 2) ELSE 0 END AS depth, type, md5(CASE WHEN type IN ('image', 'divider') THEN '' WHEN em THEN substr(t || ' EmLink', 1, 2000) ELSE substr(t, 1, 2000) END) AS text_md5,
+  CASE WHEN type IN ('image', 'divider') THEN '' WHEN bold THEN 'b' ELSE '' END || CASE WHEN em AND length(t) < 2000 THEN '|i' || CASE WHEN length(t) < 1997 THEN '|https://l.example/' || {_ID} ELSE '' END ELSE '' END AS styles,
+  CASE WHEN type = 'image' THEN 'https://img.example/' || {_ID} || '.jpg' END AS image_url, CASE WHEN type = 'image' THEN 'Fig ' || {_ID} END AS caption FROM k""",
     "f13_chunk_fixed": "WITH k AS (SELECT doc_id, text, unnest(range(least(100, CAST(ceil(length(text) / 2000.0) AS BIGINT)))) AS pos FROM documents) SELECT doc_id, pos, md5(substr(text, pos * 2000 + 1, 2000)) AS chunk_md5 FROM k",
     "f14_text_to_paragraphs": "SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: length(trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))) >= 10)) AS BIGINT) AS n_paragraphs FROM documents",
     "a7_technical_terms": "WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents), n AS (SELECT doc_id, CAST(len(regexp_extract_all(lower(x), '\\b(?:" + "|".join(tx.TECHNICAL_WORDS) + ")\\b')) + len(regexp_extract_all(x, '\\bGo\\b')) + len(regexp_extract_all(lower(x), '(?:^|[^a-z0-9_])c\\+\\+(?:$|[^a-z0-9])')) AS BIGINT) AS term_count, CAST(len(regexp_extract_all(x, '[^\\x00-\\x20\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+')) AS BIGINT) AS word_count FROM t) SELECT doc_id, term_count, word_count, term_count > 10 OR term_count / greatest(word_count, 1)::DOUBLE > 0.02 AS is_technical FROM n",

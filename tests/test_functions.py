@@ -99,33 +99,18 @@ def test_next_eligible(spark):
     assert got == ["2024-01-31", "2024-02-06", "2024-02-29"]
 
 
-PAGE = """<body><h1>T</h1>loose text<p>One <b>bold</b> <a href="https://e.org/x">link</a><br>two</p><ul><li>a<ul><li>b</ul><li>c</ul><h5>five</h5>
-<blockquote>q</blockquote><pre><code class="language-python">x = 1</code></pre><hr><figure><img src="https://e.org/i.png"><figcaption>cap</figcaption></figure><div style="display: none"><p>hid</p></div><p><img src="/rel.png"></p></body>"""
-
-
-def test_blocks():
-    got = [(b[3], "".join(r["content"] for r in b[4]), b[1], b[2], b[5], b[6], b[7]) for b in h.blocks(PAGE)]
-    assert got == [
-        ("heading_1", "T", None, 0, None, None, None), ("paragraph", "One bold link\ntwo", None, 0, None, None, None), ("bulleted_list_item", "a", None, 0, None, None, None), ("bulleted_list_item", "b", 2, 1, None, None, None),
-        ("bulleted_list_item", "c", None, 0, None, None, None), ("paragraph", "five", None, 0, None, None, None), ("quote", "q", None, 0, None, None, None), ("code", "x = 1", None, 0, "python", None, None),
-        ("divider", "", None, 0, None, None, None), ("image", "", None, 0, None, "https://e.org/i.png", "cap"),
-    ]
-    runs = h.blocks(PAGE)[1][4]
-    assert [(r["content"], sorted(r["style"]), r["link"]) for r in runs] == [("One ", [], None), ("bold", ["bold"], None), (" ", [], None), ("link", [], "https://e.org/x"), ("\ntwo", [], None)]
-
-
 def test_odd_pages():
     for page in (None, "", "<", "<p>open", "</div>", "<b>" * 200):
-        assert isinstance(h.blocks(page), list) and isinstance(h.element_rows(page), list)
+        assert isinstance(h.page_rows(page), list) and isinstance(h.element_rows(page), list)
 
 
 def test_deep_pages():
     n = 100_000
-    assert [b[4][0]["content"] for b in h.blocks("<div>" * n + "<p> x ")] == ["x"]
     rows = h.element_rows("<div>" * n + " x <script>no</script>\n")
     assert len(rows) == n + 1 and rows[0][4] == 1 and rows[-1][4] == 2
-    assert h.blocks("<ul><li>a" * 3000)[-1][1:4] == (2998, 2999, "bulleted_list_item")
     assert len(h.element_rows("<i>" + "</b>" * n)) == 1
+    rows = h.page_rows("<div>" * n + "x")
+    assert len(rows) == n + 1 and rows[0][7:9] == (1, n + 1)
 
 
 def test_match_highlights(spark):
