@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.urls import bound
+from pagemill.functions.text import is_title_consistent
+from pagemill.functions.urls import bound, path_of
 
 # Where articles stand in pages' data, in the order they are tried, and the kinds of their blocks.
 ARTICLE_PATHS = [
@@ -20,6 +21,11 @@ BLOCK_TYPES = {
 }
 
 
+MOST_JSON = 2 * 1024 * 1024
+LEAST_BLOCKS = 3
+PUSH = "self.__next_f.push("
+
+
 def _is(v: Column, path: str, kind: str) -> Column:
     return F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")).startswith(kind), F.lit(False))
 
@@ -54,3 +60,45 @@ def structured_to_blocks(articles: DataFrame) -> DataFrame:
     b = b.where((F.col("type") != "paragraph") | (F.col("text") != "")).withColumn("image_url", F.when(F.col("type") == "image", F.coalesce("image_url", F.lit(""))))
     rest = t.where(F.col("many").isNull()).select("page_id", F.lit(0).alias("pos"), F.lit("paragraph").alias("type"), plain(F.col("whole")).alias("text"), F.lit(None).cast("string").alias("image_url"))
     return b.unionByName(rest.where("text <> ''"))
+
+
+def page_data(nodes: DataFrame) -> DataFrame:
+    """(page_id, source, place, data): the structured data (JSON text) of pages' scripts, of explode_nodes' rows.
+
+    ``pages``: the first element of the id __NEXT_DATA__, if its text is JSON of 2 MB or less. Of other pages ``app``, a row for each
+    object that scripts without an id and a source push in their lines, by place: script, push, line. A line's data follow
+    its first colon; of an array the fourth entry counts, if it is an object with content, else the first such object."""
+    script, a = F.col("tag") == "script", F.col("attrs")
+    first = nodes.where(a["id"] == "__NEXT_DATA__").groupBy("page_id").agg(F.min_by(F.coalesce("text", F.lit("")), "node_id").alias("data"))
+    first = first.where((F.char_length("data").between(1, MOST_JSON)) & F.try_parse_json("data").isNotNull())
+    none = F.lit(None).cast("int")
+    own = first.select("page_id", F.lit("pages").alias("source"), F.struct(none.alias("script"), none.alias("push"), none.alias("line")).alias("place"), "data")
+    pushed = nodes.where(script & a["id"].isNull() & a["src"].isNull() & F.contains("text", F.lit(PUSH))).join(first.select("page_id"), "page_id", "left_anti")
+    pushes = pushed.select("page_id", "node_id", F.posexplode(F.slice(F.split("text", r"self\.__next_f\.push\(", -1), F.lit(2), F.greatest(F.lit(0), F.size(F.split("text", r"self\.__next_f\.push\(", -1)) - 1))).alias("push", "part"))
+    pushes = pushes.select("page_id", "node_id", "push", F.try_variant_get(F.try_parse_json(F.regexp_extract("part", r"^([\s\S]*)\)", 1)), "$[1]", "variant").alias("sent"))
+    text = F.when(F.schema_of_variant("sent") == "STRING", F.try_variant_get("sent", "$", "string"))
+    whole = F.when(F.schema_of_variant("sent").rlike("^(OBJECT|ARRAY)"), F.array(F.concat(F.lit("0:"), F.to_json("sent"))))
+    lines = pushes.select("page_id", "node_id", "push", F.posexplode(F.coalesce(whole, F.split(text, "\n", -1))).alias("line", "row"))
+    sent = F.try_parse_json(F.when(F.regexp_extract("row", r"^[^:]*:([\s\S]*)$", 1).rlike(r"^[{\[]"), F.regexp_extract("row", r"^[^:]*:([\s\S]*)$", 1)))
+    full = lambda v: F.coalesce(F.schema_of_variant(v).rlike("^OBJECT<.+>$"), F.lit(False))
+    items = F.try_variant_get("v", "$", "array<variant>")
+    fourth = F.try_element_at(items, F.lit(4))
+    chosen = F.when(items.isNull(), F.col("v")).when(full(fourth), fourth).otherwise(F.coalesce(F.try_element_at(F.filter(items, full), F.lit(1)), F.col("v")))
+    rows = lines.withColumn("v", sent).where(F.col("v").isNotNull())
+    app = rows.select("page_id", F.lit("app").alias("source"), F.struct(F.col("node_id").alias("script"), "push", "line").alias("place"), F.to_json(chosen).alias("data"))
+    return own.unionByName(app)
+
+
+def extract_structured(pages: DataFrame, data: DataFrame) -> DataFrame:
+    """(page_id, source, path, article) of pages(page_id, url, title) whose page_data holds an article at a known path: the first
+    one by place. Data of another page are left out: data of the page / under another path, data whose asPath isn't
+    the page's path, and ``pages`` data whose article has a title that isn't the page's."""
+    found = data.select("page_id", "source", "place", "data", json_first_path(F.col("data")).alias("f"), F.try_parse_json("data").alias("v")).where("f is not null")
+    best = found.groupBy("page_id").agg(F.min_by(F.struct("source", "data", "f", F.try_variant_get("v", "$.page", "string").alias("page"), F.try_variant_get("v", "$.asPath", "string").alias("as_path")), "place").alias("b")).select("page_id", "b.*")
+    j = pages.select("page_id", "url", "title").join(best, "page_id")
+    here = path_of("url")
+    elsewhere = (F.col("page") == "/") & (here != "/") | (F.coalesce("as_path", F.lit("")) != "") & (F.try_url_decode(F.substring_index("as_path", "?", 1)) != F.try_url_decode(here))
+    named = F.try_variant_get(F.try_parse_json("f.article"), "$.title", "string")
+    other = (F.coalesce(named, F.lit("")) != "") & ~is_title_consistent(named, F.col("title"))
+    stale = (F.col("source") == "pages") & (F.coalesce(elsewhere, F.lit(False)) | F.coalesce(other, F.lit(False)))
+    return j.where(~stale).select("page_id", "source", "f.path", "f.article")

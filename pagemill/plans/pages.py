@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pagemill.functions import text as tx
 from pagemill.operators import blocks as bl
 from pagemill.operators import pages as p
-from pagemill.operators import payload as pl
 from pagemill.plans.tables import BLOCKS_SQL, derived
 
 
@@ -56,10 +55,6 @@ def b5_html_to_blocks(spark, d):
     return b.select("page_id", "pos", "parent_pos", "depth", "type", F.md5(p.block_text()).alias("text_md5"), F.array_join(F.transform("rich_text", styles), "|").alias("styles"), "image_url", "caption")
 
 
-def b11_extract_pages(spark, d):
-    return pl.extract_pages(_pages(spark, d))
-
-
 def w7_batch_blocks(spark, d):
     return p.batch_blocks(derived(spark, d, BLOCKS_SQL), 3).select("page_id", "pos", "batch", "n_batches", "with_page")
 
@@ -107,7 +102,7 @@ def a7_technical_terms(spark, d):
     return t.select("doc_id", F.col("t.term_count").cast("long").alias("term_count"), F.col("t.word_count").cast("long").alias("word_count"), "t.is_technical")
 
 
-QUERIES = {f.__name__: f for f in (b0_explode_nodes, a8_page_metrics, p16_select_extractor, p14_classify_documentation, b1_extract_metadata, b5_html_to_blocks, b11_extract_pages, w7_batch_blocks, w8_highlight_section, w9_merge_runs, w10_truncate_runs, f12_split_text, a7_technical_terms, f13_chunk_fixed, f14_text_to_paragraphs, j13_match_highlights)}
+QUERIES = {f.__name__: f for f in (b0_explode_nodes, a8_page_metrics, p16_select_extractor, p14_classify_documentation, b1_extract_metadata, b5_html_to_blocks, w7_batch_blocks, w8_highlight_section, w9_merge_runs, w10_truncate_runs, f12_split_text, a7_technical_terms, f13_chunk_fixed, f14_text_to_paragraphs, j13_match_highlights)}
 
 _B = f"b AS ({BLOCKS_SQL})"
 _N = lambda pattern: f"len(regexp_extract_all(b, '{pattern}'))"

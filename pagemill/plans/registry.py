@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagemill.plans import assembly, labels, pages, state, web
+from pagemill.plans import assembly, clips, labels, pages, state, web
 
-QUERIES = {**web.QUERIES, **state.QUERIES, **pages.QUERIES, **labels.QUERIES, **assembly.QUERIES}
-ORACLES = {**web.ORACLES, **state.ORACLES, **pages.ORACLES, **labels.ORACLES, **assembly.ORACLES}
+QUERIES = {**web.QUERIES, **state.QUERIES, **pages.QUERIES, **labels.QUERIES, **assembly.QUERIES, **clips.QUERIES}
+ORACLES = {**web.ORACLES, **state.ORACLES, **pages.ORACLES, **labels.ORACLES, **assembly.ORACLES, **clips.ORACLES}
