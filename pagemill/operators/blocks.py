@@ -134,12 +134,12 @@ def rich_texts(t: DataFrame) -> DataFrame:
 def _language(code: Column, pre: Column) -> Column:
     """The first supported language that the attributes or classes of the code, then of the pre around it, name."""
 
-    def named(attrs: Column) -> list[Column]:
+    def hints(attrs: Column) -> Column:
         classes = F.filter(F.split(F.lower(F.coalesce(attrs["class"], F.lit(""))), r"\s+"), lambda c: reduce(Column.__or__, (c.startswith(x) for x in LANGUAGE_CLASSES)))
-        of_class = F.transform(classes, lambda c: map_code_language(F.regexp_replace(c, "^(" + "|".join(LANGUAGE_CLASSES) + ")", "")))
-        return [*(map_code_language(attrs[a]) for a in LANGUAGE_ATTRIBUTES), F.try_element_at(F.array_compact(of_class), F.lit(1))]
+        return F.concat(F.array(*(attrs[a] for a in LANGUAGE_ATTRIBUTES)), F.transform(classes, lambda c: F.regexp_replace(c, "^(" + "|".join(LANGUAGE_CLASSES) + ")", "")))
 
-    return F.coalesce(*named(code), *named(pre), F.lit(DEFAULT_LANGUAGE))
+    named = F.transform(F.array_compact(F.concat(hints(code), hints(pre))), map_code_language)
+    return F.coalesce(F.try_element_at(F.array_compact(named), F.lit(1)), F.lit(DEFAULT_LANGUAGE))
 
 
 def _nested(blocks: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,16 +31,18 @@ def explode_nodes(pages: DataFrame, texts: bool = False) -> DataFrame:
 
     With texts, also a row for each text (tag #text, no node_id), and for all rows seq, last_seq, parent_tag and item_id: see
     functions.html.page_rows. A null page has no rows."""
+    read = h.page_rows if texts else h.element_rows
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.int32(), pa.string(), pa.int32(), *([pa.int32(), pa.int32(), pa.string(), pa.int32()] if texts else [])]
     schema = NODES + (TEXTS if texts else "")
-    names = [c.split()[0] for c in schema.split(", ")]
+    names = [c.split()[0] for c in schema.replace("map<string,string>", "map").split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]):
+    def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            rows = [(p, *r) for p, x in zip(b["page_id"], b["html"]) for r in (h.page_rows(x) if texts else h.element_rows(x))]
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype({c: "Int32" for c in ("node_id", "text_len", "last_id", "item_id") if texts and c in names})
+            rows = [(page, *r[:3], None if r[3] is None else list(r[3].items()), *r[4:]) for page, text in zip(*(c.to_pylist() for c in b.columns)) for r in read(text)]
+            columns = zip(*rows) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
-    return pages.select("page_id", "html").mapInPandas(run, schema)
+    return pages.select("page_id", "html").mapInArrow(run, schema)
 
 
 def html_to_text(html: Column) -> Column:

@@ -54,14 +54,8 @@ def content_rows(rows: DataFrame, choice: DataFrame) -> DataFrame:
     return j.where(F.exists("spans", lambda x: F.col("seq").between(x["seq"], x["last_seq"]))).drop("spans")
 
 
-def clip_pages(pages: DataFrame, temporary_hosts: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Two tables of the latest pages of pages(page_id, url, html).
-
-    Pages: page_id, canonical, title, kind (nextjs, markdown or html), strategy, status (success, or failed without content), n_blocks,
-    n_batches, lead_image, extra_images (urls). Blocks: page_id, pos and the columns of blocks_of_rows. An article in structured
-    data with three blocks or more comes first, then the technical or main container. A page whose content has no image
-    gets its first other image in front; up to two more, or two of a page with one image, are extras. A page without
-    blocks has one paragraph that says so. Each page is parsed once; all branches read the written rows."""
+def _clipped(pages: DataFrame, temporary_hosts: list[str] | None) -> tuple[DataFrame, DataFrame]:
+    """extract_pages' table with _n, the number of blocks of the content, and these blocks."""
     hosts = temporary_hosts or []
     latest = latest_pages(pages)
     rows = staged(explode_nodes(latest, texts=True), "rows")
@@ -88,7 +82,15 @@ def clip_pages(pages: DataFrame, temporary_hosts: list[str] | None = None) -> tu
     named = articles.join(enough, "page_id", "left_semi").select("page_id", F.lit("nextjs").alias("kind"), F.col("path").alias("strategy")).unionByName(choice.select("page_id", "kind", "strategy"))
     j = meta.join(named, "page_id", "left").join(counts, "page_id", "left").join(extra, "page_id", "left")
     n = F.greatest(F.lit(1), F.coalesce("_n", F.lit(0)) + F.when(F.col("lead_image").isNotNull(), 1).otherwise(0))
-    out = staged(j.select("page_id", "canonical", F.coalesce(F.nullif("title", F.lit("")), F.lit(UNTITLED)).alias("title"), "kind", "strategy", F.when(F.col("kind").isNull(), "failed").otherwise("success").alias("status"), n.alias("n_blocks"), F.ceil(n / BATCH).alias("n_batches"), "lead_image", F.coalesce("extra_images", F.array().cast("array<string>")).alias("extra_images"), F.coalesce("_n", F.lit(0)).alias("_n")), "pages")
+    out = j.select("page_id", "canonical", F.coalesce(F.nullif("title", F.lit("")), F.lit(UNTITLED)).alias("title"), "kind", "strategy", F.when(F.col("kind").isNull(), "failed").otherwise("success").alias("status"), n.alias("n_blocks"), F.ceil(n / BATCH).alias("n_batches"), "lead_image", F.coalesce("extra_images", F.array().cast("array<string>")).alias("extra_images"), F.coalesce("_n", F.lit(0)).alias("_n"))
+    return out, own
+
+
+def clip_pages(pages: DataFrame, temporary_hosts: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The pages' table of extract_pages, and their blocks: page_id, pos and the columns of blocks_of_rows, with the lead image in
+    front and the paragraph of a page without blocks."""
+    out, own = _clipped(pages, temporary_hosts)
+    out = staged(out, "pages")
     lead = F.when(F.col("lead_image").isNotNull(), 1).otherwise(0)
     moved = own.join(out.select("page_id", lead.alias("_lead")), "page_id").withColumns({"pos": F.col("pos") + F.col("_lead"), "parent_pos": F.col("parent_pos") + F.col("_lead")}).drop("_lead")
     text = lambda c: c.cast("string")
@@ -100,5 +102,11 @@ def clip_pages(pages: DataFrame, temporary_hosts: list[str] | None = None) -> tu
 
 
 def extract_pages(pages: DataFrame, temporary_hosts: list[str] | None = None) -> DataFrame:
-    """The pages' table of clip_pages."""
-    return clip_pages(pages, temporary_hosts)[0]
+    """(page_id, canonical, title, kind, strategy, status, n_blocks, n_batches, lead_image, extra_images) of the latest pages of
+    pages(page_id, url, html).
+
+    kind is nextjs, markdown or html; status is success, or failed without content. An article in structured data with three
+    blocks or more comes first, then the technical or main container. A page whose content has no image gets its first
+    other image in front; up to two in all, or two more of a page with one image, are taken. A page without blocks has one
+    paragraph that says so. Each page is parsed once; all branches read the written rows."""
+    return _clipped(pages, temporary_hosts)[0].drop("_n")
