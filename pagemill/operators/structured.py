@@ -5,10 +5,12 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import is_title_consistent
 from pagemill.functions.urls import bound, path_of
+from pagemill.sources.staging import staged
 
 # Where articles stand in pages' data, in the order they are tried, and the kinds of their blocks.
 ARTICLE_PATHS = [
@@ -21,6 +23,11 @@ BLOCK_TYPES = {
 }
 
 
+SKIPPED_MODELS = ["byline", "relatedContent", "wsoj", "include", "social-embed"]
+IMAGE_BASE = "https://ichef.bbci.co.uk/ace/ws/1024"
+ATOM_TAGS = {"h1": "heading_1", "h2": "heading_2", "h3": "heading_3", "blockquote": "quote"}
+ENTITIES = {"&nbsp;": "\xa0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+MOST_TEXT = 200_000  # characters of a block, a hundred runs of 2000
 MOST_JSON = 2 * 1024 * 1024
 LEAST_BLOCKS = 3
 PUSH = "self.__next_f.push("
@@ -44,22 +51,105 @@ def json_first_path(json: Column, paths: list[str] = ARTICLE_PATHS) -> Column:
     return bound(found, lambda x: F.when(x.isNotNull(), F.struct(x["path"].alias("path"), F.to_json(x["node"]).alias("article"))))
 
 
+def _plain(text: Column) -> Column:
+    """Text of a piece of HTML: no tags, the usual character references read, outer white space off."""
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]*>", "")
+    for name, sign in ENTITIES.items():
+        out = F.replace(out, F.lit(name), F.lit(sign))
+    return F.trim(out, F.lit(" \t\n\r\f\x0b\xa0"))
+
+
+def _get(v: Column, path: str, kind: str = "string") -> Column:
+    return F.try_variant_get(v, path, kind)
+
+
+def _many(v: Column, path: str) -> Column:
+    return _get(v, path, "array<variant>")
+
+
+def _filled(v: Column, path: str) -> Column:
+    return F.coalesce(F.size(_many(v, path)) > 0, F.lit(False))
+
+
+def nested_texts(units: DataFrame) -> DataFrame:
+    """(page_id, at, text) of units(page_id, at, model): the model's own text, trimmed, or else the texts of its blocks one after another,
+    each found in the same way. The tree is unfolded a level at a time, with the places on the way as the sort key, until no level is left."""
+    level = units.select("page_id", "at", F.array().cast("array<int>").alias("path"), "model")
+    done = []
+    while True:
+        v = F.try_parse_json("model")
+        t = level.select("page_id", "at", "path", F.trim(F.when(_is(v, "$.text", "STRING"), _get(v, "$.text"))).alias("text"), F.transform(F.coalesce(_many(v, "$.blocks"), F.array().cast("array<variant>")), lambda x: F.to_json(F.coalesce(_get(x, "$.model", "variant"), x))).alias("kids"))
+        t = staged(t, "texts")
+        own = F.coalesce(F.col("text"), F.lit("")) != ""
+        done.append(t.where(own).select("page_id", "at", "path", "text"))
+        level = t.where(~own & (F.size("kids") > 0)).select("page_id", "at", "path", F.posexplode("kids").alias("k", "model")).select("page_id", "at", F.array_append("path", F.col("k")).alias("path"), "model")
+        if level.isEmpty():
+            break
+    found = reduce(DataFrame.unionByName, done)
+    return found.groupBy("page_id", "at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda x: x["text"]), "").alias("text"))
+
+
+def _model_blocks(blocks: DataFrame) -> DataFrame:
+    """(page_id, at, type, text, image_url) of blocks(page_id, pos, b) of the kind that holds a type and a model."""
+    b = blocks.select("page_id", "pos", _get(F.col("b"), "$.type").alias("kind"), F.to_json(_get(F.col("b"), "$.model", "variant")).alias("model"))
+    b = b.where(F.col("kind").isNotNull() & F.col("model").isNotNull() & (F.col("model") != "null") & ~F.col("kind").isin(SKIPPED_MODELS))
+    kids = F.posexplode(F.coalesce(_many(F.try_parse_json("model"), "$.blocks"), F.array().cast("array<variant>"))).alias("k", "v")
+    parts = b.where(F.col("kind") == "text").select("page_id", "pos", kids).where(_get(F.col("v"), "$.type").isin("paragraph", "introduction"))
+    none = F.lit(None).cast("string").alias("image_url")
+    parts = parts.select("page_id", F.array("pos", "k").alias("at"), F.lit("paragraph").alias("type"), F.to_json(F.coalesce(_get(F.col("v"), "$.model", "variant"), F.parse_json(F.lit("{}")))).alias("model"), none)
+    first = lambda kind: F.try_element_at(F.filter(_many(F.try_parse_json("model"), "$.blocks"), lambda x: _get(x, "$.type") == kind), F.lit(1))
+    where = b.where(F.col("kind") == "image").select("page_id", "pos", first("rawImage").alias("raw"), first("caption").alias("caption"))
+    url = F.concat(F.lit(IMAGE_BASE + "/"), _get(F.col("raw"), "$.model.originCode"), F.lit("/"), _get(F.col("raw"), "$.model.locator"), F.lit(".webp"))
+    images = where.select("page_id", F.array("pos").alias("at"), F.lit("image").alias("type"), F.coalesce(F.to_json(_get(F.col("caption"), "$.model", "variant")), F.lit("{}")).alias("model"), url.alias("image_url")).where("image_url is not null")
+    kind = F.when(F.col("kind") == "headline", "heading_1").when(F.col("kind") == "subheadline", "heading_2").otherwise("paragraph")
+    rest = b.where(~F.col("kind").isin("text", "image")).select("page_id", F.array("pos").alias("at"), kind.alias("type"), "model", none)
+    units = parts.unionByName(images).unionByName(rest)
+    t = units.join(nested_texts(units), ["page_id", "at"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    return t.where((F.col("type") == "image") | (F.col("text") != "")).select("page_id", "at", "type", "text", "image_url")
+
+
 def structured_to_blocks(articles: DataFrame) -> DataFrame:
-    """(page_id, pos, type, text, image_url) of articles(page_id, article): a row for each block of ``blocks`` or
-    ``content.model.blocks``; unknown kinds are paragraphs, and paragraphs without text go. Text loses its tags. Of an article
-    without blocks the content, body or markup is one paragraph. Null and broken JSON give no rows."""
-    plain = lambda t: F.trim(F.regexp_replace(F.coalesce(t, F.lit("")), "<[^>]*>", ""))
+    """(page_id, pos, type, text, image_url) of articles(page_id, article): a row for each block of ``blocks``, or of
+    ``content.model.blocks``, numbered from 0; an image's text is its caption.
+
+    Blocks of the kind with a type and a model are unfolded by nested_texts. Of an article without blocks the story atoms count, or the
+    body or markup as one paragraph. A teaser comes first as a quote. Lists and groups of tokens give a row an entry; unknown kinds
+    are paragraphs, and paragraphs without text and images without a url go. Null and broken JSON give no rows."""
     v = F.try_parse_json("article")
-    get = lambda x, path: F.try_variant_get(x, path, "string")
-    many = F.coalesce(F.try_variant_get(v, "$.blocks", "array<variant>"), F.try_variant_get(v, "$.content.model.blocks", "array<variant>"))
-    whole = F.coalesce(*(F.when(_is(v, f"$.{k}", "STRING"), get(v, f"$.{k}")) for k in ("content", "body", "markup")))
-    t = articles.select("page_id", many.alias("many"), whole.alias("whole"))
+    many = F.when(_filled(v, "$.blocks"), _many(v, "$.blocks")).otherwise(F.coalesce(_many(v, "$.content.model.blocks"), F.array().cast("array<variant>")))
+    body = F.coalesce(*(F.when(_is(v, f"$.{k}", "STRING"), _get(v, f"$.{k}")) for k in ("body", "markup")))
+    t = articles.select("page_id", many.alias("many"), _many(v, "$.storyAtoms").alias("atoms"), body.alias("body"), F.when(_filled(v, "$.teaser"), _get(v, "$.teaser", "array<string>")).alias("teaser"))
+    modelled = F.exists("many", lambda x: _is(x, "$.type", "STRING") & _is(x, "$.model", "OBJECT") & (F.coalesce(_get(x, "$.blockType"), F.lit("")) == ""))
+    t = t.withColumn("kind", F.when(modelled, "model").when(F.size("many") > 0, "blocks").when(F.size("atoms") > 0, "atoms").otherwise("body"))
+    b = t.where("kind in ('model', 'blocks')").select("page_id", "kind", F.posexplode("many").alias("pos", "b"))
+    none, row = F.lit(None).cast("string"), ("page_id", "at", "type", "text", "image_url")
+    g = lambda path: _get(F.col("b"), path)
     kinds = F.create_map(*(F.lit(x) for kv in BLOCK_TYPES.items() for x in kv))
-    b = t.select("page_id", F.posexplode("many").alias("pos", "b"))
-    b = b.select("page_id", "pos", F.coalesce(kinds[get(F.col("b"), "$.type")], F.lit("paragraph")).alias("type"), plain(get(F.col("b"), "$.text")).alias("text"), F.coalesce(get(F.col("b"), "$.image.cdnUrl"), get(F.col("b"), "$.image.url")).alias("image_url"))
-    b = b.where((F.col("type") != "paragraph") | (F.col("text") != "")).withColumn("image_url", F.when(F.col("type") == "image", F.coalesce("image_url", F.lit(""))))
-    rest = t.where(F.col("many").isNull()).select("page_id", F.lit(0).alias("pos"), F.lit("paragraph").alias("type"), plain(F.col("whole")).alias("text"), F.lit(None).cast("string").alias("image_url"))
-    return b.unionByName(rest.where("text <> ''"))
+    own = b.where("kind = 'blocks'").withColumn("bt", g("$.blockType"))
+    group = lambda x: F.array_join(F.transform(F.coalesce(_get(x, "$", "array<variant>"), F.array().cast("array<variant>")), lambda y: F.coalesce(_get(y, "$.content"), F.lit(""))), "")
+    listed = F.when((F.col("bt") == "list") & _many(F.col("b"), "$.items").isNotNull(), F.transform(_get(F.col("b"), "$.items", "array<string>"), _plain))
+    tokens = F.when((F.col("bt") == "text") & _many(F.col("b"), "$.htmlTokens").isNotNull(), F.filter(F.transform(_many(F.col("b"), "$.htmlTokens"), group), lambda x: F.trim(x) != ""))
+    summary = F.when((F.col("bt") == "summary") & _many(F.col("b"), "$.summary").isNotNull(), F.array(F.array_join(_get(F.col("b"), "$.summary", "array<string>"), "\n")))
+    ordered = F.lower(F.coalesce(g("$.ordered"), F.lit("")))
+    kind = F.when(summary.isNotNull(), "quote").when(tokens.isNotNull(), "paragraph").when(listed.isNotNull(), F.when(ordered.isin("", "false", "0"), "bulleted_list_item").otherwise("numbered_list_item"))
+    mapped = F.coalesce(kinds[F.col("bt")], F.lit("paragraph"))
+    single = F.when(mapped.isin("image", "heading_1", "heading_2", "heading_3", "quote"), mapped).otherwise("paragraph")
+    text = F.when(single == "image", F.coalesce(g("$.image.caption"), F.lit(""))).otherwise(_plain(g("$.text")))
+    entries = own.select("page_id", "pos", F.coalesce(kind, single).alias("type"), kind.isNotNull().alias("many"), F.posexplode(F.coalesce(summary, tokens, listed, F.array(text))).alias("k", "text"), F.coalesce(F.nullif(g("$.image.cdnUrl"), F.lit("")), F.nullif(g("$.image.url"), F.lit(""))).alias("image_url"))
+    entries = entries.where(F.when(F.col("type") == "image", F.col("image_url").isNotNull()).otherwise(F.col("many") | (F.col("type") != "paragraph") | (F.col("text") != "")))
+    entries = entries.select("page_id", F.array("pos", "k").alias("at"), "type", "text", F.when(F.col("type") == "image", F.col("image_url")).alias("image_url"))
+    a = t.where("kind = 'atoms'").select("page_id", F.posexplode("atoms").alias("pos", "b"))
+    tag = F.lower(F.coalesce(F.nullif(g("$.tagName"), F.lit("")), F.lit("p")))
+    url = F.coalesce(*(F.nullif(g(p), F.lit("")) for p in ("$.url", "$.size.resized.url", "$.size.original.url", "$.size.lightbox.url")))
+    is_image = g("$.type") == "image"
+    a = a.where(g("$.type").isin("text", "image")).select("page_id", F.array("pos").alias("at"), F.when(is_image, "image").otherwise(F.coalesce(F.create_map(*(F.lit(x) for kv in ATOM_TAGS.items() for x in kv))[tag], F.lit("paragraph"))).alias("type"), F.when(is_image, F.coalesce(g("$.caption"), F.lit(""))).otherwise(_plain(g("$.content"))).alias("text"), F.when(is_image, url).alias("image_url"))
+    a = a.where(F.when(F.col("type") == "image", F.col("image_url").isNotNull()).otherwise(F.col("text") != ""))
+    lines = F.regexp_replace(F.regexp_replace(F.col("body"), "(?i)</p>", "\n\n"), r"(?i)<br\s*/?>", "\n")
+    whole = t.where("kind = 'body'").select("page_id", F.array(F.lit(0)).alias("at"), F.lit("paragraph").alias("type"), _plain(lines).alias("text"), none.alias("image_url")).where("text <> ''")
+    teasers = t.where("teaser is not null and kind in ('blocks', 'body')").select("page_id", F.array(F.lit(-1)).alias("at"), F.lit("quote").alias("type"), F.array_join("teaser", "\n").alias("text"), none.alias("image_url"))
+    out = entries.unionByName(_model_blocks(b.where("kind = 'model'")).select(*row)).unionByName(a).unionByName(whole).unionByName(teasers)
+    pos = F.row_number().over(W.partitionBy("page_id").orderBy("at")) - 1
+    return out.select("page_id", pos.alias("pos"), "type", F.substr("text", F.lit(1), F.lit(MOST_TEXT)).alias("text"), "image_url")
 
 
 def page_data(nodes: DataFrame) -> DataFrame:

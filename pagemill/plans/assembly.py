@@ -35,7 +35,7 @@ SELECT page_id, CASE WHEN page_id % 7 > 0 THEN url END AS url, CASE WHEN page_id
 """
 PAYLOAD_BLOCKS_SQL = f"SELECT CAST(floor(page_id / 40) AS BIGINT) AS page_id, (page_id % 40) * 1000 + pos AS pos, type, text FROM ({BLOCKS_SQL}) b"  # noqa: S608
 _N = "CAST(page_id AS STRING)"
-_LIST = f"""'[{{"type":"heading","text":"Title ' || {_N} || '"}},{{"type":"text","text":"Text <b>' || {_N} || '</b>"}},{{"type":"text"}},{{"type":"image","image":{{"url":"https://img.example/' || {_N} || '"}}}},{{"type":"odd","text":" x "}}]'"""
+_LIST = f"""'[{{"blockType":"heading","text":"Title ' || {_N} || '"}},{{"blockType":"text","text":"Text <b>' || {_N} || '</b>"}},{{"blockType":"text"}},{{"blockType":"image","image":{{"url":"https://img.example/' || {_N} || '"}}}},{{"blockType":"odd","text":" x "}}]'"""
 DATA_SQL = f"""
 SELECT page_id, CASE CAST(page_id % 6 AS INT) WHEN 0 THEN '{{"props":{{"pageProps":{{"pageData":{{"blocks":3}},"post":{{"blocks":' || {_LIST} || '}}}}}}}}'
   WHEN 1 THEN '{{"initialArticle":{{"body":"<p>Body ' || {_N} || '</p>"}},"props":{{"pageProps":{{"post":{{"body":"later"}}}}}}}}'
@@ -141,7 +141,7 @@ SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY part, pos) - 1
 SELECT p.page_id, CASE WHEN p.page_id % 2 = 0 THEN 'page_id' ELSE 'data_source_id' END AS parent_type, source_id AS parent_id, CASE WHEN title = '' THEN '{a.UNTITLED}' ELSE title END AS title, CASE WHEN p.page_id % 2 = 1 THEN coalesce(url, '') END AS url, site_icon AS icon,
 CASE WHEN p.page_id % 4 = 0 THEN cover_image END AS cover, coalesce(n, 0) AS n_children, md5(coalesce(t, '')) AS children_md5 FROM ({PAYLOAD_PAGES_SQL}) p LEFT JOIN g ON g.page_id = p.page_id""",
     "f27_json_first_path": "SELECT page_id, CASE CAST(page_id % 6 AS INT) WHEN 0 THEN 'props.pageProps.post' WHEN 1 THEN 'initialArticle' WHEN 2 THEN 'props.pageProps.article' END AS path FROM pages",
-    "b7_structured_to_blocks": """WITH l AS (SELECT page_id, unnest([0, 1, 3, 4]) AS pos, CAST(page_id AS VARCHAR) AS n FROM pages WHERE page_id % 6 IN (0, 2))
-SELECT page_id, pos, CASE pos WHEN 0 THEN 'heading_2' WHEN 3 THEN 'image' ELSE 'paragraph' END AS type, CASE pos WHEN 0 THEN 'Title ' || n WHEN 1 THEN 'Text ' || n WHEN 3 THEN '' ELSE 'x' END AS text, CASE WHEN pos = 3 THEN 'https://img.example/' || n END AS image_url FROM l
+    "b7_structured_to_blocks": """WITH l AS (SELECT page_id, unnest([0, 1, 2, 3]) AS pos, CAST(page_id AS VARCHAR) AS n FROM pages WHERE page_id % 6 IN (0, 2))
+SELECT page_id, pos, CASE pos WHEN 0 THEN 'heading_2' WHEN 2 THEN 'image' ELSE 'paragraph' END AS type, CASE pos WHEN 0 THEN 'Title ' || n WHEN 1 THEN 'Text ' || n WHEN 2 THEN '' ELSE 'x' END AS text, CASE WHEN pos = 2 THEN 'https://img.example/' || n END AS image_url FROM l
 UNION ALL SELECT page_id, 0, 'paragraph', 'Body ' || CAST(page_id AS VARCHAR), NULL FROM pages WHERE page_id % 6 = 1""",
 }  # noqa: S608

@@ -15,7 +15,7 @@ from pagemill.plans.web import sql_norm
 _N = "CAST(page_id AS STRING)"
 # An article of four blocks in a page's data; its page and asPath as given.
 _PATH = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
-_ARTICLE = f"""'{{"title":"","blocks":[{{"type":"heading","text":"Head ' || {_N} || '"}},{{"type":"text","text":"One <b>' || {_N} || '</b>"}},{{"type":"text","text":"Two"}},{{"type":"image","image":{{"url":"https://img.example/' || {_N} || '.jpg"}}}}]}}'"""
+_ARTICLE = f"""'{{"title":"","blocks":[{{"blockType":"heading","text":"Head ' || {_N} || '"}},{{"blockType":"text","text":"One <b>' || {_N} || '</b>"}},{{"blockType":"text","text":"Two"}},{{"blockType":"image","image":{{"url":"https://img.example/' || {_N} || '.jpg"}}}}]}}'"""
 _NEXT = lambda page, path: f"""'<script id="__NEXT_DATA__">{{"page":"{page}","asPath":"' || {path} || '?q=1","props":{{"pageProps":{{"post":' || {_ARTICLE} || '}}}}}}</script></head>'"""
 # A push of two lines, the second an array whose fourth entry holds the article; and one that isn't JSON. ~ stands for a backslash.
 _PUSHED = f"""replace('<script>self.__next_f.push([0]);self.__next_f.push([1,"x"])</script><script>self.__next_f.push([1,"1:I[7]~n2:[~"$~",~"p~",null,{{~"props~":{{~"pageProps~":{{~"post~":' || replace({_ARTICLE}, '"', '~"') || '}}}}}}]~n"]);self.__next_f.push(oops)</script></head>', '~', chr(92))"""
@@ -35,6 +35,21 @@ def b6_extract_structured(spark, d):
     return t.select("page_id", "source", "path", F.get_json_object("article", "$.blocks[0].text").alias("first_text"))
 
 
+# Articles of every format, by page_id; the texts are the pages' own urls and ids.
+_MODEL = f"""'{{"type":"text","model":{{"blocks":[{{"type":"paragraph","model":{{"blocks":[{{"type":"fragment","model":{{"text":" In ' || {_N} || '"}}}},{{"model":{{"blocks":[{{"text":"side"}},{{"model":{{"text":" "}}}}]}}}}]}}}},{{"type":"introduction","model":{{"text":"' || url || '"}}}},{{"type":"list","model":{{"text":"no"}}}}]}}}}'"""
+FORMATS_SQL = f"""
+SELECT page_id, CASE CAST(page_id % 5 AS INT)
+WHEN 0 THEN '{{"blocks":[{{"type":"headline","model":{{"blocks":[{{"model":{{"text":"Head ' || {_N} || '"}}}}]}}}},{{"type":"byline","model":{{"text":"x"}}}},' || {_MODEL} || ',{{"type":"image","model":{{"blocks":[{{"type":"caption","model":{{"text":"Cap"}}}},{{"type":"rawImage","model":{{"locator":"l' || {_N} || '","originCode":"cps"}}}}]}}}},{{"type":"odd","model":{{"text":"Odd"}}}},{{"type":"image","model":{{"blocks":[]}}}}]}}'
+WHEN 1 THEN '{{"blocks":[],"storyAtoms":[{{"type":"text","tagName":"H2","content":"<i>A</i> &amp; ' || {_N} || '"}},{{"type":"text","content":" <b> </b>"}},{{"type":"image","size":{{"original":{{"url":"' || url || '"}}}},"caption":"C"}},{{"type":"video"}},{{"type":"text","tagName":"blockquote","content":"Q"}}]}}'
+WHEN 2 THEN '{{"teaser":["T1","' || {_N} || '"],"content":{{"model":{{"blocks":[{{"blockType":"text","htmlTokens":[[{{"content":"a"}},{{"content":"' || {_N} || '"}}],[{{"content":" "}}],[{{}}, {{"content":"z"}}]]}},{{"blockType":"list","ordered":true,"items":["<b>one</b>","' || {_N} || '"]}},{{"blockType":"list","items":["u"]}},{{"blockType":"code","text":"c"}},{{"blockType":"quote"}},{{"blockType":"image","image":{{"cdnUrl":"","url":"' || url || '","caption":"K"}}}},{{"blockType":"image"}}]}}}}}}'
+WHEN 3 THEN '{{"teaser":["Lead"],"body":"<p>One ' || {_N} || '</p><p>Two<br/>Three</p>"}}' ELSE '{{"content":"text alone"}}' END AS article FROM pages
+"""  # noqa: S608
+
+
+def b7_structured_formats(spark, d):
+    return st.structured_to_blocks(derived(spark, d, FORMATS_SQL))
+
+
 def b11_extract_pages(spark, d):
     t = pl.extract_pages(derived(spark, d, CLIP_SQL))
     return t.select("page_id", "canonical", "title", "kind", "strategy", "status", F.col("n_blocks").cast("long").alias("n_blocks"), F.col("n_batches").cast("long").alias("n_batches"), "lead_image", F.array_join("extra_images", " ").alias("extra_images"))
@@ -45,7 +60,7 @@ def b11_page_blocks(spark, d):
     return t.select("page_id", "pos", "type", F.md5(p.block_text()).alias("text_md5"), "image_url")
 
 
-QUERIES = {f.__name__: f for f in (b6_extract_structured, b11_extract_pages, b11_page_blocks)}
+QUERIES = {f.__name__: f for f in (b6_extract_structured, b7_structured_formats, b11_extract_pages, b11_page_blocks)}
 
 _LEN = lambda x: f"length(trim(regexp_replace(regexp_replace({x}, '<[^>]*>', '', 'g'), '&[a-z]+;', 'x', 'g')))"
 _TITLE = f"trim({_PLAIN.format(x="regexp_extract(html, '<title>([\\s\\S]*?)</title>', 1)")})"
@@ -60,6 +75,11 @@ e AS (SELECT *, strategy IN ('drupal', 'cms', 'article', 'generic') OR strategy
 c AS (SELECT *, CASE WHEN k IN (5, 9) THEN 4 WHEN strategy = 'technical' THEN 1 WHEN whole THEN len(regexp_extract_all(body, '{_ELEMENT}')) WHEN strategy = 'list' THEN n_li ELSE 0 END AS n_own, k = 6 AND strategy IS NOT NULL AS led FROM e)"""
 ORACLES = {
     "b6_extract_structured": f"SELECT page_id, CASE WHEN page_id % 10 = 5 THEN 'pages' ELSE 'app' END AS source, 'props.pageProps.post' AS path, 'Head ' || {_N} AS first_text FROM pages WHERE page_id % 10 IN (5, 9)",
+    "b7_structured_formats": f"""SELECT page_id, CAST(generate_subscripts(xs, 1) - 1 AS INT) AS pos, unnest(xs).t AS type, unnest(xs).x AS text, unnest(xs).u AS image_url FROM (SELECT page_id, CASE CAST(page_id % 5 AS INT)
+WHEN 0 THEN [{{'t': 'heading_1', 'x': 'Head ' || {_N}, 'u': NULL}}, {{'t': 'paragraph', 'x': 'In ' || {_N} || 'side', 'u': NULL}}, {{'t': 'paragraph', 'x': url, 'u': NULL}}, {{'t': 'image', 'x': 'Cap', 'u': 'https://ichef.bbci.co.uk/ace/ws/1024/cps/l' || {_N} || '.webp'}}, {{'t': 'paragraph', 'x': 'Odd', 'u': NULL}}]
+WHEN 1 THEN [{{'t': 'heading_2', 'x': 'A & ' || {_N}, 'u': NULL}}, {{'t': 'image', 'x': 'C', 'u': url}}, {{'t': 'quote', 'x': 'Q', 'u': NULL}}]
+WHEN 2 THEN [{{'t': 'quote', 'x': 'T1' || chr(10) || {_N}, 'u': NULL}}, {{'t': 'paragraph', 'x': 'a' || {_N}, 'u': NULL}}, {{'t': 'paragraph', 'x': 'z', 'u': NULL}}, {{'t': 'numbered_list_item', 'x': 'one', 'u': NULL}}, {{'t': 'numbered_list_item', 'x': {_N}, 'u': NULL}}, {{'t': 'bulleted_list_item', 'x': 'u', 'u': NULL}}, {{'t': 'paragraph', 'x': 'c', 'u': NULL}}, {{'t': 'quote', 'x': '', 'u': NULL}}, {{'t': 'image', 'x': 'K', 'u': url}}]
+WHEN 3 THEN [{{'t': 'quote', 'x': 'Lead', 'u': NULL}}, {{'t': 'paragraph', 'x': 'One ' || {_N} || chr(10) || chr(10) || 'Two' || chr(10) || 'Three', 'u': NULL}}] END AS xs FROM pages) q WHERE xs IS NOT NULL""",
     "b11_extract_pages": f"""WITH {_CLIP} SELECT page_id, {sql_norm('url')} AS canonical, title, CASE WHEN k IN (5, 9) THEN 'nextjs' WHEN strategy = 'technical' THEN 'markdown' WHEN strategy IS NOT NULL THEN 'html' END AS kind, strategy, CASE WHEN strategy IS NULL THEN 'failed' ELSE 'success' END AS status,
 CAST(greatest(1, n_own + CASE WHEN led THEN 1 ELSE 0 END) AS BIGINT) AS n_blocks, CAST(ceil(greatest(1, n_own + CASE WHEN led THEN 1 ELSE 0 END) / 100.0) AS BIGINT) AS n_batches, CASE WHEN led THEN 'https://img.example/' || {_N} || '.jpg' END AS lead_image, CASE WHEN led THEN 'https://img.example/' || {_N} || '-b.png' ELSE '' END AS extra_images FROM c""",
     "b11_page_blocks": f"""WITH {_CLIP}, w AS (SELECT page_id, led, CASE WHEN whole THEN regexp_extract_all(body, '{_ELEMENT}') WHEN strategy = 'list' THEN regexp_extract_all(html, '<li><a [^>]*>[^<]*') ELSE [] END AS xs FROM c),
