@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemill.functions.urls import bound, is_root_url, is_valid_alias, normalize_url
-from pagemill.operators.store import HIGHLIGHTS, PAGE, aliases, all_highlights, highlight_list, is_array, is_object, json_at, route_keys, unify_page_state
+from pagemill.operators.store import ALIAS, HIGHLIGHTS, PAGE, SAVED, aliases, all_highlights, highlight_list, is_array, is_object, json_at, route_keys, unify_page_state
 
 STATE_PREFIX = "migration_"
 
@@ -78,33 +79,70 @@ def same_remote_page(id_a: Column, url_a: Column, id_b: Column, url_b: Column) -
     return F.when(given(id_a) & given(id_b), F.replace(id_a, F.lit("-"), F.lit("")) == F.replace(id_b, F.lit("-"), F.lit(""))).when(given(url_a) & given(url_b), bare(url_a) == bare(url_b))
 
 
+def same_highlights(there: Column, moved: Column) -> Column:
+    """Whether two lists of highlights (arrays of JSON texts, the first not empty) are equivalent: equally long, and, where all have
+    ids, the same ids with the same items whatever their order; else the same items in the same order."""
+    ids = lambda xs: F.transform(xs, lambda h: F.coalesce(json_at(h, "$.id"), F.lit("")))
+    named = lambda xs: F.forall(xs, lambda h: F.coalesce(json_at(h, "$.id"), F.lit("")) != "")
+    by_id = (F.size(F.array_distinct(ids(moved))) == F.size(there)) & F.forall(there, lambda h: F.array_contains(moved, h))
+    return (F.size(there) == F.size(moved)) & F.when(named(there) & named(moved), by_id).otherwise(there == moved)
+
+
 def migrate_to_stable(store: DataFrame, pairs: DataFrame, format_converter: Callable[[Column], Column] | None = None) -> DataFrame:
-    """pairs(profile_id, legacy_url, stable_url) with ``outcome`` and what the stable page then holds.
+    """pairs(profile_id, legacy_url, stable_url) with ``outcome`` and what the stable page then holds: remote_page_id, highlights.
 
     refused: an empty, equal or root target, or nothing to move; moved: the stable page had no highlights (its own
-    remote page wins); cleaned: its highlights are the same; kept or supplemented: they differ, and the stable page
+    remote page wins); cleaned: its highlights are equivalent; kept or supplemented: they differ, and the stable page
     takes the legacy remote page only where it has none; conflict says that both have other remote pages.
-    format_converter maps the legacy highlights (JSON array text) to what is moved. Pairs that share a stable url are
-    taken by legacy url: the first with highlights moves, later ones meet its result."""
-    from pyspark.sql import Window as W
+    format_converter maps the legacy highlights (JSON array text) to what is moved; what isn't an array then counts as empty.
 
+    Pairs that share a stable url are taken in their order (column ordinal where pairs has it, then legacy_url), each meeting what those
+    before it left: the first list that isn't empty stays, and so does the first remote page that a pair other than a cleaned
+    one brings. That is two running values of a window, so a stable url with very many legacy ones is streamed."""
     state = unify_page_state(store).select("profile_id", "url", "remote", "highlights")
     side = lambda name: state.select("profile_id", F.col("url").alias(f"{name}_url"), F.col("remote").alias(f"{name}_remote"), F.col("highlights").alias(f"{name}_list"))
     j = pairs.join(side("legacy"), ["profile_id", "legacy_url"], "left").join(side("stable"), ["profile_id", "stable_url"], "left")
     listed = F.coalesce("legacy_list", F.lit("[]"))
-    j = j.withColumn("moved_list", format_converter(listed) if format_converter else listed).withColumn("stable_list", F.coalesce("stable_list", F.lit("[]")))
+    moved = format_converter(listed) if format_converter else listed
+    j = j.withColumns({"moved": F.coalesce(items_of(moved), F.array().cast("array<string>")), "own": F.coalesce(items_of(F.col("stable_list")), F.array().cast("array<string>"))})
     refused = (F.coalesce("stable_url", F.lit("")) == "") | (F.coalesce("legacy_url", F.lit("")) == "") | (F.col("stable_url") == F.col("legacy_url")) | is_root_url("stable_url") | (F.col("legacy_remote").isNull() & (F.json_array_length(listed) == 0))
     j = j.withColumn("refused", F.coalesce(refused, F.lit(True)))
-    w = W.partitionBy("profile_id", "stable_url").orderBy("legacy_url")
-    has = (F.json_array_length("moved_list") > 0) & ~F.col("refused")
-    rank = F.sum(has.cast("int")).over(w)
-    j = j.withColumn("first_list", F.first(F.when(has, F.col("moved_list")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).withColumn("rank", rank)
-    there = F.when(F.json_array_length("stable_list") > 0, F.col("stable_list")).when((F.col("rank") > 1) | ((F.col("rank") == 1) & ~has), F.col("first_list")).otherwise("[]")
-    j = j.withColumn("there", there)
-    differ = same_remote_page(F.col("stable_remote.page_id"), F.col("stable_remote.url"), F.col("legacy_remote.page_id"), F.col("legacy_remote.url")) == F.lit(False)
-    outcome = F.when(F.col("refused"), "refused").when(F.json_array_length("there") == 0, "moved").when(F.col("there") == F.col("moved_list"), "cleaned").when(F.col("stable_remote").isNull() & F.col("legacy_remote").isNotNull(), "supplemented").otherwise("kept")
-    j = j.withColumn("outcome", outcome)
-    return j.select("profile_id", "legacy_url", "stable_url", "outcome", F.when(F.col("outcome") == "refused", None).otherwise(F.coalesce("stable_remote.page_id", F.when(F.col("outcome").isin("moved", "supplemented"), F.col("legacy_remote.page_id")))).alias("remote_page_id"), F.when(F.col("outcome") == "moved", F.col("moved_list")).when(F.col("outcome") != "refused", F.col("there")).alias("highlights"), (F.coalesce(differ, F.lit(False)) & (F.col("outcome") == "kept")).alias("conflict"))
+    order = [F.col("ordinal")] if "ordinal" in pairs.columns else []
+    before = W.partitionBy("profile_id", "stable_url").orderBy(*order, "legacy_url").rowsBetween(W.unboundedPreceding, -1)
+    brings = ~F.col("refused") & (F.size("moved") > 0)
+    j = j.withColumn("there", F.when(F.size("own") > 0, F.col("own")).otherwise(F.coalesce(F.first(F.when(brings, F.col("moved")), True).over(before), F.array().cast("array<string>"))))
+    empty = F.size("there") == 0
+    j = j.withColumn("cleaned", ~F.col("refused") & ~empty & F.coalesce(same_highlights(F.col("there"), F.col("moved")), F.lit(False)))
+    gives = F.when(~F.col("refused") & ~F.col("cleaned"), F.col("legacy_remote"))
+    j = j.withColumn("known", F.coalesce("stable_remote", F.first(gives, True).over(before)))
+    lacks = F.col("known").isNull() & F.col("legacy_remote").isNotNull()
+    outcome = F.when(F.col("refused"), "refused").when(empty, "moved").when(F.col("cleaned"), "cleaned").when(lacks, "supplemented").otherwise("kept")
+    differ = same_remote_page(F.col("known.page_id"), F.col("known.url"), F.col("legacy_remote.page_id"), F.col("legacy_remote.url")) == F.lit(False)
+    accepted = outcome != "refused"
+    remote = F.when(accepted, F.when(outcome == "cleaned", F.col("known")).otherwise(F.coalesce("known", "legacy_remote")))
+    result = F.when(accepted, F.when(outcome == "moved", F.col("moved")).otherwise(F.col("there")))
+    out = j.withColumns({"outcome": outcome, "remote": remote, "highlights": F.concat(F.lit("["), F.array_join(result, ","), F.lit("]")), "conflict": F.coalesce(differ, F.lit(False)) & (outcome == "kept")})
+    return out.select("profile_id", *(["ordinal"] if order else []), "legacy_url", "stable_url", "outcome", F.col("remote.page_id").alias("remote_page_id"), "highlights", "conflict", "remote")
+
+
+def migration_writes(store: DataFrame, moves: DataFrame) -> DataFrame:
+    """(profile_id, key, action, value) of migrate_to_stable's rows: the page row of each stable url whose page changes, as the last of its
+    pairs leaves it, saying which url it was moved from first; an alias row for each pair that wasn't refused; and the removal of
+    the legacy rows of pairs that were moved or cleaned."""
+    taken = moves.where("outcome <> 'refused'")
+    at = F.struct(*(["ordinal"] if "ordinal" in moves.columns else []), "legacy_url")
+    changes = F.col("outcome").isin("moved", "supplemented")
+    last = taken.groupBy("profile_id", "stable_url").agg(F.max_by(F.struct("remote", "highlights"), at).alias("x"), F.min_by("legacy_url", F.when(F.col("outcome") == "moved", at)).alias("first_url"), F.bool_or(changes).alias("changed")).where("changed")
+    r = F.col("x.remote")
+    remote = F.when(r.isNotNull(), F.to_json(F.struct(r["page_id"].alias("pageId"), r["url"].alias("url"), r["title"].alias("title"), r["saved_at"].cast("long").alias("savedAt")))).otherwise("null")
+    own = route_keys(store).where("kind = 'page'").where(is_object(F.col("value"))).select("profile_id", F.col("url").alias("stable_url"), json_at("value", "$.metadata").alias("metadata"))
+    meta = F.coalesce("metadata", F.when(F.col("first_url").isNotNull(), F.to_json(F.struct(F.col("first_url").alias("migratedFrom")))), F.lit("{}"))
+    pages = last.join(own, ["profile_id", "stable_url"], "left").select("profile_id", F.concat(F.lit(PAGE), "stable_url").alias("key"), F.lit("set").alias("action"), F.concat(F.lit('{"remote":'), remote, F.lit(',"highlights":'), F.col("x.highlights"), F.lit(',"metadata":'), meta, F.lit("}")).alias("value"))
+    quoted = F.regexp_extract(F.to_json(F.array("stable_url")), r"^\[(.*)\]$", 1)
+    names = taken.select("profile_id", F.concat(F.lit(ALIAS), "legacy_url").alias("key"), F.lit("set").alias("action"), quoted.alias("value")).distinct()
+    old = taken.where(F.col("outcome").isin("moved", "cleaned")).select("profile_id", F.explode(F.array(*(F.concat(F.lit(x), "legacy_url") for x in (PAGE, SAVED, HIGHLIGHTS)))).alias("key")).distinct()
+    gone = store.select("profile_id", "key").join(old, ["profile_id", "key"], "left_semi").select("profile_id", "key", F.lit("remove").alias("action"), F.lit(None).cast("string").alias("value"))
+    return pages.unionByName(names).unionByName(gone)
 
 
 def collect_deletion_keys(pages: DataFrame, store: DataFrame) -> DataFrame:
@@ -162,7 +200,7 @@ def upsert_highlights(store: DataFrame, updates: DataFrame, now: Column) -> Data
     pages = route_keys(store).where("kind = 'page'").where(is_object(F.col("value"))).select("profile_id", F.col("url").alias("_u"), F.col("value").alias("_v"))
     j = u.join(pages.toDF("profile_id", "canonical", "own"), ["profile_id", "canonical"], "left").join(pages.toDF("profile_id", "url", "raw"), ["profile_id", "url"], "left")
     base = F.coalesce("own", "raw")
-    moved = F.when(F.col("own").isNull() & F.col("raw").isNotNull(), F.concat(F.lit(',"migratedFrom":"'), F.col("url"), F.lit('"'))).otherwise("")
+    moved = F.when(F.col("own").isNull() & F.col("raw").isNotNull(), F.concat(F.lit(',"migratedFrom":'), F.regexp_extract(F.to_json(F.array("url")), r"^\[(.*)\]$", 1))).otherwise("")
     body = F.concat(F.lit('{"remote":'), F.coalesce(json_at(base, "$.remote"), F.lit("null")), F.lit(',"highlights":'), "highlights", F.lit(',"metadata":{"createdAt":'), F.coalesce(json_at(base, "$.metadata.createdAt"), now.cast("string")), F.lit(',"lastUpdated":'), now.cast("string"), moved, F.lit("}}"))
     written = j.select("profile_id", F.concat(F.lit(PAGE), "canonical").alias("key"), F.lit("set").alias("action"), body.alias("value"), "url", "canonical")
     old = written.select("profile_id", F.explode(F.array_distinct(F.array(F.concat(F.lit(HIGHLIGHTS), "url"), F.concat(F.lit(HIGHLIGHTS), "canonical")))).alias("key")).distinct()

@@ -71,20 +71,17 @@ def highlight_list(value: Column) -> Column:
     return F.when(is_array(value), value).when(is_object(value) & is_array(inner), inner)
 
 
-def _remote_of_saved(value: Column, now: Column) -> Column:
-    at = F.coalesce(json_at(value, "$.savedAt").cast("double"), json_at(value, "$.timestamp").cast("double"), now.cast("double"))
-    return F.struct(
-        F.coalesce(json_at(value, "$.pageId"), json_at(value, "$.id"), F.lit("")).alias("page_id"),
-        F.coalesce(json_at(value, "$.url"), json_at(value, "$.notionUrl"), F.lit("")).alias("url"),
-        F.coalesce(json_at(value, "$.title"), F.lit("")).alias("title"),
-        at.alias("saved_at"),
-        json_at(value, "$.lastVerifiedAt").cast("double").alias("last_verified_at"),
-    )
+_RECORD = "pageId string, id string, url string, notionUrl string, title string, savedAt string, timestamp string, lastVerifiedAt string, remote string, highlights string, metadata string"
+_REMOTE = "pageId string, url string, title string, savedAt string, lastVerifiedAt string"
 
 
-def _remote_of_page(value: Column) -> Column:
-    at = lambda name: json_at(value, f"$.remote.{name}")
-    return F.when(json_at(value, "$.remote").isNotNull(), F.struct(at("pageId").alias("page_id"), at("url").alias("url"), at("title").alias("title"), at("savedAt").cast("double").alias("saved_at"), at("lastVerifiedAt").cast("double").alias("last_verified_at")))
+def _remote_of_saved(o: Column, now: Column) -> Column:
+    at = F.coalesce(o["savedAt"].try_cast("double"), o["timestamp"].try_cast("double"), now.cast("double"))
+    return F.struct(F.coalesce(o["pageId"], o["id"], F.lit("")).alias("page_id"), F.coalesce(o["url"], o["notionUrl"], F.lit("")).alias("url"), F.coalesce(o["title"], F.lit("")).alias("title"), at.alias("saved_at"), o["lastVerifiedAt"].try_cast("double").alias("last_verified_at"))
+
+
+def _remote_of_page(r: Column) -> Column:
+    return F.struct(r["pageId"].alias("page_id"), r["url"].alias("url"), r["title"].alias("title"), r["savedAt"].try_cast("double").alias("saved_at"), r["lastVerifiedAt"].try_cast("double").alias("last_verified_at"))
 
 
 def unify_page_state(store: DataFrame, now: Column | None = None) -> DataFrame:
@@ -95,17 +92,17 @@ def unify_page_state(store: DataFrame, now: Column | None = None) -> DataFrame:
     added. One aggregate by url replaces three joins, so the store is shuffled once."""
     now = now if now is not None else F.lit(0.0)
     r = route_keys(store).where(F.col("kind").isin("page", "saved", "highlights") & (F.col("url") != ""))
-    v = F.col("value")
-    page_ok = (F.col("kind") == "page") & is_object(v)
-    has_id = (F.coalesce(json_at(v, "$.pageId"), F.lit("")) != "") | (F.coalesce(json_at(v, "$.id"), F.lit("")) != "")
-    saved_ok = (F.col("kind") == "saved") & is_object(v) & has_id
-    legacy = highlight_list(v)
+    v, o = F.col("value"), F.col("_record")
+    r = r.withColumn("_record", F.when(is_object(v), F.from_json(v, _RECORD)))  # each value is parsed once, its remote page once more
+    r = r.withColumns({"_remote": F.from_json(o["remote"], _REMOTE), "_updated": F.get_json_object(o["metadata"], "$.lastUpdated").try_cast("double"), "_list": F.when(is_array(o["highlights"]), o["highlights"])})
+    page_ok = (F.col("kind") == "page") & o.isNotNull()
+    saved_ok = (F.col("kind") == "saved") & o.isNotNull() & (F.coalesce(o["pageId"], o["id"], F.lit("")) != "")
+    legacy = F.when(is_array(v), v).otherwise(F.col("_list"))
     legacy_ok = (F.col("kind") == "highlights") & (F.json_array_length(legacy) > 0)
-    own = F.when(is_array(json_at(v, "$.highlights")), json_at(v, "$.highlights")).otherwise("[]")
     rows = r.select(
         "profile_id", "url",
-        F.when(page_ok, F.struct("ordinal", _remote_of_page(v).alias("remote"), own.alias("highlights"), json_at(v, "$.metadata.lastUpdated").cast("double").alias("updated"))).alias("page"),
-        F.when(saved_ok, F.struct("ordinal", _remote_of_saved(v, now).alias("remote"))).alias("saved"),
+        F.when(page_ok, F.struct("ordinal", F.when(o["remote"].isNotNull(), _remote_of_page(F.col("_remote"))).alias("remote"), F.coalesce("_list", F.lit("[]")).alias("highlights"), F.col("_updated").alias("updated"))).alias("page"),
+        F.when(saved_ok, F.struct("ordinal", _remote_of_saved(o, now).alias("remote"))).alias("saved"),
         F.when(legacy_ok, F.struct("ordinal", legacy.alias("highlights"))).alias("legacy"),
     ).where("page is not null or saved is not null or legacy is not null")
     one = rows.groupBy("profile_id", "url").agg(F.max("page").alias("page"), F.min("saved").alias("saved"), F.min("legacy").alias("legacy"))

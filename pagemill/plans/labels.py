@@ -12,7 +12,7 @@ from pagemill.operators import pages as p
 from pagemill.operators import store as s
 from pagemill.operators import sync as y
 from pagemill.operators import textsearch as ts
-from pagemill.plans.tables import STORE_SQL, derived
+from pagemill.plans.tables import STORE_SQL, derived, stored
 
 # Every page gets images at its end: by place, their markup, the url they come to, and their status.
 _ID = "CAST(page_id AS STRING)"
@@ -107,12 +107,12 @@ FLAGGED_SQL = f"""SELECT profile_id, ordinal, key, replace(replace(value, '"id":
 
 
 def a13_pending_lists(spark, d):
-    t = m.pending_lists(derived(spark, d, FLAGGED_SQL))
+    t = m.pending_lists(stored(spark, d, FLAGGED_SQL))
     return t.select("profile_id", "url", *(F.col(c).cast("long").alias(c) for c in ("total", "pending", "failed")))
 
 
 def p20_drop_failed_highlights(spark, d):
-    t = m.drop_failed_highlights(s.all_highlights(derived(spark, d, FLAGGED_SQL)))
+    t = m.drop_failed_highlights(s.all_highlights(stored(spark, d, FLAGGED_SQL)))
     return t.select("profile_id", "url", F.col("n_removed").cast("long").alias("n_removed"), F.json_array_length("highlights").cast("long").alias("n_kept"))
 
 
@@ -141,7 +141,7 @@ def j20_w12_migrate_inline(spark, d):
 
 
 def j10_batch_migrate(spark, d):
-    st = derived(spark, d, STORE_SQL)
+    st = stored(spark, d, STORE_SQL)
     pairs = s.route_keys(st).where("kind in ('page', 'highlights')").select("profile_id", F.col("url").alias("legacy_url")).distinct()
     stable = F.when(F.char_length("legacy_url") % 4 > 0, F.concat(F.lit("https://stable.example/p/"), F.char_length("legacy_url")))
     t = m.batch_migrate(st, pairs.withColumn("stable_url", stable))

@@ -8,7 +8,7 @@ from pagemill.operators import logs as lg
 from pagemill.operators import migration as m
 from pagemill.operators import store as s
 from pagemill.operators import sync as y
-from pagemill.plans.tables import LOGS_SQL, SOURCES_SQL, STORE_SQL, VERIFICATIONS_SQL, derived
+from pagemill.plans.tables import COPIES_SQL, LOGS_SQL, SOURCES_SQL, STORE_SQL, VERIFICATIONS_SQL, derived, stored
 from pagemill.plans.web import _LOOKUP, _ROUTED, _store, sql_norm  # noqa: F401
 
 
@@ -75,10 +75,21 @@ def f25_same_remote_page(spark, d):
     return t.select("page_id", m.same_remote_page(a, F.col("url"), b, F.concat(F.col("url"), F.lit("/"))).alias("same"))
 
 
+def _moves(spark, d):
+    st = stored(spark, d, COPIES_SQL)
+    pairs = s.route_keys(st).where("kind in ('page', 'highlights', 'saved')").groupBy("profile_id", F.col("url").alias("legacy_url")).agg(F.min("ordinal").alias("ordinal"))
+    plain = F.regexp_replace("legacy_url", r"[?#].*$|/$", "")
+    shared = F.concat(F.lit("https://stable.example/p/"), F.char_length("legacy_url") % 7)
+    stable = F.when(plain != F.col("legacy_url"), plain).when(F.char_length("legacy_url") % 5 > 0, shared).otherwise("")
+    return st, m.migrate_to_stable(st, pairs.withColumn("stable_url", stable))
+
+
 def j9_migrate_to_stable(spark, d):
-    st = _store(spark, d)
-    pairs = s.route_keys(st).where("kind in ('page', 'highlights', 'saved')").select("profile_id", F.col("url").alias("legacy_url")).distinct()
-    return m.migrate_to_stable(st, pairs.withColumn("stable_url", F.regexp_replace("legacy_url", r"[?#].*$|/$", ""))).select("profile_id", "legacy_url", "stable_url", "outcome", F.json_array_length("highlights").cast("long").alias("n"))
+    return _moves(spark, d)[1].select("profile_id", "legacy_url", "stable_url", "outcome", "remote_page_id", "conflict", F.md5("highlights").alias("highlights_md5"))
+
+
+def j9_migration_writes(spark, d):
+    return m.migration_writes(*_moves(spark, d)).select("profile_id", "key", "action", F.md5("value").alias("value_md5"))
 
 
 def j11_deletion_keys(spark, d):
@@ -158,7 +169,7 @@ def f7_sanitize_url(spark, d):
     return t.select("page_id", lg.sanitize_url(u).alias("safe_url"))
 
 
-QUERIES = {f.__name__: f for f in (a3_snapshot_highlights, a3_snapshot_saved_states, a3_snapshot_metadata, j7_reachable_aliases, a4_snapshot_summary, j6_apply_snapshot, p12_a5_migration_scan, a5_migration_items, a6_migration_status, a6_completed_keys, a11_highlight_counts, a14_batch_summary, f25_same_remote_page, j9_migrate_to_stable, j11_deletion_keys, j12_clear_plan, j17_propose_aliases, j18_clear_remote, p18_auto_sync, p17_save_status, j16_verify_saved, t3_rank_sources, t4_search_sources, a10_log_repeats, w11_suppress_repeats, w13_log_tail, f8_mask_string, f9_redact_text, f7_sanitize_url)}
+QUERIES = {f.__name__: f for f in (a3_snapshot_highlights, a3_snapshot_saved_states, a3_snapshot_metadata, j7_reachable_aliases, a4_snapshot_summary, j6_apply_snapshot, p12_a5_migration_scan, a5_migration_items, a6_migration_status, a6_completed_keys, a11_highlight_counts, a14_batch_summary, f25_same_remote_page, j9_migrate_to_stable, j9_migration_writes, j11_deletion_keys, j12_clear_plan, j17_propose_aliases, j18_clear_remote, p18_auto_sync, p17_save_status, j16_verify_saved, t3_rank_sources, t4_search_sources, a10_log_repeats, w11_suppress_repeats, w13_log_tail, f8_mask_string, f9_redact_text, f7_sanitize_url)}
 
 # ---- DuckDB
 _STATE = """state AS (
@@ -175,7 +186,30 @@ keyed AS (SELECT profile_id, page_key FROM hrow UNION SELECT profile_id, url FRO
 reach AS (SELECT al.* FROM al SEMI JOIN keyed ON keyed.profile_id = al.profile_id AND keyed.page_key = al.target)"""
 _LOG = f"lg AS (SELECT *, coalesce(json_extract_string(context, '$.action'), '') AS action FROM ({LOGS_SQL}) q)"
 
+# The unified state of the copies' store, and the fold over the pairs of each stable url; lists as JSON texts.
+_FOLD = f"""{_ROUTED.replace(STORE_SQL, COPIES_SQL)},
+us AS (SELECT profile_id, url, min(ordinal) AS ordinal FROM r WHERE kind IN ('page', 'highlights', 'saved') GROUP BY 1, 2),
+pg AS (SELECT * FROM r WHERE kind = 'page' AND json_type(value) = 'OBJECT'), sv AS (SELECT * FROM r WHERE kind = 'saved'),
+lists AS (SELECT us.profile_id, us.url, coalesce(CASE WHEN json_type(pg.value, '$.highlights') = 'ARRAY' AND json_array_length(pg.value, '$.highlights') > 0 THEN json_extract(pg.value, '$.highlights')::VARCHAR END,
+  CASE WHEN leg.n > 0 THEN (CASE WHEN json_type(leg.value) = 'ARRAY' THEN leg.value ELSE json_extract(leg.value, '$.highlights')::VARCHAR END) END, '[]') AS l,
+  coalesce(json_extract_string(pg.value, '$.remote.pageId'), json_extract_string(sv.value, '$.pageId')) AS pid, coalesce(json_extract_string(pg.value, '$.remote.title'), json_extract_string(sv.value, '$.title')) AS title,
+  coalesce(json_extract_string(pg.value, '$.remote.url'), json_extract_string(sv.value, '$.url')) AS rurl, coalesce(json_extract_string(pg.value, '$.remote.savedAt'), json_extract_string(sv.value, '$.savedAt')) AS ts,
+  pg.value IS NOT NULL OR sv.value IS NOT NULL OR leg.n > 0 AS known FROM us LEFT JOIN pg ON pg.profile_id = us.profile_id AND pg.url = us.url LEFT JOIN sv ON sv.profile_id = us.profile_id AND sv.url = us.url LEFT JOIN leg ON leg.profile_id = us.profile_id AND leg.url = us.url),
+pr AS (SELECT profile_id, ordinal, url, CASE WHEN p <> url THEN p WHEN length(url) % 5 > 0 THEN 'https://stable.example/p/' || (length(url) % 7) ELSE '' END AS stable FROM (SELECT *, regexp_replace(url, '[?#].*$|/$', '') AS p FROM us) q),
+j AS (SELECT pr.*, a.l AS l, a.pid, a.rurl, a.title, a.ts, coalesce(b.l, '[]') AS own, b.pid AS spid, b.rurl AS srurl, b.title AS stitle, b.ts AS sts, pr.stable = '' OR pr.stable = pr.url OR regexp_matches(pr.stable, '^[a-z]+://[^/?#]*/?$') OR a.pid IS NULL AND a.l = '[]' AS refused
+  FROM pr JOIN lists a ON a.profile_id = pr.profile_id AND a.url = pr.url LEFT JOIN lists b ON b.profile_id = pr.profile_id AND b.url = pr.stable),
+k AS (SELECT *, CASE WHEN own <> '[]' THEN own ELSE coalesce(first(CASE WHEN NOT refused AND l <> '[]' THEN l END IGNORE NULLS) OVER w, '[]') END AS there FROM j WINDOW w AS (PARTITION BY profile_id, stable ORDER BY ordinal, url ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, NOT refused AND there <> '[]' AND there = l AS cleaned FROM k),
+e AS (SELECT *, CASE WHEN spid IS NOT NULL THEN struct_pack(pid := spid, rurl := srurl, title := stitle, ts := sts) ELSE first(CASE WHEN NOT refused AND NOT cleaned AND pid IS NOT NULL THEN struct_pack(pid := pid, rurl := rurl, title := title, ts := ts) END IGNORE NULLS) OVER w END AS held FROM c WINDOW w AS (PARTITION BY profile_id, stable ORDER BY ordinal, url ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, CASE WHEN refused THEN 'refused' WHEN there = '[]' THEN 'moved' WHEN cleaned THEN 'cleaned' WHEN held IS NULL AND pid IS NOT NULL THEN 'supplemented' ELSE 'kept' END AS outcome FROM e),
+g AS (SELECT *, CASE WHEN NOT refused THEN CASE WHEN outcome = 'cleaned' THEN held ELSE coalesce(held, CASE WHEN pid IS NOT NULL THEN struct_pack(pid := pid, rurl := rurl, title := title, ts := ts) END) END END AS rem, CASE WHEN NOT refused THEN CASE WHEN outcome = 'moved' THEN l ELSE there END END AS res FROM f)"""
 ORACLES = {
+    "j9_migrate_to_stable": f"WITH {_FOLD} SELECT profile_id, url AS legacy_url, stable AS stable_url, outcome, rem.pid AS remote_page_id, outcome = 'kept' AND coalesce(held.pid <> pid, FALSE) AS conflict, md5(res) AS highlights_md5 FROM g",
+    "j9_migration_writes": f"""WITH {_FOLD}, t AS (SELECT * FROM g WHERE NOT refused), z AS (SELECT profile_id, stable, arg_max(struct_pack(rem := rem, res := res), struct_pack(o := ordinal, u := url)) AS x, arg_min(CASE WHEN outcome = 'moved' THEN url END, CASE WHEN outcome = 'moved' THEN struct_pack(o := ordinal, u := url) END) AS first_url, bool_or(outcome IN ('moved', 'supplemented')) AS changed FROM t GROUP BY 1, 2)
+SELECT z.profile_id, 'page_' || stable AS key, 'set' AS action, md5('{{"remote":' || CASE WHEN x.rem IS NULL THEN 'null' ELSE '{{"pageId":"' || x.rem.pid || '","url":"' || x.rem.rurl || '","title":"' || x.rem.title || '","savedAt":' || x.rem.ts || '}}' END || ',"highlights":' || x.res || ',"metadata":' || coalesce(json_extract(pg.value, '$.metadata')::VARCHAR, CASE WHEN first_url IS NOT NULL THEN '{{"migratedFrom":"' || first_url || '"}}' END, '{{}}') || '}}') AS value_md5
+FROM z LEFT JOIN pg ON pg.profile_id = z.profile_id AND pg.url = z.stable WHERE changed
+UNION ALL SELECT DISTINCT profile_id, 'url_alias:' || url, 'set', md5('"' || stable || '"') FROM t
+UNION ALL SELECT DISTINCT r.profile_id, r.key, 'remove', NULL FROM t JOIN r ON r.profile_id = t.profile_id AND r.key IN ('page_' || t.url, 'saved_' || t.url, 'highlights_' || t.url) WHERE outcome IN ('moved', 'cleaned')""",
     "a3_snapshot_highlights": f"WITH {_ROUTED}, {_STATE} SELECT profile_id, page_key, pos, json_extract_string(h, '$.id') AS highlight_id, json_extract_string(h, '$.text') AS text, json_extract_string(h, '$.color') AS color, json_type(h, '$.rangeInfo') IS NOT NULL AS has_range, CAST(json_extract_string(h, '$.timestamp') AS DOUBLE) AS created_at FROM hrow",
     "a3_snapshot_saved_states": f"WITH {_ROUTED}, {_STATE} SELECT profile_id, url AS page_key, json_extract_string(remote, '$.pageId') AS remote_page_id, json_extract_string(remote, '$.url') AS remote_url, json_extract_string(remote, '$.title') AS title FROM uni WHERE remote IS NOT NULL",
     "a3_snapshot_metadata": f"WITH {_ROUTED}, {_STATE} SELECT profile_id, count(*) AS pages, CAST(sum(json_array_length(hl)) AS BIGINT) AS n_highlights, count(remote) AS n_saved_states FROM uni WHERE remote IS NOT NULL OR json_array_length(hl) > 0 GROUP BY 1",

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagemill.sources.staging import staged
+
 _ITEM = """'{"id":"h' || '@' || '","text":"text ' || CAST(page_id AS STRING) || ' ' || '@' || '","color":"' || CASE WHEN page_id % 2 = 0 THEN 'yellow' ELSE 'blue' END || '","timestamp":' || CAST(page_id AS STRING) || CASE WHEN page_id % 5 = 0 THEN '' ELSE ',"rangeInfo":{"startOffset":1}' END || '}'"""
 _ITEMS = [_ITEM.replace("@", str(k)) for k in range(3)]
 _LIST = "CASE CAST(page_id % 4 AS INT) WHEN 0 THEN '[]' " + " ".join(f"WHEN {n} THEN '[' || " + " || ',' || ".join(_ITEMS[:n]) + " || ']'" for n in (1, 2, 3)) + " END"
@@ -40,6 +42,12 @@ SELECT profile_id, ordinal, CASE WHEN ordinal % 60 = 1 THEN key || '-new' ELSE k
 FROM ({STORE_SQL}) b WHERE ordinal % 6 <> 5
 """  # noqa: S608
 
+# The store with copies of legacy lists under urls with a fragment.
+COPIES_SQL = f"""
+SELECT profile_id, ordinal, key, value FROM ({STORE_SQL}) a
+UNION ALL SELECT profile_id, ordinal + 4, key || '#copy', value FROM ({STORE_SQL}) b WHERE substr(key, 1, 11) = 'highlights_' AND ordinal % 3 > 0
+"""  # noqa: S608
+
 LOGS_SQL = """
 SELECT event_id, ts, CAST(user_id AS STRING) AS source,
   CASE WHEN event_type = 'error' THEN 'error' WHEN event_type = 'purchase' THEN 'warn' ELSE 'info' END AS level,
@@ -75,3 +83,8 @@ def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
         if f"FROM {name}" in sql:
             spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
     return spark.sql(sql)
+
+
+def stored(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """derived, written once: what reads a store several times then doesn't derive it each time."""
+    return staged(derived(spark, sf_dir, sql), "derived")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import urls as u
 from pagemill.operators import backup as b
 from pagemill.operators import store as s
-from pagemill.plans.tables import BACKUP_SQL, STORE_SQL, derived
+from pagemill.plans.tables import BACKUP_SQL, STORE_SQL, derived, stored
 
 _RE = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
 _TRACK = ", ".join(f"'{p}'" for p in u.TRACKING_PARAMS)
@@ -27,11 +27,11 @@ def _pages(spark, d):
 
 
 def _store(spark, d):
-    return derived(spark, d, STORE_SQL)
+    return stored(spark, d, STORE_SQL)
 
 
 def _backup(spark, d):
-    return derived(spark, d, BACKUP_SQL)
+    return stored(spark, d, BACKUP_SQL)
 
 
 def f1_normalize_url(spark, d):
