@@ -192,20 +192,27 @@ def propose_aliases(urls: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def upsert_highlights(store: DataFrame, updates: DataFrame, now: Column) -> DataFrame:
-    """(profile_id, key, action, value) for updates(profile_id, url, highlights): the list is written to the page row of the
-    canonical url (alias or normal form), keeping the rest of that row, or of the page at the raw url (migratedFrom says
-    so); the legacy rows of both urls are removed."""
+    """(profile_id, key, action, value) for updates(profile_id, url, highlights): the list is written to the page row of the stable
+    url (a valid alias of the normal form, else of the raw url, else the normal form).
+
+    That row is kept otherwise. Where it is missing, the first other row in lookup order gives the rest and migratedFrom names its url: the
+    page of the normal form, the legacy rows of the stable url and of the normal form. A page of the normal form beside a stable one, and the
+    legacy rows, are removed. Of several updates of one page the last by url counts."""
     a = aliases(store).where(is_valid_alias("target"))
-    u = updates.join(a, ["profile_id", "url"], "left").withColumn("canonical", F.coalesce("target", normalize_url("url")))
-    pages = route_keys(store).where("kind = 'page'").where(is_object(F.col("value"))).select("profile_id", F.col("url").alias("_u"), F.col("value").alias("_v"))
-    j = u.join(pages.toDF("profile_id", "canonical", "own"), ["profile_id", "canonical"], "left").join(pages.toDF("profile_id", "url", "raw"), ["profile_id", "url"], "left")
-    base = F.coalesce("own", "raw")
-    moved = F.when(F.col("own").isNull() & F.col("raw").isNotNull(), F.concat(F.lit(',"migratedFrom":'), F.regexp_extract(F.to_json(F.array("url")), r"^\[(.*)\]$", 1))).otherwise("")
+    u = updates.withColumn("normal", normalize_url("url"))
+    u = u.join(a.toDF("profile_id", "normal", "_t1"), ["profile_id", "normal"], "left").join(a.toDF("profile_id", "url", "_t2"), ["profile_id", "url"], "left").withColumn("stable", F.coalesce("_t1", "_t2", "normal"))
+    one = u.groupBy("profile_id", "stable").agg(F.max_by(F.struct("normal", "highlights"), F.col("url")).alias("x")).select("profile_id", "stable", "x.*")
+    order = [F.struct(F.lit(k).alias("rank"), F.concat(F.lit(prefix), who).alias("key"), F.col(who).alias("from")) for k, (prefix, who) in enumerate(((PAGE, "stable"), (PAGE, "normal"), (HIGHLIGHTS, "stable"), (HIGHLIGHTS, "normal")))]
+    keys = one.select("profile_id", "stable", F.explode(F.array(*order)).alias("k")).select("profile_id", "stable", "k.*")
+    held = keys.join(store.where("value is not null and value <> 'null'").select("profile_id", "key", "value"), ["profile_id", "key"])
+    best = held.groupBy("profile_id", "stable").agg(F.min_by(F.struct("rank", "from", F.when(is_object(F.col("value")), F.col("value")).alias("value")), F.col("rank")).alias("b"))
+    j = one.join(best, ["profile_id", "stable"], "left")
+    base = F.when(F.col("b.rank") < 2, F.col("b.value"))
+    moved = F.when(F.col("b.rank") > 0, F.concat(F.lit(',"migratedFrom":'), F.regexp_extract(F.to_json(F.array("b.from")), r"^\[(.*)\]$", 1))).otherwise("")
     body = F.concat(F.lit('{"remote":'), F.coalesce(json_at(base, "$.remote"), F.lit("null")), F.lit(',"highlights":'), "highlights", F.lit(',"metadata":{"createdAt":'), F.coalesce(json_at(base, "$.metadata.createdAt"), now.cast("string")), F.lit(',"lastUpdated":'), now.cast("string"), moved, F.lit("}}"))
-    written = j.select("profile_id", F.concat(F.lit(PAGE), "canonical").alias("key"), F.lit("set").alias("action"), body.alias("value"), "url", "canonical")
-    old = written.select("profile_id", F.explode(F.array_distinct(F.array(F.concat(F.lit(HIGHLIGHTS), "url"), F.concat(F.lit(HIGHLIGHTS), "canonical")))).alias("key")).distinct()
-    gone = store.select("profile_id", "key").join(old, ["profile_id", "key"], "left_semi").select("profile_id", "key", F.lit("remove").alias("action"), F.lit(None).cast("string").alias("value"))
-    return written.select("profile_id", "key", "action", "value").unionByName(gone)
+    written = j.select("profile_id", F.concat(F.lit(PAGE), "stable").alias("key"), F.lit("set").alias("action"), body.alias("value"))
+    gone = held.where(F.col("key") != F.concat(F.lit(PAGE), "stable")).select("profile_id", "key").distinct().select("profile_id", "key", F.lit("remove").alias("action"), F.lit(None).cast("string").alias("value"))
+    return written.unionByName(gone)
 
 
 def highlight_counts(state: DataFrame, preview: int = 3) -> DataFrame:
@@ -217,10 +224,15 @@ def highlight_counts(state: DataFrame, preview: int = 3) -> DataFrame:
 def normalize_highlights(value: Column, now: Column) -> Column:
     """A JSON array text of highlights as structs: items that aren't objects are dropped; fields of the wrong type get
     '', yellow, {} and now."""
-    text = lambda h, p, other: F.coalesce(F.when(json_at(h, p).isNotNull() & ~json_at(h, p).rlike(r"^[\[{]"), json_at(h, p)), other)
-    objects = F.filter(items_of(value), is_object)
-    return F.transform(objects, lambda h: F.struct(text(h, "$.id", F.lit("")).alias("id"), text(h, "$.text", F.lit("")).alias("text"), text(h, "$.color", F.lit("yellow")).alias("color"), F.when(is_object(json_at(h, "$.rangeInfo")), json_at(h, "$.rangeInfo")).otherwise("{}").alias("range_info"), F.coalesce(json_at(h, "$.timestamp").try_cast("double"), now.cast("double")).alias("timestamp")))
+    kind = lambda v, p: F.coalesce(F.schema_of_variant(F.try_variant_get(v, p, "variant")), F.lit(""))
+    text = lambda v, p, other: F.when(kind(v, p) == "STRING", F.try_variant_get(v, p, "string")).otherwise(other)
+
+    def fields(h: Column) -> Column:
+        at = F.when(kind(h, "$.timestamp").rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"), F.try_variant_get(h, "$.timestamp", "double")).otherwise(now.cast("double"))
+        place = F.when(kind(h, "$.rangeInfo").startswith("OBJECT"), F.to_json(F.try_variant_get(h, "$.rangeInfo", "variant"))).otherwise("{}")
+        return F.struct(text(h, "$.id", "").alias("id"), text(h, "$.text", "").alias("text"), text(h, "$.color", "yellow").alias("color"), place.alias("range_info"), at.alias("timestamp"))
 
+    return F.transform(F.transform(F.filter(items_of(value), is_object), F.try_parse_json), fields)
 
 
 def needs_range(items: Column) -> Column:

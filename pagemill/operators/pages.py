@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.functions import html as h
-from pagemill.functions.urls import host_of, path_of
+from pagemill.functions.urls import host_of, origin_of, path_of, scheme_of
 
 NODES = "page_id long, node_id int, parent_id int, tag string, attrs map<string,string>, text_len int, text string, last_id int"
 TEXTS = ", seq int, last_seq int, parent_tag string, item_id int"
@@ -121,23 +121,47 @@ def is_content_good(html_len: Column, link_len: Column, n_li: Column) -> Column:
     return (html_len >= 250) & ((n_li >= 8) | (link_len / F.greatest(html_len, F.lit(1)) <= 0.25))
 
 
+def absolute_url(href: Column, base: Column) -> Column:
+    """href as seen from base: as it is, on its scheme, from its root, or beside it."""
+    path = F.regexp_extract(path_of(base), r"^(.*/)", 1)
+    return F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href).when(href.startswith("//"), F.concat(scheme_of(base), F.lit(":"), href)).when(href.startswith("/"), F.concat(origin_of(base), href)).otherwise(F.concat(origin_of(base), path, href))
+
+
+def icon_score(url: Column, kind: Column, size: Column, priority: Column, apple: Column) -> Column:
+    """A site icon's score: its format, its size, whether it is a touch icon, and ten for each place before the tenth."""
+    plain = F.lower(F.regexp_replace(F.coalesce(url, F.lit("")), r"[?#][\s\S]*$", ""))
+    return icon_format_score(plain, F.lower(F.coalesce(kind, F.lit("")))) + icon_size_score(F.coalesce(size, F.lit(0))) + F.when(apple, 50).otherwise(0) + (10 - priority) * 10
+
+
+def best_site_icon(candidates: DataFrame) -> DataFrame:
+    """(page_id, url, score) of the best of candidates(page_id, ordinal, url, type, sizes, priority, apple): the highest icon_score, the first on
+    ties."""
+    score = icon_score(F.col("url"), F.col("type"), parse_icon_size(F.col("sizes")), F.col("priority"), F.col("apple"))
+    g = candidates.groupBy("page_id").agg(F.max_by(F.struct("url", score.alias("score")), F.struct(score, -F.col("ordinal"))).alias("x"))
+    return g.select("page_id", "x.url", "x.score")
+
+
 def extract_metadata(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     """(page_id, url, title, author, description, favicon, site_icon, featured_image): the first of each field's
-    candidates in its order of preference; the icon with the best score of format, size and place."""
-    a = F.col("attrs")
+    candidates in its order of preference; the icon of the best icon_score. Icons are absolute; a page without any has its site's
+    /favicon.ico."""
+    a, tag, url = F.col("attrs"), F.col("tag"), F.col("url")
     name = F.lower(F.coalesce(a["name"], a["property"], F.lit("")))
-    rel = F.lower(F.coalesce(a["rel"], F.lit("")))
-    meta = lambda *names: F.when((F.col("tag") == "meta") & name.isin(*names), F.struct(F.array_position(F.array(*(F.lit(x) for x in names)), name).alias("rank"), "node_id", a["content"].alias("v")))
-    icon = rel.rlike(r"(^|\s)(icon|apple-touch-icon)(\s|$)") & (F.col("tag") == "link")
-    href, kind = F.lower(F.coalesce(a["href"], F.lit(""))), F.lower(F.coalesce(a["type"], F.lit("")))
-    score = F.struct((icon_format_score(href, kind) + icon_size_score(parse_icon_size(a["sizes"])) + F.when(rel.contains("apple-touch"), 50).otherwise(0)).alias("score"), (-F.col("node_id")).alias("first"), a["href"].alias("v"))
+    meta = lambda *names: F.min(F.when((tag == "meta") & name.isin(*names) & (F.coalesce(a["content"], F.lit("")) != ""), F.struct(F.array_position(F.array(*(F.lit(x) for x in names)), name).alias("rank"), "node_id", a["content"].alias("v"))))
+    rel, href = F.lower(F.coalesce(a["rel"], F.lit(""))), F.coalesce(a["href"], F.lit(""))
+    rank = lambda rels: F.array_position(F.array(*map(F.lit, rels)), rel)
+    icon = (tag == "link") & rel.isin(SITE_ICONS) & (F.trim(href) != "") & ~href.startswith("data:")
+    score = icon_score(href, a["type"], parse_icon_size(a["sizes"]), rank(SITE_ICONS), rel.startswith("apple"))
+    first = lambda name: F.min(F.when(tag == name, F.struct("node_id", F.col("text").alias("v"))))
     g = nodes.groupBy("page_id").agg(
-        F.min(F.when(F.col("tag") == "title", F.struct("node_id", F.col("text").alias("v")))).alias("title"), F.min(F.when(F.col("tag") == "h1", F.struct("node_id", F.col("text").alias("v")))).alias("h1"), F.min(meta("author", "article:author")).alias("author"),
-        F.min(meta("description", "og:description")).alias("description"), F.min(F.when(icon & rel.contains("icon") & ~rel.contains("apple"), F.struct("node_id", a["href"].alias("v")))).alias("favicon"),
-        F.max(F.when(icon, score)).alias("icon"), F.min(meta("og:image", "twitter:image")).alias("image"),
+        first("title").alias("title"), first("h1").alias("h1"), meta("author", "article:author", "twitter:creator").alias("author"), meta("description", "og:description", "twitter:description").alias("description"),
+        F.min(F.when((tag == "link") & rel.isin(FAVICONS) & (href != ""), F.struct(rank(FAVICONS).alias("rank"), "node_id", href.alias("v")))).alias("favicon"),
+        F.max(F.when(icon, F.struct(score.alias("score"), (-rank(SITE_ICONS)).alias("rank"), (-F.col("node_id")).alias("first"), href.alias("v")))).alias("icon"), meta("og:image", "twitter:image").alias("image"),
     )
     j = pages.select("page_id", "url").join(g, "page_id", "left")
-    return j.select("page_id", "url", F.coalesce(F.nullif(F.trim("title.v"), F.lit("")), F.trim("h1.v"), F.lit("")).alias("title"), F.col("author.v").alias("author"), F.col("description.v").alias("description"), F.col("favicon.v").alias("favicon"), F.col("icon.v").alias("site_icon"), F.col("image.v").alias("featured_image"))
+    usual = F.concat(origin_of(url), F.lit("/favicon.ico"))
+    title = F.coalesce(F.nullif(F.trim("title.v"), F.lit("")), F.trim("h1.v"), F.lit(""))
+    return j.select("page_id", "url", title.alias("title"), F.col("author.v").alias("author"), F.col("description.v").alias("description"), F.coalesce(absolute_url(F.col("favicon.v"), url), usual).alias("favicon"), F.coalesce(absolute_url(F.col("icon.v"), url), usual).alias("site_icon"), F.col("image.v").alias("featured_image"))
 
 
 def parse_icon_size(s: Column) -> Column:
@@ -146,6 +170,11 @@ def parse_icon_size(s: Column) -> Column:
     return F.when(s == "any", 999).otherwise(F.coalesce(F.nullif(F.regexp_extract(s, r"^(\d+)", 1), F.lit("")).cast("int"), F.lit(0)))
 
 
+# Scores of icons by format and size; links that name a page's icon, in the order they are looked for.
+SITE_ICONS = ["apple-touch-icon", "apple-touch-icon-precomposed", "icon", "shortcut icon"]
+FAVICONS = ["icon", "shortcut icon", "apple-touch-icon"]
+
+
 def icon_format_score(url: Column, kind: Column) -> Column:
     return F.when(url.endswith(".svg") | url.contains("image/svg") | kind.contains("svg"), 1000).when(url.endswith(".png") | kind.contains("png"), 500).when(url.endswith(".ico") | kind.contains("ico"), 100).when(url.endswith(".jpg") | url.endswith(".jpeg") | kind.contains("jpeg"), 200).otherwise(0)
 
