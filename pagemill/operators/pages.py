@@ -190,6 +190,13 @@ def batch_blocks(blocks: DataFrame, size: int = BATCH) -> DataFrame:
     return t.withColumn("n_batches", F.ceil(F.count("*").over(w) / size)).withColumn("with_page", F.col("batch") == 0).drop("_rn")
 
 
+def block_requests(blocks: DataFrame, size: int = BATCH) -> DataFrame:
+    """(page_id, batch, n_batches, with_page, children): a row a request of at most ``size`` blocks, its children in order."""
+    rest = [c for c in blocks.columns if c != "page_id"]
+    g = batch_blocks(blocks, size).groupBy("page_id", "batch", "n_batches", "with_page").agg(F.array_sort(F.collect_list(F.struct("pos", F.struct(*rest).alias("b")))).alias("k"))
+    return g.select("page_id", "batch", "n_batches", "with_page", F.transform("k", lambda x: x["b"]).alias("children"))
+
+
 def highlight_section(blocks: DataFrame, title: str) -> DataFrame:
     """The first heading_3 with the title, and what follows it up to the next heading of any level."""
     w = W.partitionBy("page_id").orderBy("pos")

@@ -12,6 +12,7 @@ from pagemill.operators.assembly import NO_BLOCKS, UNTITLED
 from pagemill.operators.blocks import RUN, STYLES, blocks_of_rows
 from pagemill.operators.content import main_container, markdown_container
 from pagemill.operators.images import extract_images, select_images
+from pagemill.operators.markup import without_noise
 from pagemill.operators.pages import BATCH, classify_documentation, explode_nodes, extract_metadata, page_complexity, page_metrics, select_extractor
 from pagemill.operators.structured import LEAST_BLOCKS, extract_structured, page_data, structured_to_blocks
 from pagemill.sources.staging import staged
@@ -46,12 +47,13 @@ def content_choice(nodes: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def content_rows(rows: DataFrame, choice: DataFrame) -> DataFrame:
-    """The rows of explode_nodes(pages, texts=True) within each page's chosen element, and within the heading before it, if any."""
+    """The rows of explode_nodes(pages, texts=True) within each page's chosen element, and within the heading before it, if any; of technical
+    containers without their noise."""
     at = rows.where(F.col("node_id").isNotNull()).select("page_id", "node_id", F.struct("seq", "last_seq").alias("at"))
-    spans = choice.select("page_id", F.explode(F.array_compact(F.array("node_id", "heading_id"))).alias("node_id")).join(at, ["page_id", "node_id"])
-    spans = spans.groupBy("page_id").agg(F.sort_array(F.collect_list("at")).alias("spans"))  # one or two
-    j = rows.join(spans, "page_id")
-    return j.where(F.exists("spans", lambda x: F.col("seq").between(x["seq"], x["last_seq"]))).drop("spans")
+    spans = choice.select("page_id", "kind", F.explode(F.array_compact(F.array("node_id", "heading_id"))).alias("node_id")).join(at, ["page_id", "node_id"])
+    spans = spans.groupBy("page_id").agg(F.first("kind").alias("_kind"), F.sort_array(F.collect_list("at")).alias("spans"))  # one or two
+    j = rows.join(spans, "page_id").where(F.exists("spans", lambda x: F.col("seq").between(x["seq"], x["last_seq"])))
+    return without_noise(j, F.col("_kind") == "markdown").drop("spans", "_kind")
 
 
 def _clipped(pages: DataFrame, temporary_hosts: list[str] | None) -> tuple[DataFrame, DataFrame]:

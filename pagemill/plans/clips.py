@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagemill.operators import assembly as a
+from pagemill.operators import markup as mk
 from pagemill.operators import pages as p
 from pagemill.operators import payload as pl
 from pagemill.operators import structured as st
 from pagemill.plans.pages import _PLAIN
-from pagemill.plans.tables import derived
+from pagemill.plans.tables import BLOCKS_SQL, derived
 from pagemill.plans.web import sql_norm
 
 _N = "CAST(page_id AS STRING)"
@@ -23,7 +24,7 @@ _CASE = f"""CASE CAST(page_id % 10 AS INT)
   WHEN 1 THEN replace(replace(html, '<article>', '<div class="x post-content">'), '</article>', '</div>') WHEN 2 THEN replace(replace(html, '<article>', '<section>'), '</article>', '</section>')
   WHEN 3 THEN replace(replace(html, '<article>', '<center>'), '</article>', '</center>') WHEN 4 THEN replace(replace(html, '<article>', '<div class="node__content"><div class="field--name-field-body">'), '</article>', '</div></div>')
   WHEN 5 THEN replace(html, '</head>', {_NEXT("/[id]", _PATH)}) WHEN 6 THEN replace(html, '<footer>', '<footer><img src="https://img.example/' || {_N} || '.jpg"><img src="https://img.example/' || {_N} || '-b.png">')
-  WHEN 7 THEN replace(html, '<article>', '<div class="prose"><h2>Doc</h2></div><article>') WHEN 8 THEN replace(html, '</head>', CASE WHEN page_id % 20 = 8 THEN {_NEXT("/", _PATH)} ELSE {_NEXT("/[id]", "'/elsewhere'")} END)
+  WHEN 7 THEN replace(html, '<article>', '<div class="prose"><h2><a class="x anchor" href="#d">#</a>Doc</h2><div class="code-example"><header><p>no</p></header></div><form><p>no</p></form><p data-clipboard-target="q">no</p></div><article>') WHEN 8 THEN replace(html, '</head>', CASE WHEN page_id % 20 = 8 THEN {_NEXT("/", _PATH)} ELSE {_NEXT("/[id]", "'/elsewhere'")} END)
   WHEN 9 THEN replace(html, '</head>', {_PUSHED}) ELSE html END"""
 CLIP_SQL = f"SELECT page_id, url, {_CASE} AS html FROM pages"  # noqa: S608
 
@@ -50,6 +51,20 @@ def b7_structured_formats(spark, d):
     return st.structured_to_blocks(derived(spark, d, FORMATS_SQL))
 
 
+# Pages that a gate refuses or empties, by page_id.
+GATED_SQL = "SELECT page_id, CASE WHEN page_id % 7 = 1 THEN NULL WHEN page_id % 7 = 2 THEN '' WHEN page_id % 7 = 3 THEN '<div><script>x</script><br></div>' WHEN page_id % 7 = 4 THEN replace(html, '<article>', '<article><pre><code class=\"x\">a &lt; b &amp;&amp; c</code></pre><a title=\"t\" href=\" javascript:x()\">j</a><a href=\"https://l.example/?a=1&amp;b=2\">l</a>') ELSE html END AS html FROM pages"
+
+
+def f30_gate_html(spark, d):
+    t = mk.gate_html(derived(spark, d, GATED_SQL), most=9000)
+    return t.select("page_id", "success", "reason", F.md5("html").alias("html_md5"))
+
+
+def s6_block_requests(spark, d):
+    t = p.block_requests(derived(spark, d, BLOCKS_SQL), 3)
+    return t.select("page_id", "batch", "n_batches", "with_page", F.md5(F.array_join(F.transform("children", lambda x: F.concat_ws(":", x["pos"], x["type"], x["text"])), "|")).alias("children_md5"))
+
+
 def b11_extract_pages(spark, d):
     t = pl.extract_pages(derived(spark, d, CLIP_SQL))
     return t.select("page_id", "canonical", "title", "kind", "strategy", "status", F.col("n_blocks").cast("long").alias("n_blocks"), F.col("n_batches").cast("long").alias("n_batches"), "lead_image", F.array_join("extra_images", " ").alias("extra_images"))
@@ -60,7 +75,7 @@ def b11_page_blocks(spark, d):
     return t.select("page_id", "pos", "type", F.md5(p.block_text()).alias("text_md5"), "image_url")
 
 
-QUERIES = {f.__name__: f for f in (b6_extract_structured, b7_structured_formats, b11_extract_pages, b11_page_blocks)}
+QUERIES = {f.__name__: f for f in (b6_extract_structured, b7_structured_formats, f30_gate_html, s6_block_requests, b11_extract_pages, b11_page_blocks)}
 
 _LEN = lambda x: f"length(trim(regexp_replace(regexp_replace({x}, '<[^>]*>', '', 'g'), '&[a-z]+;', 'x', 'g')))"
 _TITLE = f"trim({_PLAIN.format(x="regexp_extract(html, '<title>([\\s\\S]*?)</title>', 1)")})"
@@ -70,7 +85,7 @@ _CLIP = f"""own AS (SELECT max(page_id) AS page_id FROM pages WHERE regexp_extra
 t AS (SELECT page_id, url, html, {_TITLE} AS title, regexp_extract(html, '<article>([\\s\\S]*)</article>', 1) AS body, regexp_extract(html, '<div class="ad">([\\s\\S]*?)</div>', 1) AS ad, len(regexp_extract_all(html, '<li>')) AS n_li,
   length(trim({_PLAIN.format(x="regexp_replace(regexp_extract(html, '<body>([\\s\\S]*)', 1), '<[^>]*>', '', 'g')")})) AS n_text, page_id % 10 AS k FROM pages JOIN own USING (page_id)),
 l AS (SELECT *, {_LEN("body")} AS n, {_LEN("ad")} AS n_ad FROM t),
-s AS (SELECT *, CASE WHEN k IN (5, 9) THEN 'props.pageProps.post' WHEN k = 7 AND n_text + 3 <= 5000 THEN 'technical' WHEN k = 4 THEN 'drupal' WHEN k = 1 AND n >= 250 THEN 'cms' WHEN k NOT IN (1, 2, 3) AND n >= 250 THEN 'article' WHEN k = 2 AND n >= 250 THEN 'generic' WHEN n_ad >= 125 OR n >= 125 AND k <> 3 THEN 'emergency' WHEN n_li >= 4 THEN 'list' END AS strategy FROM l),
+s AS (SELECT *, CASE WHEN k IN (5, 9) THEN 'props.pageProps.post' WHEN k = 7 AND n_text + 10 <= 5000 THEN 'technical' WHEN k = 4 THEN 'drupal' WHEN k = 1 AND n >= 250 THEN 'cms' WHEN k NOT IN (1, 2, 3) AND n >= 250 THEN 'article' WHEN k = 2 AND n >= 250 THEN 'generic' WHEN n_ad >= 125 OR n >= 125 AND k <> 3 THEN 'emergency' WHEN n_li >= 4 THEN 'list' END AS strategy FROM l),
 e AS (SELECT *, strategy IN ('drupal', 'cms', 'article', 'generic') OR strategy = 'emergency' AND n_ad < 125 AS whole FROM s),
 c AS (SELECT *, CASE WHEN k IN (5, 9) THEN 4 WHEN strategy = 'technical' THEN 1 WHEN whole THEN len(regexp_extract_all(body, '{_ELEMENT}')) WHEN strategy = 'list' THEN n_li ELSE 0 END AS n_own, k = 6 AND strategy IS NOT NULL AS led FROM e)"""
 ORACLES = {
@@ -80,6 +95,11 @@ WHEN 0 THEN [{{'t': 'heading_1', 'x': 'Head ' || {_N}, 'u': NULL}}, {{'t': 'para
 WHEN 1 THEN [{{'t': 'heading_2', 'x': 'A & ' || {_N}, 'u': NULL}}, {{'t': 'image', 'x': 'C', 'u': url}}, {{'t': 'quote', 'x': 'Q', 'u': NULL}}]
 WHEN 2 THEN [{{'t': 'quote', 'x': 'T1' || chr(10) || {_N}, 'u': NULL}}, {{'t': 'paragraph', 'x': 'a' || {_N}, 'u': NULL}}, {{'t': 'paragraph', 'x': 'z', 'u': NULL}}, {{'t': 'numbered_list_item', 'x': 'one', 'u': NULL}}, {{'t': 'numbered_list_item', 'x': {_N}, 'u': NULL}}, {{'t': 'bulleted_list_item', 'x': 'u', 'u': NULL}}, {{'t': 'paragraph', 'x': 'c', 'u': NULL}}, {{'t': 'quote', 'x': '', 'u': NULL}}, {{'t': 'image', 'x': 'K', 'u': url}}]
 WHEN 3 THEN [{{'t': 'quote', 'x': 'Lead', 'u': NULL}}, {{'t': 'paragraph', 'x': 'One ' || {_N} || chr(10) || chr(10) || 'Two' || chr(10) || 'Three', 'u': NULL}}] END AS xs FROM pages) q WHERE xs IS NOT NULL""",
+    "s6_block_requests": f"WITH b AS ({BLOCKS_SQL}), k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS rn, count(*) OVER (PARTITION BY page_id) AS n FROM b) SELECT page_id, rn // 3 AS batch, CAST(ceil(max(n) / 3.0) AS BIGINT) AS n_batches, rn // 3 = 0 AS with_page, md5(string_agg(pos || ':' || type || ':' || text, '|' ORDER BY pos)) AS children_md5 FROM k GROUP BY page_id, rn // 3",
+    "f30_gate_html": f"""WITH t AS ({GATED_SQL}), b AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '^[\\s\\S]*</head>', ''), '<!--[\\s\\S]*?-->|</?(body|html|nav|b|br|footer|div)( [^>]*)?>', '', 'g'), '([^>])<p>', '\\1</p><p>', 'g'), '([^>])</article>', '\\1</p></article>', 'g') AS x FROM t),
+k AS (SELECT page_id, html, replace(replace(replace(replace(replace(replace(regexp_replace(x, '</?article>', '', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), ' class="x"', ''), ' title="t"', ''), ' href=" javascript:x()"', '') AS y FROM b),
+r AS (SELECT *, CASE WHEN coalesce(html, '') = '' THEN 'empty' WHEN length(html) > 9000 THEN 'too_long' WHEN page_id % 7 = 3 THEN 'sanitized_empty' END AS reason FROM k)
+SELECT page_id, reason IS NULL AS success, reason, md5(CASE WHEN reason IS NULL THEN y ELSE '' END) AS html_md5 FROM r""",
     "b11_extract_pages": f"""WITH {_CLIP} SELECT page_id, {sql_norm('url')} AS canonical, title, CASE WHEN k IN (5, 9) THEN 'nextjs' WHEN strategy = 'technical' THEN 'markdown' WHEN strategy IS NOT NULL THEN 'html' END AS kind, strategy, CASE WHEN strategy IS NULL THEN 'failed' ELSE 'success' END AS status,
 CAST(greatest(1, n_own + CASE WHEN led THEN 1 ELSE 0 END) AS BIGINT) AS n_blocks, CAST(ceil(greatest(1, n_own + CASE WHEN led THEN 1 ELSE 0 END) / 100.0) AS BIGINT) AS n_batches, CASE WHEN led THEN 'https://img.example/' || {_N} || '.jpg' END AS lead_image, CASE WHEN led THEN 'https://img.example/' || {_N} || '-b.png' ELSE '' END AS extra_images FROM c""",
     "b11_page_blocks": f"""WITH {_CLIP}, w AS (SELECT page_id, led, CASE WHEN whole THEN regexp_extract_all(body, '{_ELEMENT}') WHEN strategy = 'list' THEN regexp_extract_all(html, '<li><a [^>]*>[^<]*') ELSE [] END AS xs FROM c),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.operators.pages import batch_blocks
+from pagemill.operators.pages import block_requests
 from pagemill.operators.store import filter_backup_keys
 
 FORBIDDEN = r'"(?:__proto__|constructor|prototype)"\s*:'
@@ -56,6 +56,30 @@ def read_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{path}/{name}") for name in ("highlights", "saved_states", "url_aliases", "metadata")}
 
 
+def read_snapshot_files(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables, rejects) of snapshots as JSON, one file a profile, whose name is the profile_id: the tables highlights (profile_id, pos, item),
+    saved_states (the same) and url_aliases (profile_id, url, target), and metadata (profile_id, metadata); items are JSON texts.
+
+    A snapshot is an object with an object ``payload`` that holds the arrays ``saved_states`` and ``highlights`` and, if at all, an
+    object ``url_aliases``; other files and malformed JSON are rejects (profile_id, reason, value)."""
+    profile = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1)
+    files = spark.read.text(path, wholetext=True).select(profile.alias("profile_id"), "value", F.try_parse_json("value").alias("v"))
+    kind = lambda p: F.coalesce(F.schema_of_variant(F.try_variant_get("v", p, "variant")), F.lit(""))
+    reason = (
+        F.when(F.col("v").isNull(), "malformed").when(~F.schema_of_variant("v").startswith("OBJECT"), "no object").when(~kind("$.payload").startswith("OBJECT"), "no payload")
+        .when(~kind("$.payload.saved_states").startswith("ARRAY"), "no saved_states").when(~kind("$.payload.highlights").startswith("ARRAY"), "no highlights")
+        .when(~kind("$.payload.url_aliases").rlike("^(OBJECT.*)?$"), "url_aliases is no object")
+    )
+    marked = files.withColumn("reason", reason)
+    good = marked.where("reason is null")
+    items = lambda name: good.select("profile_id", F.posexplode(F.try_variant_get("v", f"$.payload.{name}", "array<variant>")).alias("pos", "x")).select("profile_id", "pos", F.to_json("x").alias("item"))
+    names = good.select("profile_id", F.explode(F.from_json(F.to_json(F.try_variant_get("v", "$.payload.url_aliases", "variant")), "map<string,string>")).alias("url", "target"))
+    meta = good.select("profile_id", F.to_json(F.try_variant_get("v", "$.metadata", "variant")).alias("metadata"))
+    return {"highlights": items("highlights"), "saved_states": items("saved_states"), "url_aliases": names, "metadata": meta}, marked.where("reason is not null").select("profile_id", "reason", "value")
+
+
 def write_block_batches(blocks: DataFrame, path: str, size: int = 100) -> None:
-    """Blocks with their batch, a folder a batch number."""
-    batch_blocks(blocks, size).write.partitionBy("batch").parquet(path)
+    """One JSON row a request of at most ``size`` blocks, in order: files in order of their names and rows in a file are sorted by page and
+    batch, so that a sender that reads them one after another keeps each page's order."""
+    requests = block_requests(blocks, size)
+    requests.repartitionByRange("page_id", "batch").sortWithinPartitions("page_id", "batch").write.json(path)
