@@ -17,6 +17,11 @@ SELECT page_id, url, CASE CAST(page_id % 4 AS INT) WHEN 0 THEN html WHEN 1 THEN
   WHEN 2 THEN replace(replace(replace(html, '<article>', '<article><figure><img src="https://img.example/' || {_ID} || '.jpg" alt="x"><figcaption> Fig ' || {_ID} || ' </figcaption></figure><hr>'), '<h1>', '<h4>'), '</h1>', '</h4>')
   ELSE replace(replace(replace(html, '.</p>', '.<em> Em</em><a href="https://l.example/' || {_ID} || '">Link</a></p>'), '<ul>', '<ol>'), '</ul>', '</ol>') END AS html FROM pages
 """  # noqa: S608
+# Pages with code, technical containers, images, videos and advertisements, by page_id.
+METRICS_SQL = f"""
+SELECT page_id, replace(replace(html, '<article>', '<article class="post">' || CASE WHEN page_id % 2 = 0 THEN '<pre><code>c</code></pre>' ELSE '' END || CASE WHEN page_id % 3 = 0 THEN '<div class="x markdown-body"></div>' ELSE '' END || CASE WHEN page_id % 5 = 0 THEN '<img><img><video></video><iframe src="https://www.youtube.com/e"></iframe><iframe src="/x"></iframe>' ELSE '' END),
+  '<footer>', CASE WHEN page_id % 7 = 0 THEN '<p class="ads">a</p><p class="advert">b</p><i class="sidebar x"></i>' ELSE '' END || '<footer>') AS html FROM pages
+"""  # noqa: S608
 BLANK_RUNS_SQL = "SELECT conv_id AS page_id, turn AS pos, CASE CAST(turn % 4 AS INT) WHEN 0 THEN ' ' WHEN 1 THEN '  ' || text || ' ' ELSE text || ' ' END AS text FROM conversations WHERE turn % 4 = 0 OR conv_id % 3 > 0"
 
 
@@ -29,7 +34,7 @@ def b0_explode_nodes(spark, d):
 
 
 def a8_page_metrics(spark, d):
-    return p.page_metrics(p.explode_nodes(_pages(spark, d))).drop("text_length")
+    return p.page_metrics(p.explode_nodes(derived(spark, d, METRICS_SQL)))
 
 
 def p16_select_extractor(spark, d):
@@ -110,7 +115,17 @@ _PLAIN = "replace(replace(replace(replace({x}, '&quot;', '\"'), '&copy;', '©'),
 _ELEMENT = "<li><a [^>]*>[^<]*|<h[14]>[^<]*|<p>(?:<b>)?[^<]+(?:<em> Em</em>)?|<figure>|<hr>"
 _DOC = f"h AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1) AS hst, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS pth FROM u), c AS (SELECT page_id, regexp_matches(hst, '{p.DOC_HOST}') AS host, regexp_matches(pth, '{p.DOC_PATH}') AS path, regexp_matches(url, '{p.TECH_URL}') AS tech FROM h)"
 ORACLES = {
-    "a8_page_metrics": "SELECT page_id, " + _N('<div class="ad">') + " AS ad_elements, " + _N("<(nav|footer|header|aside)>") + " AS nav_elements, " + _N("<(article|main|section)>") + " AS content_elements, 0::BIGINT AS code_blocks, 0::BIGINT AS markdown_containers, 0::BIGINT AS images, 0::BIGINT AS videos FROM (SELECT page_id, html AS b FROM pages) t",
+    "a8_page_metrics": f"""SELECT page_id, {_N('<div class="ad">')} + CASE WHEN page_id % 7 = 0 THEN 1 ELSE 0 END AS ad_elements, {_N("<(nav|footer|header|aside)>")} + CASE WHEN page_id % 7 = 0 THEN 1 ELSE 0 END AS nav_elements, {_N("<(article|main|section)[ >]")} AS content_elements, CASE WHEN page_id % 2 = 0 THEN 2 ELSE 0 END AS code_blocks,
+CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS markdown_containers, CASE WHEN page_id % 5 = 0 THEN 2 ELSE 0 END AS images, CASE WHEN page_id % 5 = 0 THEN 2 ELSE 0 END AS videos, CAST(length(trim({_PLAIN.format(x="regexp_replace(regexp_extract(b, '<body>([\\s\\S]*)', 1), '<[^>]*>', '', 'g')")})) AS BIGINT) AS text_length FROM (SELECT page_id, html AS b FROM ({METRICS_SQL}) m) t""",
+    "j13_match_highlights": f"""WITH e AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '[\\s\\S]*</head>', ''), '{_ELEMENT}')) AS x, generate_subscripts(regexp_extract_all(regexp_replace(html, '[\\s\\S]*</head>', ''), '{_ELEMENT}'), 1) - 1 AS pos FROM pages),
+b AS (SELECT page_id, pos, substr(trim({_PLAIN.format(x="regexp_extract(x, '>([^<>]+)', 1)")}), 1, 2000) AS raw, regexp_replace(raw, '\\s+', ' ', 'g') AS f FROM e),
+h AS (SELECT page_id, 'h' || pos AS id, trim(regexp_replace(substr(raw, 11, 25), '\\s+', ' ', 'g')) AS t, regexp_replace(substr(raw, 1, 10), '\\s+', ' ', 'g') AS p, regexp_replace(substr(raw, 36, 20), '\\s+', ' ', 'g') AS s FROM b WHERE length(raw) >= 60),
+c AS (SELECT h.*, b.pos, b.f, unnest(list_filter(range(length(b.f)), lambda k: substr(b.f, k + 1, length(t)) = t)) AS k FROM h JOIN b ON b.page_id = h.page_id AND t <> '' AND contains(b.f, t)),
+d AS (SELECT *, substr(f, greatest(0, k - length(p)) + 1, least(k, length(p))) AS l, substr(f, k + length(t) + 1, length(s)) AS r FROM c),
+g AS (SELECT *, CASE WHEN p = '' THEN 0 WHEN ends_with(l, p) THEN 2 WHEN ends_with(l, right(p, 10)) THEN 1 ELSE 0 END + CASE WHEN s = '' THEN 0 WHEN starts_with(r, s) THEN 2 WHEN starts_with(r, substr(s, 1, 10)) THEN 1 ELSE 0 END AS score FROM d),
+o AS (SELECT page_id, id, pos, any_value(length(t)) AS n, count(*) AS hits, max(score) AS best, arg_min(k, struct_pack(a := -score, b := k)) AS k, any_value(p || s) AS context FROM g GROUP BY 1, 2, 3),
+w AS (SELECT *, row_number() OVER (PARTITION BY page_id, id ORDER BY pos) AS rn FROM o WHERE CASE WHEN hits = 1 THEN n >= 50 OR context = '' OR best > 0 ELSE best > 0 OR context = '' END)
+SELECT page_id, id AS highlight_id, CAST(pos AS INT) AS pos, CAST(k AS INT) AS start, CAST(n AS INT) AS length FROM w WHERE rn = 1""",
     "b0_explode_nodes": "WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)[\\s>/]', 1)) AS tag FROM pages) SELECT tag, count(*) AS n, count(DISTINCT page_id) AS n_pages FROM t GROUP BY tag",
     "b1_extract_metadata": f"SELECT page_id, trim({_PLAIN.format(x="regexp_extract(html, '<title>([\\s\\S]*?)</title>', 1)")}) AS title FROM pages",
     "p14_classify_documentation": f"WITH u AS (SELECT page_id, lower(CASE WHEN page_id % 3 = 0 THEN replace(url, '://', '://docs.') WHEN page_id % 3 = 1 THEN regexp_replace(url, '/(en|fr|de|es)/', '/guide/', 'g') ELSE url END) AS url FROM pages), {_DOC} SELECT page_id, host, path, host OR path OR tech AS is_doc, tech AS is_technical FROM c",

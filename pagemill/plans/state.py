@@ -99,7 +99,12 @@ def j11_deletion_keys(spark, d):
 
 def j12_clear_plan(spark, d):
     st = _store(spark, d)
-    return m.clear_plan(s.route_keys(st).where("kind in ('page', 'highlights')").select("profile_id", "url"), st).select("profile_id", "key", "action")
+    return m.clear_plan(s.route_keys(st).where("kind in ('page', 'highlights')").select("profile_id", "url"), st).select("profile_id", "key", "action", F.md5("value").alias("value_md5"))
+
+
+def j12_delete_plan(spark, d):
+    st = _store(spark, d)
+    return m.clear_plan(s.route_keys(st).where("kind = 'alias'").select("profile_id", "url"), st, delete=True)
 
 
 def j17_propose_aliases(spark, d):
@@ -109,9 +114,13 @@ def j17_propose_aliases(spark, d):
 
 
 def j18_clear_remote(spark, d):
+    """A third of the urls expect no page in particular, a third the page row's, a third another one."""
     st = _store(spark, d)
-    gone = s.route_keys(st).where("kind in ('page', 'saved')").select("profile_id", "url").distinct().withColumn("expected_page_id", F.lit(None).cast("string"))
-    return m.clear_remote(st, gone).select("profile_id", "key", "action")
+    r = s.route_keys(st)
+    held = r.where("kind = 'page'").select("profile_id", "url", s.json_at("value", "$.remote.pageId").alias("held"))
+    expected = F.when(F.char_length("url") % 3 == 1, F.col("held")).when(F.char_length("url") % 3 == 2, "other")
+    gone = r.where("kind in ('page', 'saved')").select("profile_id", "url").distinct().join(held, ["profile_id", "url"], "left").select("profile_id", "url", expected.alias("expected_page_id"))
+    return m.clear_remote(st, gone).select("profile_id", "key", "action", F.md5("value").alias("value_md5"))
 
 
 def p18_auto_sync(spark, d):
@@ -169,7 +178,7 @@ def f7_sanitize_url(spark, d):
     return t.select("page_id", lg.sanitize_url(u).alias("safe_url"))
 
 
-QUERIES = {f.__name__: f for f in (a3_snapshot_highlights, a3_snapshot_saved_states, a3_snapshot_metadata, j7_reachable_aliases, a4_snapshot_summary, j6_apply_snapshot, p12_a5_migration_scan, a5_migration_items, a6_migration_status, a6_completed_keys, a11_highlight_counts, a14_batch_summary, f25_same_remote_page, j9_migrate_to_stable, j9_migration_writes, j11_deletion_keys, j12_clear_plan, j17_propose_aliases, j18_clear_remote, p18_auto_sync, p17_save_status, j16_verify_saved, t3_rank_sources, t4_search_sources, a10_log_repeats, w11_suppress_repeats, w13_log_tail, f8_mask_string, f9_redact_text, f7_sanitize_url)}
+QUERIES = {f.__name__: f for f in (a3_snapshot_highlights, a3_snapshot_saved_states, a3_snapshot_metadata, j7_reachable_aliases, a4_snapshot_summary, j6_apply_snapshot, p12_a5_migration_scan, a5_migration_items, a6_migration_status, a6_completed_keys, a11_highlight_counts, a14_batch_summary, f25_same_remote_page, j9_migrate_to_stable, j9_migration_writes, j11_deletion_keys, j12_clear_plan, j12_delete_plan, j17_propose_aliases, j18_clear_remote, p18_auto_sync, p17_save_status, j16_verify_saved, t3_rank_sources, t4_search_sources, a10_log_repeats, w11_suppress_repeats, w13_log_tail, f8_mask_string, f9_redact_text, f7_sanitize_url)}
 
 # ---- DuckDB
 _STATE = """state AS (
@@ -233,9 +242,13 @@ UNION ALL SELECT DISTINCT r.profile_id, r.key, 'remove', NULL FROM t JOIN r ON r
     "j11_deletion_keys": f"""WITH {_ROUTED}, {_LOOKUP}, pg AS (SELECT profile_id, url FROM r WHERE kind = 'page'), p AS (SELECT pg.profile_id, pg.url, {sql_norm('pg.url')} AS norm, coalesce(o.target, {sql_norm('pg.url')}) AS stable FROM pg LEFT JOIN okal o ON o.profile_id = pg.profile_id AND o.url = pg.url),
       mem AS (SELECT profile_id, url, stable AS member FROM p UNION SELECT profile_id, url, norm FROM p UNION SELECT profile_id, url, url FROM p UNION SELECT p.profile_id, p.url, al.url FROM p JOIN al ON al.profile_id = p.profile_id AND al.target = p.stable),
       ks AS (SELECT profile_id, url, 'page_' || member AS key FROM mem UNION SELECT profile_id, url, 'highlights_' || member FROM mem) SELECT ks.* FROM ks SEMI JOIN r ON r.profile_id = ks.profile_id AND r.key = ks.key""",
-    "j12_clear_plan": f"WITH {_ROUTED} SELECT profile_id, key, CASE WHEN kind = 'page' AND json_type(value, '$.remote') = 'OBJECT' THEN 'set' ELSE 'remove' END AS action FROM r WHERE kind = 'highlights' OR (kind = 'page' AND json_type(value) = 'OBJECT')",
+    "j12_clear_plan": f"""WITH {_ROUTED}, k AS (SELECT *, kind = 'page' AND json_type(value, '$.remote') = 'OBJECT' AS kept FROM r WHERE kind = 'highlights' OR (kind = 'page' AND json_type(value) = 'OBJECT'))
+SELECT profile_id, key, CASE WHEN kept THEN 'set' ELSE 'remove' END AS action, CASE WHEN kept THEN md5('{{"remote":' || json_extract(value, '$.remote')::VARCHAR || ',"highlights":[],"metadata":' || json_extract(value, '$.metadata')::VARCHAR || '}}') END AS value_md5 FROM k""",
+    "j12_delete_plan": f"WITH {_ROUTED}, a AS (SELECT DISTINCT profile_id, url FROM r WHERE kind = 'alias') SELECT r.profile_id, r.key, 'remove' AS action, NULL AS value FROM r SEMI JOIN a ON a.profile_id = r.profile_id AND r.key IN ('page_' || a.url, 'highlights_' || a.url)",
     "j17_propose_aliases": f"WITH {_ROUTED}, ev AS (SELECT profile_id, url FROM bad WHERE json_type(value, '$.remote') = 'OBJECT' OR (NOT corrupted AND json_array_length(value, '$.highlights') > 0) UNION SELECT profile_id, url FROM leg) SELECT al.profile_id, al.url, al.target AS stable_url FROM al SEMI JOIN ev ON ev.profile_id = al.profile_id AND ev.url = al.target WHERE al.url <> al.target",
-    "j18_clear_remote": f"WITH {_ROUTED} SELECT profile_id, key, CASE WHEN kind = 'page' AND json_type(value, '$.highlights') = 'ARRAY' AND json_array_length(value, '$.highlights') > 0 THEN 'set' ELSE 'remove' END AS action FROM r WHERE kind IN ('page', 'saved')",
+    "j18_clear_remote": f"""WITH {_ROUTED}, x AS (SELECT r.*, CASE length(r.url) % 3 WHEN 1 THEN (SELECT any_value(json_extract_string(q.value, '$.remote.pageId')) FROM r q WHERE q.kind = 'page' AND q.profile_id = r.profile_id AND q.url = r.url) WHEN 2 THEN 'other' END AS expected,
+  CASE WHEN kind = 'page' THEN json_extract_string(value, '$.remote.pageId') ELSE json_extract_string(value, '$.pageId') END AS held, coalesce(kind = 'page' AND json_type(value, '$.highlights') = 'ARRAY' AND json_array_length(value, '$.highlights') > 0, FALSE) AS kept FROM r WHERE kind IN ('page', 'saved'))
+SELECT profile_id, key, CASE WHEN kept THEN 'set' ELSE 'remove' END AS action, CASE WHEN kept THEN md5('{{"remote":null,"highlights":' || json_extract(value, '$.highlights')::VARCHAR || ',"metadata":' || coalesce(json_extract(value, '$.metadata')::VARCHAR, '{{}}') || '}}') END AS value_md5 FROM x WHERE expected IS NULL OR expected IS NOT DISTINCT FROM held""",
     "p18_auto_sync": "SELECT c_custkey AS profile, reason, reason = 'all_conditions_met' AS should_run FROM (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'account_not_logged_in' WHEN c_custkey % 5 = 0 THEN 'drive_not_connected' WHEN c_custkey % 4 = 0 THEN 'frequency_off' WHEN c_custkey % 10 <= 3 THEN 'not_dirty' WHEN c_custkey % 11 = 0 THEN 'needs_manual_review' WHEN c_custkey % 13 > 6 THEN 'not_yet_eligible' ELSE 'all_conditions_met' END AS reason FROM customer) t",
     "p17_save_status": "SELECT page_key, status, status IN ('unsaved', 'deleted_remote') AS can_save, status IN ('saved', 'unverified_saved') AS can_sync FROM (SELECT c_custkey AS page_key, CASE WHEN c_custkey % 6 = 0 THEN 'unsaved' WHEN c_custkey % 5 = 0 THEN 'saved' WHEN c_custkey % 4 = 0 THEN 'unverified_saved' WHEN c_custkey % 4 = 1 THEN 'saved' WHEN c_custkey % 8 < 4 THEN 'deleted_remote' ELSE 'deletion_pending' END AS status FROM customer) t",
     "j16_verify_saved": f"WITH v AS (SELECT remote_page_id, arg_max_null(page_exists, event_id) AS e FROM ({VERIFICATIONS_SQL}) x GROUP BY 1) SELECT c_custkey AS remote_page_id, CASE WHEN e IS NULL THEN 'unknown' WHEN e THEN 'exists' ELSE 'missing' END AS presence FROM customer LEFT JOIN v ON v.remote_page_id = c_custkey",
