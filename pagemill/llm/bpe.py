@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagemill.llm.common import parts
+
 RANKS = "byte_bpe_50k.tiktoken"
 CHUNK, OVERLAP = 32_768, 512  # code points
 
@@ -60,6 +62,31 @@ def _ends(chunks: Iterator[pa.RecordBatch]):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))], names=["row", "chunk", "head", "tail"])
 
 
+def _chunks(chunk: int):
+    """(row, chunk, start, last, part): a text's overlapping chunks, cut one after another."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                n = max(1, -(-(len(text) - OVERLAP) // chunk))
+                for k in range(0, n, 64):
+                    at = range(k, min(k + 64, n))
+                    parts = [text[x * chunk : None if x == n - 1 else (x + 1) * chunk + OVERLAP] for x in at]
+                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(at)), pa.array(at, pa.int32()), pa.array([x * chunk for x in at], pa.int64()), pa.array([x == n - 1 for x in at]), pa.array(parts, pa.string())], names=["row", "chunk", "start", "last", "part"])
+
+    return run
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]):
+    """(row, doc_id, times, pos, piece): what lies between a text's edges."""
+    for b in batches:
+        for row, doc, times, text, edges in zip(*(c.to_pylist() for c in b.columns)):
+            spans = list(zip(edges, [*edges[1:], len(text)]))
+            for k in range(0, len(spans), 64):
+                own = [text[x:y] for x, y in spans[k : k + 64]]
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(own)), pa.array([doc] * len(own), pa.int64()), pa.array([times] * len(own), pa.int64()), pa.array(range(k, k + len(own)), pa.int32()), pa.array(own, pa.string())], names=["row", "doc_id", "times", "pos", "piece"])
+
+
 def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]):
         enc = encoder(path)
@@ -82,17 +109,16 @@ def encode_texts(docs: DataFrame, ranks: str = RANKS, chunk: int = CHUNK) -> Dat
     long = rows.where(F.char_length("text") > chunk + OVERLAP).groupBy("doc_id", F.sha2("text", 256).alias("row")).agg(F.first("text").alias("text"), F.count("*").alias("times"))
     key = F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "row")
     long = long.withColumn("row", key)
-    n = F.greatest(F.lit(1), F.ceil((F.char_length("text") - OVERLAP) / chunk)).cast("int")
-    cut = long.select("row", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct((k * chunk).alias("start"), (k == n - 1).alias("last"), F.when(k == n - 1, F.substr("text", k * chunk + 1)).otherwise(F.substr("text", k * chunk + 1, F.lit(chunk + OVERLAP))).alias("part")))))
-    chunks = cut.select("row", F.col("pos").alias("chunk"), F.col("col.start").cast("long").alias("start"), F.col("col.last").alias("last"), F.col("col.part").alias("part"))
+    spread = lambda t, *keys: t.repartition(parts(docs.sparkSession), *keys)  # a text's chunks and pieces are dealt to all tasks
+    chunks = spread(long.select("row", "text").mapInArrow(_chunks(chunk), "row string, chunk int, start long, last boolean, part string"), "row", "chunk")
     ends = chunks.mapInArrow(_ends, "row string, chunk int, head array<long>, tail array<long>")
     by_text = W.partitionBy("row").orderBy("chunk")  # a few rows a text
     cuts = ends.withColumn("next", F.lead("head").over(by_text)).select("row", F.array_min(F.array_intersect("tail", "next")).alias("cut")).where("cut is not null")
     cuts = cuts.groupBy("row").agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
     edges = F.concat(F.array(F.lit(0).cast("long")), F.coalesce("cuts", F.array().cast("array<long>")))
     pieces = long.join(cuts, "row", "left").select("row", "doc_id", "times", "text", edges.alias("edges"))
-    pieces = pieces.select("row", "doc_id", "times", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("edges") - 1), lambda k: F.substr("text", (F.get("edges", k) + 1).cast("int"), (F.coalesce(F.get("edges", k + 1), F.char_length("text").cast("long")) - F.get("edges", k)).cast("int")))))
-    coded = pieces.select("row", "doc_id", "times", "pos", "col").mapInArrow(_encoded(path), "row string, doc_id long, times long, pos int, ids binary")
+    pieces = spread(pieces.select("row", "doc_id", "times", "text", "edges").mapInArrow(_pieces, "row string, doc_id long, times long, pos int, piece string"), "row", "pos")
+    coded = pieces.mapInArrow(_encoded(path), "row string, doc_id long, times long, pos int, ids binary")
     whole = coded.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("times").alias("times"), F.array_sort(F.collect_list(F.struct("pos", F.hex("ids").alias("hex")))).alias("s"))
     whole = whole.select("doc_id", F.unhex(F.array_join(F.transform("s", lambda x: x["hex"]), "")).alias("ids"), F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).select("doc_id", "ids")
     return short.unionByName(whole)
