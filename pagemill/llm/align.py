@@ -34,7 +34,7 @@ from pagemill.llm.bpe import encoder
 from pagemill.llm.common import staged
 
 BYTE_BPE, BYTE_RANKS, PIECES = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
-PART_CHARS = 8_000_000  # code points of text that are cut into segments and aligned at a time
+PART_CHARS = 4_000_000  # code points of text that are cut into segments and aligned at a time
 PLAIN_CHARS, PLAIN_BELOW = 64, "\u0250"  # what is merged by ranks: short segments of Latin letters
 BROADCAST_PAIRS = 4_000_000  # rows of three numbers
 SALTS = 32

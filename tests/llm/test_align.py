@@ -56,7 +56,7 @@ def odd_texts(n, seed=1):
     return ["".join(rng.choice(bits) for _ in range(rng.randint(0, 50))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("part", [8_000_000, 30])
+@pytest.mark.parametrize("part", [4_000_000, 30])
 def test_segments_align_as_whole_texts_do(whole, monkeypatch, part):
     monkeypatch.setattr(A, "PART_CHARS", part)
     texts = odd_texts(3000) + ["word " * 400, "x" * 5000, " lead", "trail ", "▁"]
