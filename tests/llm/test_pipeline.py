@@ -31,5 +31,5 @@ def test_stages_take_effect(spark, tmp_path):
 
 def test_registered():
     names = set(queries.queries())
-    assert "pipeline" in names and len([x for x in names if x.startswith("op")]) == 10
+    assert "pipeline" in names and len([x for x in names if x.startswith("op")]) == 13
     assert set(queries.oracle_sql()) <= names
