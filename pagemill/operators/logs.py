@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagemill.functions.urls import TRACKING_PARAMS
+from pagemill.functions.urls import bound, TRACKING_PARAMS
 
 SUPPRESS_AFTER, ANOMALY_AT, CAPACITY, ENTRY_LIMIT = 10, 30, 500, 25_000
 REDACTED = "[REDACTED_TOKEN]"
@@ -40,28 +40,37 @@ def sanitize_url(url: Column) -> Column:
     return F.when(url.isNull() | (url == ""), "[empty-url]").when(scheme == "file", "file://[local-file]").when((scheme == "") | (host == "") | host.rlike(r"\s"), "[invalid-url]").otherwise(made)
 
 
+# What is made safe in a text; an edge of a word counts ASCII letters alone.
+_EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+URLS, MAILS = r"https?://[^\s\"',]+", _EDGE + r"[\w%+.-]+@[\d.A-Za-z-]+\.[A-Za-z]{2,}" + _EDGE
+REPLACED = [
+    (r"(?:Bearer|Basic)\s+[\w+./~-]+=*", "[REDACTED_AUTH_HEADER]"),
+    (_EDGE + r"eyJ[\w-]*\.[\w-]*\.[\w-]*" + _EDGE + r"(?!\.[\w-])", "[REDACTED_JWT]"),
+    (_EDGE + r"(?:sk|ghp|gho|xoxb|xoxp|key)-[\dA-Za-z]{20,}" + _EDGE, "[REDACTED_API_KEY]"),
+    (r"secret_[\dA-Za-z]+", "[REDACTED_TOKEN]"),
+]
+UUIDS = _EDGE + r"([\dA-Fa-f]{8})-[\dA-Fa-f]{4}-[\dA-Fa-f]{4}-[\dA-Fa-f]{4}-[\dA-Fa-f]{12}" + _EDGE
+
+
+def _each(text: Column, pattern: str, sign: str, change) -> Column:
+    """text with change of every match of pattern; texts without sign hold none."""
+
+    def mixed(t: Column) -> Column:
+        found = F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(1))
+        parts = F.struct(F.split(t, pattern, -1).alias("between"), found.alias("found"))
+        return bound(parts, lambda x: F.array_join(F.transform(x["between"], lambda y, i: F.concat(y, F.when(i < F.size(x["found"]), change(F.get(x["found"], i))).otherwise(""))), ""))
+
+    return bound(text, lambda t: F.when(F.contains(t, F.lit(sign)), mixed(t)).otherwise(t))
+
+
 def redact_text(s: Column) -> Column:
     """Text with URLs, authorization headers, JWTs, API keys, secret_ tokens, e-mail addresses and UUIDs made safe, in
-    that order. Null reads as empty."""
-    out = F.coalesce(s.cast("string"), F.lit(""))
-    url = r"https?://[^\s\"',]+"
-    between, found = F.split(out, url, -1), F.regexp_extract_all(out, F.lit(f"({url})"), F.lit(1))
-    mixed = F.array_join(F.transform(between, lambda t, i: F.concat(t, F.when(i < F.size(found), sanitize_url(F.get(found, i))).otherwise(""))), "")
-    out = F.when(F.contains(out, F.lit("://")), mixed).otherwise(out)
-    out = F.regexp_replace(out, r"(?:Bearer|Basic)\s+[\w+./~-]+=*", "[REDACTED_AUTH_HEADER]")
-    out = F.regexp_replace(out, r"\beyJ[\w-]*\.[\w-]*\.[\w-]*\b(?!\.[\w-])", "[REDACTED_JWT]")
-    out = F.regexp_replace(out, r"\b(?:sk|ghp|gho|xoxb|xoxp|key)-[\dA-Za-z]{20,}\b", "[REDACTED_API_KEY]")
-    out = F.regexp_replace(out, r"secret_[\dA-Za-z]+", "[REDACTED_TOKEN]")
-    out = _mask_mail(out)
-    return F.regexp_replace(out, r"\b([\dA-Fa-f]{8})-[\dA-Fa-f]{4}-[\dA-Fa-f]{4}-[\dA-Fa-f]{4}-[\dA-Fa-f]{12}\b", "$1***")
-
-
-def _mask_mail(s: Column) -> Column:
-    """Addresses as their first character, ***, and their last four."""
-    mail = r"\b[\w%+.-]+@[\d.A-Za-z-]+\.[A-Za-z]{2,}\b"
-    between, found = F.split(s, mail, -1), F.regexp_extract_all(s, F.lit(f"({mail})"), F.lit(1))
-    mixed = F.array_join(F.transform(between, lambda t, i: F.concat(t, F.when(i < F.size(found), mask_string(F.get(found, i), 1, 4)).otherwise(""))), "")
-    return F.when(F.contains(s, F.lit("@")), mixed).otherwise(s)
+    that order. Null reads as empty; a mail address keeps its first character and its last four. Each step is worked out once."""
+    out = _each(F.coalesce(s.cast("string"), F.lit("")), URLS, "://", sanitize_url)
+    for pattern, name in REPLACED:
+        out = F.regexp_replace(out, pattern, name)
+    out = _each(out, MAILS, "@", lambda m: mask_string(m, 1, 4))
+    return F.regexp_replace(out, UUIDS, "$1***")
 
 
 def redact_stack(s: Column) -> Column:

@@ -12,6 +12,14 @@ from pagemill.plans.tables import COPIES_SQL, LOGS_SQL, SOURCES_SQL, STORE_SQL,
 from pagemill.plans.web import _LOOKUP, _ROUTED, _store, sql_norm  # noqa: F401
 
 
+# What stands after each document's text, and what becomes of it, by doc_id.
+SECRETS = [
+    ("see https://u:p@H.example/x?token=1&a=2#f, ok", "see https://h.example/x?token=[REDACTED_TOKEN]&a=2, ok"), ("Authorization: Bearer abc.def-1== x", "Authorization: [REDACTED_AUTH_HEADER] x"), ("eyJab.cd.ef!", "[REDACTED_JWT]!"),
+    ("a sk-abcdefghij0123456789K b", "a [REDACTED_API_KEY] b"), ("my secret_9aZ_", "my [REDACTED_TOKEN]_"), ("id 0123abcd-0123-4567-89ab-0123456789ab.", "id 0123abcd***."), ("", ""),
+]
+SECRETS_SQL = "SELECT doc_id, coalesce(text, '') || ' ' || CASE CAST(doc_id % 7 AS INT) " + " ".join(f"WHEN {k} THEN '{x}'" for k, (x, _) in enumerate(SECRETS)) + " END AS text FROM documents"  # noqa: S608
+
+
 def a3_snapshot_highlights(spark, d):
     h = y.build_snapshot(_store(spark, d))["highlights"]
     return h.select("profile_id", "page_key", F.col("pos").cast("long").alias("pos"), "highlight_id", "text", "color", F.col("range_info").isNotNull().alias("has_range"), "created_at")
@@ -169,7 +177,8 @@ def f8_mask_string(spark, d):
 
 
 def f9_redact_text(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.md5(lg.redact_text(F.col("text"))).alias("redacted_md5"), F.regexp_count(lg.redact_text(F.col("text")), F.lit(r"\*\*\*[A-Za-z.]{4}\b")).cast("long").alias("n_masked"))
+    t = derived(spark, d, SECRETS_SQL).select("doc_id", lg.redact_text(F.col("text")).alias("r"))
+    return t.select("doc_id", F.md5("r").alias("redacted_md5"), F.regexp_count("r", F.lit(r"\*\*\*[A-Za-z.]{4}")).cast("long").alias("n_masked"))
 
 
 def f7_sanitize_url(spark, d):
@@ -212,7 +221,11 @@ c AS (SELECT *, NOT refused AND there <> '[]' AND there = l AS cleaned FROM k),
 e AS (SELECT *, CASE WHEN spid IS NOT NULL THEN struct_pack(pid := spid, rurl := srurl, title := stitle, ts := sts) ELSE first(CASE WHEN NOT refused AND NOT cleaned AND pid IS NOT NULL THEN struct_pack(pid := pid, rurl := rurl, title := title, ts := ts) END IGNORE NULLS) OVER w END AS held FROM c WINDOW w AS (PARTITION BY profile_id, stable ORDER BY ordinal, url ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT *, CASE WHEN refused THEN 'refused' WHEN there = '[]' THEN 'moved' WHEN cleaned THEN 'cleaned' WHEN held IS NULL AND pid IS NOT NULL THEN 'supplemented' ELSE 'kept' END AS outcome FROM e),
 g AS (SELECT *, CASE WHEN NOT refused THEN CASE WHEN outcome = 'cleaned' THEN held ELSE coalesce(held, CASE WHEN pid IS NOT NULL THEN struct_pack(pid := pid, rurl := rurl, title := title, ts := ts) END) END END AS rem, CASE WHEN NOT refused THEN CASE WHEN outcome = 'moved' THEN l ELSE there END END AS res FROM f)"""
+_MAIL = r"\b[\w%+.-]+@[\d.A-Za-z-]+\.[A-Za-z]{2,}\b"
+_SAFE = " ".join(f"WHEN {k} THEN '{y}'" for k, (_, y) in enumerate(SECRETS))
 ORACLES = {
+    "f9_redact_text": f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS x, CASE doc_id % 7 {_SAFE} END AS tail FROM documents), p AS (SELECT *, string_split_regex(x, '{_MAIL}') AS parts, regexp_extract_all(x, '{_MAIL}') AS found FROM t),
+r AS (SELECT doc_id, array_to_string(list_transform(range(len(parts)), lambda i: parts[i + 1] || coalesce(substr(found[i + 1], 1, 1) || '***' || right(found[i + 1], 4), '')), '') || ' ' || tail AS r FROM p) SELECT doc_id, md5(r) AS redacted_md5, CAST(len(regexp_extract_all(r, '\\*\\*\\*[A-Za-z.]{{4}}')) AS BIGINT) AS n_masked FROM r""",
     "j9_migrate_to_stable": f"WITH {_FOLD} SELECT profile_id, url AS legacy_url, stable AS stable_url, outcome, rem.pid AS remote_page_id, outcome = 'kept' AND coalesce(held.pid <> pid, FALSE) AS conflict, md5(res) AS highlights_md5 FROM g",
     "j9_migration_writes": f"""WITH {_FOLD}, t AS (SELECT * FROM g WHERE NOT refused), z AS (SELECT profile_id, stable, arg_max(struct_pack(rem := rem, res := res), struct_pack(o := ordinal, u := url)) AS x, arg_min(CASE WHEN outcome = 'moved' THEN url END, CASE WHEN outcome = 'moved' THEN struct_pack(o := ordinal, u := url) END) AS first_url, bool_or(outcome IN ('moved', 'supplemented')) AS changed FROM t GROUP BY 1, 2)
 SELECT z.profile_id, 'page_' || stable AS key, 'set' AS action, md5('{{"remote":' || CASE WHEN x.rem IS NULL THEN 'null' ELSE '{{"pageId":"' || x.rem.pid || '","url":"' || x.rem.rurl || '","title":"' || x.rem.title || '","savedAt":' || x.rem.ts || '}}' END || ',"highlights":' || x.res || ',"metadata":' || coalesce(json_extract(pg.value, '$.metadata')::VARCHAR, CASE WHEN first_url IS NOT NULL THEN '{{"migratedFrom":"' || first_url || '"}}' END, '{{}}') || '}}') AS value_md5
