@@ -114,7 +114,14 @@ _N = lambda pattern: f"len(regexp_extract_all(b, '{pattern}'))"
 _PLAIN = "replace(replace(replace(replace({x}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
 _ELEMENT = "<li><a [^>]*>[^<]*|<h[14]>[^<]*|<p>(?:<b>)?[^<]+(?:<em> Em</em>)?|<figure>|<hr>"
 _DOC = f"h AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1) AS hst, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS pth FROM u), c AS (SELECT page_id, regexp_matches(hst, '{p.DOC_HOST}') AS host, regexp_matches(pth, '{p.DOC_PATH}') AS path, regexp_matches(url, '{p.TECH_URL}') AS tech FROM h)"
+_STRIP = lambda x: f"regexp_replace(regexp_replace({x}, '^\\s+', ''), '\\s+$', '')"
 ORACLES = {
+    "f12_split_text": f"""WITH RECURSIVE m AS (SELECT [chr(10) || chr(10), chr(10), '。', '.', '？', '?', '！', '!'] AS marks),
+s AS (SELECT doc_id, 0 AS n, coalesce(text, '') AS rest, NULL::VARCHAR AS chunk, length(text) > 2000 AS long FROM documents
+UNION ALL SELECT doc_id, n + 1, CASE WHEN length(rest) <= 2000 THEN NULL ELSE {_STRIP("substr(rest, cutoff + 1)")} END, CASE WHEN length(rest) <= 2000 THEN rest ELSE {_STRIP("substr(rest, 1, cutoff)")} END, long FROM (
+  SELECT *, coalesce(list_filter(list_transform(marks, lambda x: CASE WHEN contains(substr(rest, 1, 1999 + length(x)), x) THEN length(substr(rest, 1, 1999 + length(x))) - instr(reverse(substr(rest, 1, 1999 + length(x))), x) + 1 - CASE WHEN length(substr(rest, 1, 1999 + length(x))) - instr(reverse(substr(rest, 1, 1999 + length(x))), x) + 1 - length(x) > 1000 THEN 0 ELSE 9999999 END ELSE -1 END), lambda y: y > 0)[1],
+    CASE WHEN contains(substr(rest, 1, 2000), ' ') AND length(substr(rest, 1, 2000)) - instr(reverse(substr(rest, 1, 2000)), ' ') > 1000 THEN length(substr(rest, 1, 2000)) - instr(reverse(substr(rest, 1, 2000)), ' ') ELSE 2000 END) AS cutoff FROM s, m WHERE rest IS NOT NULL AND (n = 0 OR rest <> '')) q)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INT) AS pos, length(chunk) AS n_chars, md5(chunk) AS chunk_md5 FROM s WHERE chunk IS NOT NULL AND (chunk <> '' OR NOT coalesce(long, FALSE))""",
     "a8_page_metrics": f"""SELECT page_id, {_N('<div class="ad">')} + CASE WHEN page_id % 7 = 0 THEN 1 ELSE 0 END AS ad_elements, {_N("<(nav|footer|header|aside)>")} + CASE WHEN page_id % 7 = 0 THEN 1 ELSE 0 END AS nav_elements, {_N("<(article|main|section)[ >]")} AS content_elements, CASE WHEN page_id % 2 = 0 THEN 2 ELSE 0 END AS code_blocks,
 CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS markdown_containers, CASE WHEN page_id % 5 = 0 THEN 2 ELSE 0 END AS images, CASE WHEN page_id % 5 = 0 THEN 2 ELSE 0 END AS videos, CAST(length(trim({_PLAIN.format(x="regexp_replace(regexp_extract(b, '<body>([\\s\\S]*)', 1), '<[^>]*>', '', 'g')")})) AS BIGINT) AS text_length FROM (SELECT page_id, html AS b FROM ({METRICS_SQL}) m) t""",
     "j13_match_highlights": f"""WITH e AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '[\\s\\S]*</head>', ''), '{_ELEMENT}')) AS x, generate_subscripts(regexp_extract_all(regexp_replace(html, '[\\s\\S]*</head>', ''), '{_ELEMENT}'), 1) - 1 AS pos FROM pages),

@@ -20,6 +20,9 @@ SECRETS = [
 SECRETS_SQL = "SELECT doc_id, coalesce(text, '') || ' ' || CASE CAST(doc_id % 7 AS INT) " + " ".join(f"WHEN {k} THEN '{x}'" for k, (x, _) in enumerate(SECRETS)) + " END AS text FROM documents"  # noqa: S608
 
 
+STACKS_SQL = """SELECT doc_id, replace('Error: ' || coalesce(substr(text, 1, 60), '') || '~ at f (/home/u ser/app/s' || CAST(doc_id AS STRING) || '.js:1:2)~ at file:///opt/a/b.mjs:3~ at chrome-extension://abcdefgh' || lower(lang) || '/x/y.js~C:/Users/me/z.ts:9', '~', chr(10)) AS stack FROM documents"""
+
+
 def a3_snapshot_highlights(spark, d):
     h = y.build_snapshot(_store(spark, d))["highlights"]
     return h.select("profile_id", "page_key", F.col("pos").cast("long").alias("pos"), "highlight_id", "text", "color", F.col("range_info").isNotNull().alias("has_range"), "created_at")
@@ -181,13 +184,17 @@ def f9_redact_text(spark, d):
     return t.select("doc_id", F.md5("r").alias("redacted_md5"), F.regexp_count("r", F.lit(r"\*\*\*[A-Za-z.]{4}")).cast("long").alias("n_masked"))
 
 
+def f11_redact_stack(spark, d):
+    return derived(spark, d, STACKS_SQL).select("doc_id", F.md5(lg.redact_stack(F.col("stack"))).alias("stack_md5"))
+
+
 def f7_sanitize_url(spark, d):
     t = spark.read.parquet(f"{d}/pages.parquet")
     u = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("https://user:pw@"), F.regexp_extract("url", "://([^?#]*)", 1), F.lit("?api_key=1&x=2&utm_term=3"))).when(F.col("page_id") % 4 == 1, F.lit("file:///home/x")).otherwise(F.col("url"))
     return t.select("page_id", lg.sanitize_url(u).alias("safe_url"))
 
 
-QUERIES = {f.__name__: f for f in (a3_snapshot_highlights, a3_snapshot_saved_states, a3_snapshot_metadata, j7_reachable_aliases, a4_snapshot_summary, j6_apply_snapshot, p12_a5_migration_scan, a5_migration_items, a6_migration_status, a6_completed_keys, a11_highlight_counts, a14_batch_summary, f25_same_remote_page, j9_migrate_to_stable, j9_migration_writes, j11_deletion_keys, j12_clear_plan, j12_delete_plan, j17_propose_aliases, j18_clear_remote, p18_auto_sync, p17_save_status, j16_verify_saved, t3_rank_sources, t4_search_sources, a10_log_repeats, w11_suppress_repeats, w13_log_tail, f8_mask_string, f9_redact_text, f7_sanitize_url)}
+QUERIES = {f.__name__: f for f in (a3_snapshot_highlights, a3_snapshot_saved_states, a3_snapshot_metadata, j7_reachable_aliases, a4_snapshot_summary, j6_apply_snapshot, p12_a5_migration_scan, a5_migration_items, a6_migration_status, a6_completed_keys, a11_highlight_counts, a14_batch_summary, f25_same_remote_page, j9_migrate_to_stable, j9_migration_writes, j11_deletion_keys, j12_clear_plan, j12_delete_plan, j17_propose_aliases, j18_clear_remote, p18_auto_sync, p17_save_status, j16_verify_saved, t3_rank_sources, t4_search_sources, a10_log_repeats, w11_suppress_repeats, w13_log_tail, f8_mask_string, f9_redact_text, f11_redact_stack, f7_sanitize_url)}
 
 # ---- DuckDB
 _STATE = """state AS (
@@ -224,6 +231,7 @@ g AS (SELECT *, CASE WHEN NOT refused THEN CASE WHEN outcome = 'cleaned' THEN he
 _MAIL = r"\b[\w%+.-]+@[\d.A-Za-z-]+\.[A-Za-z]{2,}\b"
 _SAFE = " ".join(f"WHEN {k} THEN '{y}'" for k, (_, y) in enumerate(SECRETS))
 ORACLES = {
+    "f11_redact_stack": f"""SELECT doc_id, md5('Error: ' || regexp_replace(coalesce(substr(text, 1, 60), ''), '(?:[A-Za-z]:)?(?:[/][^\\s/():]+)+[/]([^\\s/():]+)', '\\1', 'g') || chr(10) || ' at f (u sers' || doc_id || '.js:1:2)' || chr(10) || ' at b.mjs:3' || chr(10) || ' at chrome-extension:/y.js' || chr(10) || 'z.ts:9') AS stack_md5 FROM documents""",
     "f9_redact_text": f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS x, CASE doc_id % 7 {_SAFE} END AS tail FROM documents), p AS (SELECT *, string_split_regex(x, '{_MAIL}') AS parts, regexp_extract_all(x, '{_MAIL}') AS found FROM t),
 r AS (SELECT doc_id, array_to_string(list_transform(range(len(parts)), lambda i: parts[i + 1] || coalesce(substr(found[i + 1], 1, 1) || '***' || right(found[i + 1], 4), '')), '') || ' ' || tail AS r FROM p) SELECT doc_id, md5(r) AS redacted_md5, CAST(len(regexp_extract_all(r, '\\*\\*\\*[A-Za-z.]{{4}}')) AS BIGINT) AS n_masked FROM r""",
     "j9_migrate_to_stable": f"WITH {_FOLD} SELECT profile_id, url AS legacy_url, stable AS stable_url, outcome, rem.pid AS remote_page_id, outcome = 'kept' AND coalesce(held.pid <> pid, FALSE) AS conflict, md5(res) AS highlights_md5 FROM g",
