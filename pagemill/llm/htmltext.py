@@ -47,14 +47,20 @@ class _Node:
         self.score, self.chars, self.links, self.commas, self.kids, self.parts, self.holds = 0.0, 0, 0, 0, [], [], set()
 
 
+def _stem(word: str) -> str:
+    """A word without the word for a container that it ends with."""
+    return next((word[:k] for k in range(len(word) - 1, 1, -1) if word[k:] in AROUND and word[:k] in HINTS | TALK), word)
+
+
 def _hint(names: str, inside: bool) -> str:
     """What the words of a class or id say: "talk", "frame", or nothing. A word counts alone, as the last part of a name
-    (cookie-banner), or before a word for a container (menu-wrap); has-sidebar and the like say nothing of the element."""
+    (cookie-banner), or before a word for a container (menu-wrap, commentlist), numbers aside (nav2); has-sidebar and the like
+    say nothing of the element."""
     for name in re.sub(r"([a-z])([A-Z])", r"\1-\2", names).lower().split():
-        parts = [x for x in re.split(r"[-_]+", name) if x]
+        parts = [x for x in (y.rstrip("0123456789") for y in re.split(r"[-_]+", name)) if x]
         if not parts or parts[0] in ("has", "with", "no"):
             continue
-        for word in {parts[-1], parts[0] if len(parts) == 1 or parts[1] in AROUND else parts[-1]}:
+        for word in map(_stem, {parts[-1], parts[0] if len(parts) == 1 or parts[1] in AROUND else parts[-1]}):
             if word in TALK:
                 return "talk"
             if word in HINTS and not (inside and word in ("header", "masthead")):

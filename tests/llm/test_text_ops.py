@@ -256,3 +256,13 @@ def test_html_deep_pages_take_linear_time():
     began = time.monotonic()
     assert len(htmltext.main_text(page)) == 80
     assert time.monotonic() - began < 30
+
+
+def test_names_with_numbers_and_joined_words():
+    body = "<p>" + "The article says a good deal, and says it at some length. " * 6 + "</p>"
+    for name in ("commentlist", "comments2", "respond-box1", "relatedlinks"):
+        assert main_text(f'<body><article>{body}<ol class="{name}"><li>A reader says that it is long, and says so twice over.</li></ol></article></body>').endswith("some length.")
+    for name in ("nav2", "menulist", "sidebar_3", "footerlinks"):
+        assert main_text(f'<body><div id="{name}">Home and more</div><p>short</p></body>') == "short"
+    for name in ("commentary", "address", "h2", "navy", "item-12", "wp-content"):
+        assert "Kept words" in main_text(f'<body><article>{body}<div class="{name}">Kept words</div></article></body>')
