@@ -26,6 +26,7 @@ from pagemill.llm.common import parts
 
 RANKS = "byte_bpe_50k.tiktoken"
 CHUNK, OVERLAP = 32_768, 512  # code points
+SENT = 256  # rows that are encoded, or decoded, before they are sent on
 
 
 @functools.cache
@@ -67,7 +68,7 @@ def _chunks(chunk: int):
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for row, text in ((b.column(0)[k].as_py(), b.column(1)[k].as_py()) for k in range(b.num_rows)):  # one text at a time
                 n = max(1, -(-(len(text) - OVERLAP) // chunk))
                 for k in range(0, n, 64):
                     at = range(k, min(k + 64, n))
@@ -80,7 +81,7 @@ def _chunks(chunk: int):
 def _pieces(batches: Iterator[pa.RecordBatch]):
     """(row, doc_id, times, pos, piece): what lies between a text's edges."""
     for b in batches:
-        for row, doc, times, text, edges in zip(*(c.to_pylist() for c in b.columns)):
+        for row, doc, times, text, edges in (tuple(c[k].as_py() for c in b.columns) for k in range(b.num_rows)):
             spans = list(zip(edges, [*edges[1:], len(text)]))
             for k in range(0, len(spans), 64):
                 own = [text[x:y] for x, y in spans[k : k + 64]]
@@ -90,7 +91,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]):
 def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]):
         enc = encoder(path)
-        for b in batches:
+        for b in (x.slice(k, SENT) for x in batches for k in range(0, x.num_rows, SENT)):
             out = [encode_bytes(enc, t) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.binary())], names=[*b.schema.names[:-1], "ids"])
 
@@ -143,7 +144,7 @@ def token_digests(docs: DataFrame, ranks: str = RANKS, chunk: int = CHUNK) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]):
         enc = encoder(path)
-        for b in batches:
+        for b in (x.slice(k, SENT) for x in batches for k in range(0, x.num_rows, SENT)):
             ids = b.column(1).to_pylist()
             back = [hashlib.sha256(enc.decode_bytes(np.frombuffer(x, "<u4").tolist())).hexdigest() for x in ids]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
