@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from urllib.parse import parse_qsl, quote, quote_plus, unquote, urljoin, urlsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+PIECE_LISTS = 1000  # lists of URLs that a task turns into Python strings at a time
 # Limits, and what image URLs and other URLs look like.
 MAX_URL_LENGTH = 2000
 MAX_UNWRAPS = 5
@@ -78,9 +80,11 @@ def _clean(url: str | None) -> str | None:
     return url
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _cleaned(urls: pd.Series) -> pd.Series:
-    return urls.map(lambda x: None if x is None else [_clean(v) for v in x])
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _cleaned(urls: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for a in urls:
+        for at in range(0, len(a), PIECE_LISTS):
+            yield pa.array([None if x is None else [_clean(v) for v in x] for x in a.slice(at, PIECE_LISTS).to_pylist()], pa.list_(pa.string()))
 
 
 def clean_image_urls(urls: Column) -> Column:
