@@ -42,14 +42,14 @@ def _settings(spark: SparkSession, **values: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, batch: str = "8m") -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut and lost executors cost nothing.
 
     Its shuffle files go when it is written, since nothing else reads them, and batches sent to Python are bounded
-    by bytes, since rows may hold long texts."""
+    by bytes (``batch``), since rows may hold long texts."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
-    with _settings(spark, classic__shuffleDependency__fileCleanup__enabled="true", execution__arrow__maxBytesPerBatch="16m"):
+    with _settings(spark, classic__shuffleDependency__fileCleanup__enabled="true", execution__arrow__maxBytesPerBatch=batch):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

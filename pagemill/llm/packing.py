@@ -118,6 +118,7 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CA
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        pa.default_memory_pool().release_unused()  # a worker may come from an earlier stage and hold what that stage let go
         words, keys = _word_ids(public_tokenizers.path(tokenizer)), task_row_ids()
         end = np.asarray([SEPARATOR], dtype="<u4").tobytes()
         step = 4 * capacity
@@ -264,7 +265,7 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]."""
-    pieces = staged(token_pieces(docs, tokenizer, capacity, with_ids), "pieces")
+    pieces = staged(token_pieces(docs, tokenizer, capacity, with_ids), "pieces", batch="4m")
     places = best_fit(pieces, capacity).select("piece_key", "sequence_id", "offset")
     return pieces.join(places, "piece_key").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * with_ids)
 
