@@ -27,7 +27,7 @@ from pagemill.llm.common import parts, staged, task_row_ids
 CAPACITY = 2048
 SEPARATOR = 0
 TOKENIZER = "word_bpe_49k.json"
-CACHED_WORDS = 1_000_000  # words a worker remembers; beyond, it forgets all and goes on
+CACHED_WORDS = 400_000  # words a task remembers; beyond, it forgets all and goes on
 
 _loaded: dict[str, WordIds] = {}
 
@@ -122,16 +122,19 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CA
         words, keys = _word_ids(public_tokenizers.path(tokenizer)), task_row_ids()
         end = np.asarray([SEPARATOR], dtype="<u4").tobytes()
         step = 4 * capacity
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                out = []
-                for doc, ids in zip(part.column(0).to_pylist(), words.encode(part.column(1).to_pylist())):
-                    ids += end
-                    for n, b in enumerate(range(0, len(ids), step)):
-                        piece = ids[b : b + step]
-                        out.append((next(keys), doc, n, b // 4, len(piece) // 4, zlib.crc32(piece)) + (piece,) * with_ids)
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), types)], names=names)
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 200):
+                    part = batch.slice(at, 200)
+                    out = []
+                    for doc, ids in zip(part.column(0).to_pylist(), words.encode(part.column(1).to_pylist())):
+                        ids += end
+                        for n, b in enumerate(range(0, len(ids), step)):
+                            piece = ids[b : b + step]
+                            out.append((next(keys), doc, n, b // 4, len(piece) // 4, zlib.crc32(piece)) + (piece,) * with_ids)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), types)], names=names)
+        finally:
+            words.known.clear()  # a worker goes on to other stages
 
     import pyarrow as pa
 

@@ -32,6 +32,7 @@ ORDER, PASSAGE = 6, 10
 CHUNK_CHARS, LEAST_CHUNKS = 16_000_000, 64
 SHARD_CHARS, LEAST_SHARDS = 64_000_000, 48  # text for which the table gets another shard
 HELD_ROWS, BUFFER = 2_000_000, 1_000_000  # a task's own counts before it sends them; expressions before they are summed
+SCORED = 250_000  # expressions that a task scores at a time, but for a longer text
 DISCOUNT = 0.75
 CALIBRATION_FOLD = 4  # of 1..4: held back from the counts while the logistic fit is made
 BROADCAST_LABELS = 2_000_000  # rows of two numbers; beyond, documents and labels are joined by a shuffle
@@ -179,7 +180,7 @@ class Models:
             five, n5 = np.unique(own & MASK[5], return_counts=True)
             four, n4 = np.unique(five & MASK[4], return_counts=True)
             self.levels.append((Level(four, n4.astype(np.int32)), Level(five, n5.astype(np.int32)), Level(own, c[c > 0])))
-        self.known_ratio = np.concatenate([self._worked_out(g[a : a + BUFFER]) for a in range(0, len(g), BUFFER)]) if len(g) else np.zeros(0, np.float32)
+        self.known_ratio = np.concatenate([self._worked_out(g[a : a + SCORED]) for a in range(0, len(g), SCORED)]) if len(g) else np.zeros(0, np.float32)
 
     def probabilities(self, ask: np.ndarray, toxic: bool) -> np.ndarray:
         """P(last byte | the five before it) of each expression."""
@@ -235,7 +236,7 @@ def with_evidence_by_broadcast(docs: DataFrame, table: DataFrame, model: str, sh
             out, texts, a = [], batch.tolist(), 0
             while a < len(texts):
                 z, size = a, 0
-                while z < len(texts) and (z == a or size < BUFFER):
+                while z < len(texts) and (z == a or size < SCORED):
                     size += len(texts[z])
                     z += 1
                 own = [expressions(t) for t in texts[a:z]]
