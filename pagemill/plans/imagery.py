@@ -32,7 +32,7 @@ COVERS_SQL = f"SELECT page_id, replace(replace(html, '</head>', {_HEAD} || '</he
 
 
 def _images(spark, d):
-    return io.extract_images(p.explode_nodes(derived(spark, d, PAGES_SQL)), SIGNED)
+    return io.extract_images(p.element_table(derived(spark, d, PAGES_SQL)), SIGNED)
 
 
 def b8_image_sources(spark, d):
@@ -46,11 +46,11 @@ def b8_image_blocks(spark, d):
 
 
 def b8_cover_images(spark, d):
-    return io.cover_images(p.explode_nodes(derived(spark, d, COVERS_SQL)), SIGNED)
+    return io.cover_images(p.element_table(derived(spark, d, COVERS_SQL)), SIGNED)
 
 
 def a9_cover_metrics(spark, d):
-    nodes = p.explode_nodes(derived(spark, d, COVERS_SQL))
+    nodes = p.element_table(derived(spark, d, COVERS_SQL))
     covers = io.cover_images(nodes, SIGNED)
     t = io.image_metrics(io.extract_images(nodes, SIGNED, covers), covers)
     return t.select("page_id", *(F.col(c).cast("long").alias(c) for c in ("candidates", "url_valid", "final")), "has_cover")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pagemill.functions import html as h
 from pagemill.functions import images as im
 from pagemill.operators import pages as p
+from pagemill.plans import registry
+from pagemill.sources.staging import staged
 
 
 class Frame:
@@ -63,3 +65,20 @@ def test_long_texts_are_split_in_linear_time(spark):
     text = "ab cd. " * 3_000_000 + " \n "
     parts = spark.createDataFrame([(text,)], "t string").select(F.explode(p.split_text(F.col("t"))).alias("c")).agg(F.count("*"), F.max(F.char_length("c")), F.sum(F.char_length(F.replace("c", F.lit(" "))))).first()
     assert parts[1] <= 2000 and parts[2] == 5 * 3_000_000
+
+
+def test_tables_are_written_from_bounded_batches(spark):
+    """A task that gets 60 rows of a megabyte doesn't get them in one Arrow batch, and the session's own bound is kept."""
+    rows = lambda batches: (pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64()), "mb": pa.array([b.nbytes >> 20], pa.int64())}) for b in batches)
+    wide = spark.range(0, 60, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("t")).mapInArrow(rows, "n long, mb long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    got = staged(wide, "wide").agg(F.sum("n"), F.max("mb")).first()
+    assert got[0] == 60 and got[1] <= 10
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+@pytest.mark.parametrize("name", ["b8_image_sources", "b8_image_blocks", "b8_cover_images", "a9_cover_metrics"])
+def test_pages_are_read_once(spark, name):
+    """Branches of a plan read the written elements, not the pages."""
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "staged/elements-" in plan
