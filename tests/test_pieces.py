@@ -77,7 +77,7 @@ def test_tables_are_written_from_bounded_batches(spark):
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
 
 
-@pytest.mark.parametrize("name", ["b8_image_sources", "b8_image_blocks", "b8_cover_images", "a9_cover_metrics", "a9_image_metrics", "b8_extract_images"])
+@pytest.mark.parametrize("name", ["b8_image_sources", "b8_image_blocks", "b8_cover_images", "a9_cover_metrics", "a9_image_metrics", "b8_extract_images", "b2_main_container", "w3_best_content_container", "b4_markdown_container"])
 def test_pages_are_read_once(spark, name):
     """Branches of a plan read the written elements, not the pages."""
     plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
