@@ -17,12 +17,12 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents whose toxicity score is below 0.5."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = toxicity.score_toxicity(docs, labels, "_pm_score")
-    return scored.where(F.col("_pm_score") < 0.5).select(*docs.columns)
+    return staged(scored.where(F.col("_pm_score") < 0.5).select(*docs.columns), "clean")  # Python gets whole texts: in bounded batches only while a table is written
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that ten documents or more share; n_chars follows the text."""
-    return linededup.dedup_lines(docs, min_docs=10, min_chars=1).select(*docs.columns)
+    return staged(linededup.dedup_lines(docs, min_docs=10, min_chars=1).select(*docs.columns), "cut")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
+import inspect
 import re
 import tempfile
 import uuid
 import zlib
 
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +75,48 @@ def task_row_ids():
         n += 1
 
 
+def give_back() -> None:
+    """Return memory that nothing uses any more to the system: Arrow's, and the C library's where it can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def frugal(run):
+    """run, a task's function of one or two tables or an iterator of batches, after which unused memory is given back:
+    workers go on to other tasks, and what each of them keeps adds up."""
+    if inspect.isgeneratorfunction(run):
+
+        @functools.wraps(run)
+        def batches_of(batches):
+            give_back()
+            try:
+                yield from run(batches)
+            finally:
+                give_back()
+
+        return batches_of
+    if len(inspect.signature(run).parameters) == 1:
+
+        @functools.wraps(run)
+        def of_one(table):
+            try:
+                return run(table)
+            finally:
+                give_back()
+
+        return of_one
+
+    @functools.wraps(run)
+    def of_two(left, right):
+        try:
+            return run(left, right)
+        finally:
+            give_back()
+
+    return of_two
+
+
 def id_remainder(value, modulus: int = 5) -> int:
     """crc32 of the id written as text, mod modulus."""
     return zlib.crc32(str(value).encode()) % modulus

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import staged
+from pagemill.llm.common import frugal, staged
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,6 +51,7 @@ def _sweep(min_docs: int | None):
     def frame(kind, rows, n=0):
         return pd.DataFrame({"kind": np.int32(kind), "doc": rows["doc"], "copy": rows["copy"], "pos": rows["pos"], "n_lines": rows["n_lines"], "h1": rows["h1"], "h2": rows["h2"], "n": n, "task": TaskContext.get().partitionId()})
 
+    @frugal
     def sweep(batches):
         held = None  # rows of the running hash, as long as they are undecided and few
         spilled = False  # undecided rows of the running hash are out already, to be settled by its count

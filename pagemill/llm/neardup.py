@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import parts, staged
+from pagemill.llm.common import frugal, parts, staged
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 3
@@ -180,6 +180,7 @@ def _ask(n_shards: int):
     """A chunk's distinct shingles, each with how many of the chunk's texts hold it, by shard: ranges of hashes."""
     edges = np.array([(k << HASH_BITS) // n_shards for k in range(n_shards + 1)], np.uint64)
 
+    @frugal
     def ask(chunk: pa.Table, copies: pa.Table) -> pa.Table:
         _, texts = _own(chunk, copies)
         held = [shingles(texts[a:z])[1] for a, z in _slices(texts)]
@@ -200,6 +201,7 @@ def _ask(n_shards: int):
 def _frequencies(n_texts: int):
     """The levels of one shard's shingles, for each chunk that has asked."""
 
+    @frugal
     def answer(asked: pa.Table) -> pa.Table:
         own = [unpack(z) for z in asked["g"].to_pylist()]
         n = []
@@ -223,6 +225,7 @@ def _frequencies(n_texts: int):
 _NODES = "key binary, bands array<long>, w double, h binary"
 
 
+@frugal
 def _sign(chunk: pa.Table, back: pa.Table) -> pa.Table:
     """(key, bands, weight, tokens) of the texts that may be similar to others. Tokens are what others have too:
     level and hash of a shingle, once for each time that it occurs, rarest first."""
@@ -275,6 +278,7 @@ def compare(ha: bytes, wa: float, hb: bytes, wb: float) -> tuple[float, float, b
 _COMPARED = "a binary, b binary, similarity double, inside double, held binary, beyond array<long>, w double, levels binary"
 
 
+@frugal
 def _compare_all(batches: Iterator[pa.RecordBatch]):
     """Of (a, b, ha, wa, hb, wb); levels are those of the head's tokens, in their order."""
     for r in batches:
@@ -301,6 +305,7 @@ def _matrix(t: pa.Table, a: int, z: int, n_head: int, extra: np.ndarray) -> np.n
     return out
 
 
+@frugal
 def _within(x: pa.Table, y: pa.Table) -> pa.Table:
     """Links (a, b) between rows of x and y, members of one head: for each row of x one of each other class in y, if
     any. What two rows share is a product of matrices over the head's tokens and those that x's rows have beyond it."""

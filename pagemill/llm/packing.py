@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pagemill.llm.common import parts, staged, task_row_ids
+from pagemill.llm.common import frugal, parts, staged, task_row_ids
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -114,11 +114,11 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CA
     every ``capacity`` ids. Null and empty texts are the separator alone; repeated rows are packed each."""
     schema = "piece_key long, doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
+    @frugal
     def cut(batches):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        pa.default_memory_pool().release_unused()  # a worker may come from an earlier stage and hold what that stage let go
         words, keys = _word_ids(public_tokenizers.path(tokenizer)), task_row_ids()
         end = np.asarray([SEPARATOR], dtype="<u4").tobytes()
         step = 4 * capacity
@@ -147,6 +147,7 @@ _PAIRED = "kind int, piece_key long, length long, sequence_id long, task int, pl
 PAIR, PIECE_LEFT, GAP_LEFT = 0, 1, 2
 
 
+@frugal
 def _successors(batches):
     """One task's sweep over (size desc, gaps before pieces)."""
     task = TaskContext.get().partitionId()
@@ -208,6 +209,7 @@ def _match(gaps: DataFrame, pieces: DataFrame, low: int, high: int) -> tuple[Dat
 
 
 def _open_new(capacity: int):
+    @frugal
     def fill(batches):
         now, room = None, 0
         for b in batches:

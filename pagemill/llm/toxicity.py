@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import id_remainder, parts, staged
+from pagemill.llm.common import frugal, id_remainder, parts, staged
 
 ORDER, PASSAGE = 6, 10
 CHUNK_CHARS, LEAST_CHUNKS = 16_000_000, 64
@@ -92,6 +92,7 @@ _TABLE = "shard int, g binary, counts binary, size long, pairs array<struct<pair
 def _count(shards: int):
     """A task's partial counts of (expression, whether it is of the calibration rows, class)."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]):
         codes, n, held, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
@@ -126,6 +127,7 @@ def _endings(g: np.ndarray) -> np.ndarray:
     return np.bincount(np.unique(g & MASK[4]) & 0xFFFF, minlength=1 << 16)
 
 
+@frugal
 def _merge(table: pa.Table) -> pa.Table:
     """One shard of the table: expressions; their counts (class, and class among the calibration rows); endings."""
     codes, n = summed(np.concatenate([unpack(z, True) for z in table["codes"].to_pylist()]), np.concatenate([unpack(z) for z in table["n"].to_pylist()]))
@@ -229,8 +231,8 @@ def with_evidence_by_broadcast(docs: DataFrame, table: DataFrame, model: str, sh
     lets it go at its end."""
     sent = docs.sparkSession.sparkContext.broadcast([(r["g"], r["counts"]) for r in table.select("g", "counts").collect()])
 
-    @F.pandas_udf(T.DoubleType())
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @frugal
+    def scores(batches):
         models = _models(sent.value, model, shared)
         for batch in batches:
             out, texts, a = [], batch.tolist(), 0
@@ -246,6 +248,10 @@ def with_evidence_by_broadcast(docs: DataFrame, table: DataFrame, model: str, sh
                 a = z
             yield pd.Series(made(np.array(out, np.float64)))
 
+    @F.pandas_udf(T.DoubleType())
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from scores(batches)
+
     return docs.select(*(c for c in docs.columns if c != column), score(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias(column))
 
 
@@ -257,16 +263,21 @@ def with_evidence_by_shuffle(docs: DataFrame, table: DataFrame, model: str, shar
     key = F.xxhash64(text, F.col("doc_id").cast("string"))
     dealt = docs.select(*own, *([] if plain else [text.alias(text_col)]), F.pmod(key, F.lit(n_chunks)).cast("int").alias("_pm_chunk")).repartition(parts(docs.sparkSession), "_pm_chunk")
 
+    @frugal
     def distinct(chunk: pa.Table) -> pa.Table:
         u = _distinct([t or "" for t in chunk[text_col].to_pylist()])
         cut = by_shard(u, n_shards)
         return pa.table({"chunk": pa.array([chunk["_pm_chunk"][0].as_py()] * len(cut), pa.int32()), "shard": pa.array([k for k, _ in cut], pa.int32()), "g": pa.array([pack(u[at], True) for _, at in cut], pa.binary())})
 
+    @frugal
     def look(asked: pa.Table, shard: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return none
         models = _models(list(zip(shard["g"].to_pylist(), shard["counts"].to_pylist())), model, shared)
         back = [pack(models.ratio(unpack(z, True))) for z in asked["g"].to_pylist()]
         return pa.table({"chunk": asked["chunk"].cast(pa.int32()), "shard": asked["shard"].cast(pa.int32()), "r": pa.array(back, pa.binary())})
 
+    @frugal
     def score(chunk: pa.Table, back: pa.Table) -> pa.Table:
         texts = [t or "" for t in chunk[text_col].to_pylist()]
         u, came = _distinct(texts), dict(zip(back["shard"].to_pylist(), back["r"].to_pylist()))
@@ -278,7 +289,7 @@ def with_evidence_by_shuffle(docs: DataFrame, table: DataFrame, model: str, shar
 
     asked = dealt.groupBy("_pm_chunk").applyInArrow(distinct, "chunk int, shard int, g binary")
     none = pa.table({"chunk": pa.array([], pa.int32()), "shard": pa.array([], pa.int32()), "r": pa.array([], pa.binary())})
-    back = asked.groupBy("shard").cogroup(table.select("shard", "g", "counts").groupBy("shard")).applyInArrow(lambda a, b: look(a, b) if a.num_rows else none, "chunk int, shard int, r binary")
+    back = asked.groupBy("shard").cogroup(table.select("shard", "g", "counts").groupBy("shard")).applyInArrow(look, "chunk int, shard int, r binary")
     schema = T.StructType([*docs.select(*own).schema.fields, T.StructField(column, T.DoubleType())])
     return dealt.groupBy("_pm_chunk").cogroup(back.groupBy("chunk")).applyInArrow(score, schema)
 

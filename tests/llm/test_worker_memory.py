@@ -1,10 +1,13 @@
 """What a worker holds goes with its task, and is made in bounded pieces."""
 
+import ctypes
+
 import numpy as np
+import pytest
 import public_tokenizers
 import pyarrow as pa
 
-from pagemill.llm import packing, toxicity
+from pagemill.llm import common, linededup, neardup, packing, toxicity
 
 
 class Frame:
@@ -38,3 +41,25 @@ def test_known_expressions_are_worked_out_in_pieces(monkeypatch):
     m = toxicity.Models(g, [np.full(len(g), 2, np.int32), (np.arange(len(g)) % 3).astype(np.int32)], shared)
     assert sum(sizes) == len(g) and max(sizes) <= 250_000
     assert np.array_equal(m.known_ratio, whole(m, g))
+
+
+def held_mb():
+    with open("/proc/self/smaps_rollup") as f:
+        return sum(int(x.split()[1]) for x in f if x.startswith(("Pss_Anon", "Pss_Shmem"))) / 1024
+
+
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="needs glibc")
+def test_memory_is_given_back():
+    def hoard(_):
+        return [np.ones(8000) for _ in range(1500)][-1]  # the last one keeps the heap from shrinking by itself
+
+    before = held_mb()
+    kept = hoard(0)
+    assert held_mb() > before + 50
+    kept = [kept, common.frugal(hoard)(0)]
+    assert len(kept) == 2 and held_mb() < before + 25
+
+
+def test_every_task_function_gives_back():
+    made = [toxicity._count(4), toxicity._merge, neardup._ask(4), neardup._frequencies(4), neardup._sign, neardup._compare_all, neardup._within, packing._successors, packing._open_new(8), linededup._sweep(10)]
+    assert all(hasattr(f, "__wrapped__") for f in made)
